@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, decontaminate, langid, simhash, suffix_dedup, token_planes, toxicity
+from . import bpe_tree, decontaminate, langid, multi_index, perspectives, simhash, suffix_dedup, token_planes, toxicity, urlfilter
 from .common import table
 
 
@@ -20,10 +20,18 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.op3_url_filter(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op4_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.op5_perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6_simhash(table(spark, sf_dir, "documents"))
 
@@ -36,6 +44,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.op8_suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.op9_multi_index(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_decode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -43,13 +55,18 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_token_planes": op2_token_planes,
+    "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
+    "op5_perspectives": op5_perspectives,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_multi_index": op9_multi_index,
     "op10_bpe_tree": op10_bpe_tree,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_url_filter": urlfilter.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
+    "op5_perspectives": perspectives.ORACLE,
 }
