@@ -15,8 +15,8 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,13 +106,34 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
-                ids = [c.encode(t) if t else [] for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.binary())], ["id", "ids", "decoded"])
+                ids = [np.array(c.encode(t) if t else [], np.int32) for t in b.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array([c.decode(x.tolist()) for x in ids], pa.binary())], ["id", "ids", "decoded"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, "id long, ids array<int>, decoded binary")
 
 
+def with_tokens(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """``docs`` with ``token_ids`` of the whole text and ``round_trip``: they decode to its bytes."""
+
+    @F.pandas_udf("token_ids array<int>, round_trip boolean")
+    def run(text):
+        import pandas as pd
+
+        c = codec(rank_path, pattern, leaf_chars)
+        ids, same = [], []
+        for t in text:
+            x = c.encode(t) if t else []
+            same.append(c.decode(x) == (t or "").encode())
+            ids.append(np.array(x, np.int32))
+        return pd.DataFrame({"token_ids": ids, "round_trip": same})
+
+    out = docs.withColumn("__tokens", run(F.col(text_col)))
+    return out.select(*docs.columns, F.col("__tokens.token_ids").alias("token_ids"), F.col("__tokens.round_trip").alias("round_trip"))
+
+
 def encode_decode_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     out = round_trip(docs, rank_path, pattern)
     return out.select(

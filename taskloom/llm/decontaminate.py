@@ -29,6 +29,10 @@ def normalized(text: Column) -> Column:
     return F.coalesce(F.trim(spaced), F.lit(""))
 
 
+def digest(text_col: str) -> Column:
+    return F.struct(F.xxhash64(text_col, F.lit(0)).alias("d0"), F.xxhash64(text_col, F.lit(1), F.lit(2)).alias("d1"))
+
+
 def word_count(norm: Column) -> Column:
     return F.when(norm == "", F.lit(0)).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).cast("long")
 
@@ -119,8 +123,8 @@ def contamination(
     no words and no hits. Items with a null id or no words are left out; repeated items count once
     for each distinct id. Rows equal in id and text get equal results, once each.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col, F.lit(0)).alias("d0"), F.xxhash64(text_col, F.lit(1), F.lit(2)).alias("d1"), normalized(F.col(text_col)).alias("norm"))
-    rows = rows.select("id", F.struct("d0", "d1").alias("digest"), "norm", word_count(F.col("norm")).alias("n"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest"), normalized(F.col(text_col)).alias("norm"))
+    rows = rows.withColumn("n", word_count(F.col("norm")))
     met, owners = occurrences(rows.where("n > 0"), benchmark, item_col, bench_text, window, shingle, broadcast_limit)
     met = materialize(met, "occurrences")
     # hit words: length of the union of the intervals
@@ -152,6 +156,14 @@ def contamination(
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the contaminated ones; all columns stay as they are."""
+    bad = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated")
+    bad = materialize(bad.select(F.col("id").alias("__id"), F.col("digest").alias("__key")).distinct(), "contaminated")
+    own = docs.withColumn("__digest", digest(text_col))
+    return own.join(bad, own[id_col].cast("long").eqNullSafe(bad["__id"]) & (own["__digest"] == bad["__key"]), "left_anti").select(*docs.columns)
+
+
 def op4_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = contamination(docs, benchmark)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -48,15 +48,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp) for every row of ``docs``; null and empty texts get fingerprint 0."""
+    """(id, digest, fp) for every row; digest: xxhash64 of the text; null and empty texts get fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(t, shingle) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
+            fp = [fingerprint(t, shingle) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["id", "digest", "fp"])
 
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, "id long, fp long")
+    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    return kept.mapInArrow(run, "id long, digest long, fp long")
 
 
 def masks(blocks: int, max_distance: int, bits: int = 64) -> list[int]:
@@ -175,9 +175,9 @@ def links(nodes: DataFrame, max_distance: int = 3, blocks: int | None = None, de
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 3, **tree) -> DataFrame:
-    """(id, fp, component_id): every row of ``docs`` with its fingerprint and its group.
+    """(id, digest, fp, component_id, component): every row of ``docs`` with its group.
 
-    component_id is the smallest id reachable over fingerprints at most ``max_distance`` bits apart,
+    component names the group by a fingerprint; component_id is the smallest id reachable over fingerprints at most ``max_distance`` bits apart,
     the row's own included. Texts that are null, empty or without words have fingerprint 0 and link
     like others. A null id keeps its row and never names a group unless the group has only null ids.
     Repeated rows and ids stay as they are; other columns of ``docs`` are not read.
@@ -187,9 +187,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = components(links(nodes.select("fp"), max_distance, **tree)).withColumnRenamed("node", "fp")
     linked = nodes.join(groups, "fp")
     first = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = materialize(groups.join(first, "component").select("fp", "component_id"), "named")
-    ids = materialize(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "ids")
-    return fps.join(ids, "fp").select("id", "fp", "component_id")
+    named = materialize(groups.join(first, "component").select("fp", "component_id", "component"), "named")
+    ids = materialize(nodes.join(named, "fp", "left").select("fp", F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", "fp").alias("component")), "ids")
+    return fps.join(ids, "fp").select("id", "digest", "fp", "component_id", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group: that of the least id (null last), then text digest.
+
+    All columns stay as they are. Of rows equal in id and text one stays, whatever else they hold.
+    """
+    found = materialize(near_duplicates(docs, id_col, text_col, **options), "groups")
+    place = F.struct(F.col("id").isNull().alias("no"), "id", "digest")
+    best = found.groupBy("component").agg(F.min(place).alias("best"))
+    best = materialize(best, "best")
+    lost = found.join(best, "component").where(~place.eqNullSafe(F.col("best"))).select("id", "digest").distinct()
+    again = materialize(found.groupBy("id", "digest").agg(F.count("*").alias("c")).where("c > 1").select("id", "digest"), "again")
+    lost = materialize(lost, "lost")
+    own = docs.withColumn("__digest", F.xxhash64(text_col))
+
+    def named(keys: DataFrame, kind: str) -> DataFrame:
+        keys = keys.select(F.col("id").alias("__id"), F.col("digest").alias("__key"))
+        return own.join(keys, own[id_col].cast("long").eqNullSafe(keys["__id"]) & (own["__digest"] == keys["__key"]), kind)
+
+    own = named(lost, "left_anti")
+    if not again.isEmpty():
+        own = named(again, "left_anti").unionByName(named(again, "left_semi").dropDuplicates([id_col, "__digest"]))
+    return own.select(*docs.columns)
 
 
 def op6_simhash(docs: DataFrame) -> DataFrame:

@@ -356,8 +356,8 @@ def fit_sample(labelled: DataFrame, text_col: str, label_col: str, order: Column
     return fit(sample.column("t").to_pylist(), sample.column("y").to_pylist())
 
 
-def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", rows: int = 128) -> DataFrame:
-    """``docs`` with a column ``toxicity`` (0 to 1) from the whole text alone; null counts as empty."""
+def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "toxicity", rows: int = 128) -> DataFrame:
+    """``docs`` with a column ``out_col`` (0 to 1) from the whole text alone; null counts as empty."""
 
     @F.pandas_udf("double")
     def run(text):
@@ -367,7 +367,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", rows: i
         parts = [model.scores(raw[k : k + rows]) for k in range(0, len(raw), rows)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.withColumn("toxicity", run(F.col(text_col)))
+    return docs.withColumn(out_col, run(F.col(text_col)))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
