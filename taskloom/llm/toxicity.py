@@ -370,15 +370,20 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col
     return docs.withColumn(out_col, run(F.col(text_col)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
-    """(doc_id, text, toxic) of the documents outside the held-out fold that have a label."""
+def labelled(docs: DataFrame, labels: DataFrame, rows: int, folds: int = 5, held: int = 0) -> DataFrame:
+    """(doc_id, text, toxic) of up to ``rows`` labelled document ids outside the held-out fold.
+
+    The ids are chosen first, from ids alone; their bounded list then goes to the texts.
+    """
     crc = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(held))
     marks = labels.select("doc_id", "toxic").where((crc != held) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").where(crc != held).join(marks, "doc_id")
+    ids = docs.select("doc_id").where(crc != held).join(marks, "doc_id").distinct()
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    return fit_sample(labelled(docs, labels), "text", "toxic", F.xxhash64("doc_id"), rows)
+    return fit_sample(labelled(docs, labels, rows), "text", "toxic", F.xxhash64("doc_id"), rows)
 
 
 def op7_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
