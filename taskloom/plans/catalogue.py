@@ -1,6 +1,605 @@
-"""The catalogue of queries over the driver tables and their SQL equivalents."""
+"""Queries over the driver tables, one for each operator family, and their SQL equivalents.
+
+Adapters: an order is a task, its line items are sub-tasks (points are quantities, levels follow the
+return flag), benchmark items are drafts, documents are the task pool.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classify, documents, guard, points, scoring, textual
+from ..operators import segment, similarity, sink
+from ..schema import GRADES
+from ..sources import documents as files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- tasks from orders ------------------------------------------------------------------------
+
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus"]
+
+
+def sub_task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("l_returnflag") == "A", "AFB1").when(F.col("l_returnflag") == "N", "AFB2").otherwise("AFB3")
+    star = (F.col("l_linestatus") == "O") & (F.col("l_linenumber") % 2 == 0)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER, level.alias("afb"), star.alias("is_star"))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tasks with nested sub-tasks. Both sides are dealt by the order key once."""
+    row = F.struct(*LINE_ORDER, "afb", "is_star")
+    parts = sub_task_rows(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("p"))
+    nested = F.transform("p", lambda p, i: F.struct(F.concat(F.char(i % 26 + 97), F.lit(")")).alias("label"), p["is_star"].alias("is_star"), p["afb"].alias("afb"), p["l_quantity"].alias("points")))
+    parts = parts.select("l_orderkey", nested.alias("sub_tasks"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
+    both = orders.join(parts, orders["o_orderkey"] == parts["l_orderkey"], "left")
+    some = F.coalesce("sub_tasks", F.array().cast("array<struct<label:string,is_star:boolean,afb:string,points:double>>"))
+    most = F.floor(0.6 * F.aggregate("sub_tasks", F.lit(0.0), lambda a, p: a + p["points"])).cast("double")
+    out = both.select(F.col("o_orderkey").alias("id"), "o_custkey", F.col("o_orderpriority").alias("competence"), "o_orderdate", some.alias("sub_tasks"))
+    out = out.withColumn("max_points", most)
+    return out.withColumn("points_by_afb", points.points_by_afb(F.col("sub_tasks"), F.lit(""), F.col("max_points")))
+
+
+TASKS = """
+WITH li AS (
+  SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate, l_returnflag, l_linestatus) AS n,
+    CASE l_returnflag WHEN 'A' THEN 'AFB1' WHEN 'N' THEN 'AFB2' ELSE 'AFB3' END AS afb, l_linestatus = 'O' AND l_linenumber % 2 = 0 AS star, l_quantity AS points
+  FROM lineitem),
+t AS (
+  SELECT o_orderkey AS id, any_value(o_custkey) AS o_custkey, any_value(o_orderpriority) AS competence, any_value(o_orderdate) AS o_orderdate,
+    floor(0.6 * coalesce(sum(points), 0)) AS max_points, count(points) AS n_parts, coalesce(bool_or(star), false) AS has_star,
+    coalesce(sum(points) FILTER (afb = 'AFB1'), 0) AS b1, coalesce(sum(points) FILTER (afb = 'AFB2'), 0) AS b2, coalesce(sum(points) FILTER (afb = 'AFB3'), 0) AS b3,
+    coalesce(sum(points) FILTER (afb = 'AFB1' AND NOT star), 0) AS m1, coalesce(sum(points) FILTER (afb = 'AFB2' AND NOT star), 0) AS m2, coalesce(sum(points) FILTER (afb = 'AFB3' AND NOT star), 0) AS m3,
+    list({'points': points, 'star': star, 'afb': afb} ORDER BY CASE WHEN star THEN 0 ELSE 1 END, n) FILTER (points IS NOT NULL) AS parts
+  FROM orders LEFT JOIN li ON o_orderkey = li.id GROUP BY o_orderkey)
+"""
+_SHARES = """
+, s AS (SELECT sum({0}1) AS a1, sum({0}2) AS a2, sum({0}3) AS a3 FROM {1})
+SELECT unnest(['AFB1', 'AFB2', 'AFB3']) AS afb, unnest([a1, a2, a3]) AS points,
+  unnest([CAST(floor(a1 / (a1 + a2 + a3) * 100 + 0.5) AS BIGINT), CAST(floor(a2 / (a1 + a2 + a3) * 100 + 0.5) AS BIGINT), CAST(floor(a3 / (a1 + a2 + a3) * 100 + 0.5) AS BIGINT)]) AS share
+FROM s
+"""
+
+
+@query(TASKS + _SHARES.format("m", "t"))
+def afb_mandatory_total(spark, sf_dir):
+    return scoring.distribution(scoring.total_afb(tasks(spark, sf_dir), "mandatory"))
+
+
+GREEDY = (
+    TASKS
+    + """
+, g AS (
+  SELECT id, CASE WHEN has_star THEN list_reduce(
+    list_prepend({'points': 0.0::DOUBLE, 'star': false, 'afb': '', 'used': 0.0::DOUBLE, 'a1': 0.0::DOUBLE, 'a2': 0.0::DOUBLE, 'a3': 0.0::DOUBLE},
+      list_transform(parts, lambda p: {'points': p.points, 'star': p.star, 'afb': p.afb, 'used': 0.0::DOUBLE, 'a1': 0.0::DOUBLE, 'a2': 0.0::DOUBLE, 'a3': 0.0::DOUBLE})),
+    lambda a, p: CASE WHEN p.star OR (a.used < max_points AND a.used + p.points <= max_points) THEN
+      {'points': 0.0::DOUBLE, 'star': false, 'afb': '', 'used': a.used + p.points, 'a1': a.a1 + CASE WHEN p.afb = 'AFB1' THEN p.points ELSE 0 END,
+       'a2': a.a2 + CASE WHEN p.afb = 'AFB2' THEN p.points ELSE 0 END, 'a3': a.a3 + CASE WHEN p.afb = 'AFB3' THEN p.points ELSE 0 END} ELSE a END) END AS f, b1, b2, b3
+  FROM t),
+h AS (SELECT id, coalesce(f.a1, b1) AS h1, coalesce(f.a2, b2) AS h2, coalesce(f.a3, b3) AS h3 FROM g)
+"""
+)
+
+
+@query(GREEDY + _SHARES.format("h", "h"))
+def afb_star_total(spark, sf_dir):
+    return scoring.distribution(scoring.total_afb(tasks(spark, sf_dir), "optimized"))
+
+
+@query(GREEDY + "SELECT id, h1 AS afb1, h2 AS afb2, h3 AS afb3, h1 + h2 + h3 AS total FROM h")
+def afb_star_greedy(spark, sf_dir):
+    row = scoring.star_greedy(F.col("sub_tasks"), F.col("points_by_afb"), F.col("max_points"))
+    return tasks(spark, sf_dir).select("id", row.alias("r")).select("id", "r.*", scoring.afb_sum(F.col("r")).alias("total"))
+
+
+@query(TASKS + "SELECT id, b1 AS afb1, b2 AS afb2, b3 AS afb3, CASE WHEN b1 + b2 + b3 > 0 THEN concat_ws(', ', CASE WHEN b1 > 0 THEN 'AFB 1' END, CASE WHEN b2 > 0 THEN 'AFB 2' END, CASE WHEN b3 > 0 THEN 'AFB 3' END) ELSE '–' END AS shown FROM t")
+def points_by_afb(spark, sf_dir):
+    m = F.col("points_by_afb")
+    return tasks(spark, sf_dir).select("id", *[F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0.0)).alias(k.lower()) for k in ("AFB1", "AFB2", "AFB3")], points.afb_display(m, F.lit("")).alias("shown"))
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE"]
+
+
+@query(
+    TASKS
+    + """
+, d(ord, competence) AS (VALUES (0, '1-URGENT'), (1, '2-HIGH'), (2, '3-MEDIUM'), (3, '4-NOT SPECIFIED'), (4, '5-LOW'), (5, '6-NONE')),
+c AS (SELECT d.ord, d.competence, count(t.id) AS n_tasks, coalesce(sum(max_points), 0)::DOUBLE AS points FROM d LEFT JOIN t USING (competence) GROUP BY ALL)
+SELECT ord, competence, n_tasks, points, CAST(floor(points / (SELECT sum(points) FROM c) * 100 + 0.5) AS BIGINT) AS share FROM c
+"""
+)
+def competence_distribution(spark, sf_dir):
+    return scoring.by_competence(tasks(spark, sf_dir), PRIORITIES)
+
+
+@query("SELECT o_orderpriority AS competence, c_mktsegment AS topic, count(*) AS n_tasks, min(o_orderkey) AS first_id FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def grouped_tasks(spark, sf_dir):
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    both = orders.select("o_custkey", "o_orderkey", "o_orderpriority").join(customers.select("c_custkey", "c_mktsegment"), orders["o_custkey"] == customers["c_custkey"])
+    return both.groupBy(F.col("o_orderpriority").alias("competence"), F.col("c_mktsegment").alias("topic")).agg(F.count("*").alias("n_tasks"), F.min("o_orderkey").alias("first_id"))
+
+
+# each customer's orders are a selection, newest first
+@query(
+    """
+WITH s AS (
+  SELECT o_custkey, o_orderkey AS id, o_orderpriority AS title, o_orderstatus = 'F' AS flag,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS number FROM orders)
+SELECT o_custkey, id, title, number, CAST((number - 1) // 3 AS INTEGER) AS grid_row, CAST((number - 1) % 3 AS INTEGER) AS grid_col, coalesce(CASE WHEN flag THEN true END, false) AS on_extra_sheet FROM s
+"""
+)
+def selection_order(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    own = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"))
+    order = F.struct((-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("t"), F.col("o_orderkey").alias("k"))
+    chosen = orders.select(F.col("o_orderkey").alias("id"), "o_custkey", order.alias("ord"))
+    flags = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.lit(True).alias("on_extra_sheet"))
+    rows = sink.numbered(sink.selection(own, chosen, flags), "ord", "o_custkey")
+    return rows.select("o_custkey", "id", "title", F.col("number").cast("long").alias("number"), "grid_row", "grid_col", "on_extra_sheet")
+
+
+@query(
+    """
+WITH s AS (SELECT o_custkey, o_orderpriority AS title, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) - 1 AS n FROM orders)
+SELECT o_custkey, CAST(n // 3 AS INTEGER) AS grid_row, coalesce(max(title) FILTER (n % 3 = 0), '') AS cell_0, coalesce(max(title) FILTER (n % 3 = 1), '') AS cell_1, coalesce(max(title) FILTER (n % 3 = 2), '') AS cell_2
+FROM s GROUP BY ALL
+"""
+)
+def overview_grid(spark, sf_dir):
+    return sink.overview(selection_order(spark, sf_dir), "o_custkey")
+
+
+@query(
+    TASKS
+    + f"""
+, u AS (SELECT o_custkey, sum(max_points) + 3.5 AS total FROM t GROUP BY 1), g(percent, grade_points) AS (VALUES {', '.join(map(str, GRADES))})
+SELECT o_custkey, total, percent, grade_points, CAST(ceil(total * percent / 100) AS BIGINT) AS from_points, 1.0::DOUBLE AS language, 1.0::DOUBLE AS handwriting, 1.5::DOUBLE AS math_form FROM u, g
+"""
+)
+def grade_table(spark, sf_dir):
+    form = scoring.form_points(F.lit("3,5"))
+    totals = tasks(spark, sf_dir).groupBy("o_custkey").agg((F.sum("max_points") + form).alias("total"))
+    return scoring.grade_table(totals).select("*", scoring.form_split(form).alias("f")).select("o_custkey", "total", "percent", "grade_points", "from_points", "f.*")
+
+
+# ---- mini-language: texts written from line items --------------------------------------------
+
+SPEC = """
+WITH li AS (
+  SELECT l_orderkey AS id, string_agg(replace(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || CASE WHEN l_linenumber % 2 = 0 THEN ',5' ELSE '' END, ' ', ''), ' + ' ORDER BY l_linenumber, l_quantity) AS s,
+    sum(l_quantity + CASE WHEN l_linenumber % 2 = 0 THEN 0.5 ELSE 0 END) AS total, count(*) AS n
+  FROM lineitem GROUP BY 1)
+"""
+
+
+def specs(spark, sf_dir) -> DataFrame:
+    part = F.concat(F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, ",5").otherwise(""))
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity", part.alias("s")))).alias("p"))
+    text = F.array_join(F.transform("p", lambda p: p["s"]), " + ")
+    return own.select("id", F.when(F.col("id") % 3 == 0, F.concat(text, F.lit(" (max. 17,5)"))).otherwise(text).alias("spec"))
+
+
+@query(SPEC + "SELECT id, CAST(n AS INTEGER) AS n_values, total AS sum_values, CASE WHEN id % 3 = 0 THEN 17.5 ELSE total END AS max_points FROM li")
+def points_spec_parse(spark, sf_dir):
+    spec = F.col("spec")
+    total = F.aggregate(points.point_values(spec), F.lit(0.0), lambda a, x: a + x)
+    return specs(spark, sf_dir).select("id", F.size(points.point_values(spec)).alias("n_values"), total.alias("sum_values"), points.max_points(spec).alias("max_points"))
+
+
+LABELS = ["AFB I", "AFB 2, afb 1", "AFB III, AFB I", "AFB 12", "ohne", "Afb II", "AFB  3 und AFB II", "a: AFB 1, b) AFB III"]
+LABELS_FOUND = ["AFB1", "AFB1,AFB2", "AFB1,AFB3", "AFB1", "", "AFB2", "AFB2,AFB3", "AFB1,AFB3"]
+
+
+def _label_text() -> F.Column:
+    return F.get(F.array(*map(F.lit, LABELS)), (F.col("o_orderkey") % len(LABELS)).cast("int"))
+
+
+@query(f"SELECT o_orderkey, ({LABELS_FOUND})[o_orderkey % {len(LABELS)} + 1] AS levels FROM orders")
+def afb_label_parse(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(points.afb_labels(_label_text()), ",").alias("levels"))
+
+
+QUESTION, AFB_RAW, POINTS_RAW = "a) Rechne\n* b) Zeige\n*c) Prüfe\nd) Nenne", "a: AFB 1, b: AFB 3, c AFB II", "1+1+2+2 (max. 4)"
+
+
+@query(
+    """
+WITH p(pos, label, is_star, afb, points) AS (VALUES (0, 'a)', false, 'AFB1', 1.0::DOUBLE), (1, '*b)', true, 'AFB3', 1.0::DOUBLE), (2, '*c)', true, 'AFB2', 2.0::DOUBLE), (3, 'd)', false, 'AFB1', 2.0::DOUBLE))
+SELECT o_orderkey, pos, label, is_star, CASE WHEN o_orderkey % 2 = 0 THEN afb ELSE 'AFB2' END AS afb, points FROM orders, p
+"""
+)
+def subtask_parse(spark, sf_dir):
+    raw = F.when(F.col("o_orderkey") % 2 == 0, F.lit(AFB_RAW)).otherwise(F.lit("AFB 2"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(points.sub_tasks(F.lit(QUESTION), raw, F.lit(POINTS_RAW))).alias("pos", "s"))
+    return rows.select("o_orderkey", "pos", "s.*")
+
+
+def worksheets(spark, sf_dir) -> DataFrame:
+    """A worksheet an order: a task for each line item, with points marks on every other one."""
+    verbs = F.array(*map(F.lit, ["Berechne 3 + 4", "Begründe deine Wahl", "Zeichne den Graph", "Löse die Gleichung x = 2", "Nenne die Namen"]))
+    pick = F.get(verbs, F.col("l_linenumber") % 5)
+    mark = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("("), F.col("l_quantity").cast("int").cast("string"), F.lit(" P.) "))).otherwise("")
+    line = F.concat(F.col("n").cast("string"), F.lit(". "), mark, pick, F.lit(".\na) Erkläre den Term\nb) 3 + 4"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("p"))
+    rows = rows.select("l_orderkey", F.posexplode("p").alias("n", "q")).select("l_orderkey", (F.col("n") + 1).alias("n"), "q.*")
+    own = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))).alias("p"))
+    return own.select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("Kopf Klasse 8\n"), F.array_join(F.transform("p", lambda p: p["line"]), "\n")).alias("text"))
+
+
+@query(
+    """
+WITH r AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS segment, l_linenumber AS k, CAST(l_quantity AS INTEGER) AS q FROM lineitem)
+SELECT doc, CAST(segment AS INTEGER) AS segment, CASE WHEN k % 2 = 0 THEN CAST(q AS VARCHAR) ELSE '3+1' END AS points_raw, CASE WHEN k % 2 = 0 THEN q ELSE 4 END::DOUBLE AS max_points,
+  CASE WHEN k % 2 = 0 THEN 'document' ELSE 'heuristic' END AS points_source, '8' AS class_level,
+  CASE WHEN k % 5 = 1 THEN 'Argumentieren' WHEN k % 5 = 2 THEN 'Darstellungen' ELSE 'Kommunizieren' END AS competence,
+  CASE WHEN k % 5 = 1 THEN 'AFB 3' ELSE 'AFB 1' END AS afb_raw,
+  CAST(greatest(2, floor(CASE WHEN k % 2 = 0 THEN q * 1.8 ELSE 7.2 END + 1 + 0.5)) AS BIGINT) AS estimated_time
+FROM r
+"""
+)
+def worksheet_drafts(spark, sf_dir):
+    sheets = worksheets(spark, sf_dir)
+    chunks = segment.task_chunks(sheets, "doc", "text")
+    return segment.drafts(chunks, F.lit("Blatt Klasse 8")).select("doc", "segment", "points_raw", "max_points", "points_source", "class_level", "competence", "afb_raw", "estimated_time")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS shown, 'am ' || strftime(o_orderdate, '%Y-%m-%d') AS kept FROM orders")
+def date_format_de(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select("o_orderkey", scoring.date_german(day).alias("shown"), scoring.date_german(F.concat(F.lit("am "), day)).alias("kept"))
+
+
+# ---- text ---------------------------------------------------------------------------------------
+
+_CANON = r"""
+c AS (
+  SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')),
+    '[−–—]', '-', 'g'), '[·⋅×]', '*', 'g'), '÷', '/', 'g'), '\\cdot|\\times', '*', 'g'), '\\div', '/', 'g'), '\\left|\\right', '', 'g'), '\s+', ' ', 'g')) AS c
+  FROM documents)
+"""
+
+
+def _sql_rewrites(inner: str) -> str:
+    for pattern, to in similarity.REWRITES:
+        inner = f"regexp_replace({inner}, '{pattern}', '{to}', 'g')"
+    return rf"trim(regexp_replace({inner}, '\s+', ' ', 'g'))"
+
+
+_SEM = _CANON + f", s AS (SELECT doc_id, c, {_sql_rewrites('c')} AS s FROM c)"
+
+
+def _canon(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", similarity.canonical(F.col("text")).alias("c"))
+
+
+@query(f"WITH {_CANON} SELECT doc_id, length(c) AS n, md5(c) AS digest FROM c")
+def canonical_text(spark, sf_dir):
+    return _canon(spark, sf_dir).select("doc_id", F.length("c").cast("long").alias("n"), F.md5("c").alias("digest"))
+
+
+@query(rf"WITH {_SEM} SELECT doc_id, md5(s) AS semantic, md5(trim(regexp_replace(regexp_replace(s, '\d+(?:[.,]\d+)?', '#', 'g'), '\s+', ' ', 'g'))) AS structure FROM s")
+def semantic_text(spark, sf_dir):
+    rows = _canon(spark, sf_dir).select("doc_id", similarity.semantic(F.col("c")).alias("s"))
+    return rows.select("doc_id", F.md5("s").alias("semantic"), F.md5(similarity.structural(F.col("s"))).alias("structure"))
+
+
+def _sql_stem(w: str) -> str:
+    for size, suffix in similarity.SUFFIXES:
+        w = f"list_transform({w}, lambda w: CASE WHEN length(w) > {size} THEN regexp_replace(w, '{suffix}', '') ELSE w END)"
+    return w
+
+
+def _sql_words(chars: str, clean: str, least: int) -> str:
+    split = rf"string_split_regex(regexp_replace({clean}, '{chars}', ' ', 'g'), '\s+')"
+    stop = ", ".join(f"'{w}'" for w in similarity.STOPWORDS)
+    return f"list_filter({_sql_stem(split)}, lambda w: length(w) >= {least} AND NOT list_contains([{stop}], w))"
+
+
+_PROSE = _sql_words("[^a-zäöüßA-ZÄÖÜ_]+", r"regexp_replace(regexp_replace(regexp_replace(s, '\\[a-z]+', ' ', 'g'), '[0-9]+(?:[.,][0-9]+)?', ' ', 'g'), '[=+*/:^_<>-]', ' ', 'g')", 3)
+_SEMTOK = _sql_words("[^a-zäöüßA-ZÄÖÜ0-9_]+", "s", 2)
+
+
+@query(
+    rf"""WITH {_SEM} SELECT doc_id, len({_PROSE}) AS n_prose, md5(array_to_string({_PROSE}, ' ')) AS prose, len({_SEMTOK}) AS n_semantic, md5(array_to_string({_SEMTOK}, ' ')) AS semantic,
+  md5(array_to_string(list_filter(string_split_regex(regexp_replace(c, '[^a-zäöüßA-ZÄÖÜ0-9.,=+*/:^_<>-]+', ' ', 'g'), '\s+'), lambda w: w <> ''), ' ')) AS literal FROM s"""
+)
+def text_tokens(spark, sf_dir):
+    rows = _canon(spark, sf_dir).select("doc_id", "c", similarity.semantic(F.col("c")).alias("s"))
+    rows = rows.select("doc_id", similarity.prose_tokens(F.col("s")).alias("p"), similarity.semantic_tokens(F.col("s")).alias("m"), similarity.literal_tokens(F.col("c")).alias("l"))
+    digest = lambda c: F.md5(F.array_join(c, " "))
+    return rows.select("doc_id", F.size("p").cast("long").alias("n_prose"), digest("p").alias("prose"), F.size("m").cast("long").alias("n_semantic"), digest("m").alias("semantic"), digest("l").alias("literal"))
+
+
+@query(
+    rf"""WITH {_CANON}, m AS (SELECT doc_id, list_transform(regexp_extract_all(c, '(?i)(?:[-+]?\d+(?:[.,]\d+)?)|(?:\b[a-z]\b)|(?:frac|sqrt|mathbb_[a-z])|(?:<=|>=|!=|=|\+|-|\*|/|\^|<|>)'), lambda x: replace(x, ',', '.')) AS m FROM c)
+SELECT doc_id, len(m) AS n_math, md5(array_to_string(m, ' ')) AS math FROM m"""
+)
+def math_tokens(spark, sf_dir):
+    rows = _canon(spark, sf_dir).select("doc_id", similarity.math_tokens(F.col("c")).alias("m"))
+    return rows.select("doc_id", F.size("m").cast("long").alias("n_math"), F.md5(F.array_join("m", " ")).alias("math"))
+
+
+@query()  # look-behind is beyond the SQL engine's patterns
+def number_tokens(spark, sf_dir):
+    rows = _canon(spark, sf_dir).select("doc_id", similarity.number_tokens(F.col("c")).alias("m"))
+    return rows.select("doc_id", F.size("m").cast("long").alias("n_numbers"), F.md5(F.array_join("m", " ")).alias("numbers"))
+
+
+_BENCH = _CANON.replace("documents", "benchmark").replace("doc_id", "item_id")
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    """Benchmark items with a common first word, each pair once."""
+    rows = similarity.features(table(spark, sf_dir, "benchmark"), "text").withColumn("word", F.split("f.canon", " ")[0]).select("item_id", "word", "f")
+    b = rows.select(F.col("item_id").alias("other_id"), "word", F.col("f").alias("g"))
+    return rows.join(b, "word").where("item_id < other_id")
+
+
+@query(
+    f"""
+WITH {_BENCH}, w AS (SELECT item_id, string_split(c, ' ')[1] AS word, '  ' || c || '  ' AS p FROM c),
+g AS (SELECT item_id, word, p[i:i + 2] AS g, count(*) AS n FROM (SELECT item_id, word, p, unnest(generate_series(1, length(p) - 2)) AS i FROM w) GROUP BY ALL),
+z AS (SELECT item_id, word, sum(n) AS n FROM g GROUP BY ALL),
+x AS (SELECT a.item_id, b.item_id AS other_id, sum(least(a.n, b.n)) AS common FROM g a JOIN g b ON a.word = b.word AND a.g = b.g AND a.item_id < b.item_id GROUP BY ALL)
+SELECT a.item_id, b.item_id AS other_id, round(2 * coalesce(common, 0) / (a.n + b.n), 9) AS dice
+FROM z a JOIN z b ON a.word = b.word AND a.item_id < b.item_id LEFT JOIN x ON x.item_id = a.item_id AND x.other_id = b.item_id
+"""
+)
+def trigram_dice(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("item_id", "other_id", F.round(similarity.dice(F.col("f.chars"), F.col("g.chars")), 9).alias("dice"))
+
+
+@query(
+    rf"""
+WITH {_BENCH}, w AS (
+  SELECT item_id, string_split(c, ' ')[1] AS word, list_distinct(list_filter(string_split_regex(regexp_replace(c, '[^a-zäöüß0-9.,=+*/:^_<>-]+', ' ', 'g'), '\s+'), lambda w: w <> '')) AS l FROM c)
+SELECT a.item_id, b.item_id AS other_id, round(len(list_intersect(a.l, b.l)) / (len(a.l) + len(b.l) - len(list_intersect(a.l, b.l))), 9) AS jaccard
+FROM w a JOIN w b ON a.word = b.word AND a.item_id < b.item_id
+"""
+)
+def jaccard_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("item_id", "other_id", F.round(textual.jaccard(F.col("f.literal"), F.col("g.literal")), 9).alias("jaccard"))
+
+
+@query(f"WITH {_CANON}, d AS (SELECT md5(c) AS digest, count(*) AS n_copies, min(doc_id) AS first_id FROM c GROUP BY 1) SELECT * FROM d WHERE n_copies > 1")
+def exact_duplicates(spark, sf_dir):
+    rows = _canon(spark, sf_dir).select("doc_id", F.md5("c").alias("digest"))
+    return rows.groupBy("digest").agg(F.count("*").alias("n_copies"), F.min("doc_id").alias("first_id")).where("n_copies > 1")
+
+
+def _drafts_and_pool(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    langs = F.array(*map(F.lit, ["de", "en", "es", "fr"]))
+    bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    level = F.get(langs, (F.col("item_id") % 4).cast("int"))
+    topics = F.array(*[F.lit(f"src{i}") for i in range(20)])
+    first = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ", 2)[0]
+    drafts = bench.select(F.col("item_id").alias("draft_id"), first.alias("title"), F.col("text").alias("question_text"), level.alias("class_level"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("topic"), F.lit(True).alias("include"))
+    drafts = drafts.withColumn("topics", similarity.topic_order(F.col("topic"), topics))
+    pool = docs.select(F.col("doc_id").alias("task_id"), first.alias("title"), F.col("text").alias("question_text"), F.col("lang").alias("class_level"), F.col("source").alias("topic"), F.col("doc_id").alias("scan_ord"))
+    # variants of the items, without their last words, are tasks as well
+    variants = drafts.select((-F.col("draft_id") - 1).alias("task_id"), "title", F.regexp_replace("question_text", r"(\s+\S+){3}$", "").alias("question_text"), "class_level", "topic", (-F.col("draft_id") - 1).alias("scan_ord"))
+    return drafts, pool.unionByName(variants)
+
+
+@query()  # a stop that depends on running scores; tests hold it against a plain loop
+def duplicate_top5(spark, sf_dir):
+    drafts, pool = _drafts_and_pool(spark, sf_dir)
+    top = similarity.top_duplicates(similarity.candidates(drafts, pool))
+    return top.select("draft_id", "rank", "task_id", F.round("score", 9).alias("score"))
+
+
+# ---- classification -----------------------------------------------------------------------------
+
+WORDS = {"t1": ["the", "tion", "ing"], "t2": ["der", "ein", "ung"], "t3": ["que", "ción", "los"], "t4": ["les", "eau", "ment"]}
+_HITS = {t: " + ".join(f"contains(lower(coalesce(text, '')), '{w}')::INT" for w in ws) for t, ws in WORDS.items()}
+
+
+@query(
+    "WITH h AS (SELECT doc_id, " + ", ".join(f"{e} AS {t}" for t, e in _HITS.items()) + " FROM documents) "
+    "SELECT doc_id, ['t1', 't2', 't3', 't4'][list_position([t1, t2, t3, t4], greatest(t1, t2, t3, t4))] AS topic, greatest(t1, t2, t3, t4) AS score, t1 + t2 + t3 + t4 AS hits FROM h"
+)
+def topic_guess(spark, sf_dir):
+    s = classify.topic_scores(F.col("text"), list(WORDS), WORDS)
+    rows = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
+    return rows.select("doc_id", F.col("s")[0]["topic"].alias("topic"), F.col("s")[0]["score"].alias("score"), F.aggregate("s", F.lit(0), lambda a, r: a + r["score"]).alias("hits"))
+
+
+_RULES = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, p in classify.COMPETENCE_RULES) + " ELSE 'Mathematik' END"
+_LEVELS = "CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, p in classify.AFB_RULES) + " ELSE 'AFB 1' END"
+
+
+@query(
+    f"""WITH x AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS x FROM conversations)
+SELECT conv_id, turn, {_RULES} AS competence, {_LEVELS} AS afb, coalesce(nullif(regexp_extract(x, '(?:klasse|jahrgang(?:sstufe)?|kl\\.)\\s*[:.]?\\s*(7|8|9|10)\\b', 1), ''), '7') AS class_level FROM x"""
+)
+def draft_guesses(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", classify.guess_competence(t).alias("competence"), classify.guess_afb(t).alias("afb"), classify.guess_class(t).alias("class_level"))
+
+
+# ---- documents ------------------------------------------------------------------------------------
+
+_ENT = "replace(replace(replace(replace(replace(replace({0}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', '''')"
+_SIMPLE = r"regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?\s*>', chr(10), 'g'), '(?i)</(p|div|li|h[1-6]|tr)>', chr(10), 'g'), '<[^>]+>', '', 'g'), chr(13), ''), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+_STRIP = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?\s*>', chr(10), 'g'), '(?i)</p>', chr(10), 'g'), '<[^>]+>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+
+
+def _sql_trim(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, md5({_ENT.format(_sql_trim(_SIMPLE))}) AS simplified, md5({_ENT.format(_sql_trim(_STRIP))}) AS stripped FROM pages")
+def html_text(spark, sf_dir):
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(documents.simplify_html(html)).alias("simplified"), F.md5(documents.strip_html(html)).alias("stripped"))
+
+
+@query("SELECT page_id, '<b> & \"A\" ''ö'' é' AS decoded FROM pages")
+def entity_decode(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", documents.decode_entities(F.lit("&lt;b&gt; &amp; &quot;A&quot; &#39;ö&#39; &#xE9;")).alias("decoded"))
+
+
+@query("SELECT p_partkey, p_name AS title, p_type AS expectation, CAST(p_size AS VARCHAR) AS points_raw FROM part")
+def expectation_rows(spark, sf_dir):
+    html = F.concat(F.lit("<p>x</p><table><tr><td>a</td></tr></table><TABLE border=1><tr><th>Titel</th><th>Erwartung</th><th>Punkte</th></tr><tr><td>"), "p_name", F.lit("</td><td><p>"), "p_type", F.lit("</p></td><td>"), F.col("p_size").cast("string"), F.lit("</td></tr><tr><td></td><td>x</td></tr></TABLE>"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(documents.expectation_rows(html)).alias("r")).select("p_partkey", "r.*")
+
+
+_TURNS = "row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS line_no"
+
+
+@query("SELECT conv_id AS doc, turn AS line_no, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER w AS INTEGER) AS segment FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn) QUALIFY segment > 0")
+def line_segments(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("line_no"), "role")
+    return segment.segments(rows, F.col("role") == "user").select("doc", "line_no", "segment")
+
+
+@query("SELECT conv_id AS doc, turn AS line_no, last_value(CASE WHEN turn % 3 = 1 THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS page FROM conversations")
+def page_forward_fill(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("line_no"), F.when(F.col("turn") % 3 == 1, F.col("turn")).alias("page"))
+    return segment.forward_fill(rows, "doc", "line_no", "page")
+
+
+@query(
+    r"""
+WITH e AS (SELECT row_number() OVER (ORDER BY b, t) - 1 AS ord, other FROM (SELECT DISTINCT p_brand AS b, p_type AS t, trim(regexp_replace(lower(p_brand || ' ' || p_type), '[^a-zäöüß0-9]+', ' ', 'g')) AS other FROM part)),
+k AS (SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-zäöüß0-9]+', ' ', 'g')) AS key FROM part)
+SELECT p_partkey, min(ord) AS ord FROM k LEFT JOIN e ON other = key OR (length(key) > 3 AND (contains(other, key) OR contains(key, other))) GROUP BY 1
+"""
+)
+def first_match_join(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    kinds = part.select("p_brand", "p_type").distinct()
+    order = F.row_number().over(segment.Window.orderBy("p_brand", "p_type")) - 1  # one row a kind
+    expected = kinds.select(F.concat_ws(" ", "p_brand", "p_type").alias("title"), order.cast("long").alias("ord"))
+    return segment.first_match(part.select("p_partkey", F.col("p_type").alias("title")), expected).select("p_partkey", "ord")
+
+
+@query("SELECT doc_id, count(*) OVER (PARTITION BY source, text) AS n_uses, count(*) OVER (PARTITION BY source, text) > 1 AS is_decorative FROM documents")
+def decorative_images(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("payload"))
+    return segment.decorative(rows, "source", "payload").select("doc_id", "n_uses", "is_decorative")
+
+
+# ---- correction guard: each document with an edit that its id chooses ---------------------------------
+
+
+@query(
+    r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS a FROM documents),
+e AS (SELECT doc_id, a, CASE doc_id % 4 WHEN 0 THEN a WHEN 1 THEN a || ' 7' WHEN 2 THEN a || repeat(' x', length(a)) ELSE '' END AS b FROM d)
+SELECT doc_id, CASE WHEN a = '' OR b = '' THEN 'leerer Text' WHEN doc_id % 4 = 1 THEN 'Zahleninhalt wurde verändert; Korrektur aus Sicherheitsgründen verworfen'
+  WHEN doc_id % 4 = 2 THEN 'Textlänge unplausibel verändert (' || CAST(CAST(floor(length(b) / length(a) * 100 + 0.5) AS BIGINT) AS VARCHAR) || ' %)' ELSE '' END AS reason,
+  doc_id % 4 = 0 AND a <> '' AS ok
+FROM e
+"""
+)
+def correction_guard(spark, sf_dir):
+    a = textual.trim(textual.text("text"))
+    k = F.col("doc_id") % 4
+    edit = F.when(k == 0, a).when(k == 1, F.concat(a, F.lit(" 7"))).when(k == 2, F.concat(a, F.repeat(F.lit(" x"), F.length(a)))).otherwise("")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), edit.alias("edit"))
+    return rows.select("doc_id", guard.check_correction(F.col("text"), F.col("edit")).alias("r")).select("doc_id", "r.reason", "r.ok")
+
+
+@query(
+    """
+SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'Terme' ELSE 'Zuordnung' END AS topic, CASE WHEN event_id % 3 = 0 THEN '2+3.5' ELSE '2' END AS points_raw,
+  CASE WHEN event_id % 3 = 0 THEN 5.5 ELSE 2 END::DOUBLE AS max_points, least(1, greatest(0, round(value, 2))) AS confidence
+FROM events
+"""
+)
+def json_validate(spark, sf_dir):
+    said = F.when(F.col("event_id") % 3 == 0, "2 + 3,5").otherwise("2-3")
+    topic = F.when(F.col("event_id") % 2 == 0, "Terme").otherwise("Unbekannt")
+    json = F.to_json(F.struct(topic.alias("topic"), said.alias("pointsRaw"), F.round("value", 2).alias("confidenceTopic")))
+    drafts = table(spark, sf_dir, "events").select(
+        "event_id", F.lit("t").alias("title"), F.lit("7").alias("class_level"), F.lit("Zuordnung").alias("topic"), F.lit("Mathematik").alias("competence"), F.lit("AFB 1").alias("afb_raw"), F.lit("").alias("points_raw"),
+        F.lit("heuristic").alias("points_source"), F.lit(0.0).alias("max_points"), F.lit(3.0).alias("estimated_time"), F.lit("").alias("expectation"), json.alias("answer"),
+    )
+    return guard.refine(drafts, "answer").select("event_id", "topic", "points_raw", "max_points", F.col("confidence.topic").alias("confidence"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS found, CAST(coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 0) AS DOUBLE) AS amount FROM events")
+def alias_lookup(spark, sf_dir):
+    from ..sources import pool
+
+    raw = F.from_json("props", "map<string,string>")
+    entry = lambda k, v: F.struct(k.alias("key"), F.struct(F.array(F.struct(v.alias("plain_text"))).alias("rich_text")).alias("value"))
+    props = F.map_from_entries(F.transform(F.map_entries(raw), lambda e: entry(F.upper(e["key"]), e["value"])))
+    typed = F.from_json(F.to_json(props), f"map<string,{pool.PROPERTY}>")
+    rows = table(spark, sf_dir, "events").select("event_id", pool.by_names(typed, ["Menge", "k"]).alias("p"))
+    return rows.select("event_id", F.nullif(pool.plain_text(F.col("p")), F.lit("")).alias("found"), pool.number_value(F.col("p")).alias("amount"))
+
+
+# ---- pool: regions are classes, nations are topics, segments are competences ----------------------------
+
+
+def _catalogue(spark, sf_dir) -> DataFrame:
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    both = n.join(r, n["n_regionkey"] == r["r_regionkey"])
+    return both.select(F.col("r_name").alias("class_level"), F.col("n_name").alias("topic"), F.col("n_nationkey").alias("ord"))
+
+
+@query("SELECT r_name AS class_level, array_to_string(list(n_name ORDER BY n_nationkey), ',') AS topics FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def pool_meta(spark, sf_dir):
+    from ..sources import pool
+
+    return pool.pool_meta(_catalogue(spark, sf_dir))[0].select("class_level", F.array_join("topics", ",").alias("topics"))
+
+
+@query("SELECT n_name AS topic, min(n_nationkey) AS ord FROM nation GROUP BY 1")
+def pool_topics(spark, sf_dir):
+    from ..sources import pool
+
+    return pool.pool_meta(_catalogue(spark, sf_dir))[1]
+
+
+@query("SELECT c_mktsegment AS competence, count(*) AS n_tasks, round(sum(c_acctbal), 2) AS points FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 2 = 0 GROUP BY 1")
+def pool_union(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_acctbal")
+    even = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select("n_nationkey")
+    own = c.join(even, F.col("c_nationkey") == F.col("n_nationkey"))
+    return own.groupBy(F.col("c_mktsegment").alias("competence")).agg(F.count("*").alias("n_tasks"), F.round(F.sum("c_acctbal"), 2).alias("points"))
+
+
+@query("SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS imported, count(*) FILTER (quality = 1 AND toxic <> 0) AS failed FROM labels")
+def commit_report(spark, sf_dir):
+    partition = {"class_level": F.lit("7"), "topic": F.lit("Terme"), "competence": F.lit("Mathematik")}
+    drafts = table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("include"), F.when(F.col("toxic") == 0, "t").otherwise("").alias("title"), F.lit("q").alias("question_text")).withColumns(partition)
+    known = spark.range(1).withColumns(partition).drop("id")
+    return sink.report(sink.outcomes(drafts, known))
+
+
+@query("SELECT doc_id, CAST(i AS INTEGER) AS i, md5(substr(text, i * 1900 + 1, 1900)) AS chunk FROM (SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // 1900)) AS i FROM documents WHERE length(text) > 0)")
+def text_chunks(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(textual.chunks(F.col("text"))).alias("i", "c"))
+    return rows.select("doc_id", "i", F.md5("c").alias("chunk"))
+
+
+@query("SELECT source, count(*) AS n_files, sum(n_chars)::BIGINT AS n_bytes, count(*) > 10 OR sum(n_chars) > 4194304 AS refused, bool_or(n_chars < 400) AS sparse FROM documents GROUP BY 1")
+def upload_limits(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("n_bytes"), F.bool_or(F.col("n_chars") < files.SPARSE).alias("sparse"))
+    return own.select("source", "n_files", "n_bytes", ((F.col("n_files") > files.MOST_FILES) | (F.col("n_bytes") > files.MOST_BYTES)).alias("refused"), "sparse")

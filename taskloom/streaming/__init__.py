@@ -1,0 +1,4 @@
+"""The row-local functions and :func:`taskloom.sources.pool.read_tasks` also run on streams.
+
+Nothing in the model needs state over a stream, so there are no stateful operators.
+"""
