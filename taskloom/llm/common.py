@@ -39,7 +39,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a DataFrame from :func:`materialize`, once nothing reads it any more."""
+    delete(df.sparkSession, df.scratch)
+    _written[df.sparkSession.sparkContext.applicationId].remove(df.scratch)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -12,8 +12,11 @@ words, and that has ``half`` = min_words - (w - 1) words of the passage to its r
    neighbours.) The sort is dealt by (suffix, place), so a passage with a third of all places is
    spread over tasks; the two outer rows of each task are compared afterwards.
 2. A neighbour that shares ``min_words`` words is a repeat that starts at a kept position. Repeats
-   are then extended to the left and right: every other start in a text whose least position
-   shares ``half`` words with a neighbour is looked up by the 128-bit digest of its passage.
+   are then extended to the left and right. A start needs a look-up if its least position shares
+   ``half`` words with a neighbour and it could add a word: not if its words are known as later
+   occurrences, or are known as first ones and no earlier place shares those ``half`` words. The
+   offsets that need it are united over all places that share the ``half`` words, and the passages
+   there are sorted and compared with their neighbours in the same way.
 3. The union of all repeats in a document is given as word spans: words of later occurrences, and
    those that stand in first occurrences only. Occurrences count by document id, then text, then
    place; one that overlaps the first within the same text counts as part of it.
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 K = 5
 _BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)  # odd
@@ -129,53 +132,44 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _suffixes(keyed: DataFrame, k: int, w: int, half: int, full: int, rows: int = 512) -> DataFrame:
-    """(near, far, id, digest, pos): kept suffixes with the digests of their next words.
+    """(near, far, id, digest, pos, fore, back): kept suffixes with the digests of their next words.
 
     near: the next ``half`` words; far: the words after those up to ``full``, 0 if the text ends
-    before or the position is not the least of the run that it begins. Suffixes with fewer than ``half`` words left cannot begin a passage's right part.
+    before or the position is not the least of the run that it begins. The passages that have their
+    least position here start ``fore`` to ``back`` words before it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
-                near, far, pos, of = [], [], [], []
+                parts, of = [], []
                 for r, text in enumerate(b.column(2).to_pylist()):
                     d = Digests(text)
                     if d.n < full:
                         continue
-                    least = least_positions(d, k, w)
+                    least = least_positions(d, k, w)[: d.n - full + 1]
                     p = np.unique(least)
-                    p = p[p + half <= d.n]
-                    long = p[p + full <= d.n]
-                    f = np.zeros(len(p), np.uint64)
-                    f[: len(long)] = d.of(long + half, full - half) | np.uint64(1)
-                    f[least[np.minimum(p, len(least) - 1)] != p] = 0  # elsewhere the same passage may not be kept here
-                    near.append(d.of(p, half))
-                    far.append(f)
-                    pos.append(p)
+                    low, high = np.searchsorted(least, p, "left"), np.searchsorted(least, p, "right") - 1
+                    far = np.zeros(len(p), np.uint64)
+                    own = high == p  # elsewhere the same passage may not be kept here
+                    far[own] = d.of(p[own] + half, full - half) | np.uint64(1)
+                    parts.append((d.of(p, half).view(np.int64), far.view(np.int64), p.astype(np.int32), (p - high).astype(np.int32), (p - low).astype(np.int32)))
                     of.append(np.full(len(p), r))
-                if pos:
+                if parts:
                     rows_of = pa.array(np.concatenate(of))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(near).view(np.int64)),
-                            pa.array(np.concatenate(far).view(np.int64)),
-                            b.column(0).take(rows_of),
-                            b.column(1).take(rows_of),
-                            pa.array(np.concatenate(pos).astype(np.int32)),
-                        ],
-                        ["near", "far", "id", "digest", "pos"],
-                    )
+                    near, far, pos, fore, back = (pa.array(np.concatenate(x)) for x in zip(*parts))
+                    yield pa.RecordBatch.from_arrays([near, far, b.column(0).take(rows_of), b.column(1).take(rows_of), pos, fore, back], ["near", "far", "id", "digest", "pos", "fore", "back"])
 
-    return keyed.mapInArrow(run, f"near long, far long, {_TEXT}, pos int")
+    return keyed.mapInArrow(run, f"near long, far long, {_TEXT}, pos int, fore int, back int")
 
 
 def _neighbours(suffixes: DataFrame, partitions: int, full: int) -> DataFrame:
-    """(id, digest, pos, whole, first) of the suffixes that share ``half`` words with a neighbour.
+    """``rows`` (near, far, id, digest, pos, ...) with whole, first, front of the rows that share ``near`` with a neighbour.
 
-    whole: a neighbour shares all ``full`` words; first: no such suffix stands before, but for those
-    that overlap the first in the same text.
+    whole: a neighbour shares ``far`` too; first: no such row stands before, but for those that
+    overlap the first in the same text; front: no row that shares ``near`` stands before (false
+    where this can't be told within a batch). Rows for the same place count once.
     """
     place = ["near", "far", F.col("id").asc_nulls_last(), "digest"]
     dealt = suffixes.repartitionByRange(partitions, *place).sortWithinPartitions(*place, "pos")
@@ -191,10 +185,15 @@ def _neighbours(suffixes: DataFrame, partitions: int, full: int) -> DataFrame:
                 continue
             t = pa.Table.from_batches([b])
             t = t if last is None else pa.concat_tables([last, t]).combine_chunks()
-            n = t.num_rows
             near, far, digest, pos = (t.column(c).to_numpy() for c in ("near", "far", "digest", "pos"))
             gone = t.column("id").is_null().to_numpy()
             ids = t.column("id").fill_null(0).to_numpy()
+            again = np.zeros(len(near), bool)
+            again[1:] = np.all([x[1:] == x[:-1] for x in (near, far, gone, ids, digest, pos)], axis=0)
+            if again.any():
+                t = t.filter(pa.array(~again)).combine_chunks()
+                near, far, digest, pos, gone, ids = (x[~again] for x in (near, far, digest, pos, gone, ids))
+            n = t.num_rows
             half, whole = np.zeros(n, bool), np.zeros(n, bool)
             half[1:] = near[1:] == near[:-1]
             whole[1:] = half[1:] & (far[1:] == far[:-1]) & (far[1:] != 0)
@@ -208,21 +207,28 @@ def _neighbours(suffixes: DataFrame, partitions: int, full: int) -> DataFrame:
             first = np.where(group < 0, opening, False) if last is not None else group == 0
             edge = np.where(first & own, 1, 0).astype(np.int32)  # may have a predecessor in the task before
             after_half, after_whole = np.append(half[1:], False), np.append(whole[1:], False)
-            yield _judged(t, n - 1, half | after_half, whole | after_whole, own, edge)
+            family = np.cumsum(~np.append(False, near[1:] == near[:-1]))
+            order = np.lexsort((pos, digest, ids, gone, family))
+            front = np.zeros(n, bool)
+            front[order[np.diff(family[order], prepend=0) > 0]] = True
+            front[(family == family[0]) | (family == family[-1])] = False
+            yield _judged(t, n - 1, half | after_half, whole | after_whole, own, front, edge)
             opening = bool(first[-1])
             began = tuple(x[-1] for x in places)
             last, held, tail = t.slice(n - 1), (half[-1], whole[-1]), (own[-1], edge[-1])
         if last is not None:
             h, w = (np.array([x]) for x in held)
-            yield _judged(last, 1, h, w, np.array([tail[0]]), np.array([tail[1] | 2], np.int32))
+            yield _judged(last, 1, h, w, np.array([tail[0]]), np.zeros(1, bool), np.array([tail[1] | 2], np.int32))
 
-    def _judged(t, rows, half, whole, own, edge) -> pa.RecordBatch:
+    def _judged(t, rows, half, whole, own, front, edge) -> pa.RecordBatch:
         keep = np.nonzero((half | (edge > 0))[:rows])[0]
         t = t.take(pa.array(keep)).combine_chunks()
-        arrays = [t.column(c).chunk(0) if t.num_rows else pa.array([], t.schema.field(c).type) for c in ("near", "far", "id", "digest", "pos", "part")]
-        return pa.RecordBatch.from_arrays(arrays + [pa.array(x[keep]) for x in (half, whole, own, edge)], ["near", "far", "id", "digest", "pos", "part", "half", "whole", "first", "edge"])
+        arrays = [t.column(c).chunk(0) if t.num_rows else pa.array([], t.schema.field(c).type) for c in (*names, "part")]
+        return pa.RecordBatch.from_arrays(arrays + [pa.array(x[keep]) for x in (half, whole, own, front, edge)], [*names, "part", "half", "whole", "first", "front", "edge"])
 
-    schema = f"near long, far long, {_TEXT}, pos int, part int, half boolean, whole boolean, first boolean, edge int"
+    names = suffixes.columns
+    types = ", ".join(f"{n} {t}" for n, t in suffixes.dtypes)
+    schema = f"{types}, part int, half boolean, whole boolean, first boolean, front boolean, edge int"
     out = materialize(dealt.mapInArrow(run, schema), "neighbours")
     # a task's last row, and its first group as far as it overlaps the first row's place: a few rows a task
     edges = [r.asDict() for r in out.where("edge > 0").collect()]
@@ -239,7 +245,7 @@ def _neighbours(suffixes: DataFrame, partitions: int, full: int) -> DataFrame:
                 elif r["pos"] == min(x["pos"] for x in heads):
                     a["half"] = r["half"] = True
     mended = out.sparkSession.createDataFrame([tuple(r.values()) for r in edges], schema)
-    return out.where("edge = 0").unionByName(mended).where("half").select("id", "digest", "pos", "whole", "first")
+    return out.where("edge = 0").unionByName(mended).where("half").drop("part", "half", "edge")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, k: int = K) -> DataFrame:
@@ -260,70 +266,74 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         return spark.createDataFrame([], f"{_TEXT}, start int, end int, first boolean")
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     near = _neighbours(suffixes, partitions, min_words)
-    at = near.groupBy("id", "digest").agg(F.collect_set(F.struct("pos", "whole", "first")).alias("at"))
-    at = materialize(at, "kept")
-    both = keyed.alias("a").join(at.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.digest") == F.col("b.digest")))
-    both = both.select("a.id", "a.digest", "text", F.sort_array("at").alias("at"))
-    extended = materialize(_extended(both, k, w, half, min_words), "extended")
-    spans = extended.where("h1 is null").select("id", "digest", "start", "end", "first")
-    fine = extended.where("h1 is not null").select("id", "digest", "start", "h1", "h2").distinct()
-    rank = F.struct(F.col("id").isNull().alias("no"), "id", "digest", "start")
-    own = F.col("id").eqNullSafe(F.col("m.id")) & (F.col("digest") == F.col("m.digest")) & (F.col("start") < F.col("m.start") + min_words)
-    twice = fine.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(rank).alias("m")).where("c > 1").select("h1", "h2", "m")
-    fine = fine.join(materialize(twice, "twice"), ["h1", "h2"]).select("id", "digest", "start", (F.col("start") + min_words).alias("end"), own.alias("first"))
+    at = near.groupBy("id", "digest").agg(F.collect_list(F.struct("near", "pos", "fore", "back", "whole", "first", "front")).alias("at"))
+    runs = materialize(_runs(at, min_words), "runs")
+    discard(suffixes)
+    spans = runs.where("near is null").select("id", "digest", F.col("pos").alias("start"), "end", "first")
+    needed = runs.where("need <> 0").groupBy("near").agg(F.bit_or("need").alias("need"))
+    tested = runs.where("near is not null").select("near", "id", "digest", "pos", "reach").join(materialize(needed, "needed"), "near")
+    tested = tested.select("id", "digest", F.struct("pos", F.col("need").bitwiseAND(F.col("reach")).alias("bits")).alias("t")).where("t.bits <> 0")
+    tested = materialize(tested.groupBy("id", "digest").agg(F.collect_set("t").alias("tests")), "tested")
+    both = keyed.alias("a").join(tested.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.digest") == F.col("b.digest")))
+    passages = materialize(_passages(both.select("a.id", "a.digest", "text", "tests"), min_words), "passages")
+    fine = _neighbours(passages, partitions, min_words).where("whole")
+    fine = fine.select("id", "digest", F.col("pos").alias("start"), (F.col("pos") + min_words).alias("end"), "first")
     return _joined(materialize(spans.unionByName(fine), "spans"))
 
 
-def _extended(both: DataFrame, k: int, w: int, half: int, full: int, rows: int = 256) -> DataFrame:
-    """Repeats that start at kept positions, as spans, and the windows around runs to look up."""
+def _runs(at: DataFrame, full: int) -> DataFrame:
+    """Spans of repeats that start at kept positions, and of each kept position the offsets that need a look-up.
+
+    Spans: (id, digest, pos, end, first). Positions: (id, digest, pos, near, need, reach) with bits
+    for the offsets of starts before the position: needed here, and belonging to the position.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for r, marks in enumerate(b.column(2).to_pylist()):
+                spans = {kind: merged([(m["pos"], m["pos"] + full) for m in marks if m["whole"] and m["first"] == kind]) for kind in (True, False)}
+                rows += [(r, s, e, kind, None, None, None) for kind, found in spans.items() for s, e in found]
+                size = max(m["pos"] for m in marks) + 1
+                later, known = np.zeros(size, bool), np.zeros(size, bool)
+                for s, e in spans[False]:
+                    later[s : e - full + 1] = True
+                for s, e in merged(spans[True] + spans[False]):
+                    known[s : e - full + 1] = True
+                for m in marks:
+                    p, fore, back = m["pos"], m["fore"], m["back"]
+                    covered = (known if m["front"] else later)[p - back : p - fore + 1]
+                    reach = (1 << back + 1) - (1 << fore)
+                    need = 0 if covered.all() else sum(1 << back - i for i in np.nonzero(~covered)[0].tolist())
+                    rows.append((r, p, None, None, m["near"], need, reach))
+            of, pos, end, first, near, need, reach = zip(*rows)
+            of = pa.array(of)
+            longs = [pa.array(x, pa.int64()) for x in (near, need, reach)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(pos, pa.int32()), pa.array(end, pa.int32()), pa.array(first, pa.bool_()), *longs], ["id", "digest", "pos", "end", "first", "near", "need", "reach"])
+
+    return at.mapInArrow(run, f"{_TEXT}, pos int, end int, first boolean, near long, need long, reach long")
+
+
+def _passages(both: DataFrame, full: int, rows: int = 256) -> DataFrame:
+    """(near, far, id, digest, pos): digests of the passages to look up, where they start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 b = whole.slice(at, rows)
-                of, start, end, first, h1, h2, none = [], [], [], [], [], [], []
-                for r, (text, marks) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                near, far, pos, of = [], [], [], []
+                for r, (text, tests) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                     d = Digests(text)
-                    by_kind = {kind: merged([(m["pos"], m["pos"] + full) for m in marks if m["whole"] and m["first"] == kind]) for kind in (True, False)}
-                    starts = least_positions(d, k, w)[: d.n - full + 1]
-                    test = np.isin(starts, [m["pos"] for m in marks])
-                    for s, e in by_kind[False]:
-                        test[s : e - full + 1] = False
-                    tested = np.nonzero(test)[0]
-                    for kind, spans in by_kind.items():
-                        for s, e in spans:
-                            of.append(np.array([r]))
-                            start.append(np.array([s]))
-                            end.append(np.array([e]))
-                            first.append(np.array([kind]))
-                            h1.append(np.zeros(1, np.uint64))
-                            h2.append(np.zeros(1, np.uint64))
-                            none.append(np.array([True]))
-                    if len(tested):
-                        s = tested
-                        of.append(np.full(len(s), r))
-                        start.append(s)
-                        end.append(s + full)
-                        first.append(np.zeros(len(s), bool))
-                        h1.append(d.of(s, full, 0))
-                        h2.append(d.of(s, full, 1))
-                        none.append(np.zeros(len(s), bool))
-                if of:
-                    rows_of, gone = pa.array(np.concatenate(of)), np.concatenate(none)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            b.column(0).take(rows_of),
-                            b.column(1).take(rows_of),
-                            pa.array(np.concatenate(start).astype(np.int32)),
-                            pa.array(np.concatenate(end).astype(np.int32)),
-                            pa.array(np.concatenate(first)),
-                            pa.array(np.concatenate(h1).view(np.int64), mask=gone),
-                            pa.array(np.concatenate(h2).view(np.int64), mask=gone),
-                        ],
-                        ["id", "digest", "start", "end", "first", "h1", "h2"],
-                    )
-
-    return both.mapInArrow(run, f"{_TEXT}, start int, end int, first boolean, h1 long, h2 long")
+                    s = np.array(sorted(t["pos"] - i for t in tests for i in range(t["bits"].bit_length()) if t["bits"] >> i & 1))
+                    near.append(d.of(s, full, 0))
+                    far.append(d.of(s, full, 1) | np.uint64(1))
+                    pos.append(s)
+                    of.append(np.full(len(s), r))
+                rows_of = pa.array(np.concatenate(of))
+                digests = [pa.array(np.concatenate(x).view(np.int64)) for x in (near, far)]
+                yield pa.RecordBatch.from_arrays([*digests, b.column(0).take(rows_of), b.column(1).take(rows_of), pa.array(np.concatenate(pos).astype(np.int32))], ["near", "far", "id", "digest", "pos"])
+
+    return both.mapInArrow(run, f"near long, far long, {_TEXT}, pos int")
 
 
 def _joined(spans: DataFrame) -> DataFrame:
