@@ -159,7 +159,7 @@ def contamination(
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated ones; all columns stay as they are."""
     bad = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated")
-    bad = materialize(bad.select(F.col("id").alias("__id"), F.col("digest").alias("__key")).distinct(), "contaminated")
+    bad = materialize(bad.select(F.col("id").alias("__id"), F.col("digest").alias("__key")).distinct(), "contaminated").hint("shuffle_hash")
     own = docs.withColumn("__digest", digest(text_col))
     return own.join(bad, own[id_col].cast("long").eqNullSafe(bad["__id"]) & (own["__digest"] == bad["__key"]), "left_anti").select(*docs.columns)
 

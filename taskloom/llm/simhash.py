@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, digest, fp) for every row; digest: xxhash64 of the text; null and empty texts get fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (w.slice(at, 256) for w in batches for at in range(0, w.num_rows, 256)):
             fp = [fingerprint(t, shingle) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["id", "digest", "fp"])
 
@@ -207,7 +207,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.withColumn("__digest", F.xxhash64(text_col))
 
     def named(keys: DataFrame, kind: str) -> DataFrame:
-        keys = keys.select(F.col("id").alias("__id"), F.col("digest").alias("__key"))
+        keys = keys.select(F.col("id").alias("__id"), F.col("digest").alias("__key")).hint("shuffle_hash")  # texts need no sort
         return own.join(keys, own[id_col].cast("long").eqNullSafe(keys["__id"]) & (own["__digest"] == keys["__key"]), kind)
 
     own = named(lost, "left_anti")

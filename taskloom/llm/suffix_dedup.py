@@ -384,7 +384,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = repeats(docs, id_col, text_col, min_words).where("not first")
     cuts = found.groupBy("id", "digest").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-    cuts = materialize(cuts, "cuts").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("cuts").alias("__cuts"))
+    cuts = materialize(cuts, "cuts").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("cuts").alias("__cuts")).hint("shuffle_hash")
     both = docs.withColumn("__own", F.xxhash64(text_col))
     both = both.join(cuts, both[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
 

@@ -17,10 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled rows that are fetched to fit the model, at most.
 SAMPLE_ROWS = 8000
-CELLS = 1 << 20
+CELLS = 1 << 19
 STEMS = (4, 5, 6, 7, 8)
 NEAR = 5
 
@@ -359,15 +360,14 @@ def fit_sample(labelled: DataFrame, text_col: str, label_col: str, order: Column
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "toxicity", rows: int = 128) -> DataFrame:
     """``docs`` with a column ``out_col`` (0 to 1) from the whole text alone; null counts as empty."""
 
-    @F.pandas_udf("double")
-    def run(text):
-        import pandas as pd
+    at = docs.columns.index(text_col)
 
-        raw = [(t or "").encode("utf-8", "replace") for t in text]
-        parts = [model.scores(raw[k : k + rows]) for k in range(0, len(raw), rows)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (w.slice(k, rows) for w in batches for k in range(0, w.num_rows, rows)):
+            raw = [(t or "").encode("utf-8", "replace") for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(raw))], [*b.schema.names, out_col])
 
-    return docs.withColumn(out_col, run(F.col(text_col)))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int, folds: int = 5, held: int = 0) -> DataFrame:
