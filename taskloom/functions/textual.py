@@ -6,8 +6,10 @@ ASCII and whose rounding goes up at .5; Java's differ, so those are spelled out
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Inside of a character class: Unicode white space.
 SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
@@ -75,8 +77,8 @@ def lines(c: Column) -> Column:
     return F.split(F.replace(c, F.lit("\r"), F.lit("")), "\n", -1)
 
 
-@F.pandas_udf("string")
-def _nfkc(c):
+@F.pandas_udf(T.StringType())
+def _nfkc(c: pd.Series) -> pd.Series:
     import unicodedata
 
     return c.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

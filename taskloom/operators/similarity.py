@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.points import PART
 from ..functions.textual import B, S, found, jaccard, nfkc, squeeze, sub, text
@@ -111,7 +112,7 @@ def part_count(c: Column) -> Column:
     return F.size(F.array_distinct(F.transform(found(text(c), PART, 1), F.lower)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def trigrams(c: pd.Series) -> pd.Series:
     """Character trigrams of a text with two blanks at both ends, each with its occurrence number.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.documents import page_text, repair_math
 
@@ -56,7 +57,7 @@ def docx_text(data: bytes) -> str:
     return "\n".join(p for p in paragraphs if p)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _docx(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else docx_text(bytes(b)))
 
