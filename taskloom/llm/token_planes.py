@@ -4,9 +4,10 @@ File layout (little-endian): magic ``TKPLANE1``; chunks; index; footer. A chunk
 ``block`` ids: the id block as unsigned 32-bit integers is transposed into four byte planes, and
 each plane is compressed with zstandard on its own (high planes are nearly constant and all but
 vanish). The index is one record a chunk (offset, first id's place in the file, number of ids, four
-compressed plane sizes), then the documents' lengths as a compressed block. The footer gives the
-index's offset, the number of chunks and documents, and the magic again. Any id range can be read
-from the footer, the index and the chunks that it meets.
+compressed plane sizes), then a compressed block with the documents' names (signed 64-bit), whether
+they are null (8 bits), and lengths (unsigned 64-bit). The footer gives the index's offset, the
+number of chunks and documents, the block's size, and the magic again. Any id range can be read from
+the footer, the index and the chunks that it meets.
 
 Files are written by tasks under unique names in the shared folder; only those that the committed
 manifest lists count, so a repeated or lost task leaves no half file in the data set.
@@ -50,11 +51,13 @@ class PlaneWriter:
         self._held: list[np.ndarray] = []
         self._n = self._ids = 0
         self._index: list[bytes] = []
+        self._names: list[int | None] = []
         self._sizes: list[int] = []
         self._at = len(MAGIC)
         sink.write(MAGIC)
 
-    def add(self, ids: np.ndarray) -> None:
+    def add(self, name: int | None, ids: np.ndarray) -> None:
+        self._names.append(name)
         self._sizes.append(len(ids))
         self._held.append(ids)
         self._n += len(ids)
@@ -77,9 +80,11 @@ class PlaneWriter:
     def close(self) -> int:
         if self._n:
             self._chunk(np.concatenate(self._held))
-        sizes = self._pack(np.array(self._sizes, "<u8").tobytes())
-        self._sink.write(b"".join(self._index) + sizes)
-        self._sink.write(_FOOT.pack(self._at, len(self._index), len(self._sizes), len(sizes), MAGIC))
+        names = np.array([n or 0 for n in self._names], "<i8")
+        none = np.array([n is None for n in self._names], np.uint8)
+        block = self._pack(names.tobytes() + none.tobytes() + np.array(self._sizes, "<u8").tobytes())
+        self._sink.write(b"".join(self._index) + block)
+        self._sink.write(_FOOT.pack(self._at, len(self._index), len(self._sizes), len(block), MAGIC))
         return self._ids
 
 
@@ -97,7 +102,10 @@ class PlaneReader:
             raise ValueError("not a file of token planes")
         source.seek(at)
         self.index = [_CHUNK.unpack(source.read(_CHUNK.size)) for _ in range(chunks)]
-        self.sizes = np.frombuffer(self._unpack(source.read(packed)), "<u8") if docs else np.zeros(0, "<u8")
+        block = self._unpack(source.read(packed)) if docs else b""
+        none = np.frombuffer(block, np.uint8, docs, 8 * docs)
+        self.names = [None if x else n for n, x in zip(np.frombuffer(block, "<i8", docs).tolist(), none.tolist())]
+        self.sizes = np.frombuffer(block, "<u8", docs, 9 * docs)
 
     def chunk(self, k: int) -> np.ndarray:
         at, _, n, *packed = self.index[k]
@@ -207,10 +215,9 @@ def encoder(path: str) -> PieceEncoder:
 def write_planes(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, partitions: int | None = None, rows: int = 256) -> DataFrame:
     """Write every text's ids, in ascending id order, as files of planes in ``folder``; the manifest.
 
-    Manifest: (part, file, n_docs, n_ids, start) with start the number of ids in files before. Ids
-    are dealt out by ranges of (id, text), so equal ids with equal texts only share a task. Null
-    texts are empty; a null id comes first. Each document ends with ``end_id``. Document ids are
-    kept beside the files: (part, k, id) in ``folder``/ids.
+    Manifest, one row a file: (part, file, n_docs, n_ids, start) with start the number of ids in
+    files before. Documents are dealt out by ranges of (id, text). Null texts are empty; a null id
+    comes first; repeated rows stay. Each document ends with ``end_id``.
     """
     spark = docs.sparkSession
 
@@ -219,39 +226,30 @@ def write_planes(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int,
         end = np.uint32(end_id)
         fs, base = _open(folder)
         name = f"planes-{uuid.uuid4().hex}"
-        writer, k = None, 0
+        k = 0
         with fs.open_output_stream(f"{base}/{name}") as sink:
             writer = PlaneWriter(sink, block)
             for whole in batches:
                 for at in range(0, whole.num_rows, rows):
                     b = whole.slice(at, rows)
-                    for ids in encode([t or "" for t in b.column(1).to_pylist()]):
-                        writer.add(np.append(ids, end))
-                    n = b.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(k, k + n), pa.int64()), b.column(0)], ["file", "k", "id"])
-                    k += n
+                    for i, ids in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()])):
+                        writer.add(i, np.append(ids, end))
+                    k += b.num_rows
             n_ids = writer.close()
-        if k:
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([-1], pa.int64()), pa.array([n_ids], pa.int64())], ["file", "k", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([n_ids], pa.int64())], ["file", "n_docs", "n_ids"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
     dealt = kept.repartitionByRange(parts, "id", "text").sortWithinPartitions("id", "text")
-    rowsets = materialize(dealt.mapInArrow(run, "file string, k long, id long").withColumn("part", F.spark_partition_id()), "planes-ids")
-    totals = rowsets.where("k < 0").select("part", "file", F.col("id").alias("n_ids"))
-    count = rowsets.where("k >= 0").groupBy("file").agg(F.count("*").alias("n_docs"))
-    # one row a file
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    manifest = totals.join(count, "file").withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    manifest = materialize(manifest, "planes-manifest")
-    manifest.ids = rowsets.where("k >= 0").select("file", "k", "id")
-    return manifest
+    files = materialize(dealt.mapInArrow(run, "file string, n_docs long, n_ids long").withColumn("part", F.spark_partition_id()), "planes-files")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a file
+    return materialize(files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "planes-manifest")
 
 
 def read_planes(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """(file, k, start, n_tokens, ids_crc32) for every document, read from the files of ``manifest``."""
+    """(id, start, n_tokens, ids_crc32) for every document, read from the files of ``manifest``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
@@ -260,27 +258,23 @@ def read_planes(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
                 path = f"{base}/{name}"
                 with fs.open_input_file(path) as f:
                     reader = PlaneReader(f, fs.get_file_info(path).size)
-                    out: tuple[list, list, list] = ([], [], [])
-                    k = 0
-                    for ids in reader.documents():
-                        out[0].append(start)
-                        out[1].append(len(ids))
-                        out[2].append(zlib.crc32(ids.tobytes()))
+                    rows: list[tuple] = []
+                    for i, ids in zip(reader.names, reader.documents()):
+                        rows.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
                         start += len(ids)
-                        if len(out[0]) == 10_000:
-                            yield _batch(name, k, out)
-                            k, out = k + 10_000, ([], [], [])
-                    if out[0]:
-                        yield _batch(name, k, out)
+                        if len(rows) == 10_000:
+                            yield _batch(rows)
+                            rows = []
+                    if rows:
+                        yield _batch(rows)
 
-    files = manifest.select("file", "start")
-    return files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file").mapInArrow(run, "file string, k long, start long, n_tokens long, ids_crc32 long")
+    files = manifest.where("n_docs > 0").select("file", "start")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.repartition(parts, "file").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _batch(name: str, k: int, out: tuple[list, list, list]) -> pa.RecordBatch:
-    n = len(out[0])
-    columns = [pa.array([name] * n), pa.array(range(k, k + n), pa.int64()), *(pa.array(x, pa.int64()) for x in out)]
-    return pa.RecordBatch.from_arrays(columns, ["file", "k", "start", "n_tokens", "ids_crc32"])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["id", "start", "n_tokens", "ids_crc32"])
 
 
 def token_planes(docs: DataFrame, tokenizer_path: str, end_id: int = 2, **options) -> DataFrame:
@@ -288,5 +282,4 @@ def token_planes(docs: DataFrame, tokenizer_path: str, end_id: int = 2, **option
     spark = docs.sparkSession
     folder = scratch_path(spark, "planes")
     manifest = write_planes(docs, tokenizer_path, folder, end_id, **options)
-    back = read_planes(spark, folder, manifest)
-    return manifest.ids.join(back, ["file", "k"]).select("id", "start", "n_tokens", "ids_crc32")
+    return read_planes(spark, folder, manifest)
