@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import COMPETENCES, MODEL_JSON, TOPICS_BY_CLASS
 from .points import PART, max_points, safe_points
-from .textual import S, circled, found, jaccard, js_number, js_round, lines, nfkc, or_else, sub, text, trim
+from .textual import S, circled, found, jaccard, js_number, js_round, let, lines, nfkc, or_else, sub, text, trim
 
 # Words that do not count when prose is compared.
 STOP = (
@@ -42,24 +42,30 @@ def numbers(c: Column, normal: bool = True) -> Column:
 
 def check_correction(original: Column, corrected: Column, normal: bool = True) -> Column:
     """struct<ok, reason>: the first rule that a correction breaks, in order."""
-    a, b = trim(text(original)), trim(text(corrected))
     joined = lambda x, sep: F.array_join(x.cast("array<string>"), sep)
-    ta, tb, pa, pb = task_numbers(a), task_numbers(b), part_labels(a), part_labels(b)
-    prose = jaccard(prose_words(a), prose_words(b))
-    ratio = F.length(b) / F.greatest(F.lit(1), F.length(a))
-    heads = lambda c: F.size(found(c, rf"(?im)^{S}*Aufgabe{S}+\d+"))
     pct = lambda x: js_number(js_round(x * 100))
-    reason = (
-        F.when((a == "") | (b == ""), F.lit("leerer Text"))
-        .when(joined(ta, ",") != joined(tb, ","), F.concat(F.lit("Aufgabennummern wurden verändert ("), joined(ta, ","), F.lit(" → "), joined(tb, ","), F.lit(")")))
-        .when(joined(pa, "|") != joined(pb, "|"), F.concat(F.lit("Teilaufgaben wurden verändert ("), joined(pa, ","), F.lit(" → "), joined(pb, ","), F.lit(")")))
-        .when(joined(numbers(a, normal), "|") != joined(numbers(b, normal), "|"), F.lit("Zahleninhalt wurde verändert; Korrektur aus Sicherheitsgründen verworfen"))
-        .when(prose < LEAST_PROSE, F.concat(F.lit("zu große Textabweichung ("), pct(prose), F.lit(" % Prosa-Übereinstimmung)")))
-        .when((ratio < LEAST_RATIO) | (ratio > MOST_RATIO), F.concat(F.lit("Textlänge unplausibel verändert ("), pct(ratio), F.lit(" %)")))
-        .when(heads(b) > heads(a) + 1, F.lit("zusätzliche Aufgabenüberschriften erkannt"))
-        .otherwise(F.lit(""))
-    )
-    return F.struct((reason == "").alias("ok"), reason.alias("reason"))
+
+    def side(c: Column) -> Column:
+        heads = F.size(found(c, rf"(?im)^{S}*Aufgabe{S}+\d+"))
+        return F.struct(F.length(c).alias("size"), task_numbers(c).alias("tasks"), part_labels(c).alias("parts"), numbers(c, normal).alias("numbers"), prose_words(c).alias("prose"), heads.alias("heads"))
+
+    def judged(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        prose = jaccard(a["prose"], b["prose"])
+        ratio = b["size"] / F.greatest(F.lit(1), a["size"])
+        return (
+            F.when((a["size"] == 0) | (b["size"] == 0), F.lit("leerer Text"))
+            .when(joined(a["tasks"], ",") != joined(b["tasks"], ","), F.concat(F.lit("Aufgabennummern wurden verändert ("), joined(a["tasks"], ","), F.lit(" → "), joined(b["tasks"], ","), F.lit(")")))
+            .when(joined(a["parts"], "|") != joined(b["parts"], "|"), F.concat(F.lit("Teilaufgaben wurden verändert ("), joined(a["parts"], ","), F.lit(" → "), joined(b["parts"], ","), F.lit(")")))
+            .when(joined(a["numbers"], "|") != joined(b["numbers"], "|"), F.lit("Zahleninhalt wurde verändert; Korrektur aus Sicherheitsgründen verworfen"))
+            .when(prose < LEAST_PROSE, F.concat(F.lit("zu große Textabweichung ("), pct(prose), F.lit(" % Prosa-Übereinstimmung)")))
+            .when((ratio < LEAST_RATIO) | (ratio > MOST_RATIO), F.concat(F.lit("Textlänge unplausibel verändert ("), pct(ratio), F.lit(" %)")))
+            .when(b["heads"] > a["heads"] + 1, F.lit("zusätzliche Aufgabenüberschriften erkannt"))
+            .otherwise(F.lit(""))
+        )
+
+    pair = F.struct(side(trim(text(original))).alias("a"), side(trim(text(corrected))).alias("b"))
+    return let(let(pair, judged), lambda reason: F.struct((reason == "").alias("ok"), reason.alias("reason")))
 
 
 def apply_corrections(pages: DataFrame, corrections: DataFrame) -> DataFrame:

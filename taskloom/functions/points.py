@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .textual import S, SPACES, first_of, found, js_number, js_round, number, or_else, sub, text, trim
+from .textual import S, SPACES, first_of, found, js_number, js_round, let, number, or_else, sub, text, trim
 
 # Patterns of the mini-language.
 NUMBER = r"\d+(?:[.,]\d+)?"
@@ -89,14 +89,18 @@ def points_by_afb(parts: Column, afb_raw: Column, most: Column) -> Column:
 def document_points(chunk: Column) -> Column:
     """Points text found in a task: line marks ``(n P.)`` joined by +, else an inline mark, else ''."""
     flat = F.replace(text(chunk), F.lit("\r"), F.lit(""))
-    raws = F.transform(found(flat, LINE_POINTS, 2), lambda m: sub(m, S))
     each = F.coalesce(first_of(found(flat, LINE_POINTS, 1)), F.lit("")) != ""
-    first = F.coalesce(first_of(raws), F.lit(""))
     labels = F.array_distinct(F.transform(found(text(chunk), rf"(?im)^[{SPACES}\u200B]*[*]?([a-z])\){S}*", 1), F.lower))
-    repeated = F.array_join(F.transform(labels, lambda _: first), "+")
     inline = [sub(F.regexp_extract(flat, p, 1), S) for p in INLINE]
-    marked = F.when(each & ~first.contains("+") & (F.size(labels) > 1), repeated).otherwise(F.array_join(raws, "+"))
-    return F.when(F.size(raws) > 0, marked).otherwise(or_else(inline[0], inline[1]))
+
+    def chosen(marks: Column) -> Column:
+        raws = F.transform(marks, lambda m: sub(m, S))
+        first = sub(F.coalesce(first_of(marks), F.lit("")), S)
+        repeated = let(labels, lambda names: F.when(F.size(names) > 1, F.array_join(F.array_repeat(first, F.size(names)), "+")))
+        marked = F.coalesce(F.when(each & ~first.contains("+"), repeated), F.array_join(raws, "+"))
+        return F.when(F.size(marks) > 0, marked).otherwise(or_else(inline[0], inline[1]))
+
+    return let(found(flat, LINE_POINTS, 2), chosen)
 
 
 def heuristic_points(chunk: Column) -> Column:
