@@ -139,10 +139,15 @@ def fit(texts: list[str], langs: list[str], buckets: int = BUCKETS, dim: int = 1
     return model
 
 
-def fit_sample(labelled: DataFrame, text_col: str, lang_col: str, order: Column, rows: int = SAMPLE_ROWS, **options) -> LanguageModel:
-    """Fit on the first ``rows`` rows by ``order`` that have a text and a language."""
-    kept = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sample = kept.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), order.alias("o")).orderBy("o", "t", "l").limit(rows).select("t", "l").toArrow()
+def fit_sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, rows: int = SAMPLE_ROWS, **options) -> LanguageModel:
+    """Fit on up to ``rows`` rows that have a text and a language, chosen by digests of their ids.
+
+    The ids are chosen first, from ids alone; their bounded list then goes to the texts.
+    """
+    kept = labelled.where(F.col(lang_col).isNotNull())
+    ids = kept.select(F.col(id_col).alias("i")).where("i is not null").orderBy(F.xxhash64("i"), "i").limit(rows).distinct()
+    sample = kept.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null").join(F.broadcast(ids), "i")
+    sample = sample.orderBy(F.xxhash64("i"), "t", "l").limit(rows).select("t", "l").toArrow()
     return fit(sample.column("t").to_pylist(), sample.column("l").to_pylist(), **options)
 
 
@@ -179,6 +184,6 @@ def fold(id_col: str, folds: int) -> Column:
 
 def op1_langid(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     learn = docs.where(fold("doc_id", 4) != 2)
-    model = fit_sample(learn, "text", "lang", F.xxhash64("doc_id"), sample_rows)
+    model = fit_sample(learn, "text", "lang", "doc_id", sample_rows)
     out = identify(docs, model).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")

@@ -112,14 +112,14 @@ def test_language_accuracy_on_held_out():
 def test_language_edges(spark):
     train = _lang_texts(40, 3)
     df = spark.createDataFrame([(i, t, x, 0.0) for i, (x, t) in enumerate(train)], "doc_id long, text string, lang string, score double")
-    model = langid.fit_sample(df, "text", "lang", F.col("doc_id"))
+    model = langid.fit_sample(df, "text", "lang", "doc_id")
     edge = spark.createDataFrame([(1, None), (2, ""), (3, "12 !?"), (None, "und das ist"), (5, "x" * 50000), (5, "x" * 50000)], "doc_id long, text string").withColumn("score", F.lit("clash"))
     rows = langid.identify(edge, model).collect()
     assert len(rows) == 6
     und = {r.id: (r.score, r.rejected) for r in rows if r.lang_pred == "und"}
     assert und == {1: (0, True), 2: (0, True), 3: (0, True)}
     assert [r.lang_pred for r in rows if r.id is None] == ["de"]
-    none = langid.fit_sample(df.limit(0), "text", "lang", F.col("doc_id"))
+    none = langid.fit_sample(df.limit(0), "text", "lang", "doc_id")
     assert {r.lang_pred for r in langid.identify(edge, none).collect()} == {"und"}
     out = langid.op1_langid(df)
     assert out.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"] and out.count() == len(train)
