@@ -216,7 +216,7 @@ def write_planes(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int,
     """Write every text's ids, in ascending id order, as files of planes in ``folder``; the manifest.
 
     Manifest, one row a file: (part, file, n_docs, n_ids, start) with start the number of ids in
-    files before. Documents are dealt out by ranges of (id, text). Null texts are empty; a null id
+    files before. Documents are dealt out by ranges of id and text digest. Null texts are empty; a null id
     comes first; repeated rows stay. Each document ends with ``end_id``.
     """
     spark = docs.sparkSession
@@ -242,7 +242,8 @@ def write_planes(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int,
     parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     fs, base = _open(folder)
     fs.create_dir(base, recursive=True)
-    dealt = kept.repartitionByRange(parts, "id", "text").sortWithinPartitions("id", "text")
+    # digests, not texts: range bounds are sampled to the driver
+    dealt = kept.withColumn("digest", F.xxhash64("text")).repartitionByRange(parts, "id", "digest").sortWithinPartitions("id", "digest")
     files = materialize(dealt.mapInArrow(run, "file string, n_docs long, n_ids long").withColumn("part", F.spark_partition_id()), "planes-files")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a file
     return materialize(files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "planes-manifest")
