@@ -24,11 +24,11 @@ def header(role: Column, speaker: Column) -> Column:
     return F.when(role == speaker, F.lit(f"{OPEN}assistant\n")).when(role == SYSTEM, F.lit(f"{OPEN}system\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), role, F.lit("\n")))
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = 512) -> DataFrame:
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, perspective, seq, turn, segment, start, mask_start, mask_end) of all renderings.
 
     perspective: every distinct role of the conversation other than ``system``; seq: the turn's
-    place in the conversation, from 0, by turn, role, text (nulls first, so ties and repeated turns
+    place in the conversation, from 0, by turn, role, digest of the text (nulls first, so ties and repeated turns
     have a defined order). start: the segment's character offset in the dialogue. mask_start and
     mask_end: the span within the dialogue to train on (the text and closing mark of the speaker's
     turns), null in others' turns. Null texts render as empty, null roles as ``unknown``; a null
@@ -37,7 +37,8 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    order = ["conv_id", "turn", "role", "text"]
+    rows = rows.withColumn("digest", F.md5("text"))
+    order = ["conv_id", "turn", "role", "digest"]
     spread = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # equal rows get equal renderings apart from their place, so they may stand in any order
     dealt = rows.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(spread, *order, "salt").withColumn("part", F.spark_partition_id())
@@ -53,9 +54,9 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     blocks = materialize(blocks, "blocks")
     a, b = dealt.alias("a"), blocks.alias("b")
     both = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.part") == F.col("b.part")))
-    both = both.select("a.conv_id", "a.part", "perspective", "turn", "role", "text", "salt", "n0", "w0", header(F.col("role"), F.col("perspective")).alias("head"))
+    both = both.select("a.conv_id", "a.part", "perspective", "turn", "role", "text", "digest", "salt", "n0", "w0", header(F.col("role"), F.col("perspective")).alias("head"))
     both = both.withColumn("segment", F.concat("head", "text", F.lit(CLOSE)))
-    own = Window.partitionBy("conv_id", "part", "perspective").orderBy("turn", "role", "text", "salt")
+    own = Window.partitionBy("conv_id", "part", "perspective").orderBy("turn", "role", "digest", "salt")
     placed = both.select(
         "conv_id",
         "perspective",
@@ -88,7 +89,7 @@ s AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM b),
 o AS (
   SELECT *, row_number() OVER w - 1 AS seq,
     coalesce(sum(length(segment)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text))
+  FROM s WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, md5(text)))
 SELECT conv_id, perspective, CAST(seq AS BIGINT) AS seq, turn, segment, CAST(start AS BIGINT) AS start,
   CASE WHEN role = perspective THEN CAST(start + length(head) AS BIGINT) END AS mask_start,
   CASE WHEN role = perspective THEN CAST(start + length(segment) AS BIGINT) END AS mask_end
