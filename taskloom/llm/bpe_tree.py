@@ -19,6 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import slices
 
 LEAF_CHARS = 1024
 GROW = 8
@@ -103,35 +106,35 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_path, pattern, leaf_chars)
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                b = whole.slice(at, rows)
-                ids = [np.array(c.encode(t) if t else [], np.int32) for t in b.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array([c.decode(x.tolist()) for x in ids], pa.binary())], ["id", "ids", "decoded"])
+        for b in slices(batches, rows):
+            ids = [np.array(c.encode(t) if t else [], np.int32) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids), pa.array([c.decode(x.tolist()) for x in ids], pa.binary())], ["id", "ids", "decoded"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, "id long, ids array<int>, decoded binary")
 
 
-def with_tokens(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """``docs`` with ``token_ids`` of the whole text and ``round_trip``: they decode to its bytes."""
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
 
-    @F.pandas_udf("token_ids array<int>, round_trip boolean")
-    def run(text):
-        import pandas as pd
 
+def with_tokens(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", leaf_chars: int = LEAF_CHARS, rows: int = 256) -> DataFrame:
+    """``docs`` with ``token_ids`` of the whole text and ``round_trip``: they decode to its bytes."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_path, pattern, leaf_chars)
-        ids, same = [], []
-        for t in text:
-            x = c.encode(t) if t else []
-            same.append(c.decode(x) == (t or "").encode())
-            ids.append(np.array(x, np.int32))
-        return pd.DataFrame({"token_ids": ids, "round_trip": same})
-
-    out = docs.withColumn("__tokens", run(F.col(text_col)))
-    return out.select(*docs.columns, F.col("__tokens.token_ids").alias("token_ids"), F.col("__tokens.round_trip").alias("round_trip"))
+        for b in slices(batches, rows):
+            ids, same = [], []
+            for t in b.column(at).to_pylist():
+                x = c.encode(t) if t else []
+                same.append(c.decode(x) == (t or "").encode())
+                ids.append(np.array(x, np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(ids), pa.array(same, pa.bool_())], [*b.schema.names, "token_ids", "round_trip"])
+
+    added = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def encode_decode_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:

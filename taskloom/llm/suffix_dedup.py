@@ -31,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, slices
 
 K = 5
 _BASE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)  # odd
@@ -140,26 +141,24 @@ def _suffixes(keyed: DataFrame, k: int, w: int, half: int, full: int, rows: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                b = whole.slice(at, rows)
-                parts, of = [], []
-                for r, text in enumerate(b.column(2).to_pylist()):
-                    d = Digests(text)
-                    if d.n < full:
-                        continue
-                    least = least_positions(d, k, w)[: d.n - full + 1]
-                    p = np.unique(least)
-                    low, high = np.searchsorted(least, p, "left"), np.searchsorted(least, p, "right") - 1
-                    far = np.zeros(len(p), np.uint64)
-                    own = high == p  # elsewhere the same passage may not be kept here
-                    far[own] = d.of(p[own] + half, full - half) | np.uint64(1)
-                    parts.append((d.of(p, half).view(np.int64), far.view(np.int64), p.astype(np.int32), (p - high).astype(np.int32), (p - low).astype(np.int32)))
-                    of.append(np.full(len(p), r))
-                if parts:
-                    rows_of = pa.array(np.concatenate(of))
-                    near, far, pos, fore, back = (pa.array(np.concatenate(x)) for x in zip(*parts))
-                    yield pa.RecordBatch.from_arrays([near, far, b.column(0).take(rows_of), b.column(1).take(rows_of), pos, fore, back], ["near", "far", "id", "digest", "pos", "fore", "back"])
+        for b in slices(batches, rows):
+            parts, of = [], []
+            for r, text in enumerate(b.column(2).to_pylist()):
+                d = Digests(text)
+                if d.n < full:
+                    continue
+                least = least_positions(d, k, w)[: d.n - full + 1]
+                p = np.unique(least)
+                low, high = np.searchsorted(least, p, "left"), np.searchsorted(least, p, "right") - 1
+                far = np.zeros(len(p), np.uint64)
+                own = high == p  # elsewhere the same passage may not be kept here
+                far[own] = d.of(p[own] + half, full - half) | np.uint64(1)
+                parts.append((d.of(p, half).view(np.int64), far.view(np.int64), p.astype(np.int32), (p - high).astype(np.int32), (p - low).astype(np.int32)))
+                of.append(np.full(len(p), r))
+            if parts:
+                rows_of = pa.array(np.concatenate(of))
+                near, far, pos, fore, back = (pa.array(np.concatenate(x)) for x in zip(*parts))
+                yield pa.RecordBatch.from_arrays([near, far, b.column(0).take(rows_of), b.column(1).take(rows_of), pos, fore, back], ["near", "far", "id", "digest", "pos", "fore", "back"])
 
     return keyed.mapInArrow(run, f"near long, far long, {_TEXT}, pos int, fore int, back int")
 
@@ -289,7 +288,7 @@ def _runs(at: DataFrame, full: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 128):
             rows: list[tuple] = []
             for r, marks in enumerate(b.column(2).to_pylist()):
                 spans = {kind: merged([(m["pos"], m["pos"] + full) for m in marks if m["whole"] and m["first"] == kind]) for kind in (True, False)}
@@ -318,20 +317,18 @@ def _passages(both: DataFrame, full: int, rows: int = 256) -> DataFrame:
     """(near, far, id, digest, pos): digests of the passages to look up, where they start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                b = whole.slice(at, rows)
-                near, far, pos, of = [], [], [], []
-                for r, (text, tests) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                    d = Digests(text)
-                    s = np.array(sorted(t["pos"] - i for t in tests for i in range(t["bits"].bit_length()) if t["bits"] >> i & 1))
-                    near.append(d.of(s, full, 0))
-                    far.append(d.of(s, full, 1) | np.uint64(1))
-                    pos.append(s)
-                    of.append(np.full(len(s), r))
-                rows_of = pa.array(np.concatenate(of))
-                digests = [pa.array(np.concatenate(x).view(np.int64)) for x in (near, far)]
-                yield pa.RecordBatch.from_arrays([*digests, b.column(0).take(rows_of), b.column(1).take(rows_of), pa.array(np.concatenate(pos).astype(np.int32))], ["near", "far", "id", "digest", "pos"])
+        for b in slices(batches, rows):
+            near, far, pos, of = [], [], [], []
+            for r, (text, tests) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                d = Digests(text)
+                s = np.array(sorted(t["pos"] - i for t in tests for i in range(t["bits"].bit_length()) if t["bits"] >> i & 1))
+                near.append(d.of(s, full, 0))
+                far.append(d.of(s, full, 1) | np.uint64(1))
+                pos.append(s)
+                of.append(np.full(len(s), r))
+            rows_of = pa.array(np.concatenate(of))
+            digests = [pa.array(np.concatenate(x).view(np.int64)) for x in (near, far)]
+            yield pa.RecordBatch.from_arrays([*digests, b.column(0).take(rows_of), b.column(1).take(rows_of), pa.array(np.concatenate(pos).astype(np.int32))], ["near", "far", "id", "digest", "pos"])
 
     return both.mapInArrow(run, f"near long, far long, {_TEXT}, pos int")
 
@@ -340,7 +337,7 @@ def _joined(spans: DataFrame) -> DataFrame:
     """Merge a document's spans; words of later occurrences are taken out of first ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 256):
             of, start, end, first = [], [], [], []
             for r, spans in enumerate(b.column(2).to_pylist()):
                 later = merged([(s["start"], s["end"]) for s in spans if not s["first"]])
@@ -388,14 +385,22 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = docs.withColumn("__own", F.xxhash64(text_col))
     both = both.join(cuts, both[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest")), "left")
 
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        return text.combine(spans, lambda t, c: t if c is None or t is None else cut_words(t, [(x["start"], x["end"]) for x in c]))
+    both = both.select(*[docs[c] for c in docs.columns], "__cuts")
+    at = docs.columns.index(text_col)
 
-    changed = F.when(F.col("__cuts").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__cuts")))
-    out = both.withColumn(text_col, changed)
-    keep = F.col("__cuts").isNull() | F.col(text_col).rlike(r"[^ \t\n\r\x0b\x0c]")
-    return out.where(keep).select(*docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, rows):
+            changed = b.column(b.num_columns - 1).is_valid()
+            some = b.filter(changed)
+            cuts = some.column(b.num_columns - 1).to_pylist()
+            texts = [cut_words(t, [(x["start"], x["end"]) for x in c]) for t, c in zip(some.column(at).to_pylist(), cuts)]
+            columns = b.columns[:-1]
+            columns[at] = pc.replace_with_mask(columns[at], changed, pa.array(texts, columns[at].type))
+            kept = np.ones(b.num_rows, bool)
+            kept[np.nonzero(changed.to_numpy(zero_copy_only=False))[0]] = [bool(_WORD.search(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-1]).filter(pa.array(kept))
+
+    return both.mapInArrow(run, docs.schema)
 
 
 def op8_suffix_dedup(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: Labelled rows that are fetched to fit the model, at most.
 SAMPLE_ROWS = 8000
 CELLS = 1 << 19
@@ -363,7 +365,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (w.slice(k, rows) for w in batches for k in range(0, w.num_rows, rows)):
+        for b in slices(batches, rows):
             raw = [(t or "").encode("utf-8", "replace") for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(raw))], [*b.schema.names, out_col])
 
