@@ -73,6 +73,8 @@ def js_number(c: Column) -> Column:
 
 def circled(c: Column, after: str = "") -> Column:
     """Circled numbers as digits, each followed by ``after``."""
+    if not after:  # one character each, but for the last
+        return F.replace(F.translate(c, CIRCLED[:9], "123456789"), F.lit(CIRCLED[9]), F.lit("10"))
     for i, ch in enumerate(CIRCLED, 1):
         c = F.replace(c, F.lit(ch), F.lit(f"{i}{after}"))
     return c

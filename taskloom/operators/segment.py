@@ -18,8 +18,7 @@ PAGE_MARK = rf"(?i)^{S}*\[\[PAGE:(\d+)\]\]{S}*\z"
 
 
 def starts_task(line: Column) -> Column:
-    value = trim(circled(text(line)))
-    return value.rlike(STARTS[0]) | value.rlike(STARTS[1]) | value.rlike(STARTS[2])
+    return trim(circled(text(line))).rlike("|".join(STARTS))
 
 
 def document_lines(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
