@@ -192,12 +192,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(ids, "fp").select("id", "digest", "fp", "component_id", "component")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None, **options) -> DataFrame:
     """``docs`` with one row of each group: that of the least id (null last), then text digest.
 
+    Groups are those of :func:`near_duplicates`, or ``found`` (id, digest, component).
+
     All columns stay as they are. Of rows equal in id and text one stays, whatever else they hold.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col, **options), "groups")
+    found = materialize(near_duplicates(docs, id_col, text_col, **options) if found is None else found, "groups")
     place = F.struct(F.col("id").isNull().alias("no"), "id", "digest")
     best = found.groupBy("component").agg(F.min(place).alias("best"))
     best = materialize(best, "best")

@@ -169,3 +169,28 @@ def test_embeddings_against_brute_force(spark, block):
         k = next(k for k, (i, _, _) in enumerate(rows) if i == r.id)
         assert r.component_id in whole[comp[k]] and r.kept == (r.component_id == r.id)
     assert multi_index.near_duplicates(df.limit(0)).count() == 0
+
+
+def five_words(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_pipeline_drops_near_copies_at_08(spark):
+    """Groups of the near-copy stage are those of all pairs with a five-word Jaccard similarity of 0.8 or more."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    docs = ["", None, " ", "eins zwei", "Eins  zwei", "eins zwei drei"]
+    for _ in range(30):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.randint(60, 200))]
+        docs.append(" ".join(base))
+        for _ in range(4):
+            for at in sorted(rng.sample(range(len(base)), rng.randint(1, 4))):
+                base = base[:at] + ["neu"] + base[at + 1 :]
+            docs.append(" ".join(base))
+    sets = [five_words(t or "") for t in docs]
+    edges = [(i, j) for i in range(len(docs)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert kept == set(union(len(docs), edges)) and len(kept) < len(docs) - 30
