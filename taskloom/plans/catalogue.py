@@ -6,7 +6,12 @@ return flag), benchmark items are drafts, documents are the task pool.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder that the cluster names, else in a temp folder of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"file://{(own := tempfile.mkdtemp(prefix='taskloom-'))}"
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"{root.rstrip('/')}/taskloom/pool-{uuid.uuid4().hex}"
+
+
 # ---- tasks from orders ------------------------------------------------------------------------
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus"]
@@ -585,6 +599,22 @@ def pool_union(spark, sf_dir):
     return own.groupBy(F.col("c_mktsegment").alias("competence")).agg(F.count("*").alias("n_tasks"), F.round(F.sum("c_acctbal"), 2).alias("points"))
 
 
+@query(
+    "SELECT r_name AS class_level, n_name AS topic, c_mktsegment AS competence, count(*) AS n_tasks, round(sum(c_acctbal), 2) AS points FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"
+)
+def pool_pruned_scan(spark, sf_dir):
+    """Customers of all nations as a partitioned pool, and the union of the pruned scans of every class and topic."""
+    from ..sources import pool
+
+    cat = _catalogue(spark, sf_dir)
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("competence"), "c_acctbal")
+    path = _scratch(spark)
+    pool.write_pool(c.join(cat, F.col("c_nationkey") == F.col("ord")).select("c_custkey", "c_acctbal", "class_level", "topic", "competence"), path)
+    scans = [pool.scan_pool(spark, path, r.class_level, r.topic) for r in cat.select("class_level", "topic").distinct().collect()]
+    rows = reduce(DataFrame.unionByName, scans)
+    return rows.groupBy("class_level", "topic", "competence").agg(F.count("*").alias("n_tasks"), F.round(F.sum("c_acctbal"), 2).alias("points"))
+
+
 @query("SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS imported, count(*) FILTER (quality = 1 AND toxic <> 0) AS failed FROM labels")
 def commit_report(spark, sf_dir):
     partition = {"class_level": F.lit("7"), "topic": F.lit("Terme"), "competence": F.lit("Mathematik")}

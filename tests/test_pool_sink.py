@@ -101,3 +101,14 @@ def test_files(spark, tmp_path):
     rows = {r.name: (r.text, r.error) for r in documents.extract(files).collect()}
     assert rows == {"a.txt": ("hallo", None), "b.xyz": (None, "unsupported type: xyz")}
     assert documents.upload_problem(files).first().problem is None
+
+
+def test_pool_pruned_scan_covers_all_nations(spark):
+    from taskloom.plans import catalogue
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = catalogue.QUERIES["pool_pruned_scan"](spark, sf_dir)
+    own = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    assert rows.agg(F.sum("n_tasks")).first()[0] == own.count()
+    assert rows.select("topic").distinct().count() == own.select("c_nationkey").distinct().count()
+    assert "PartitionFilters: [" in rows._jdf.queryExecution().toString()
