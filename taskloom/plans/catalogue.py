@@ -397,6 +397,54 @@ def jaccard_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("item_id", "other_id", F.round(textual.jaccard(F.col("f.literal"), F.col("g.literal")), 9).alias("jaccard"))
 
 
+def _common(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
+    """(a_id, b_id, n, m, common): pairs of rows (id, tokens) that share a token; rows without tokens share the lack of any."""
+
+    def tokens(df: DataFrame, key: str, size: str) -> DataFrame:
+        own = df.select(F.col("id").alias(key), F.array_distinct("tokens").alias("t"))
+        some = F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit("")))
+        return own.select(key, F.size("t").alias(size), F.explode(some).alias("token"))
+
+    return tokens(a, a_id, "n").join(tokens(b, b_id, "m"), "token").groupBy(a_id, b_id, "n", "m").agg(F.count("*").alias("common"))
+
+
+@query(
+    f"""
+WITH {_BENCH}, w AS (SELECT item_id, '  ' || c || '  ' AS p FROM c),
+g AS (SELECT item_id, p[i:i + 2] AS g, count(*) AS n FROM (SELECT item_id, p, unnest(generate_series(1, length(p) - 2)) AS i FROM w) GROUP BY ALL),
+z AS (SELECT item_id, sum(n) AS n FROM g GROUP BY ALL),
+x AS (SELECT a.item_id, b.item_id AS other_id, sum(least(a.n, b.n)) AS common FROM g a JOIN g b ON a.g = b.g AND a.item_id < b.item_id GROUP BY ALL)
+SELECT x.item_id, x.other_id, round(2 * common / (a.n + b.n), 9) AS dice FROM x JOIN z a ON a.item_id = x.item_id JOIN z b ON b.item_id = x.other_id
+"""
+)
+def trigram_dice_all(spark, sf_dir):
+    """Every pair of benchmark items that shares a trigram; ``trigram_dice`` has those with a common first word."""
+    rows = similarity.features(table(spark, sf_dir, "benchmark"), "text").select(F.col("item_id").alias("id"), F.col("f.chars").cast("array<string>").alias("tokens"))
+    found = _common(rows, rows, "item_id", "other_id").where("item_id < other_id")
+    return found.select("item_id", "other_id", F.round(2 * F.col("common") / (F.col("n") + F.col("m")), 9).alias("dice"))
+
+
+_LITERAL = r"list_distinct(list_filter(string_split_regex(regexp_replace(c, '[^a-zäöüß0-9.,=+*/:^_<>-]+', ' ', 'g'), '\s+'), lambda w: w <> ''))"
+
+
+@query(
+    rf"""
+WITH a AS (SELECT item_id, {_LITERAL} AS l FROM (WITH {_BENCH} SELECT * FROM c)), b AS (SELECT doc_id, {_LITERAL} AS l FROM (WITH {_CANON} SELECT * FROM c)),
+x AS (SELECT item_id, doc_id, len(a.l) AS n, len(b.l) AS m, len(list_intersect(a.l, b.l)) AS common FROM a, b)
+SELECT item_id, doc_id, round(CASE WHEN n + m = 0 THEN 1 ELSE common / (n + m - common) END, 9) AS jaccard FROM x WHERE common > 0 OR n + m = 0
+"""
+)
+def jaccard_documents(spark, sf_dir):
+    """Every pair of a benchmark item and a document that shares a token; ``jaccard_pairs`` has items with a common first word."""
+
+    def rows(name: str, key: str) -> DataFrame:
+        return similarity.features(table(spark, sf_dir, name), "text").select(F.col(key).alias("id"), F.col("f.literal").alias("tokens"))
+
+    found = _common(rows("benchmark", "item_id"), rows("documents", "doc_id"), "item_id", "doc_id")
+    share = F.when(F.col("n") + F.col("m") == 0, F.lit(1.0)).otherwise(F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
+    return found.select("item_id", "doc_id", F.round(share, 9).alias("jaccard"))
+
+
 @query(f"WITH {_CANON}, d AS (SELECT md5(c) AS digest, count(*) AS n_copies, min(doc_id) AS first_id FROM c GROUP BY 1) SELECT * FROM d WHERE n_copies > 1")
 def exact_duplicates(spark, sf_dir):
     rows = _canon(spark, sf_dir).select("doc_id", F.md5("c").alias("digest"))

@@ -146,3 +146,17 @@ def test_page_outcomes(spark):
     out = guard.apply_corrections(pages, fixes)
     assert tuple(guard.page_outcomes(out).first()) == (1, [1], [2], [3])
     assert {r.page: r.text for r in out.collect()}[1] == "1. Berechne \\frac{3}{4}"
+
+
+def test_pairs_need_no_common_first_word(spark):
+    from taskloom.plans import catalogue
+
+    rows = lambda *t: spark.createDataFrame(list(enumerate(t)), "id long, tokens array<string>")
+    a, b = rows(["neu", "kopie", "text"], []), rows(["alt", "kopie", "text", "text"], [], ["fremd"])
+    found = {(r.a, r.b): (r.n, r.m, r.common) for r in catalogue._common(a, b, "a", "b").collect()}
+    assert found == {(0, 0): (3, 3, 2), (1, 1): (0, 0, 1)}
+    every = {name: catalogue.QUERIES[name](spark, "/root/testdata/sf0.001") for name in ("trigram_dice", "trigram_dice_all", "jaccard_documents")}
+    some = {tuple(r) for r in every["trigram_dice"].where("dice > 0").collect()}
+    more = {tuple(r) for r in every["trigram_dice_all"].collect()}
+    assert some <= more and len(more) > len(some)
+    assert every["jaccard_documents"].select("doc_id").distinct().count() > 1
