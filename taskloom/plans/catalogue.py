@@ -523,6 +523,12 @@ def entity_decode(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", documents.decode_entities(F.lit("&lt;b&gt; &amp; &quot;A&quot; &#39;ö&#39; &#xE9;")).alias("decoded"))
 
 
+@query(f"SELECT page_id, md5({_ENT.format('html')}) AS decoded FROM pages")
+def entity_decode_pages(spark, sf_dir):
+    """Whole pages decoded; ``entity_decode`` decodes one literal for each page."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(documents.decode_entities(F.col("html"))).alias("decoded"))
+
+
 @query("SELECT p_partkey, p_name AS title, p_type AS expectation, CAST(p_size AS VARCHAR) AS points_raw FROM part")
 def expectation_rows(spark, sf_dir):
     html = F.concat(F.lit("<p>x</p><table><tr><td>a</td></tr></table><TABLE border=1><tr><th>Titel</th><th>Erwartung</th><th>Punkte</th></tr><tr><td>"), "p_name", F.lit("</td><td><p>"), "p_type", F.lit("</p></td><td>"), F.col("p_size").cast("string"), F.lit("</td></tr><tr><td></td><td>x</td></tr></TABLE>"))

@@ -1,3 +1,5 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from taskloom.functions import classify, documents, guard, textual
@@ -160,3 +162,12 @@ def test_pairs_need_no_common_first_word(spark):
     more = {tuple(r) for r in every["trigram_dice_all"].collect()}
     assert some <= more and len(more) > len(some)
     assert every["jaccard_documents"].select("doc_id").distinct().count() > 1
+
+
+def test_entity_decode_reads_pages(spark, tmp_path):
+    from taskloom.plans import catalogue
+
+    rows = [(1, "<b>&amp;lt; x &#39;y&#39;</b>"), (2, "&quot;z&quot;")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = {r.page_id: r.decoded for r in catalogue.QUERIES["entity_decode_pages"](spark, str(tmp_path)).collect()}
+    assert found == {i: hashlib.md5(t.encode()).hexdigest() for i, t in [(1, "<b>< x 'y'</b>"), (2, '"z"')]}
