@@ -144,7 +144,8 @@ class PieceEncoder:
     A text is cut before each space that a character other than white space follows; byte-level
     pre-tokenization always starts a new word there, so the pieces' ids put together are the
     text's ids. Pieces seen before come from memory. The others are encoded by the library in one
-    text, whose ids are told apart by the number of bytes that each stands for.
+    text, whose ids are told apart by the number of bytes that each stands for. Texts that hold an
+    added token (``<|endoftext|>``) go to the library whole.
     """
 
     _glued = re.compile(r" (?=\s|$)")
@@ -153,7 +154,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(tokenizer_path)
-        self._tokenizer.encode_special_tokens = True
+        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        # no content: no match; one with white space could arise from pieces side by side, so then every text is whole
+        self._whole = re.compile("" if any(re.search(r"\s", t) for t in added) else "|".join(map(re.escape, added)) or r"(?!)")
         vocab = self._tokenizer.get_vocab(with_added_tokens=False)
         self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # the byte-level alphabet has one character for each byte
@@ -190,7 +193,7 @@ class PieceEncoder:
         known = self._ids
         if len(known) > self._room:
             known.clear()
-        cut = [self.pieces(t) for t in texts]
+        cut = [[t] if self._whole.search(t) else self.pieces(t) for t in texts]
         heads = self._tokenizer.encode_batch_fast([c[0] for c in cut], add_special_tokens=False)
         new = list(set().union(*(c[1:] for c in cut)) - known.keys())
         if new:

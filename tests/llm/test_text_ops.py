@@ -60,6 +60,15 @@ def test_pieces_equal_library(texts):
     assert [x.tolist() for x in enc.encode(texts)] == want
 
 
+def test_added_tokens_equal_fresh_library():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    texts = ["<|endoftext|>", "vor <|endoftext|> nach", "a<|endoftext|>  <|endoftext|>b c", "<|endoftext |>", "ohne Zeichen"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in token_planes.PieceEncoder(path).encode(texts)] == want and want[0] == [50256]
+
+
 def test_plane_file_round_trip():
     rng = np.random.default_rng(1)
     docs = [(i if i % 3 else None, rng.integers(0, 60000, n).astype(np.uint32)) for i, n in enumerate([0, 5, 1, 0, 300, 64, 7])]
