@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled rows that are fetched to fit the model, at most.
@@ -142,12 +142,14 @@ def fit(texts: list[str], langs: list[str], buckets: int = BUCKETS, dim: int = 1
 def fit_sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, rows: int = SAMPLE_ROWS, **options) -> LanguageModel:
     """Fit on up to ``rows`` rows that have a text and a language, chosen by digests of their ids.
 
-    The ids are chosen first, from ids alone; their bounded list then goes to the texts.
+    The ids are chosen first, each once; their bounded list then goes to the texts. No id gives a
+    second row before each of them has given one.
     """
-    kept = labelled.where(F.col(lang_col).isNotNull())
-    ids = kept.select(F.col(id_col).alias("i")).where("i is not null").orderBy(F.xxhash64("i"), "i").limit(rows).distinct()
-    sample = kept.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null").join(F.broadcast(ids), "i")
-    sample = sample.orderBy(F.xxhash64("i"), "t", "l").limit(rows).select("t", "l").toArrow()
+    kept = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    ids = kept.select(F.col(id_col).alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(rows)
+    sample = kept.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).join(F.broadcast(ids), "i")
+    sample = sample.withColumn("turn", F.row_number().over(Window.partitionBy("i").orderBy("t", "l")))
+    sample = sample.orderBy("turn", F.xxhash64("i"), "t", "l").limit(rows).select("t", "l").toArrow()
     return fit(sample.column("t").to_pylist(), sample.column("l").to_pylist(), **options)
 
 

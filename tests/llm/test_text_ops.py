@@ -138,6 +138,13 @@ def test_language_edges(spark):
     assert out.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"] and out.count() == len(train)
 
 
+def test_language_sample_is_not_filled_by_one_id(spark):
+    ids = [r.id for r in spark.range(40).orderBy(F.xxhash64("id")).collect()]
+    rows = [(ids[0], f"the and of {i}", "en") for i in range(60)] + [(i, None, "fr") for i in ids[1:11]] + [(i, "der die und das", "de") for i in ids[11:]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(langid.fit_sample(df, "text", "lang", "doc_id", 10).languages) == ["de", "en"]
+
+
 def _toxic_texts(n, seed):
     rng = random.Random(seed)
     plain = [f"wort{i}" for i in range(200)]
