@@ -97,16 +97,16 @@ def codec(rank_path: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> TreeCod
     return _codecs[key]
 
 
-def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, rows: int = 256) -> DataFrame:
+def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """(id, ids array<int>, decoded binary) for every row: the text's ids and their bytes.
 
     Whole texts are encoded, however long; null and empty texts have no ids and empty bytes.
-    Repeated rows stay; other columns are not read. Rows pass in batches of ``rows`` at most.
+    Repeated rows stay; other columns are not read. Rows pass in slices of bounded bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_path, pattern, leaf_chars)
-        for b in slices(batches, rows):
+        for b in slices(batches):
             ids = [np.array(c.encode(t) if t else [], np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids), pa.array([c.decode(x.tolist()) for x in ids], pa.binary())], ["id", "ids", "decoded"])
 
@@ -119,13 +119,13 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
 
 
-def with_tokens(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", leaf_chars: int = LEAF_CHARS, rows: int = 256) -> DataFrame:
+def with_tokens(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """``docs`` with ``token_ids`` of the whole text and ``round_trip``: they decode to its bytes."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_path, pattern, leaf_chars)
-        for b in slices(batches, rows):
+        for b in slices(batches):
             ids, same = [], []
             for t in b.column(at).to_pylist():
                 x = c.encode(t) if t else []

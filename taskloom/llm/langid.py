@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows that are fetched to fit the model, at most.
-SAMPLE_ROWS = 4000
+from .common import SLICE, first_rows, slices
+
+#: Labelled rows, and bytes of their texts, that are fetched to fit the model, at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 1 << 26
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 NO_LANGUAGE = "und"
@@ -143,17 +145,18 @@ def fit_sample(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, r
     """Fit on up to ``rows`` rows that have a text and a language, chosen by digests of their ids.
 
     The ids are chosen first, each once; their bounded list then goes to the texts. No id gives a
-    second row before each of them has given one.
+    second row before each of them has given one. Rows end where their texts have ``SAMPLE_BYTES``.
     """
     kept = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     ids = kept.select(F.col(id_col).alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(rows)
     sample = kept.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).join(F.broadcast(ids), "i")
     sample = sample.withColumn("turn", F.row_number().over(Window.partitionBy("i").orderBy("t", "l")))
-    sample = sample.orderBy("turn", F.xxhash64("i"), "t", "l").limit(rows).select("t", "l").toArrow()
+    sample = sample.withColumn("o", F.xxhash64("i"))
+    sample = first_rows(sample, ["turn", "o", "t", "l"], "t", rows, SAMPLE_BYTES).select("t", "l").toArrow()
     return fit(sample.column("t").to_pylist(), sample.column("l").to_pylist(), **options)
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", rows: int = 256) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected) for every row, from its whole text alone.
 
     ``und`` with score 0 and rejected for texts that are null or have no letter, and for all texts
@@ -162,18 +165,14 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.languages + [NO_LANGUAGE])
-        for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                b = whole.slice(at, rows)
-                texts = b.column(1).to_pylist()
-                ok = np.array([has_letter(t) for t in texts]) & bool(model.languages)
-                best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
-                if ok.any():
-                    p = model.scores([t.encode("utf-8", "replace") for t, o in zip(texts, ok) if o])
-                    best[ok], score[ok] = p.argmax(axis=1), p.max(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(~ok | (score < model.threshold))], ["id", "lang_pred", "score", "rejected"]
-                )
+        for b in slices(batches, most=SLICE // 2):  # subwords take some sixty bytes for each of the text's
+            texts = b.column(1).to_pylist()
+            ok = np.array([has_letter(t) for t in texts]) & bool(model.languages)
+            best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+            if ok.any():
+                p = model.scores([t.encode("utf-8", "replace") for t, o in zip(texts, ok) if o])
+                best[ok], score[ok] = p.argmax(axis=1), p.max(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(~ok | (score < model.threshold))], ["id", "lang_pred", "score", "rejected"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, "id long, lang_pred string, score double, rejected boolean")

@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, digest, fp) for every row; digest: xxhash64 of the text; null and empty texts get fp 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 256):
+        for b in slices(batches):
             fp = [fingerprint(t, shingle) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], ["id", "digest", "fp"])
 

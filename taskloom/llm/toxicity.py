@@ -15,14 +15,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import first_rows, slices
 
-#: Labelled rows that are fetched to fit the model, at most.
-SAMPLE_ROWS = 8000
+#: Labelled rows, and bytes of their texts, that are fetched to fit the model, at most.
+SAMPLE_ROWS, SAMPLE_BYTES = 8000, 1 << 26
 CELLS = 1 << 19
 STEMS = (4, 5, 6, 7, 8)
 NEAR = 5
@@ -77,15 +78,17 @@ class Words:
         self.keys = [np.where(self.length > 0, self._digest(plain, self.length), 0)] + self.stems
 
     def _digest(self, flat: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Digest of the first ``length`` bytes of each word, up to 24 of them."""
+        """Digest of the first ``length`` bytes of each word: all words at once up to 24 bytes, longer ones singly."""
         h = np.zeros(len(self.start), np.uint64)
-        live = np.arange(len(self.start))
+        live = np.nonzero(length <= 24)[0]
         for i in range(24):
             live = live[length[live] > i]
             if not len(live):
                 break
             h[live] = h[live] * np.uint64(0x100000001B3) + flat[self.start[live] + i] + np.uint64(1)
-        return _mix(h ^ np.minimum(length, 24).astype(np.uint64) << np.uint64(56))
+        for i in np.nonzero(length > 24)[0].tolist():
+            h[i] = xxhash.xxh64_intdigest(flat[self.start[i] : self.start[i] + length[i]].tobytes())
+        return _mix(h ^ length.astype(np.uint64) << np.uint64(56))
 
     def per_text(self, value: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(self.of, value, self.n)
@@ -353,19 +356,20 @@ def fit(texts: list[str], toxic: list[int], **options) -> ToxicityModel:
 
 
 def fit_sample(labelled: DataFrame, text_col: str, label_col: str, order: Column, rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fit on the first ``rows`` rows by ``order`` that have a label; null texts count as empty."""
+    """Fit on the first ``rows`` rows by ``order`` that have a label, as far as their texts have ``SAMPLE_BYTES``; null texts count as empty."""
     kept = labelled.where(F.col(label_col).isin(0, 1))
-    sample = kept.select(F.coalesce(text_col, F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"), order.alias("o")).orderBy("o", "t", "y").limit(rows).select("t", "y").toArrow()
+    sample = kept.select(F.coalesce(text_col, F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"), order.alias("o"))
+    sample = first_rows(sample, ["o", "t", "y"], "t", rows, SAMPLE_BYTES).select("t", "y").toArrow()
     return fit(sample.column("t").to_pylist(), sample.column("y").to_pylist())
 
 
-def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "toxicity", rows: int = 128) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
     """``docs`` with a column ``out_col`` (0 to 1) from the whole text alone; null counts as empty."""
 
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, rows):
+        for b in slices(batches, rows=128):
             raw = [(t or "").encode("utf-8", "replace") for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(raw))], [*b.schema.names, out_col])
 
@@ -375,10 +379,11 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col
 def labelled(docs: DataFrame, labels: DataFrame, rows: int, folds: int = 5, held: int = 0) -> DataFrame:
     """(doc_id, text, toxic) of up to ``rows`` labelled document ids outside the held-out fold.
 
-    The ids are chosen first, from ids alone; their bounded list then goes to the texts.
+    The ids are chosen first, from ids alone; their bounded list then goes to the texts. An id with
+    labels of both kinds counts as toxic.
     """
     crc = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(held))
-    marks = labels.select("doc_id", "toxic").where((crc != held) & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+    marks = labels.select("doc_id", "toxic").where((crc != held) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.select("doc_id").where(crc != held).join(marks, "doc_id").distinct()
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -52,21 +53,44 @@ def test_round_trip_edges(spark):
     assert bpe_tree.with_tokens(df, RANKS, P.PATTERN).where("round_trip").count() == len(EDGE)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(ODD, max_size=8))
+def library_ids(texts):
+    """Expected ids, from a tokenizer of the library as it is loaded."""
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)]
+
+
+def encoded(enc, texts):
+    ids, sizes = enc.encode(pa.array(texts, pa.string()))
+    assert len(ids) == sizes.sum()
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
+
+
+BREAKS = st.lists(st.sampled_from(list(" \n\t.,;:!?a'sé1x漢_\u00a0\x1c\x01") + ["  ", " a", "b.", "c,d", "a\nb", "\r\n", "<|endoftext|>", "<|endoftext", "é.\nA", "3,5", "...", "\u0301."]), max_size=40).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(BREAKS, max_size=6))
 def test_pieces_equal_library(texts):
-    enc = token_planes.encoder(P.path("byte_bpe_50k.json"))
-    want = [e.ids for e in enc._tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in enc.encode(texts)] == want
+    assert encoded(token_planes.encoder(P.path("byte_bpe_50k.json")), texts) == library_ids(texts)
 
 
 def test_added_tokens_equal_fresh_library():
-    from tokenizers import Tokenizer
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "vor <|endoftext|> nach", "a<|endoftext|>  <|endoftext|>b c", "<|endoftext |>", "ohne Zeichen"]
+    want = library_ids(texts)
+    assert encoded(token_planes.PieceEncoder(P.path("byte_bpe_50k.json")), texts) == want and want[:2] == [[87, 220, 50256, 331], [50256]]
 
-    path = P.path("byte_bpe_50k.json")
-    texts = ["<|endoftext|>", "vor <|endoftext|> nach", "a<|endoftext|>  <|endoftext|>b c", "<|endoftext |>", "ohne Zeichen"]
-    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in token_planes.PieceEncoder(path).encode(texts)] == want and want[0] == [50256]
+
+def test_other_tokenizers_are_not_cut(tmp_path):
+    import json
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "Lowercase"}
+    (path := tmp_path / "lower.json").write_text(json.dumps(spec), encoding="utf-8")
+    enc = token_planes.PieceEncoder(str(path))
+    texts = ["Ein Text, der GROSS ist.\nZwei", ""]
+    assert encoded(enc, texts) == library_ids([t.lower() for t in texts])
 
 
 def test_plane_file_round_trip():
@@ -74,11 +98,11 @@ def test_plane_file_round_trip():
     docs = [(i if i % 3 else None, rng.integers(0, 60000, n).astype(np.uint32)) for i, n in enumerate([0, 5, 1, 0, 300, 64, 7])]
     sink = io.BytesIO()
     w = token_planes.PlaneWriter(sink, block=64)
-    for name, ids in docs:
-        w.add(name, ids)
+    for part in (docs[:3], docs[3:]):
+        w.add(pa.array([n for n, _ in part]), np.array([len(x) for _, x in part]), np.concatenate([x for _, x in part]))
     total = w.close()
     r = token_planes.PlaneReader(sink, len(sink.getvalue()))
-    assert r.names == [n for n, _ in docs]
+    assert r.names.to_pylist() == [n for n, _ in docs]
     assert all(np.array_equal(a, b) for a, (_, b) in zip(r.documents(), docs))
     flat = np.concatenate([x for _, x in docs])
     assert total == len(flat)
@@ -89,15 +113,15 @@ def test_plane_file_round_trip():
     assert list(token_planes.PlaneReader(empty, len(empty.getvalue())).documents()) == []
 
 
-def test_planes_edges(spark):
+@pytest.mark.parametrize("options", [{}, {"file_ids": 40, "block": 64}, {"file_docs": 1, "partitions": 2}])
+def test_planes_edges(spark, options):
     df = spark.createDataFrame(EDGE, EDGE_SCHEMA)
     path = P.path("byte_bpe_50k.json")
-    rows = sorted(token_planes.token_planes(df, path, 2).collect(), key=lambda r: r.start)
-    enc = token_planes.encoder(path)._tokenizer
+    rows = sorted(token_planes.token_planes(df, path, 2, **options).collect(), key=lambda r: r.start)
     at = 0
     want = []
-    for i, t, _ in EDGE:
-        ids = enc.encode(t or "", add_special_tokens=False).ids + [2]
+    for (i, t, _), ids in zip(EDGE, library_ids([t or "" for _, t, _ in EDGE])):
+        ids = ids + [2]
         want.append((i is not None, i or 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
     assert sorted((r.id is not None, r.id or 0, r.n_tokens, r.ids_crc32) for r in rows) == sorted(want)
     for r in rows:
