@@ -119,6 +119,48 @@ def test_repeats_against_brute_force(spark, seed, n):
     assert {i for i, t in docs if not (t or "").split()}.isdisjoint(lost)
 
 
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def test_unequal_words_never_repeat(spark):
+    """Long words, and sequences of words, that differ in every place of a Thue-Morse pattern."""
+    bits = thue_morse(4096)
+    letters = ["".join("ab"[x ^ flip] for x in bits) for flip in (0, 1)]
+    fill = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(fill[:30] + [w] + fill[30:])) for i, w in enumerate(letters)]
+    docs += [(10 + flip, " ".join("xy"[x ^ flip] for x in bits[:2048])) for flip in (0, 1)]
+    df = spark.createDataFrame(docs[:2], "doc_id long, text string")
+    assert suffix_dedup.repeats(df, min_words=50).count() == 0
+    df = spark.createDataFrame(docs[2:], "doc_id long, text string")
+    got = {(r.id, w, r["first"]) for r in suffix_dedup.repeats(df, min_words=1200).collect() for w in range(r.start, r.end)}
+    assert got == plain_repeats(docs[2:], 1200)
+
+
+@pytest.mark.parametrize("n", [130, 500])
+def test_repeats_of_many_words(spark, n):
+    rng = random.Random(n)
+    vocab = [f"w{i}" for i in range(400)]
+    words = lambda k: [rng.choice(vocab) for _ in range(k)]
+    passages = [words(rng.randint(n - 9, n + 60)) for _ in range(4)]
+    docs = [(i, " ".join(words(rng.randint(0, 30)) + (p := rng.choice(passages))[rng.randint(0, 9) :] + words(7) + rng.choice(passages))) for i in range(14)]
+    docs += [(20, "x " * (2 * n)), (21, "x " * (n + 3))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.id, w, r["first"]) for r in suffix_dedup.repeats(df, min_words=n).collect() for w in range(r.start, r.end)}
+    assert got == plain_repeats(docs, n)
+
+
+def test_repeats_of_empty_tables_and_clashing_names(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert suffix_dedup.repeats(df).count() == 0 and suffix_dedup.cut_repeats(df).count() == 0
+    text = " ".join(f"w{i}" for i in range(70))
+    names = ["_own", "_key", "_digest", "_cuts", "__own", "start", "end", "first", "id"]
+    df = spark.createDataFrame([(1, text), (2, "y " + text + " z"), (None, text), (3, None), (4, "")], "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    rows = {r.doc_id: r.asDict() for r in suffix_dedup.cut_repeats(df).collect()}
+    assert {k: r["text"] for k, r in rows.items()} == {1: text, 2: "y z", 3: None, 4: ""}
+    assert all(r[n] == n for r in rows.values() for n in names)
+
+
 def test_cut_words():
     assert suffix_dedup.cut_words("a  b c\nd e", [(1, 3)]) == "a  d e"
     assert suffix_dedup.cut_words("a b", [(0, 2)]) == ""
