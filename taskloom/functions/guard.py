@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schema import COMPETENCES, MODEL_JSON, TOPICS_BY_CLASS
+from ..schema import COMPETENCES, CONFIDENCE, MODEL_JSON, TOPICS_BY_CLASS
 from .points import PART, max_points, safe_points
 from .textual import S, circled, found, jaccard, js_number, js_round, let, lines, nfkc, or_else, sub, text, trim
 
@@ -17,6 +20,26 @@ STOP = (
 COMMANDS = "frac|sqrt|cdot|times|div|leq|geq|neq|mathbb|left|right"
 TASK_LINE = rf"(?i)^{S}*(?:Aufgabe{S}*)?(\d{{1,2}}){S}*(?:[:.)]|{S}+\()"
 LEAST_PROSE, LEAST_RATIO, MOST_RATIO = 0.78, 0.62, 1.55
+# Characters of a text that can be trusted, and of texts that are sent to a model.
+TRUSTED_CHARS, QUESTION_CHARS, PAGE_CHARS = 120, 10_500, 13_000
+# Why a correction is rejected; a to d stand for what both sides have.
+REASONS = {
+    "empty": "leerer Text",
+    "tasks": "Aufgabennummern wurden verändert ({a} → {b})",
+    "parts": "Teilaufgaben wurden verändert ({a} → {b})",
+    "numbers": "Zahleninhalt wurde verändert; Korrektur aus Sicherheitsgründen verworfen",
+    "prose": "zu große Textabweichung ({a} % Prosa-Übereinstimmung)",
+    "size": "Textlänge unplausibel verändert ({a} %)",
+    "headings": "zusätzliche Aufgabenüberschriften erkannt",
+}
+# Seconds to wait if no limit is named, and the least ones.
+DEFAULT_WAIT, LEAST_WAIT = 8.0, 1.0
+
+
+def _reason(name: str, **values: Column) -> Column:
+    """The text of a reason with values in place of its letters."""
+    parts = re.split(r"\{([a-d])\}", REASONS[name])
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
 def task_numbers(c: Column) -> Column:
@@ -54,13 +77,13 @@ def check_correction(original: Column, corrected: Column, normal: bool = True) -
         prose = jaccard(a["prose"], b["prose"])
         ratio = b["size"] / F.greatest(F.lit(1), a["size"])
         return (
-            F.when((a["size"] == 0) | (b["size"] == 0), F.lit("leerer Text"))
-            .when(joined(a["tasks"], ",") != joined(b["tasks"], ","), F.concat(F.lit("Aufgabennummern wurden verändert ("), joined(a["tasks"], ","), F.lit(" → "), joined(b["tasks"], ","), F.lit(")")))
-            .when(joined(a["parts"], "|") != joined(b["parts"], "|"), F.concat(F.lit("Teilaufgaben wurden verändert ("), joined(a["parts"], ","), F.lit(" → "), joined(b["parts"], ","), F.lit(")")))
-            .when(joined(a["numbers"], "|") != joined(b["numbers"], "|"), F.lit("Zahleninhalt wurde verändert; Korrektur aus Sicherheitsgründen verworfen"))
-            .when(prose < LEAST_PROSE, F.concat(F.lit("zu große Textabweichung ("), pct(prose), F.lit(" % Prosa-Übereinstimmung)")))
-            .when((ratio < LEAST_RATIO) | (ratio > MOST_RATIO), F.concat(F.lit("Textlänge unplausibel verändert ("), pct(ratio), F.lit(" %)")))
-            .when(b["heads"] > a["heads"] + 1, F.lit("zusätzliche Aufgabenüberschriften erkannt"))
+            F.when((a["size"] == 0) | (b["size"] == 0), _reason("empty"))
+            .when(joined(a["tasks"], ",") != joined(b["tasks"], ","), _reason("tasks", a=joined(a["tasks"], ","), b=joined(b["tasks"], ",")))
+            .when(joined(a["parts"], "|") != joined(b["parts"], "|"), _reason("parts", a=joined(a["parts"], ","), b=joined(b["parts"], ",")))
+            .when(joined(a["numbers"], "|") != joined(b["numbers"], "|"), _reason("numbers"))
+            .when(prose < LEAST_PROSE, _reason("prose", a=pct(prose)))
+            .when((ratio < LEAST_RATIO) | (ratio > MOST_RATIO), _reason("size", a=pct(ratio)))
+            .when(b["heads"] > a["heads"] + 1, _reason("headings"))
             .otherwise(F.lit(""))
         )
 
@@ -68,12 +91,26 @@ def check_correction(original: Column, corrected: Column, normal: bool = True) -
     return let(let(pair, judged), lambda reason: F.struct((reason == "").alias("ok"), reason.alias("reason")))
 
 
-def apply_corrections(pages: DataFrame, corrections: DataFrame) -> DataFrame:
+def trusted_page(c: Column) -> Column:
+    """A page's text can anchor a correction: long enough and with a task number."""
+    c = trim(text(c))
+    return (F.length(c) >= TRUSTED_CHARS) & (F.size(task_numbers(c)) > 0)
+
+
+def trusted_document(c: Column, n_drafts: Column, n_pages: Column) -> Column:
+    """A document's text can be corrected: long enough, with tasks and pages."""
+    return (F.length(trim(text(c))) >= TRUSTED_CHARS) & (n_drafts > 0) & (n_pages > 0)
+
+
+def apply_corrections(pages: DataFrame, corrections: DataFrame, trusted: bool = False) -> DataFrame:
     """pages (doc, page, text) with the corrected text where a correction passes, and an outcome.
 
-    outcome: repaired, rejected (with reason), or skipped where no correction is proposed.
+    outcome: repaired, rejected (with reason), or skipped where no correction is proposed; with ``trusted``
+    also on pages whose text can't anchor one.
     """
     both = pages.join(corrections.select("doc", "page", F.col("text").alias("proposed")), ["doc", "page"], "left")
+    if trusted:
+        both = both.withColumn("proposed", F.when(trusted_page(F.col("text")), F.col("proposed")))
     both = both.withColumn("check", check_correction(F.col("text"), F.col("proposed")))
     some = F.col("proposed").isNotNull()
     return both.select(
@@ -85,6 +122,53 @@ def apply_corrections(pages: DataFrame, corrections: DataFrame) -> DataFrame:
     )
 
 
+def corrected_text(answer: Column) -> Column:
+    """The trimmed ``correctedText`` of a model's JSON answer; null if there is none that is a text."""
+    is_text = F.schema_of_variant(F.try_variant_get(F.try_parse_json(answer), "$.correctedText", "variant")) == "STRING"
+    return F.when(is_text, F.nullif(trim(F.from_json(answer, "correctedText string")["correctedText"]), F.lit("")))
+
+
+def retry_seconds(retry_after: Column, reset: Column, least: float = LEAST_WAIT, default: float = DEFAULT_WAIT) -> Column:
+    """Seconds to wait: a positive ``retry_after``, else the seconds, else milliseconds that ``reset`` names, else a default."""
+    after = trim(text(retry_after)).try_cast("double")
+    seconds, milli = (F.nullif(F.regexp_extract(text(reset), rf"(?i)([0-9.]+){unit}", 1), F.lit("")) for unit in ("s", "ms"))
+    named = F.when(seconds.isNotNull(), F.greatest(F.lit(least), seconds.try_cast("double"))).when(milli.isNotNull(), F.greatest(F.lit(least), milli.try_cast("double") / 1000))
+    return F.when(after > 0, after).otherwise(F.coalesce(named, F.lit(default)))
+
+
+def prompt(template: str, limit: int, body: Column, **fields: Column) -> Column:
+    """A template with ``{name}`` fields filled in, and ``{body}`` with the first ``limit`` characters of a text.
+
+    The template is the caller's; a field that is null or empty leaves nothing.
+    """
+    values = {k: text(v) for k, v in fields.items()} | {"body": F.substring(text(body), 1, limit)}
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def answers(rows: DataFrame, prompt_col: str, ask, out_col: str = "answer") -> DataFrame:
+    """``rows`` with the answers of an injected callable to the prompts, one after the other within a task.
+
+    ``ask`` takes a prompt and returns a text or null. A failure leaves a null answer and its message in
+    ``<out_col>_error``; retries and limits are the callable's.
+    """
+
+    def run(batches):
+        for b in batches:
+            said, failed = [], []
+            for p in b[prompt_col]:
+                try:
+                    said.append(ask(p))
+                    failed.append(None)
+                except Exception as e:  # the callable is not ours
+                    said.append(None)
+                    failed.append(str(e))
+            yield b.assign(**{out_col: said, f"{out_col}_error": failed})
+
+    schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType()), T.StructField(f"{out_col}_error", T.StringType())])
+    return rows.mapInPandas(run, schema)
+
+
 def page_outcomes(pages: DataFrame) -> DataFrame:
     """Page lists by outcome for each document."""
     listed = lambda k: F.sort_array(F.collect_list(F.when(F.col("outcome") == k, F.col("page")))).alias(f"{k}_pages")
@@ -92,7 +176,9 @@ def page_outcomes(pages: DataFrame) -> DataFrame:
 
 
 def repair_mark(source_pages: Column, repaired: Column, rejected: Column) -> Column:
-    return F.when(F.arrays_overlap(source_pages, repaired), "repaired").when(F.arrays_overlap(source_pages, rejected), "rejected").otherwise("none")
+    """visual if a page of the draft was repaired, else rejected if one was rejected, else none."""
+    met = lambda pages: F.coalesce(F.arrays_overlap(source_pages, pages), F.lit(False))
+    return F.when(met(repaired), "visual").when(met(rejected), "rejected").otherwise("none")
 
 
 def unit_interval(c: Column) -> Column:
@@ -100,34 +186,40 @@ def unit_interval(c: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))))
 
 
-def refine(drafts: DataFrame, json_col: str, by_class: dict[str, list[str]] = TOPICS_BY_CLASS) -> DataFrame:
+def refine(drafts: DataFrame, json_col: str, by_class: dict[str, list[str]] = TOPICS_BY_CLASS, default_class: str | None = None, default_topic: str | None = None) -> DataFrame:
     """Drafts with the fields of a model's JSON where they are valid, else their own.
 
-    Points that the document states are preserved. A field that does not parse counts as missing.
+    Points that the document states are preserved. A field that does not parse counts as missing. Without an
+    answer, or with one that is no JSON object, the draft stays as it is. A default class or topic that is known
+    goes before the draft's own.
     """
-    m = F.from_json(F.col(json_col), MODEL_JSON)
+    own = F.lit(default_class) if default_class in by_class else F.col("class_level")
+    m = F.when(F.try_parse_json(json_col).isNotNull() & trim(F.col(json_col)).startswith("{"), F.from_json(F.col(json_col), MODEL_JSON))
     rows = drafts.withColumn("__m", m)
     topics = F.create_map(*[x for k, v in by_class.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]).cast("array<string>"))])
-    allowed = F.coalesce(F.try_element_at(topics, F.col("class_level")), F.array().cast("array<string>"))
+    allowed = F.coalesce(F.try_element_at(topics, own), F.array().cast("array<string>"))
     kept = (F.col("points_source") == "document") & (text("points_raw") != "")
     said = safe_points(F.col("__m.pointsRaw"), or_else(text("points_raw"), F.lit("2")))
     raw = F.when(kept, F.col("points_raw")).otherwise(said)
     most = max_points(raw)
-    chosen = F.when(F.array_contains(allowed, F.col("__m.topic")), F.col("__m.topic")).when(F.array_contains(allowed, F.col("topic")), F.col("topic")).otherwise(F.coalesce(F.get(allowed, F.lit(0)), F.lit("")))
+    fallback = F.when(F.array_contains(allowed, F.lit(default_topic)), F.lit(default_topic)).otherwise(F.col("topic")) if default_topic else F.col("topic")
+    chosen = F.when(F.array_contains(allowed, F.col("__m.topic")), F.col("__m.topic")).when(F.array_contains(allowed, fallback), fallback).otherwise(F.coalesce(F.get(allowed, F.lit(0)), F.lit("")))
     truthy = lambda c, d: F.when(c.isNotNull() & (c != 0) & ~F.isnan(c), c).otherwise(d)
     names = ("Topic", "Competence", "Afb", "Time", "Expectation")
-    return rows.withColumns(
-        {
-            "title": or_else(trim(or_else(F.col("__m.title"), text("title"))), text("title")),
-            "topic": chosen,
-            "competence": F.when(F.col("__m.competence").isin(COMPETENCES), F.col("__m.competence")).otherwise(F.col("competence")),
-            "afb_raw": trim(or_else(F.col("__m.afbRaw"), or_else(text("afb_raw"), F.lit("AFB 1")))),
-            "points_raw": raw,
-            "max_points": truthy(most, F.coalesce("max_points", F.lit(0.0))),
-            "points_source": F.when(kept, "document").otherwise("llm"),
-            "estimated_time": F.greatest(F.lit(0.0), truthy(F.col("__m.estimatedTime"), F.coalesce(F.col("estimated_time").cast("double"), F.lit(0.0)))),
-            "expectation": trim(or_else(F.col("__m.expectation"), text("expectation"))),
-            "analysis_mode": F.lit("llm"),
-            "confidence": F.struct(*[unit_interval(F.col(f"__m.confidence{n}")).alias(n.lower()) for n in names]),
-        }
-    ).drop("__m")
+    new = {
+        "title": or_else(trim(or_else(F.col("__m.title"), text("title"))), text("title")),
+        "class_level": own,
+        "topic": chosen,
+        "competence": F.when(F.col("__m.competence").isin(COMPETENCES), F.col("__m.competence")).otherwise(F.col("competence")),
+        "afb_raw": trim(or_else(F.col("__m.afbRaw"), or_else(text("afb_raw"), F.lit("AFB 1")))),
+        "points_raw": raw,
+        "max_points": truthy(most, F.coalesce("max_points", F.lit(0.0))),
+        "points_source": F.when(kept, "document").otherwise("llm"),
+        "estimated_time": F.greatest(F.lit(0.0), truthy(F.col("__m.estimatedTime"), F.coalesce(F.col("estimated_time").cast("double"), F.lit(0.0)))),
+        "expectation": trim(or_else(F.col("__m.expectation"), text("expectation"))),
+        "analysis_mode": F.lit("llm"),
+        "confidence": F.struct(*[unit_interval(F.col(f"__m.confidence{n}")).alias(n.lower()) for n in names]),
+    }
+    types = dict(drafts.dtypes)
+    before = {k: F.col(k).cast(CONFIDENCE if k == "confidence" else "double" if k == "estimated_time" else types[k]) if k in types else F.lit("heuristic") if k == "analysis_mode" else F.lit(None) for k in new}
+    return rows.withColumns({k: F.when(F.col("__m").isNotNull(), v).otherwise(before[k]) for k, v in new.items()}).drop("__m")

@@ -106,7 +106,7 @@ def document_points(chunk: Column) -> Column:
 def heuristic_points(chunk: Column) -> Column:
     """Points by wording: 3, 2 or 1 for each sub-task, else 4, 3 or 2 for the whole."""
     body = text(chunk)
-    parts = F.slice(F.split(body, PART, -1), 2, F.lit(1_000_000))
+    parts = F.filter(F.split(body, PART, -1), lambda p, i: i > 0)
 
     def worth(p: Column) -> Column:
         low = F.lower(p)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import AFBS, COMPETENCES, GRADES
@@ -57,6 +57,23 @@ def total_afb(tasks: DataFrame, mode: str = "mandatory", *keys: str) -> DataFram
     return tasks.select(*keys, row.alias("row")).groupBy(*keys).agg(*sums)
 
 
+def task_sums(parts: DataFrame, *keys: str) -> DataFrame:
+    """A row a task: n_parts, points, and level sums ``mandatory`` and ``by_afb``, from rows of its sub-tasks.
+
+    parts: keys, afb, is_star, points. One aggregate with partial sums, for variants that need no order.
+    """
+
+    def levels(when: Column) -> Column:
+        return F.struct(*[F.sum(F.when(when & (F.col("afb") == k), F.col("points")).otherwise(0.0)).alias(k.lower()) for k in AFBS])
+
+    return parts.groupBy(*keys).agg(F.count("*").alias("n_parts"), F.sum("points").alias("points"), levels(~F.col("is_star")).alias("mandatory"), levels(F.lit(True)).alias("by_afb"))
+
+
+def level_totals(rows: DataFrame, level: str, *keys: str) -> DataFrame:
+    """Sums by level of a struct column; null rows count as nothing."""
+    return rows.groupBy(*keys).agg(*[F.coalesce(F.sum(f"{level}.{k.lower()}"), F.lit(0.0)).alias(k.lower()) for k in AFBS])
+
+
 def percent(part: Column, total: Column) -> Column:
     """Rounded share in percent; 0 if the total is not positive."""
     return F.when(total > 0, js_round(part / F.when(total > 0, total) * 100)).otherwise(F.lit(0)).cast("long")
@@ -71,12 +88,11 @@ def distribution(totals: DataFrame) -> DataFrame:
 
 def by_competence(tasks: DataFrame, names: list[str] = COMPETENCES) -> DataFrame:
     """(ord, competence, n_tasks, points, share) of all names in order, zero-filled; others are left out."""
-    spark = tasks.sparkSession
-    dim = spark.createDataFrame(list(enumerate(names)), "ord int, competence string")
+    dim = tasks.sparkSession.createDataFrame(list(enumerate(names)), "ord int, competence string")
     sums = tasks.groupBy("competence").agg(F.sum("max_points").alias("points"), F.count("*").alias("n_tasks"))
     rows = dim.join(sums, "competence", "left").select("ord", "competence", F.coalesce("n_tasks", F.lit(0)).alias("n_tasks"), F.coalesce("points", F.lit(0.0)).alias("points"))
-    total = rows.agg(F.sum("points").alias("total"))  # one row
-    return rows.join(F.broadcast(total)).select("ord", "competence", "n_tasks", "points", percent(F.col("points"), F.col("total")).alias("share"))
+    total = F.sum("points").over(Window.partitionBy())  # over one row a name
+    return rows.select("ord", "competence", "n_tasks", "points", percent(F.col("points"), total).alias("share"))
 
 
 def form_points(raw: Column) -> Column:

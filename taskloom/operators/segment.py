@@ -14,6 +14,8 @@ STARTS = [
     rf"(?i)^\d{{1,2}}{S}*[:.)\-–]?{S}*\({S}*(?:je{S}*)?{points.SUM}{S}*(?:P\.?|BE){S}*\)",
     rf"(?i)^\d{{1,2}}{S}*[:.)]{S}+(?!(?:Klassenarbeit|Klausur|Test|Teil|Seite|Klasse|Jahrgang(?:sstufe)?)(?![A-Za-z0-9_]))(?![÷×·+=<>−-]){NOT_S}",
 ]
+# Confidences of heuristic fields, and of an expectation that a document states.
+CONFIDENCES, EXPECTED = {"topic": 0.45, "competence": 0.4, "afb": 0.35, "time": 0.45, "expectation": 0.0}, 0.95
 PAGE_MARK = rf"(?i)^{S}*\[\[PAGE:(\d+)\]\]{S}*\z"
 
 
@@ -45,47 +47,97 @@ def segments(rows: DataFrame, is_start: Column) -> DataFrame:
     return rows.withColumn("segment", F.sum(is_start.cast("int")).over(w).cast("int")).where("segment > 0")
 
 
-def task_chunks(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    """(doc, segment, text, pages) of each document's tasks, without headers and footers."""
-    rows = segments(with_pages(document_lines(docs, doc_col, text_col)), starts_task(F.col("line")))
-    own = rows.groupBy("doc", "segment").agg(F.sort_array(F.collect_list(F.struct("line_no", "line", "page"))).alias("rows"))
-    chunk = F.array_join(F.transform("rows", lambda r: r["line"]), "\n")
-    pages = F.array_distinct(F.filter(F.transform("rows", lambda r: r["page"]), lambda p: p.isNotNull()))
-    return own.select("doc", "segment", documents.clean_chunk(chunk).alias("text"), pages.alias("pages")).where(F.length("text") > 0)
+def task_chunks(docs: DataFrame, doc_col: str, text_col: str, *keep: str) -> DataFrame:
+    """(doc, segment, text, pages, ...keep) of each document's tasks, without headers and footers.
 
-
-def drafts(chunks: DataFrame, name: Column, default_class: Column | None = None, default_topic: Column | None = None) -> DataFrame:
-    """Heuristic drafts of task chunks (doc, segment, text, pages)."""
+    One pass over a document's lines, which need no shuffle: a running page and segment go with each line.
+    """
+    rows = docs.select(F.col(doc_col).alias("doc"), *keep, lines(circled(text(text_col))).alias("l"))
+    marked = F.transform("l", lambda x: F.struct(x.alias("line"), F.regexp_extract(x, PAGE_MARK, 1).alias("mark"), starts_task(x).alias("start")))
+    rows = rows.select("doc", *keep, marked.alias("l"))
+    starts = F.filter(F.transform("l", lambda x, i: F.when(x["start"] & (x["mark"] == ""), i)), lambda i: i.isNotNull())
+    marks = F.filter(F.transform("l", lambda x, i: F.when(x["mark"] != "", F.struct(i.alias("at"), x["mark"].cast("int").alias("page")))), lambda m: m.isNotNull())
+    rows = rows.select("doc", *keep, "l", F.size("l").alias("size"), starts.alias("starts"), marks.alias("marks"))
+
+    def chunk(start: Column, n: Column) -> Column:
+        end = F.coalesce(F.get("starts", n + 1), F.col("size"))
+        own = F.filter(F.slice("l", start + 1, end - start), lambda x: x["mark"] == "")
+        before = F.try_element_at(F.filter("marks", lambda m: m["at"] < start), F.lit(-1))["page"]
+        # pages that begin within the task and have a line of it: the next mark or end isn't the next line
+        after = F.transform("marks", lambda m, k: F.struct(m["at"].alias("at"), m["page"].alias("page"), F.least(F.coalesce(F.get("marks", k + 1)["at"], end), end).alias("until")))
+        within = F.transform(F.filter(after, lambda m: (m["at"] > start) & (m["until"] > m["at"] + 1)), lambda m: m["page"])
+        pages = F.array_distinct(F.filter(F.concat(F.array(before), within), lambda p: p.isNotNull()))
+        return F.struct((n + 1).alias("segment"), F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("chunk"), pages.alias("pages"))
+
+    own = rows.select("doc", *keep, F.inline(F.transform("starts", chunk)))
+    return own.select("doc", *keep, "segment", documents.clean_chunk(F.col("chunk")).alias("text"), "pages").where(F.length("text") > 0)
+
+
+def drafts(chunks: DataFrame, name: Column, default_class: Column | None = None, default_topic: Column | None = None, images: Column | None = None, is_pdf: Column | None = None) -> DataFrame:
+    """Heuristic drafts of task chunks (doc, segment, text, pages).
+
+    images: the images of the chunk's document; a PDF with a single image lends it to tasks that speak of one.
+    Values used by several columns are bound once.
+    """
     rows = chunks.withColumn("images", documents.image_indices(F.col("text"))).withColumn("body", documents.without_images(F.col("text")))
-    rows = rows.withColumn("heading", F.split("body", "\n", 2)[0]).withColumn("task_no", documents.task_number(F.col("heading")))
-    rows = rows.withColumn("stated", points.document_points(F.col("body")))
+    first = F.regexp_extract("text", rf"(?m)^.*{NOT_S}.*$", 0)  # the first line that is not blank
+    line = F.substring_index("body", "\n", 1)
+    rows = rows.withColumn("heading", or_else(line, or_else(first, F.lit("Aufgabe"))))
+    rows = rows.withColumn("task_no", documents.task_number(F.col("heading"))).withColumn("stated", points.document_points(F.col("body")))
     rows = rows.withColumn("points_raw", or_else(F.col("stated"), points.heuristic_points(F.col("body"))))
     rows = rows.withColumn("max_points", points.max_points(F.col("points_raw")))
     rows = rows.withColumn("class_level", classify.guess_class(F.concat(name, F.lit("\n"), F.col("body")), default_class))
     rows = rows.withColumn("topic", classify.guess_topic(F.col("body"), F.col("class_level"), default_topic))
     rows = rows.withColumn("title", documents.title(F.col("body"), F.col("heading"), F.col("task_no")))
     rows = rows.withColumn("question_text", documents.question(F.col("body"), F.col("heading")))
+    rows = rows.withColumn("visual", F.concat_ws(" ", "title", "question_text").rlike(documents.VISUAL))
+    picture = F.lit(None).cast("struct<data_url:string,name:string,decorative:boolean>")
+    if images is not None:
+        single = F.when((F.size(images) == 1) & F.col("visual") & F.coalesce(is_pdf if is_pdf is not None else F.lit(False), F.lit(False)), F.get(images, F.lit(0)))
+        picture = usable_image(F.col("images"), images, otherwise=single)
+    rows = rows.withColumn("picture", picture)
     return rows.select(
-        "doc", "segment", "title", "question_text", "class_level", "topic",
+        F.concat_ws("#", F.col("doc").cast("string"), F.col("segment").cast("string")).alias("id"),
+        "doc", "segment", name.alias("source_file"), "title", "question_text", "class_level", "topic",
         classify.guess_competence(F.col("question_text")).alias("competence"),
         classify.guess_afb(F.col("question_text")).alias("afb_raw"),
         "points_raw", "max_points",
         F.when(F.col("stated") != "", "document").otherwise("heuristic").alias("points_source"),
         points.estimated_time(F.col("max_points"), F.col("question_text")).alias("estimated_time"),
         F.lit("").alias("expectation"),
+        F.col("picture.data_url").alias("image_data_url"), F.col("picture.name").alias("image_name"),
         F.lit(True).alias("include"),
         F.lit("heuristic").alias("analysis_mode"),
         F.lit("none").alias("math_repair"),
-        F.concat_ws(" ", "title", "question_text").rlike(documents.VISUAL).alias("visual"),
-        "images", F.col("pages").alias("source_pages"),
-        F.struct(F.lit(0.45).alias("topic"), F.lit(0.4).alias("competence"), F.lit(0.35).alias("afb"), F.lit(0.45).alias("time"), F.lit(0.0).alias("expectation")).alias("confidence"),
+        "visual", "images", F.col("pages").alias("source_pages"),
+        F.struct(*[F.lit(v).alias(k) for k, v in CONFIDENCES.items()]).alias("confidence"),
     )
 
 
-def usable_image(indices: Column, images: Column, limit: int = 350_000) -> Column:
-    """The first image of the indices that exists and is not decorative, if it is small enough."""
+def with_expectations(rows: DataFrame, sources: DataFrame, order: str = "name") -> DataFrame:
+    """Drafts with the expectation of the first fitting row of the sources' tables, and its confidence.
+
+    Rows come in the order of the sources and of their tables.
+    """
+    listed = sources.select(F.col(order).alias("o"), F.posexplode("expectation_rows").alias("i", "r")).select(F.struct("o", "i").alias("ord"), "r.title", "r.expectation")
+    return matched(rows, listed)
+
+
+def matched(rows: DataFrame, expected: DataFrame) -> DataFrame:
+    """Drafts (title, expectation, confidence) with what the first fitting row (ord, title, expectation) says."""
+    best = first_match(rows, expected).withColumnRenamed("ord", "__ord")
+    said = expected.select(F.col("ord").alias("__o"), F.col("expectation").alias("__said"))
+    out = best.join(said, F.col("__ord") == F.col("__o"), "left")
+    hit = F.col("__ord").isNotNull()
+    confidence = F.struct(*[F.when(hit, F.when(text("__said") != "", F.lit(EXPECTED)).otherwise(F.lit(0.0))).otherwise(F.col("confidence.expectation")).alias(k) if k == "expectation" else F.col(f"confidence.{k}").alias(k) for k in CONFIDENCES])
+    return out.withColumn("expectation", F.when(hit, text("__said")).otherwise(F.col("expectation"))).withColumn("confidence", confidence).select(*rows.columns)
+
+
+def usable_image(indices: Column, images: Column, limit: int = 350_000, otherwise: Column | None = None) -> Column:
+    """The first image of the indices that exists and is not decorative, else ``otherwise``, if it is small enough."""
     there = F.filter(F.transform(indices, lambda i: F.get(images, i)), lambda m: m.isNotNull() & ~F.coalesce(m["decorative"], F.lit(False)))
     first = F.get(there, F.lit(0))
+    first = first if otherwise is None else F.coalesce(first, otherwise)
     return F.when(F.length(first["data_url"]) <= limit, first)
 
 

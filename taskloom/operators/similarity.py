@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.points import PART
-from ..functions.textual import B, S, found, jaccard, nfkc, squeeze, sub, text
+from ..functions.textual import B, S, found, jaccard, let, nfkc, squeeze, sub, text
 from ..schema import RELATED_TOPICS, TOPICS_BY_CLASS
 
 # Words that carry no meaning of their own.
@@ -42,7 +45,13 @@ REWRITES = [
     (r"terme?", " term "),
 ]
 # Suffixes by the length that a word has to exceed.
-SUFFIXES = [(7, "(?:ungen|ung|keiten|keit|lichen|liche|lich)$"), (6, "(?:enden|ende|ern|en|es|em)$"), (5, "(?:er|e|n|s)$")]
+SUFFIXES = [(7, ["ungen", "ung", "keiten", "keit", "lichen", "liche", "lich"]), (6, ["enden", "ende", "ern", "en", "es", "em"]), (5, ["er", "e", "n", "s"])]
+#: Texts of which one has to occur where the rewrite of the same place changes anything.
+NEEDED = [
+    ["term aus"], [" term "], ["formuliere"], ["verdopple", "verdoppele", "zweifache"], ["verdreifache"], ["vervierfache"], ["nffache"], ["versechsfache"], ["versiebenfache"], ["verachtfache"], ["verneunfache"],
+    ["verzehnfache"], ["multipliziere", "malnehmen"], ["dividiere", "teile durch"], ["subtrahiere"], ["addiere"], ["summe aus"], ["differenz aus"], ["produkt aus"], ["quotient"], ["gleichung"], ["term"],
+]
+# Fractions, roots, numbers, and mathematical tokens.
 FRACTION, ROOT = r"\\frac\s*\{([^}]*)\}\s*\{([^}]*)\}", r"\\sqrt\s*\{([^}]*)\}"
 NUMBER = r"(?iu)(?<![a-zäöüß])[-+]?\d+(?:[.,]\d+)?"
 MATH = rf"(?i)(?:[-+]?\d+(?:[.,]\d+)?)|(?:{B}[a-z]{B})|(?:frac|sqrt|mathbb_[a-z])|(?:<=|>=|!=|=|\+|-|\*|/|\^|<|>)"
@@ -53,16 +62,24 @@ COLLECT, SHOW, STOP_AT, DESELECT, MOST = 0.46, 0.50, 0.84, 0.97, 5
 
 def canonical(c: Column, normal: bool = True) -> Column:
     """Lower case with uniform operators and blanks. normal: in NFKC first."""
-    c = F.lower(nfkc(text(c)) if normal else text(c))
-    for pattern, to in ((r"[−–—]", "-"), (r"[·⋅×]", "*"), ("÷", "/"), (r"\\cdot|\\times", "*"), (r"\\div", "/"), (r"\\left|\\right", "")):
-        c = sub(c, pattern, to)
-    return squeeze(c)
+    c = F.translate(F.lower(nfkc(text(c)) if normal else text(c)), "−–—·⋅×÷", "---***/")
+
+    def commands(x: Column) -> Column:
+        for pattern, to in ((r"\\cdot|\\times", "*"), (r"\\div", "/"), (r"\\left|\\right", "")):
+            x = sub(x, pattern, to)
+        return x
+
+    return squeeze(let(c, lambda x: F.when(x.contains("\\"), commands(x)).otherwise(x)))
 
 
 def semantic(canon: Column) -> Column:
-    """A canonical text with its wording rewritten."""
-    for pattern, to in REWRITES:
-        canon = sub(canon, pattern, to)
+    """A canonical text with its wording rewritten; a rewrite runs only where a text it needs occurs."""
+
+    def rewrite(pattern: str, to: str, needed: list[str]):
+        return lambda x: F.when(reduce(or_, (x.contains(n) for n in needed)), sub(x, pattern, to)).otherwise(x)
+
+    for (pattern, to), needed in zip(REWRITES, NEEDED):
+        canon = let(canon, rewrite(pattern, to, needed))
     return squeeze(canon)
 
 
@@ -70,14 +87,18 @@ def structural(sem: Column) -> Column:
     return squeeze(sub(sem, r"\d+(?:[.,]\d+)?", "#"))
 
 
-def stem(w: Column) -> Column:
-    for size, suffix in SUFFIXES:
-        w = F.when(F.length(w) > size, F.regexp_replace(w, suffix, "")).otherwise(w)
-    return w
+def stems(words: Column) -> Column:
+    """A text of words between single blanks, each without its suffixes.
+
+    A suffix goes from a word that is longer than its rule says, so from one with so many letters before it.
+    """
+    for size, suffixes in SUFFIXES:
+        words = sub(words, "|".join(rf"(?<=[^ ]{{{size + 1 - len(x)}}}){x}(?= |$)" for x in suffixes))
+    return words
 
 
 def _words(c: Column, least: int) -> Column:
-    return F.filter(F.transform(F.split(c, f"{S}+"), stem), lambda w: (F.length(w) >= least) & ~w.isin(STOPWORDS))
+    return F.filter(F.split(stems(c), " "), lambda w: (F.length(w) >= least) & ~w.isin(STOPWORDS))
 
 
 def literal_tokens(canon: Column) -> Column:
@@ -173,23 +194,34 @@ def _signals(a: Column, b: Column) -> dict[str, Column]:
     }
 
 
+# Conditions on signals that raise the score, as (least signals, least prose words, base, weights).
+RAISES = [
+    ({"semantic": 0.58, "prose": 0.42}, 0, 0.52, {"semantic": 0.18, "prose": 0.08}),
+    ({"semantic": 0.72, "structure": 0.68}, 0, 0.66, {"semantic": 0.16}),
+    ({"prose": 0.84, "structure": 0.78}, 3, 0.76, {"literal": 0.10}),
+]
+# Factors for few common numbers, unlike numbers of sub-tasks, unlike lengths, and few words.
+NUMBERS_FACTOR, PARTS_FACTOR, LENGTH_FACTORS, WORDS_FACTOR = 0.84, 0.88, [(0.42, 0.78), (0.58, 0.88)], 0.72
+NUMBERS_BELOW, PARTS_APART, WORDS_BELOW = {"numbers": 0.20, "prose": 0.68, "semantic": 0.68}, 2, {"semantic": 0.65, "literal": 0.72}
+
+
 def with_score(pairs: DataFrame, a: str = "fa", b: str = "fb", out: str = "score") -> DataFrame:
     """Pairs of feature structs with their similarity in 0 to 1; the signals are computed once."""
     ca, cb = F.col(a), F.col(b)
     rows = pairs.withColumn("__g", F.struct(*[c.alias(k) for k, c in _signals(ca, cb).items()]))
     s = {k: F.col(f"__g.{k}") for k in WEIGHTS}
-    score = sum((w * s[k] for k, w in WEIGHTS.items()), F.lit(0.0))
-    raise_to = lambda when, value: F.when(when, F.greatest(score, value)).otherwise(score)
+    weighted = lambda ws: sum((w * s[k] for k, w in ws.items()), F.lit(0.0))
     many = lambda k, n: (F.size(ca[k]) >= n) & (F.size(cb[k]) >= n)
-    score = raise_to((s["semantic"] >= 0.58) & (s["prose"] >= 0.42), 0.52 + 0.18 * s["semantic"] + 0.08 * s["prose"])
-    score = raise_to((s["semantic"] >= 0.72) & (s["structure"] >= 0.68), 0.66 + 0.16 * s["semantic"])
-    score = raise_to(many("prose", 3) & (s["prose"] >= 0.84) & (s["structure"] >= 0.78), 0.76 + 0.10 * s["literal"])
-    ratio = F.least(F.length(ca["canon"]), F.length(cb["canon"])) / F.greatest(F.length(ca["canon"]), F.length(cb["canon"]), F.lit(1))
+    below = lambda limits: reduce(and_, (s[k] < v for k, v in limits.items()))
+    raised = [F.when(reduce(and_, (s[k] >= v for k, v in least.items()), many("prose", words)), base + weighted(ws)) for least, words, base, ws in RAISES]
+    score = F.greatest(weighted(WEIGHTS), *raised)  # nulls do not count
+    size = lambda c: F.length(c["canon"])
+    ratio = F.least(size(ca), size(cb)) / F.greatest(size(ca), size(cb), F.lit(1))
     few = (F.size(ca["prose"]) <= 1) & (F.size(cb["prose"]) <= 1)
-    damp = F.when(many("numbers", 2) & (s["numbers"] < 0.20) & (s["prose"] < 0.68) & (s["semantic"] < 0.68), 0.84).otherwise(1.0)
-    damp = damp * F.when((ca["parts"] > 0) & (cb["parts"] > 0) & (F.abs(ca["parts"] - cb["parts"]) >= 2), 0.88).otherwise(1.0)
-    damp = damp * F.when(ratio < 0.42, 0.78).when(ratio < 0.58, 0.88).otherwise(1.0)
-    damp = damp * F.when(few & (s["semantic"] < 0.65) & (s["literal"] < 0.72), 0.72).otherwise(1.0)
+    by_length = F.when(ratio < LENGTH_FACTORS[0][0], LENGTH_FACTORS[0][1]).when(ratio < LENGTH_FACTORS[1][0], LENGTH_FACTORS[1][1])
+    damp = F.when(many("numbers", 2) & below(NUMBERS_BELOW), NUMBERS_FACTOR).otherwise(1.0) * by_length.otherwise(1.0)
+    damp = damp * F.when((ca["parts"] > 0) & (cb["parts"] > 0) & (F.abs(ca["parts"] - cb["parts"]) >= PARTS_APART), PARTS_FACTOR).otherwise(1.0)
+    damp = damp * F.when(few & below(WORDS_BELOW), WORDS_FACTOR).otherwise(1.0)
     final = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score * damp))
     empty = (ca["canon"] == "") | (cb["canon"] == "")
     return rows.withColumn(out, F.when(empty, F.lit(0.0)).when(ca["canon"] == cb["canon"], F.lit(1.0)).otherwise(final)).drop("__g")

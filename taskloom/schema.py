@@ -60,6 +60,9 @@ TASK = T.StructType(
     + [T.StructField("points_by_afb", T.MapType(T.StringType(), T.DoubleType())), T.StructField("sub_tasks", T.ArrayType(SUB_TASK))]
 )
 
+#: Confidences of a draft's fields.
+CONFIDENCE = "struct<topic:double,competence:double,afb:double,time:double,expectation:double>"
+
 #: What an external model returns for a draft; a field that does not parse becomes null.
 MODEL_JSON = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("title", "topic", "competence", "afbRaw", "pointsRaw", "expectation")]

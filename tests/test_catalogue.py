@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from taskloom.plans import catalogue
+from taskloom.plans import catalogue, pools, reviewing  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

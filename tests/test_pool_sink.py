@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from taskloom.operators import sink
+from taskloom.operators import imports, sheets, sink
 from taskloom.sources import documents, pool
 
 RECORDS = [
@@ -69,7 +69,7 @@ def test_adapt(spark, ev):
 def test_commit(spark, tmp_path):
     d = spark.createDataFrame([("a", "q", "7", "T", "M", True), ("", "q", "7", "T", "M", True), ("b", "q", "7", "U", "M", True), ("c", "q", "7", "T", "M", False)], "title string, question_text string, class_level string, topic string, competence string, include boolean")
     known = spark.createDataFrame([("7", "T", "M")], "class_level string, topic string, competence string")
-    assert tuple(sink.commit(d, known, str(tmp_path / "p")).first()) == (1, 2)
+    assert tuple(sink.report(sink.commit(d, known, str(tmp_path / "p"), str(tmp_path / "w"))).first()) == (1, 2)
     assert spark.read.parquet(str(tmp_path / "p")).count() == 1
     failed = sink.outcomes(d, known).where("not ok")
     assert sorted(r.title for r in sink.still_open(d, failed).collect()) == ["", "b"]
@@ -79,10 +79,71 @@ def test_selection_and_sheet(spark):
     tasks = spark.createDataFrame([(i, f"t{i}", "", float(i), "") for i in range(1, 6)], "id int, title string, points_raw string, max_points double, expectation string")
     chosen = spark.createDataFrame([(0, 4), (1, 2), (2, 9), (3, 5), (4, 1)], "ord int, id int")
     flags = spark.createDataFrame([(2, True)], "id int, on_extra_sheet boolean")
-    rows = sink.numbered(sink.selection(tasks, chosen, flags))
+    rows = sheets.numbered(sheets.selection(tasks, chosen, flags))
     assert [(r.id, r.number, r.on_extra_sheet) for r in rows.orderBy("number").collect()] == [(4, 1, False), (2, 2, True), (5, 3, False), (1, 4, False)]
-    assert [tuple(r) for r in sink.overview(rows).orderBy("grid_row").collect()] == [(0, "t4", "t2", "t5"), (1, "t1", "", "")]
-    assert sink.expectation_sheet(rows).where("number = 1").first().expectation == "–"
+    grid = [tuple(r) for r in sheets.overview(rows).orderBy("grid_row").collect()]
+    assert grid == [(0, "Aufgabe 1", "4", "Aufgabe 2", "2", "Aufgabe 3", "5"), (1, "Aufgabe 4", "1", "", "", "", "")]
+    first = sheets.expectation_sheet(rows).where("number = 1").first()
+    assert (first.title, first.expectation, first.points) == ("t4", "–", "4")
+
+
+def test_headings(ev):
+    head = lambda title, raw: ev(sheets.heading(F.lit(1), F.lit(title), F.lit(raw), F.lit(2.0)))
+    assert head("T", " 3+4 ") == "Aufgabe 1: T (3+4 P.)" and head("", "") == "Aufgabe 1: Aufgabe (2 P.)"
+
+
+def test_unknown_source_is_an_error(spark):
+    ids = spark.createDataFrame([("Mathematik", "d-b", "7", "Terme")], "competence string, source_id string, class_level string, topic string")
+    kids = spark.createDataFrame([("db", 0, "k-1"), ("db", 1, "k2"), ("x", 0, "")], "database_id string, source_ord int, child_id string")
+    known = spark.createDataFrame([("o-wn",)], "source_id string")
+    assert sorted(r.data_source_id for r in pool.resolve_sources(ids, kids, known).collect()) == ["k1", "k2"]
+    own = ids.withColumn("source_id", F.lit("ow-n"))
+    assert [r.data_source_id for r in pool.resolve_sources(own, kids, known).collect()] == ["own"]
+    with pytest.raises(Exception, match="Mathematik: unknown source no"):
+        pool.resolve_sources(ids.withColumn("source_id", F.lit("no")), kids, known).collect()
+    with pytest.raises(ValueError):
+        pool.load_tasks(own, own, kids, known, "7", None)
+
+
+def test_paged_source(spark, tmp_path):
+    from taskloom.sources import paged
+
+    def page(source, name, results, after=None):
+        (tmp_path / source).mkdir(exist_ok=True)
+        (tmp_path / source / f"{name}.json").write_text(json.dumps({"results": results, "has_more": after is not None, "next_cursor": after}))
+
+    page("s1", "start", RECORDS[:1], "c2")
+    page("s1", "c2", RECORDS[1:])
+    page("s2", "start", [])
+    rows = paged.read_paged(spark, str(tmp_path))
+    assert sorted(r.id for r in rows.collect()) == ["p1", "p2"]
+    assert {r.title for r in pool.read_tasks(rows).collect()} == {"Summe", "Aufgabe"}
+    assert paged.read_paged(spark, str(tmp_path), ["s2"]).count() == 0
+    page("s2", "start", [], "start")
+    with pytest.raises(Exception, match="bad cursor"):
+        paged.read_paged(spark, str(tmp_path), ["s2"]).collect()
+
+
+def test_commit_that_cannot_be_written(spark, tmp_path):
+    d = spark.createDataFrame([("a", "q", "7", "T", "M", True)], "title string, question_text string, class_level string, topic string, competence string, include boolean")
+    known = spark.createDataFrame([("7", "T", "M")], "class_level string, topic string, competence string")
+    (tmp_path / "p").write_text("a file, no folder")
+    row = sink.commit(d, known, str(tmp_path / "p"), str(tmp_path / "w")).first()
+    assert not row.ok and row.error.startswith("not written: ")
+
+
+def test_import_without_tasks_and_bad_files(spark):
+    files = spark.createDataFrame([("leer.txt", "txt", "", b"nichts"), ("x.odd", "odd", "", b"?"), ("kaputt.docx", "docx", "", b"no"), ("p.pdf", "pdf", "", b"%"), ("gut.txt", "txt", "", "1. Rechne 3 + 4\n2. Zeichne".encode())], "name string, extension string, mime_type string, content binary")
+    pages = spark.createDataFrame([("p.pdf", 2, "Aufgabe 1: x"), ("p.pdf", 1, "vorab")], "name string, page_number int, text string")
+    nothing = spark.createDataFrame([], "task_id string, title string, question_text string, class_level string, topic string, scan_ord int")
+    done = imports.import_documents(files, nothing, "8", "Statistik", pages=pages)
+    assert {tuple(r) for r in done.errors.collect()} == {("leer.txt", "no tasks"), ("x.odd", "unsupported type: odd"), ("kaputt.docx", "no tasks")}
+    drafts = {(r.source_file, r.segment): r for r in done.drafts.collect()}
+    assert set(drafts) == {("gut.txt", 1), ("gut.txt", 2), ("p.pdf", 1)}
+    assert {r.class_level for r in drafts.values()} == {"8"} and {r.topic for r in drafts.values()} == {"Statistik"} and drafts["p.pdf", 1].source_pages == [2]
+    assert [tuple(r) for r in done.warnings.collect()] == [("p.pdf", "sparse", None, "")]
+    again = imports.refined(done.drafts.withColumn("said", F.lit('{"topic": "Flächen"}')), "said", nothing)
+    assert {(r.topic, r.analysis_mode, r.duplicate) for r in again.collect()} == {("Flächen", "llm", None)}
 
 
 def test_docx():
@@ -99,7 +160,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.xyz").write_text("?")
     files = documents.read_files(spark, str(tmp_path))
     rows = {r.name: (r.text, r.error) for r in documents.extract(files).collect()}
-    assert rows == {"a.txt": ("hallo", None), "b.xyz": (None, "unsupported type: xyz")}
+    assert rows == {"a.txt": ("hallo", None), "b.xyz": ("", "unsupported type: xyz")}
     assert documents.upload_problem(files).first().problem is None
 
 

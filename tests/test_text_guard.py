@@ -18,7 +18,7 @@ def test_text_primitives(ev):
 
 
 def test_similarity_pieces(ev):
-    stem = lambda w: ev(sim.stem(F.lit(w)))
+    stem = lambda w: ev(sim.stems(F.lit(w)))
     assert stem("gleichungen") == "gleich" and stem("aufgaben") == "aufgab"
     assert ev(sim.number_tokens(F.lit("x12 -3,5 +2"))) == ["2", "-3.5", "+2"]
     assert ev(sim.math_tokens(F.lit("möglich x"))) == ["m", "x"]
@@ -157,10 +157,9 @@ def test_pairs_need_no_common_first_word(spark):
     a, b = rows(["neu", "kopie", "text"], []), rows(["alt", "kopie", "text", "text"], [], ["fremd"])
     found = {(r.a, r.b): (r.n, r.m, r.common) for r in catalogue._common(a, b, "a", "b").collect()}
     assert found == {(0, 0): (3, 3, 2), (1, 1): (0, 0, 1)}
-    every = {name: catalogue.QUERIES[name](spark, "/root/testdata/sf0.001") for name in ("trigram_dice", "trigram_dice_all", "jaccard_documents")}
-    some = {tuple(r) for r in every["trigram_dice"].where("dice > 0").collect()}
-    more = {tuple(r) for r in every["trigram_dice_all"].collect()}
-    assert some <= more and len(more) > len(some)
+    every = {name: catalogue.QUERIES[name](spark, "/root/testdata/sf0.001") for name in ("trigram_dice", "jaccard_documents")}
+    n = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()
+    assert every["trigram_dice"].count() == n * (n - 1) // 2
     assert every["jaccard_documents"].select("doc_id").distinct().count() > 1
 
 
@@ -169,5 +168,5 @@ def test_entity_decode_reads_pages(spark, tmp_path):
 
     rows = [(1, "<b>&amp;lt; x &#39;y&#39;</b>"), (2, "&quot;z&quot;")]
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    found = {r.page_id: r.decoded for r in catalogue.QUERIES["entity_decode_pages"](spark, str(tmp_path)).collect()}
-    assert found == {i: hashlib.md5(t.encode()).hexdigest() for i, t in [(1, "<b>< x 'y'</b>"), (2, '"z"')]}
+    found = {r.page_id: r.decoded for r in catalogue.QUERIES["entity_decode"](spark, str(tmp_path)).collect()}
+    assert found == {i: hashlib.md5(t.encode()).hexdigest() for i, t in [(1, "<b>< x 'y'</b>é€<"), (2, '"z"é€<')]}
