@@ -1,33 +1,40 @@
 """SimHash near-duplicates, searched with a forest of vantage-point trees.
 
-A plain vantage-point tree prunes little on 64-bit fingerprints: unrelated ones all lie about 32
-bits apart, so a ball of radius 3 crosses most boundaries. The forest therefore has one tree for
-each block of bits (``max_distance + 1`` blocks by default). The Hamming distance within a block
-is a pseudo-metric with the triangle inequality, and a pair within ``max_distance`` agrees wholly
-on one block at least, so there the search radius is 0: a tree sends a fingerprint to the one
-branch given by its distance shells from the tree's vantage points, and the bound
-|d(x,v) - d(y,v)| <= d(x,y) = 0 prunes every other branch. Shards that are still large (a group of
-near copies agrees on a whole block) are divided again by a vantage point of their own under the
-full distance, in shells wider than the radius; fingerprints within the radius of a shell's edge
-visit the neighbouring shard too. No pair is lost; what is emitted are the edges of a spanning
-forest of each shard, never all pairs.
+One vantage-point tree over 64-bit fingerprints prunes next to nothing: unrelated ones all lie about 32
+bits apart, so a ball of radius 3 crosses most boundaries. The forest has a tree for each of several
+projections to blocks of bits: of ``blocks`` blocks, a pair within ``max_distance`` bits agrees wholly on
+``blocks - max_distance`` of them at least. The Hamming distance of a projection is a pseudo-metric, and
+there such a pair is at distance 0, so the triangle bound leaves one branch at a tree's root: the shard of
+the projected value. ``blocks`` is the least number for which the shards of evenly spread fingerprints are
+small, so it grows with the corpus; results are the same for any number.
+
+Shards that are large all the same are divided by vantage-point nodes: the vantage point is a fingerprint of
+the shard, the radius the median of all distances to it under the full metric. What lies within the radius
+goes to the inner shard, the rest to the outer one, and by the triangle bound only fingerprints up to
+``max_distance`` beyond the radius can be near one within, so these visit the inner shard too. Fingerprints
+within ``max_distance`` of the vantage point are linked to it. This goes on until shards are small, or a
+vantage point does not divide them (a dense ball); these are compared in blocks of rows that any number of
+tasks share. Leaves are scanned. No pair is lost; what is emitted are the edges of a spanning forest of each leaf.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import fresh, materialize, slices
 from .components import components
 
 SEED = 42
+#: Even fingerprints in a shard at most, and rows over which a shard is divided.
+LEAF, LEAF_LIMIT = 512, 4096
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -74,37 +81,54 @@ def _distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def vantage_points(mask: int, n: int) -> list[int]:
-    """Vantage points of a tree: fixed digests, cut to the tree's block."""
-    return [_signed(xxhash.xxh64_intdigest(f"vantage {i}", SEED) & mask) for i in range(n)]
+def block_count(n: int, max_distance: int, leaf: int = LEAF, bits: int = 64) -> int:
+    """The least number of blocks for which ``n`` even fingerprints give shards of ``leaf`` at most."""
+    blocks = max_distance + 1
+    while blocks < bits and n > leaf * 2 ** (bits * (blocks - max_distance) / blocks):
+        blocks += 1
+    return blocks
 
 
-def shards(nodes: DataFrame, blocks: int, max_distance: int, depth: int) -> DataFrame:
-    """(shard, fp): each fingerprint once for each tree, in the leaf its distance shells lead to."""
-    leaves = []
-    for t, mask in enumerate(masks(blocks, max_distance)):
-        part = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
-        leaves.append(F.xxhash64(F.lit(t), *[_distance(part, F.lit(v)) for v in vantage_points(mask, depth)]))
-    return nodes.select(F.explode(F.array(*leaves)).alias("shard"), "fp")
+def shards(nodes: DataFrame, blocks: int, max_distance: int) -> DataFrame:
+    """(shard, fp): each fingerprint once for each tree, in the shard of its projection."""
+    roots = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(mask)))) for t, mask in enumerate(masks(blocks, max_distance))]
+    return nodes.select(F.explode(F.array(*roots)).alias("shard"), "fp")
 
 
-def divided(rows: DataFrame, limit: int, radius: int, rounds: int) -> DataFrame:
-    """Divide shards of over ``limit`` rows by distance from one of their own fingerprints.
+def divided(rows: DataFrame, limit: int, radius: int) -> tuple[DataFrame, DataFrame | None]:
+    """Shards of about ``limit`` rows at most, and the links (a, b) to vantage points found on the way.
 
-    Shells are ``radius + 1`` wide; a row within ``radius`` of the shell below visits it too.
+    A shard of which a child would keep over nine tenths is divided into blocks of rows instead, each of
+    which meets each.
     """
-    width = radius + 1
-    for r in range(rounds):
-        large = materialize(rows.groupBy("shard").agg(F.count("*").alias("n"), F.min("fp").alias("v")).where(F.col("n") > limit).select("shard", "v"), "large")
+    done: list[DataFrame] = []
+    stars: list[DataFrame] = []
+    for turn in count():
+        sizes = rows.groupBy("shard").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), "fp")).alias("v"))
+        large = materialize(sizes.where(F.col("n") > limit).select("shard", "n", F.col("v.fp").alias("v")), "large")
         if large.isEmpty():
-            break
-        d = _distance(F.col("fp"), F.col("v"))
-        shell = F.floor(d / width)
-        below = F.when((d % width < radius) & (shell > 0), shell - 1)
-        inner = F.when(F.col("v").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.array_compact(F.array(shell, below)))
-        rows = rows.join(large, "shard", "left").select("shard", "fp", F.explode(inner).alias("shell"))
-        rows = materialize(rows.select(F.when(F.col("shell") < 0, F.col("shard")).otherwise(F.xxhash64("shard", "shell", F.lit(r))).alias("shard"), "fp"), "shards")
-    return rows
+            return reduce(DataFrame.unionByName, [*done, rows.select("shard", "fp")]), reduce(DataFrame.unionByName, stars) if stars else None
+        both = materialize(rows.join(large, "shard", "left").withColumn("d", _distance(F.col("fp"), F.col("v"))), "distances")
+        done.append(both.where("v is null").select("shard", "fp"))
+        both = both.where("v is not null")
+        stars.append(both.where((F.col("d") > 0) & (F.col("d") <= radius)).select(F.col("v").alias("a"), F.col("fp").alias("b")))
+        # the median of each shard's distances and the sizes of both children, from at most 65 counts a shard
+        spread = both.groupBy("shard", "n", "d").agg(F.count("*").alias("c"))
+        spread = spread.withColumn("below", F.sum("c").over(Window.partitionBy("shard").orderBy("d")))
+        median = spread.groupBy("shard", "n").agg(F.min(F.when(2 * F.col("below") >= F.col("n"), F.col("d"))).alias("r"), F.collect_list(F.struct("d", "c")).alias("at"))
+        kept = lambda side: F.aggregate(F.filter("at", side), F.lit(0).cast("long"), lambda x, y: x + y["c"])
+        most = F.greatest(kept(lambda x: x["d"] <= F.col("r") + radius), kept(lambda x: x["d"] > F.col("r")))
+        median = materialize(median.select("shard", "r", (most > 0.9 * F.col("n")).alias("dense")), "medians")
+        both = both.join(median, "shard")
+        inner, outer = F.col("d") <= F.col("r") + radius, F.col("d") > F.col("r")
+        sides = F.array_compact(F.array(F.when(inner, F.lit(0)), F.when(outer, F.lit(1))))
+        child = both.where("not dense").select("shard", "fp", F.explode(sides).alias("side"))
+        rows = materialize(child.select(F.xxhash64("shard", "side", F.lit(turn)).alias("shard"), "fp"), "shards")
+        blocks = F.ceil(2 * F.col("n") / limit)
+        lot = F.pmod(F.xxhash64("fp"), blocks)
+        tiles = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.struct(F.least(x, lot).alias("i"), F.greatest(x, lot).alias("j")))
+        dense = both.where("dense").select("shard", "fp", F.explode(tiles).alias("p"))
+        done.append(dense.select(F.xxhash64("shard", "p.i", "p.j").alias("shard"), "fp"))
 
 
 def forest(fp: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,13 +165,13 @@ def forest(fp: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def links(nodes: DataFrame, max_distance: int = 3, blocks: int | None = None, depth: int = 8, limit: int = 4096, rounds: int = 4) -> DataFrame:
+def links(nodes: DataFrame, max_distance: int = 3, blocks: int | None = None, limit: int = LEAF_LIMIT) -> DataFrame:
     """(a, b): links within ``max_distance`` bits that connect the distinct fingerprints ``nodes.fp``.
 
     Every pair within the distance is connected by links, though not each by one of its own.
     """
-    rows = shards(nodes, blocks or max_distance + 1, max_distance, depth)
-    rows = divided(rows, limit, max_distance, rounds)
+    rows = shards(nodes, blocks or block_count(nodes.count(), max_distance), max_distance)
+    rows, stars = divided(rows, limit, max_distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
@@ -171,7 +195,8 @@ def links(nodes: DataFrame, max_distance: int = 3, blocks: int | None = None, de
         if held:
             yield found(*map(np.concatenate, zip(*held)))
 
-    return rows.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "a long, b long")
+    leaves = rows.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(run, "a long, b long")
+    return leaves if stars is None else leaves.unionByName(stars)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_distance: int = 3, **tree) -> DataFrame:
@@ -197,24 +222,26 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Groups are those of :func:`near_duplicates`, or ``found`` (id, digest, component).
 
-    All columns stay as they are. Of rows equal in id and text one stays, whatever else they hold.
+    All columns stay as they are. Of rows equal in id and text the first one by its other columns stays.
+    An empty table stays empty; columns may have any names.
     """
     found = materialize(near_duplicates(docs, id_col, text_col, **options) if found is None else found, "groups")
     place = F.struct(F.col("id").isNull().alias("no"), "id", "digest")
-    best = found.groupBy("component").agg(F.min(place).alias("best"))
-    best = materialize(best, "best")
-    lost = found.join(best, "component").where(~place.eqNullSafe(F.col("best"))).select("id", "digest").distinct()
+    best = materialize(found.groupBy("component").agg(F.min(place).alias("best")), "best")
+    lost = materialize(found.join(best, "component").where(~place.eqNullSafe(F.col("best"))).select("id", "digest").distinct(), "lost")
     again = materialize(found.groupBy("id", "digest").agg(F.count("*").alias("c")).where("c > 1").select("id", "digest"), "again")
-    lost = materialize(lost, "lost")
-    own = docs.withColumn("__digest", F.xxhash64(text_col))
+    own_id, own_digest, key_id, key_digest = fresh(docs, "id", "digest", "key_id", "key_digest")
 
-    def named(keys: DataFrame, kind: str) -> DataFrame:
-        keys = keys.select(F.col("id").alias("__id"), F.col("digest").alias("__key")).hint("shuffle_hash")  # texts need no sort
-        return own.join(keys, own[id_col].cast("long").eqNullSafe(keys["__id"]) & (own["__digest"] == keys["__key"]), kind)
+    def named(rows: DataFrame, keys: DataFrame, kind: str) -> DataFrame:
+        keys = keys.select(F.col("id").alias(key_id), F.col("digest").alias(key_digest)).hint("shuffle_hash")  # texts need no sort
+        return rows.join(keys, F.col(own_id).eqNullSafe(F.col(key_id)) & (F.col(own_digest) == F.col(key_digest)), kind)
 
-    own = named(lost, "left_anti")
+    own = docs.withColumns({own_id: F.col(id_col).cast("long"), own_digest: F.xxhash64(F.col(text_col))})
+    own = named(own, lost, "left_anti")
     if not again.isEmpty():
-        own = named(again, "left_anti").unionByName(named(again, "left_semi").dropDuplicates([id_col, "__digest"]))
+        row = F.row_number().over(Window.partitionBy(own_id, own_digest).orderBy(F.to_json(F.struct(*docs.columns))))  # rows of one id and text
+        repeated = named(own, again, "left_semi").withColumn(key_id, row).where(F.col(key_id) == 1).drop(key_id)
+        own = named(own, again, "left_anti").unionByName(repeated)
     return own.select(*docs.columns)
 
 
