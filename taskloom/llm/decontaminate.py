@@ -1,15 +1,17 @@
 """Benchmark decontamination as a prefix-filtered set join, in DataFrame operations only.
 
-An item's *windows* are its runs of ``window`` consecutive words (the whole item if it has fewer
-words). A window is seen as the set of its word shingles (``shingle`` words, fewer in a shorter
-window). A document contains a window only if it contains all its shingles, so the overlap that is
-asked for equals the set's size, and the necessary prefix of the set, in order of rarity over the
-documents, is its rarest shingle. The join therefore looks documents up by rarest shingles only;
-a shingle that no document has rules its windows out. The position of the shingle in document and
-window fixes where the window would start (positional bound: not before the document's first word)
-and end (length bound: not past its last). A candidate is verified exactly over the item-sized
-window: shingles that together cover the window must stand at their places in the document. They
-are compared as whole strings, once, when documents are matched with the benchmark's shingles.
+An item's *windows* are its runs of ``window`` consecutive words (the whole item if it has fewer words). A
+window is seen as the set of its shingles, of one word each here. A document contains a window only if it
+contains all of them, so the overlap that is asked for equals the set's size, and the necessary prefix of the
+set, in order of rarity over the documents, is its rarest shingle: its anchor.
+
+1. The benchmark's words are counted over all documents. A window with a word that no document has is out.
+2. Documents meet the anchors alone. An anchor's place in document and window fixes where the window would
+   start (positional bound: not before the document's first word) and end (length bound: not past its last).
+3. What is left is verified exactly, over the item-sized window: the words at that place are the window's.
+
+The benchmark goes to the executors in blocks of bounded bytes, one pass over the documents for each block, so
+texts are never shuffled and nothing that is broadcast grows with the input.
 """
 
 from __future__ import annotations
@@ -17,91 +19,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, discard, fresh, materialize
 
-#: Up to so many distinct benchmark shingles are sent to every executor (about 100 bytes each).
-BROADCAST_SHINGLES = 500_000
+#: Bytes of benchmark words or windows that are broadcast at a time, at most.
+BROADCAST_BYTES = 32 << 20
+_OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def normalized(text: Column) -> Column:
-    """Lower-cased words joined by single spaces; '' for a text that is null or has no word."""
-    spaced = F.regexp_replace(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    return F.coalesce(F.trim(spaced), F.lit(""))
+def words_of(text: Column) -> Column:
+    """The lower-cased words of a text in order; none for null."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _OTHER), "")
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD_ANY_CASE)).cast("long")
 
 
 def digest(text_col: str) -> Column:
     return F.struct(F.xxhash64(text_col, F.lit(0)).alias("d0"), F.xxhash64(text_col, F.lit(1), F.lit(2)).alias("d1"))
 
 
-def word_count(norm: Column) -> Column:
-    return F.when(norm == "", F.lit(0)).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).cast("long")
+def windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """(wid, len, win) of the distinct windows, and (wid, item)."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where("item is not null and size(w) > 0")
+    cut = items.select("item", "w", F.least(F.size("w"), F.lit(window)).alias("len"))
+    cut = cut.select("item", "len", "w", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("len"))).alias("at"))
+    cut = cut.select("item", "len", F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ").alias("win")).distinct()
+    # equal windows have equal texts, so the text's digest names them
+    cut = materialize(cut.withColumn("wid", F.sha2("win", 256)), "windows")
+    return cut.select("wid", "len", "win").distinct(), cut.select("wid", "item").distinct()
 
 
-def shingles(norm: Column, size: int) -> Column:
-    """All runs of ``size`` words in order; the n-th element starts at the n-th word."""
-    run = " ".join(["[^ ]+"] * size)
-    return F.regexp_extract_all(norm, F.lit(rf"(?:^| )(?=({run})(?: |$))"), F.lit(1))
+def blocks(rows: DataFrame, key: str, size: Column, most_bytes: int) -> list[DataFrame]:
+    """``rows`` in parts of about ``most_bytes``, by digests of ``key``; each is read when it is broadcast."""
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first().b
+    n = max(1, -(-total // most_bytes))
+    return [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) if n > 1 else rows for i in range(n)]
 
 
-def windows(benchmark: DataFrame, item_col: str, text_col: str, window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(wid, len, size) of the distinct windows with their shingles, and (wid, item)."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), normalized(F.col(text_col)).alias("norm")).where("item is not null and norm <> ''")
-    items = items.withColumn("n", word_count(F.col("norm")))
-    cut = items.select("item", F.split("norm", " ").alias("w"), F.least("n", F.lit(window)).cast("int").alias("len"), "n")
-    cut = cut.select("item", "len", "w", F.explode(F.sequence(F.lit(0), (F.col("n") - F.col("len")).cast("int"))).alias("at"))
-    cut = cut.select("item", "len", F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ").alias("win")).distinct()
-    # equal windows have equal texts, so the text's digest names them
-    cut = cut.withColumn("wid", F.sha2("win", 256))
-    parts = F.transform(
-        F.sequence(F.lit(0), F.col("len") - F.col("size")),
-        lambda i: F.struct(i.alias("off"), F.array_join(F.slice(F.split("win", " "), i + 1, F.col("size")), " ").alias("s")),
-    )
-    spelled = cut.select("wid", "len", "win", F.least("len", F.lit(shingle)).alias("size")).distinct()
-    spelled = spelled.select("wid", "len", "size", F.explode(parts).alias("p")).select("wid", "len", "size", "p.off", "p.s")
-    return spelled, cut.select("wid", "item").distinct()
+def rarity(docs: DataFrame, vocabulary: DataFrame, most_bytes: int) -> DataFrame:
+    """(word, df): occurrences in all documents of the words of ``vocabulary`` that have any."""
+    word = docs.select(F.explode("words").alias("word"))
+    parts = [word.join(F.broadcast(v), "word").groupBy("word").agg(F.count("*").alias("df")) for v in blocks(vocabulary, "word", F.octet_length("word") + 48, most_bytes)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, item_col: str, bench_text: str, window: int, shingle: int, broadcast_limit: int) -> tuple[DataFrame, DataFrame]:
+def occurrences(docs: DataFrame, benchmark: DataFrame, item_col: str, bench_text: str, window: int, most_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(id, digest, wid, start, len) of every window in every document text, and (wid, item).
 
-    docs: (id, digest, norm, n).
+    docs: (id, digest, words).
     """
-    spelled, owners = windows(benchmark, item_col, bench_text, window, shingle)
-    spelled = materialize(spelled, "windows")
-    owners = materialize(owners, "owners")
-    names = materialize(spelled.select("s", "size").distinct().withColumn("sid", F.xxhash64("s", "size")), "shingles")
-    same = names.groupBy("sid").agg(F.count("*").alias("c")).where("c > 1")
-    if not same.isEmpty():  # two strings with one digest: name by the strings themselves
-        raise ValueError("shingle digests collide")
-    sizes = [r.size for r in names.select("size").distinct().collect()]  # at most `shingle` values
-    if not sizes:
-        empty = docs.select("id", "digest", F.lit("").alias("wid"), F.lit(0).alias("start"), F.lit(0).alias("len")).where("false")
-        return empty, owners
-    wanted = names.select("s", "sid")
-    wanted = F.broadcast(wanted) if names.count() <= broadcast_limit else wanted
-    found = None
-    for size in sizes:
-        own = docs.select("id", "digest", "n", F.posexplode(shingles(F.col("norm"), size)).alias("pos", "s")).join(wanted, "s").select("id", "digest", "n", "pos", "sid")
-        found = own if found is None else found.unionByName(own)
-    found = materialize(found.distinct(), "found")
-    rarity = found.groupBy("sid").agg(F.count("*").alias("df"))
-    spelled = spelled.join(names.select("s", "sid"), "s").select("wid", "len", "size", "off", "sid")
-    ranked = spelled.join(rarity, "sid", "left").groupBy("wid", "len", "size").agg(
-        F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "sid", "off")).alias("p")
-    )
-    prefix = materialize(ranked.where("p.df > 0").select("wid", "len", "size", F.col("p.sid").alias("sid"), F.col("p.off").alias("off")), "prefix")
+    spelled, owners = windows(benchmark, item_col, bench_text, window)
+    placed = spelled.select("wid", F.posexplode(F.split("win", " ")).alias("off", "word"))
+    vocabulary = materialize(placed.select("word").distinct(), "vocabulary")
+    counts = materialize(rarity(docs, vocabulary, most_bytes), "rarity")
+    ranked = placed.join(counts, "word", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "off")).alias("p"))
+    anchors = spelled.join(ranked.where("p.df > 0"), "wid").select("wid", "len", "win", F.col("p.word").alias("word"), F.col("p.off").alias("off"))
+    anchors = materialize(anchors, "anchors")
+    own = docs.select("id", "digest", "words", F.posexplode("words").alias("pos", "word"))
     start = F.col("pos") - F.col("off")
-    placed = found.join(prefix, "sid").where((start >= 0) & (start + F.col("len") <= F.col("n"))).select("id", "digest", "wid", "len", "size", start.alias("start"))
-    # the shingles that cover a window: every size-th, and the last
-    cover = spelled.where((F.col("off") % F.col("size") == 0) | (F.col("off") == F.col("len") - F.col("size"))).select("wid", "off", "sid")
-    asked = cover.groupBy("wid").agg(F.collect_list(F.struct("off", "sid")).alias("cover"))
-    checks = placed.join(asked, "wid").select("id", "digest", "wid", "len", "start", F.size("cover").alias("k"), F.explode("cover").alias("c"))
-    checks = checks.select(
-        F.coalesce("id", F.lit(0).cast("long")).alias("i"), F.col("id").isNull().alias("no"), "digest", (F.col("start") + F.col("c.off")).alias("pos"), F.col("c.sid").alias("sid"), "wid", "len", "start", "k"
-    )
-    there = found.select(F.coalesce("id", F.lit(0).cast("long")).alias("i"), F.col("id").isNull().alias("no"), "digest", "pos", "sid")
-    met = checks.join(there, ["i", "no", "digest", "pos", "sid"]).groupBy("i", "no", "digest", "wid", "len", "start", "k").agg(F.count("*").alias("c")).where("c = k")
-    return met.select(F.when(~F.col("no"), F.col("i")).alias("id"), "digest", "wid", "start", "len"), owners
+    found = None
+    for part in blocks(anchors, "word", F.octet_length("win") + F.octet_length("word") + 160, most_bytes):
+        met = own.join(F.broadcast(part), "word").where((start >= 0) & (start + F.col("len") <= F.size("words")))
+        met = met.where(F.array_join(F.slice("words", start + 1, F.col("len")), " ") == F.col("win")).select("id", "digest", "wid", start.alias("start"), "len")
+        found = met if found is None else found.unionByName(met)
+    found = materialize(found, "occurrences")
+    discard(vocabulary, counts, anchors)
+    return found, owners
 
 
 def contamination(
@@ -112,37 +100,37 @@ def contamination(
     item_col: str = "item_id",
     bench_text: str = "text",
     window: int = 13,
-    shingle: int = 5,
     share: int = 20,
-    broadcast_limit: int = BROADCAST_SHINGLES,
+    most_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(id, digest, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
 
     A word is hit if an occurrence of a window of any item covers it; a document is contaminated if
     words are hit and ``share`` times their number reaches its word count. Null and empty texts have
     no words and no hits. Items with a null id or no words are left out; repeated items count once
-    for each distinct id. Rows equal in id and text get equal results, once each.
+    for each distinct id. Rows equal in id and text get equal results, once each. A text's length is not
+    limited; empty tables give no rows, or no hits; other columns of both tables are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest"), normalized(F.col(text_col)).alias("norm"))
-    rows = rows.withColumn("n", word_count(F.col("norm")))
-    met, owners = occurrences(rows.where("n > 0"), benchmark, item_col, bench_text, window, shingle, broadcast_limit)
-    met = materialize(met, "occurrences")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), digest(text_col).alias("digest"), F.col(text_col).alias("text"))
+    met, owners = occurrences(own.select("id", "digest", words_of(F.col("text")).alias("words")), benchmark, item_col, bench_text, window, most_bytes)
     # hit words: length of the union of the intervals
     doc = Window.partitionBy("id", "digest").orderBy("start", "len")
     before = F.max("end").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     spans = met.groupBy("id", "digest", "start").agg(F.max("len").alias("len")).withColumn("end", F.col("start") + F.col("len"))
     hits = spans.withColumn("new", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0))))).groupBy("id", "digest").agg(F.sum("new").alias("n_hit"))
     # items: windows with the same owners are one class; documents with the same classes share a digest
-    classes = owners.groupBy("wid").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    classes = owners.groupBy("wid").agg(F.sort_array(F.collect_set("item")).alias("items"))  # of the benchmark, not of documents
     classes = materialize(classes.withColumn("cls", F.sha2(F.array_join("items", "\x00"), 256)), "classes")
     sets = met.select("id", "digest", "wid").distinct().join(classes.select("wid", "cls"), "wid").groupBy("id", "digest").agg(F.sort_array(F.collect_set("cls")).alias("set"))
     hits = hits.alias("h").join(sets.alias("s"), F.col("h.id").eqNullSafe(F.col("s.id")) & (F.col("h.digest") == F.col("s.digest"))).select("h.id", "h.digest", "n_hit", "set")
-    hits = materialize(hits, "hits")
+    sums = materialize(hits, "hits")
     owned = classes.select("cls", "items").dropDuplicates(["cls"])
-    listed = hits.select("set").distinct().select("set", F.explode("set").alias("cls")).join(owned, "cls").select("set", F.explode("items").alias("item")).distinct()
+    listed = sums.select("set").distinct().select("set", F.explode("set").alias("cls")).join(owned, "cls").select("set", F.explode("items").alias("item")).distinct()
     listed = listed.groupBy("set").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256"))
-    hits = materialize(hits.join(listed, "set").select("id", "digest", "n_hit", "n_items", "items_sha256"), "judged")
-    a, b = rows.select("id", "digest", "n").alias("a"), hits.alias("b")
+    hits = materialize(sums.join(listed, "set").select("id", "digest", "n_hit", "n_items", "items_sha256"), "judged")
+    discard(sums)
+    discard(met, classes)
+    a, b = own.select("id", "digest", word_count(F.col("text")).alias("n")).alias("a"), hits.alias("b")
     both = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.digest") == F.col("b.digest")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return both.select(
@@ -157,11 +145,12 @@ def contamination(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the contaminated ones; all columns stay as they are."""
+    """``docs`` without the contaminated ones; all columns stay as they are, whatever their names."""
+    key_id, key, own = fresh(docs, "id", "key", "digest")
     bad = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated")
-    bad = materialize(bad.select(F.col("id").alias("__id"), F.col("digest").alias("__key")).distinct(), "contaminated").hint("shuffle_hash")
-    own = docs.withColumn("__digest", digest(text_col))
-    return own.join(bad, own[id_col].cast("long").eqNullSafe(bad["__id"]) & (own["__digest"] == bad["__key"]), "left_anti").select(*docs.columns)
+    bad = materialize(bad.select(F.col("id").alias(key_id), F.col("digest").alias(key)).distinct(), "contaminated").hint("shuffle_hash")
+    rows = docs.withColumn(own, digest(text_col))
+    return rows.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(key_id)) & (F.col(own) == F.col(key)), "left_anti").select(*docs.columns)
 
 
 def op4_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
