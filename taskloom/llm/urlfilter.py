@@ -32,10 +32,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and its parents by labels: a.b.c, b.c, c."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def host_suffixes(host: Column, deepest: int) -> Column:
+    """The host's endings of 1 to ``deepest`` labels: c, b.c, a.b.c of a.b.c."""
+    n = F.regexp_count(host, F.lit(r"\.")) + 1
+    return F.transform(F.sequence(F.lit(1), F.least(n, F.lit(deepest))), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
 
 
 def _digest(host: Column, path: Column) -> Column:
@@ -51,21 +51,24 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
 
     rules: (host, path, verdict) with lower-case hosts; verdict is allow or block. URLs that are
     null or have no ``://`` have an empty host and path, fit no rule and get ``default``. Rules with
-    a null field are left out; repeated rules count once. Every row of ``urls`` stays, repeated ids
-    and URLs included; columns other than id and url are not read.
+    a null field are left out; repeated rules count once; of equally long rules for one place a block wins.
+    Every row of ``urls`` stays, repeated ids and URLs included; columns other than id and url are not read,
+    and an empty table stays empty. A URL of any length is expanded at the rules' path lengths, and into as
+    many host endings as the deepest rule has labels. Distinct places meet the rules; a URL that very many
+    rows share is one row there, and the join back splits it if it is skewed.
     """
     rules = rules.where("host is not null and path is not null and verdict is not null").select("host", "path", "verdict")
     # of rules for the same place, a block wins
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rules = rules.withColumn("full", _digest(F.col("host"), F.col("path"))).withColumn("short", _short(F.col("full")))
-    lengths = rules.agg(F.sort_array(F.collect_set(F.length("path"))).alias("n"), F.count("*").alias("c")).first()
+    lengths = rules.agg(F.sort_array(F.collect_set(F.length("path"))).alias("n"), F.count("*").alias("c"), F.max(F.size(F.split("host", r"\."))).alias("labels")).first()
     pages = urls.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     if not lengths.c:
         return pages.select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     # the lengths that rule paths have; no more than a URL is long
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths.n]), lambda n: n <= F.length("path"))
     places = pages.select("host", "path").where("host <> ''").distinct()
-    tried = places.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("h"), cuts.alias("cuts"))
+    tried = places.select("host", "path", F.explode(host_suffixes(F.col("host"), lengths.labels)).alias("h"), cuts.alias("cuts"))
     tried = tried.select("host", "path", "h", F.explode("cuts").alias("n")).select("host", "path", "h", F.substring("path", F.lit(1), F.col("n")).alias("p"))
     tried = tried.withColumn("full", _digest(F.col("h"), F.col("p"))).withColumn("short", _short(F.col("full")))
     known = rules.select("short", F.col("full").alias("sure"), "verdict")
@@ -73,9 +76,11 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: s
     size = F.length("h") + F.length("p")
     rank = F.struct(size.alias("size"), F.length("h").alias("host"), F.concat("h", "p").alias("rule"), "verdict")
     best = tried.join(known, "short").where("full = sure").groupBy("host", "path").agg(F.max(rank).alias("best"))
-    a, b = pages.alias("a"), best.alias("b")
+    # rows without a host fit no rule, and would all be one key
+    a, b = pages.where("host <> ''").alias("a"), best.alias("b")
     both = a.join(b, (F.col("a.host") == F.col("b.host")) & (F.col("a.path") == F.col("b.path")), "left")
-    return both.select("a.id", "a.host", "a.path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    both = both.select("a.id", "a.host", "a.path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return both.unionByName(pages.where("host = ''").select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
 
 
 def op3_url_filter(spark: SparkSession, pages: DataFrame) -> DataFrame:
