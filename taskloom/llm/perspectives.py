@@ -19,9 +19,18 @@ SYSTEM = "system"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+#: What the marks begin with, and what stands for that in texts and names, so that none can forge a turn.
+MARK, SAFE = "<|im_", r"<\|im_"
+
+
+def safe(c: Column) -> Column:
+    return F.replace(c, F.lit(MARK), F.lit(SAFE))
+
+
 def header(role: Column, speaker: Column) -> Column:
-    """Opening of a segment: assistant, system, or a user with the speaker's name."""
-    return F.when(role == speaker, F.lit(f"{OPEN}assistant\n")).when(role == SYSTEM, F.lit(f"{OPEN}system\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), role, F.lit("\n")))
+    """Opening of a segment: assistant, system, or a user with the speaker's name, on one line."""
+    name = F.regexp_replace(safe(role), r"[\r\n]", " ")
+    return F.when(role == speaker, F.lit(f"{OPEN}assistant\n")).when(role == SYSTEM, F.lit(f"{OPEN}system\n")).otherwise(F.concat(F.lit(f"{OPEN}user name="), name, F.lit("\n")))
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -32,10 +41,12 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     have a defined order). start: the segment's character offset in the dialogue. mask_start and
     mask_end: the span within the dialogue to train on (the text and closing mark of the speaker's
     turns), null in others' turns. Null texts render as empty, null roles as ``unknown``; a null
-    conversation id is a conversation of its own. Other columns are not read.
+    conversation id is a conversation of its own. The beginning of a mark within a text or a name is
+    written ``<\\|im_``, and line ends in a name as blanks, so that no turn can be forged. Other columns are
+    not read; an empty table has no renderings; texts may be of any length.
     """
     rows = turns.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"), safe(F.coalesce(F.col(text_col), F.lit(""))).alias("text")
     )
     rows = rows.withColumn("digest", F.md5("text"))
     order = ["conv_id", "turn", "role", "digest"]
@@ -78,12 +89,12 @@ def op5_perspectives(conversations: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<\|im_') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
 b AS (
   SELECT t.*, p.perspective,
     CASE WHEN role = perspective THEN '<|im_start|>assistant' || chr(10) WHEN role = 'system' THEN '<|im_start|>system' || chr(10)
-      ELSE '<|im_start|>user name=' || role || chr(10) END AS head
+      ELSE '<|im_start|>user name=' || regexp_replace(replace(role, '<|im_', '<\|im_'), '[\r\n]', ' ', 'g') || chr(10) END AS head
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 s AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM b),
 o AS (
