@@ -7,8 +7,11 @@ the distance exceeds the nearest cell's by a slack. The slack is calibrated for
 it is the quantile, over sampled vectors, of what the traversal needs to come to the cell of a
 vector at just the linking cosine in a random direction. Candidates are verified in double
 precision. Codebooks and slack come from a bounded sample; all vectors are indexed and are queries.
+The number of codes grows with the root of the vectors a label. Each length of vectors that occurs has an
+index of its own; one that the sample lacks is fitted on random directions, which costs visits, not links.
 
-Equal vectors of a label are one entry with a count. Cells with many entries are divided into
+Equal vectors of a label (by two 64-bit digests) are one entry with a count, and so are vectors of a single
+component with equal signs, whose cosine is 1. Cells with many entries are divided into
 blocks of stored times visiting entries, so any number of tasks share a hot cell; a block returns
 link counts and the edges of a spanning forest, never its pairs.
 """
@@ -24,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 
 #: Rows that are fetched to fit codebooks and slack, at most.
 SAMPLE_ROWS = 20_000
 CELL_ROWS = 24
-BLOCK = 2048
+BLOCK = 1024
 
 
 def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -104,6 +107,12 @@ class MultiIndex:
     def visits(self, x: np.ndarray) -> list[list[int]]:
         return [traversal(a, b, self.slack) for a, b in zip(*self.distances(x))]
 
+    def reaches(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """Whether the traversal from each of ``x`` comes to each of the cells: vectors x cells."""
+        da, db = self.distances(x)
+        most = da.min(1) + db.min(1) + self.slack
+        return da[:, cells // len(self.right)] + db[:, cells % len(self.right)] <= most[:, None]
+
 
 def unit(flat: np.ndarray) -> np.ndarray:
     x = flat.astype(np.float64)
@@ -121,11 +130,9 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(vector, lambda v: v != 0)
 
 
-_ENTRY = "label string, dim int, cell int, stored boolean, home int, entry long, n long, visits array<int>, vector array<double>"
-
-
 def _indexed(entries: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
     """One stored row for each entry, and a visiting row for each cell it visits."""
+    element = dict(entries.dtypes)["vector"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,24 +142,18 @@ def _indexed(entries: DataFrame, indexes: dict[int, MultiIndex]) -> DataFrame:
                 part = b.take(rows)
                 for at in range(0, part.num_rows, 2000):
                     p = part.slice(at, 2000)
-                    index = indexes.get(dim)
-                    if index:
-                        x = unit(_matrix(p.column(4), dim))
-                        home, visits = index.homes(x), index.visits(x)
-                    else:  # a length that the sample lacks: one cell
-                        home, visits = np.zeros(p.num_rows, np.int64), [[0]] * p.num_rows
+                    x = unit(_matrix(p.column(4), dim))
+                    home, visits = indexes[dim].homes(x), indexes[dim].visits(x)
                     of = np.repeat(np.arange(p.num_rows), [1 + len(v) for v in visits])
                     cell = np.array([c for h, v in zip(home.tolist(), visits) for c in (h, *v)], np.int32)
                     stored = np.diff(of, prepend=-1) > 0
-                    seen = pa.array(visits, pa.list_(pa.int32()))
-                    at_ = pa.array(of)
-                    t = p.take(at_)
+                    t = p.take(pa.array(of))
                     yield pa.RecordBatch.from_arrays(
-                        [t.column(0), t.column(1), pa.array(cell), pa.array(stored), pa.array(home[of].astype(np.int32)), t.column(2), t.column(3), seen.take(at_), t.column(4)],
-                        ["label", "dim", "cell", "stored", "home", "entry", "n", "visits", "vector"],
+                        [t.column(0), t.column(1), pa.array(cell), pa.array(stored), pa.array(home[of].astype(np.int32)), t.column(2), t.column(3), t.column(4)],
+                        ["label", "dim", "cell", "stored", "home", "entry", "n", "vector"],
                     )
 
-    return entries.select("label", "dim", "entry", "n", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, _ENTRY)
+    return entries.select("label", "dim", "entry", "n", "vector").mapInArrow(run, f"label string, dim int, cell int, stored boolean, home int, entry long, n long, vector {element}")
 
 
 def spanning(hit: np.ndarray) -> np.ndarray:
@@ -168,7 +169,7 @@ def spanning(hit: np.ndarray) -> np.ndarray:
     return np.concatenate([np.where(row < n + m, row, -1), np.where(hit.any(0), col, -1)])
 
 
-def _block(v: pa.RecordBatch, s: pa.RecordBatch, cosine: float) -> tuple[list, list, list, list]:
+def _block(v: pa.RecordBatch, s: pa.RecordBatch, cosine: float, index: MultiIndex) -> tuple[list, list, list, list]:
     """Link counts (entry, links) and spanning edges (a, b) of visiting rows against stored ones."""
     dim = v.column("dim")[0].as_py()
     q, x = unit(_matrix(v.column("vector"), dim)), unit(_matrix(s.column("vector"), dim))
@@ -178,14 +179,14 @@ def _block(v: pa.RecordBatch, s: pa.RecordBatch, cosine: float) -> tuple[list, l
     if not hit.any():
         return [], [], [], []
     # the stored side finds the visitor by itself if it visits the visitor's home
-    home = v.column("home").to_numpy()
-    seen = s.column("visits").to_pylist()
-    both = np.stack([np.isin(home, seen[j]) if hit[:, j].any() else np.zeros(len(a), bool) for j in range(len(b))], axis=1)
+    some = np.nonzero(hit.any(0))[0]
+    both = np.zeros(hit.shape, bool)
+    both[:, some] = index.reaches(x[some], v.column("home").to_numpy()).T
     links_q, links_x = hit @ nx, nq @ (hit & ~both)
     label = spanning(hit)
     node = np.concatenate([a, b])
-    some = np.nonzero(label >= 0)[0]
-    return [*a, *b], [*links_q, *links_x], node[some].tolist(), node[label[some]].tolist()
+    linked = np.nonzero(label >= 0)[0]
+    return [*a, *b], [*links_q, *links_x], node[linked].tolist(), node[label[linked]].tolist()
 
 
 def near_duplicates(
@@ -205,23 +206,27 @@ def near_duplicates(
     n_links counts the other rows linked directly, equal rows included; component_id is the least id
     reachable. Vectors that are null, empty, zero, or hold null or non-finite components, and rows
     without label, link with nothing. Vectors of different lengths never link. A row with a null id
-    that is reached only by null ids has a null component_id and is kept. Other columns are not read.
+    that is reached only by null ids has a null component_id and is kept. Repeated rows stay and link with
+    each other; an empty table stays empty; other columns are not read.
     """
-    spark = rows.sparkSession
-    base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("vector"))
-    base = base.withColumn("dim", F.size("vector")).withColumn("entry", F.when(usable(F.col("vector")) & F.col("label").isNotNull(), F.xxhash64("label", "vector")))
-    base = materialize(base, "vectors")
-    entries = base.where("entry is not null").groupBy("entry").agg(F.count("*").alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vector").alias("vector"), F.min("id").alias("least"))
-    entries = materialize(entries, "entries")
+    single = dict(rows.dtypes)[vector_col] == "array<float>"  # as narrow as they come; compared in double precision
+    vector = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    base = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), vector.alias("vector"))
+    base = base.withColumn("dim", F.size("vector")).withColumn("vector", F.when(usable(F.col("vector")) & F.col("label").isNotNull(), F.col("vector")))
+    base = base.withColumn("vector", F.when(F.col("dim") == 1, F.transform("vector", lambda v: F.signum(v).cast("float" if single else "double"))).otherwise(F.col("vector")))
+    keys = {k: F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit(i), "label", "vector")) for i, k in enumerate(("k0", "k1"))}
+    base = materialize(base.withColumns(keys), "vectors")
+    entries = base.where("vector is not null").groupBy("k0", "k1").agg(F.count("*").alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vector").alias("vector"), F.min("id").alias("least"))
+    entries = materialize(entries.withColumn("entry", F.monotonically_increasing_id()), "entries")
     stats = entries.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
-    k = int(min(1024, max(2, np.ceil((stats.n / max(1, stats.labels) / cell_rows) ** 0.5))))
-    sample = entries.select("entry", "dim", F.col("vector").cast("array<double>").alias("vector")).orderBy(F.xxhash64("entry"), "entry").limit(sample_rows).toArrow()
+    k = int(max(2, np.ceil((stats.n / max(1, stats.labels) / cell_rows) ** 0.5)))
+    sample = entries.select("entry", "dim", "vector").orderBy(F.xxhash64("k0"), "k0", "k1").limit(sample_rows).toArrow()
+    found = sample.column("dim").to_numpy()
     indexes = {}
-    dims = sample.column("dim").to_numpy()
-    for dim in np.unique(dims).tolist():
-        own = sample.filter(pa.array(dims == dim)).column("vector").combine_chunks()
-        if dim >= 2:
-            indexes[dim] = MultiIndex.fit(unit(_matrix(own, dim)), k, cosine, recall)
+    for dim in (r.dim for r in entries.select("dim").distinct().collect()):  # the lengths of vectors
+        own = sample.filter(pa.array(found == dim)).column("vector").combine_chunks()
+        x = unit(_matrix(own, dim)) if len(own) >= 2 else unit(np.random.default_rng(dim).normal(size=(4 * k, dim)))
+        indexes[dim] = MultiIndex.fit(x, k, cosine, recall)
     dealt = materialize(_indexed(entries, indexes), "cells")
     key = ["label", "dim", "cell"]
     large = dealt.groupBy(*key).agg(F.sum(F.col("stored").cast("long")).alias("s"), F.sum((~F.col("stored")).cast("long")).alias("v")).where((F.col("s") > block) | (F.col("v") > block))
@@ -235,7 +240,7 @@ def near_duplicates(
     split = split.withColumn("mine", mine).withColumn("other", F.explode(other))
     split = split.withColumn("sb", F.when(F.col("stored"), F.col("mine")).otherwise(F.col("other"))).withColumn("vb", F.when(F.col("stored"), F.col("other")).otherwise(F.col("mine")))
     group = [*key, "sb", "vb"]
-    split = split.select(*group, "stored", "home", "entry", "n", "visits", "vector")
+    split = split.select(*group, "stored", "home", "entry", "n", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(t: pa.Table) -> pa.RecordBatch:
@@ -244,7 +249,7 @@ def near_duplicates(
             v, s = t.filter(pa.array(~stored)).combine_chunks(), t.filter(pa.array(stored)).combine_chunks()
             if not v.num_rows or not s.num_rows:
                 return []
-            e, c, a, b = _block(v.to_batches()[0], s.to_batches()[0], cosine)
+            e, c, a, b = _block(v.to_batches()[0], s.to_batches()[0], cosine, indexes[v.column("dim")[0].as_py()])
             n = len(e)
             return [pa.RecordBatch.from_arrays([pa.array([*e, *a], pa.int64()), pa.array([*c, *[None] * len(a)], pa.int64()), pa.array([*[None] * n, *b], pa.int64())], ["entry", "links", "other"])] if n else []
 
@@ -272,12 +277,13 @@ def near_duplicates(
     out = materialize(ordered.mapInArrow(run, "entry long, links long, other long"), "links")
     counts = out.where("links is not null").groupBy("entry").agg(F.sum("links").alias("links"))
     groups = components(out.where("other is not null").select(F.col("entry").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "entry")
-    named = entries.select("entry", "n", "least").join(groups, "entry", "left").withColumn("component", F.coalesce("component", "entry"))
+    named = entries.select("entry", "k0", "k1", "n", "least").join(groups, "entry", "left").withColumn("component", F.coalesce("component", "entry"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").join(counts, "entry", "left")
-    named = materialize(named.select("entry", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id"), "named")
-    both = base.select("id", "entry").join(named, "entry", "left")
-    component = F.when(F.col("entry").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    named = materialize(named.select("k0", "k1", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id"), "named")
+    both = base.select("id", "k0", "k1").join(named, ["k0", "k1"], "left")
+    component = F.when(F.col("k0").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    discard(entries, dealt, large, out)
     return both.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
