@@ -120,7 +120,12 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
 
 
 def with_tokens(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """``docs`` with ``token_ids`` of the whole text and ``round_trip``: they decode to its bytes."""
+    """``docs`` with ``token_ids`` of the whole text and ``round_trip``: they decode to its bytes.
+
+    Null and empty texts have no ids and decode to nothing; columns of ``docs`` of these two names, in any
+    case, give way to the results; repeated rows stay, an empty table stays empty.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("token_ids", "round_trip")])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -364,8 +364,12 @@ def fit_sample(labelled: DataFrame, text_col: str, label_col: str, order: Column
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
-    """``docs`` with a column ``out_col`` (0 to 1) from the whole text alone; null counts as empty."""
+    """``docs`` with a column ``out_col`` (0 to 1) from the whole text alone; null counts as empty.
 
+    A column of ``docs`` of that name, in any case, gives way to the result. Texts may be of any length;
+    repeated rows stay, an empty table stays empty.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == out_col.lower()])
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
