@@ -19,8 +19,12 @@ CONFIDENCES, EXPECTED = {"topic": 0.45, "competence": 0.4, "afb": 0.35, "time":
 PAGE_MARK = rf"(?i)^{S}*\[\[PAGE:(\d+)\]\]{S}*\z"
 
 
+START = rf"(?i)^{S}*(?:{'|'.join(p.removeprefix('(?i)^') for p in STARTS)})"
+
+
 def starts_task(line: Column) -> Column:
-    return trim(circled(text(line))).rlike("|".join(STARTS))
+    """Whether a line begins a task; circled numbers count as digits, white space in front does not."""
+    return circled(text(line)).rlike(START)
 
 
 def document_lines(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
@@ -53,7 +57,7 @@ def task_chunks(docs: DataFrame, doc_col: str, text_col: str, *keep: str) -> Dat
     One pass over a document's lines, which need no shuffle: a running page and segment go with each line.
     """
     rows = docs.select(F.col(doc_col).alias("doc"), *keep, lines(circled(text(text_col))).alias("l"))
-    marked = F.transform("l", lambda x: F.struct(x.alias("line"), F.regexp_extract(x, PAGE_MARK, 1).alias("mark"), starts_task(x).alias("start")))
+    marked = F.transform("l", lambda x: F.struct(x.alias("line"), F.when(x.contains("[["), F.regexp_extract(x, PAGE_MARK, 1)).otherwise("").alias("mark"), x.rlike(START).alias("start")))
     rows = rows.select("doc", *keep, marked.alias("l"))
     starts = F.filter(F.transform("l", lambda x, i: F.when(x["start"] & (x["mark"] == ""), i)), lambda i: i.isNotNull())
     marks = F.filter(F.transform("l", lambda x, i: F.when(x["mark"] != "", F.struct(i.alias("at"), x["mark"].cast("int").alias("page")))), lambda m: m.isNotNull())
@@ -80,16 +84,17 @@ def drafts(chunks: DataFrame, name: Column, default_class: Column | None = None,
     Values used by several columns are bound once.
     """
     rows = chunks.withColumn("images", documents.image_indices(F.col("text"))).withColumn("body", documents.without_images(F.col("text")))
-    first = F.regexp_extract("text", rf"(?m)^.*{NOT_S}.*$", 0)  # the first line that is not blank
+    first = F.get(F.filter(F.split("text", "\n"), lambda x: trim(x) != ""), F.lit(0))  # the first line that is not blank
     line = F.substring_index("body", "\n", 1)
-    rows = rows.withColumn("heading", or_else(line, or_else(first, F.lit("Aufgabe"))))
+    rows = rows.withColumn("heading", F.when(line != "", line).otherwise(F.coalesce(first, F.lit("Aufgabe"))))
+    rows = rows.withColumn("clean", documents.clean_heading(F.col("heading")))
     rows = rows.withColumn("task_no", documents.task_number(F.col("heading"))).withColumn("stated", points.document_points(F.col("body")))
     rows = rows.withColumn("points_raw", or_else(F.col("stated"), points.heuristic_points(F.col("body"))))
     rows = rows.withColumn("max_points", points.max_points(F.col("points_raw")))
     rows = rows.withColumn("class_level", classify.guess_class(F.concat(name, F.lit("\n"), F.col("body")), default_class))
     rows = rows.withColumn("topic", classify.guess_topic(F.col("body"), F.col("class_level"), default_topic))
-    rows = rows.withColumn("title", documents.title(F.col("body"), F.col("heading"), F.col("task_no")))
-    rows = rows.withColumn("question_text", documents.question(F.col("body"), F.col("heading")))
+    rows = rows.withColumn("title", documents.title(F.col("body"), F.col("heading"), F.col("task_no"), F.col("clean")))
+    rows = rows.withColumn("question_text", documents.question(F.col("body"), F.col("heading"), F.col("clean")))
     rows = rows.withColumn("visual", F.concat_ws(" ", "title", "question_text").rlike(documents.VISUAL))
     picture = F.lit(None).cast("struct<data_url:string,name:string,decorative:boolean>")
     if images is not None:

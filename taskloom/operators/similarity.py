@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_, or_
 
@@ -87,18 +88,47 @@ def structural(sem: Column) -> Column:
     return squeeze(sub(sem, r"\d+(?:[.,]\d+)?", "#"))
 
 
-def stems(words: Column) -> Column:
-    """A text of words between single blanks, each without its suffixes.
+_SUFFIX = [(size, re.compile(f"(?:{'|'.join(suffixes)})$")) for size, suffixes in SUFFIXES]
+_stems: dict[str, str] = {}
 
-    A suffix goes from a word that is longer than its rule says, so from one with so many letters before it.
+
+def stem(word: str) -> str:
+    """A word without its suffixes, each taken off only while the word is longer than its rule says."""
+    for size, suffix in _SUFFIX:
+        if len(word) > size:
+            word = suffix.sub("", word)
+    return word
+
+
+def _kept_words(least: int):
+    """Stems of the words of a text that have ``least`` letters and a meaning, joined by blanks.
+
+    A worker remembers the stems of words that it has met, up to a number of them: regular expressions on
+    each occurrence cost more than the way through Arrow.
     """
-    for size, suffixes in SUFFIXES:
-        words = sub(words, "|".join(rf"(?<=[^ ]{{{size + 1 - len(x)}}}){x}(?= |$)" for x in suffixes))
-    return words
+
+    @F.pandas_udf(T.StringType())
+    def kept(c: pd.Series) -> pd.Series:
+        known, stop = _stems, frozenset(STOPWORDS)
+
+        def one(t: str | None) -> str:
+            words = (t or "").split(" ")
+            if len(known) > 200_000:
+                known.clear()
+            for w in set(words) - known.keys():
+                known[w] = stem(w)
+            return " ".join(w for w in map(known.__getitem__, words) if len(w) >= least and w not in stop)
+
+        return c.map(one)
+
+    return kept
+
+
+_prose_words, _meaning_words = _kept_words(3), _kept_words(2)
 
 
-def _words(c: Column, least: int) -> Column:
-    return F.filter(F.split(stems(c), " "), lambda w: (F.length(w) >= least) & ~w.isin(STOPWORDS))
+def _split_words(c: Column) -> Column:
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
 
 
 def literal_tokens(canon: Column) -> Column:
@@ -108,12 +138,12 @@ def literal_tokens(canon: Column) -> Column:
 
 def prose_tokens(sem: Column) -> Column:
     c = sub(sub(sub(sem, r"\\[a-z]+", " "), r"[0-9]+(?:[.,][0-9]+)?", " "), r"[=+*/:^_<>-]", " ")
-    return _words(sub(c, "(?iu)[^a-zäöüß_]+", " "), 3)
+    return let(_prose_words(sub(c, "(?iu)[^a-zäöüß_]+", " ")), _split_words)
 
 
 def semantic_tokens(sem: Column) -> Column:
     c = sub(sub(sem, FRACTION, " frac $1 $2 "), ROOT, " sqrt $1 ")
-    return _words(sub(c, "(?iu)[^a-zäöüß0-9_]+", " "), 2)
+    return let(_meaning_words(sub(c, "(?iu)[^a-zäöüß0-9_]+", " ")), _split_words)
 
 
 def _points(items: Column) -> Column:
