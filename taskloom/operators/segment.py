@@ -154,20 +154,35 @@ def decorative(images: DataFrame, doc: str, payload: str) -> DataFrame:
     return both.select("a.*", "n_uses", (F.col("n_uses") > 1).alias("is_decorative"))
 
 
-def first_match(rows: DataFrame, expected: DataFrame, most_expected: int = 100_000) -> DataFrame:
+HEAD = 4  # letters by which a title and one that contains it meet
+
+
+def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Rows of ``short`` (s, ...) and ``long`` (l, ...) whose key s stands within l.
+
+    They meet in an equi-join of the first letters of s, up to four of them, with the pieces of l of that size,
+    so a title is compared only with those that have its beginning somewhere.
+    """
+    heads = short.withColumn("head", F.substring("s", 1, HEAD))
+    size = F.length("l")
+    piece = lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring("l", i, F.lit(n)))
+    pieces = F.array_distinct(F.concat(*[F.when(size >= n, piece(n)).otherwise(F.array().cast("array<string>")) for n in range(1, HEAD + 1)]))
+    return heads.join(long.withColumn("head", F.explode(pieces)), "head").where(F.col("l").contains(F.col("s"))).drop("head")
+
+
+def first_match(rows: DataFrame, expected: DataFrame) -> DataFrame:
     """Drafts (draft_id, title) with the first expectation row (ord, title) whose title fits.
 
-    Titles fit if their keys are equal or, for keys longer than 3, one contains the other. Equal
-    keys meet in an equi-join; containment is tried once for each distinct draft key against the
-    distinct expectation keys, which are sent to all tasks only up to ``most_expected`` of them.
+    Titles fit if their keys are equal or, for keys longer than 3, one contains the other. Distinct keys are
+    compared; an empty expectation key is contained in every key longer than 3.
     """
     left = rows.withColumn("key", documents.title_key(F.col("title")))
     right = expected.withColumn("other", documents.title_key(F.col("title"))).groupBy("other").agg(F.min("ord").alias("ord"))
     keys = left.select("key").distinct()
-    contained = right.withColumn("o", F.col("other"))
-    if right.count() <= most_expected:
-        contained = F.broadcast(contained)
-    near = keys.where(F.length("key") > 3).join(contained, F.expr("contains(o, key) or contains(key, o)")).select("key", "ord")
+    long = keys.where(F.length("key") > 3)
     equal = keys.join(right, keys["key"] == right["other"]).select("key", "ord")
-    best = near.unionByName(equal).groupBy("key").agg(F.min("ord").alias("ord"))
+    within = _contained(long.select(F.col("key").alias("s")), right.select(F.col("other").alias("l"), "ord")).select(F.col("s").alias("key"), "ord")
+    around = _contained(right.where("other <> ''").select(F.col("other").alias("s"), "ord"), long.select(F.col("key").alias("l"))).select(F.col("l").alias("key"), "ord")
+    blank = long.join(F.broadcast(right.where("other = ''").select("ord")))  # one row at most
+    best = equal.unionByName(within).unionByName(around).unionByName(blank).groupBy("key").agg(F.min("ord").alias("ord"))
     return left.join(best, "key", "left").drop("key")
