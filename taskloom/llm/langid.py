@@ -89,8 +89,8 @@ class LanguageModel:
         return softmax(self.logits(texts) / self.temperature)
 
 
-def _sgd(hashed: list[np.ndarray], y: np.ndarray, classes: int, buckets: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Embeddings folded with the layer, and the layer's bias."""
+def _sgd(hashed: list[np.ndarray], y: np.ndarray, classes: int, buckets: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, and the layer's weights and bias."""
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
     layer, bias = np.zeros((dim, classes)), np.zeros(classes)
@@ -108,7 +108,7 @@ def _sgd(hashed: list[np.ndarray], y: np.ndarray, classes: int, buckets: int, di
             layer -= lr * np.outer(mean, p)
             bias -= lr * 0.1 * p
             emb[rows] -= lr * len(rows) ** 0.5 * np.outer(weight, back)
-    return emb @ layer, bias
+    return emb, layer, bias
 
 
 def fit(texts: list[str], langs: list[str], buckets: int = BUCKETS, dim: int = 16, epochs: int = 6, rate: float = 2.0, accuracy: float = 0.98, seed: int = 7) -> LanguageModel:
@@ -125,8 +125,8 @@ def fit(texts: list[str], langs: list[str], buckets: int = BUCKETS, dim: int = 1
     held = np.arange(len(y)) % 5 == 4
     use = np.array([len(h[0]) > 0 for h in hashed])
     train = np.nonzero(~held & use)[0]
-    table, bias = _sgd([hashed[i] for i in train], y[train], len(languages), buckets, dim, epochs, rate, seed)
-    model = LanguageModel(languages, table, bias, buckets=buckets)
+    emb, layer, bias = _sgd([hashed[i] for i in train], y[train], len(languages), buckets, dim, epochs, rate, seed)
+    model = LanguageModel(languages, emb @ layer, bias, buckets=buckets)
     back = np.nonzero(held & use)[0]
     if len(back):
         z = model.logits([raw[i] for i in back])

@@ -276,17 +276,23 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate:
     return forest
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots (score, probability), both rising."""
-    order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # sum, count, lowest and highest score
-    for s, v in zip(score[order].tolist(), y[order].tolist()):
-        blocks.append([v, 1.0, s, s])
+def pooled(score: np.ndarray, y: np.ndarray) -> list[list[float]]:
+    """Pool adjacent violators: blocks (sum, count, lowest and highest score) of rising means; equal scores are one."""
+    at, of, times = np.unique(score, return_inverse=True, return_counts=True)
+    blocks: list[list[float]] = []
+    for s, v, c in zip(at.tolist(), np.bincount(of, y).tolist(), times.tolist()):
+        blocks.append([v, float(c), s, s])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             v2, c2, _, hi = blocks.pop()
             blocks[-1][0] += v2
             blocks[-1][1] += c2
             blocks[-1][3] = hi
+    return blocks
+
+
+def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (score, probability), both rising, of the pooled blocks; means are drawn a little to the middle."""
+    blocks = pooled(score, y)
     xs = [x for v, c, lo, hi in blocks for x in (lo, hi)]
     ys = [(v + 0.1) / (c + 0.2) for v, c, _, _ in blocks for _ in (0, 1)]
     return np.array(xs), np.maximum.accumulate(ys)

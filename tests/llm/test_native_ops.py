@@ -96,13 +96,3 @@ def test_perspectives(spark):
     assert perspectives.rotate(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark):
-    import corpus_pipeline as c
-
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    out = c.run(spark, DIR)
-    assert out.columns[: len(docs.columns)] == docs.columns
-    rows = out.toPandas()
-    assert 0 < len(rows) <= docs.count() and rows.round_trip.all() and rows.doc_id.is_unique
-    decoded = rows.text.map(lambda t: len(t))
-    assert (decoded > 0).any()

@@ -138,6 +138,40 @@ def _lang_texts(n, seed):
     return [(lang, " ".join(rng.choice(w) for _ in range(rng.randint(5, 40)))) for _ in range(n) for lang, w in LANG_WORDS.items()]
 
 
+def plain_subwords(text, buckets):
+    """Byte n-grams of the folded text, by plain integers; single bytes and pairs do not begin with a blank."""
+    t = [32] + [(b | 0x20) if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text] + [32]
+    out = []
+    for n in range(1, 5):
+        for i in range(len(t) - n + 1):
+            if n <= 2 and t[i] == 32:
+                continue
+            h = 0
+            for k, b in enumerate(t[i : i + n], 1):
+                h = (h * 0x01000193 + b + k) % 2**32
+            h ^= h >> 15
+            h = h * 0x85EBCA6B % 2**32
+            h ^= h >> 13
+            out.append(h % buckets)
+    return out
+
+
+def test_language_scores_equal_mean_then_layer():
+    """The folded table against embeddings that are averaged first and then go through layer and softmax."""
+    train = _lang_texts(20, 5)
+    names, buckets = sorted(LANG_WORDS), 1 << 10
+    hashed = [np.unique(plain_subwords(t.encode(), buckets), return_counts=True) for _, t in train]
+    y = np.array([names.index(x) for x, _ in train])
+    emb, layer, bias = langid._sgd([(r, c.astype(float)) for r, c in hashed], y, 3, buckets, 8, 3, 1.0, 7)
+    model = langid.LanguageModel(names, emb @ layer, bias, temperature=0.7, buckets=buckets)
+    texts = ["der die das", "The  ÉTÉ 12", "x", "漢字 und", "a" * 300]
+    for t, p in zip(texts, model.scores([t.encode() for t in texts])):
+        z = (np.mean([emb[h] for h in plain_subwords(t.encode(), buckets)], axis=0) @ layer + bias) / 0.7
+        assert np.allclose(p, np.exp(z) / np.exp(z).sum())
+    fitted = langid.fit([t for _, t in train], [x for x, _ in train], buckets=buckets)
+    assert set(fitted.languages) == set(names)
+
+
 def test_language_accuracy_on_held_out():
     train, test = _lang_texts(60, 1), _lang_texts(30, 2)
     m = langid.fit([t for _, t in train], [x for x, _ in train])
@@ -191,9 +225,90 @@ def test_toxicity_on_held_out():
     assert ((s[:-1] >= 0.5) == y).mean() >= 0.97 and (s >= 0).all() and (s <= 1).all() and s[-1] < 0.5
 
 
-def test_isotonic_rises():
-    x, y = toxicity.isotonic(np.array([0.1, 0.4, 0.3, 0.8, 0.8]), np.array([0, 0, 1, 1, 1.0]))
-    assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all()
+def test_isotonic_against_minmax():
+    """Pooled means against the largest of least means over all ranges, with ties."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        score, y = rng.integers(0, 9, 25) / 8, rng.integers(0, 2, 25).astype(float)
+        at, of, w = np.unique(score, return_inverse=True, return_counts=True)
+        total = np.bincount(of, y)
+        mean = lambda a, b: total[a : b + 1].sum() / w[a : b + 1].sum()
+        want = [max(min(mean(a, b) for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+        blocks = toxicity.pooled(score, y)
+        got = [next(v / c for v, c, lo, hi in blocks if lo <= s <= hi) for s in at]
+        assert np.allclose(got, want)
+        x, p = toxicity.isotonic(score, y)
+        assert (np.diff(x) >= 0).all() and (np.diff(p) >= 0).all()
+
+
+def test_trees_against_a_walk():
+    """Scores of boosted trees, node by node and without bins."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 5)), 1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=300) * 0.3 > 0.4).astype(float)
+    forest = toxicity.boost(x, y, rounds=12)
+    new = np.concatenate([x[:40], np.round(rng.normal(size=(40, 5)) * 2, 1)])
+
+    def walk(row):
+        out = forest.base
+        for feature, bound, leaf in forest.trees:
+            node = 0
+            while node < len(feature):
+                cuts = forest.cuts[feature[node]]
+                right = bound[node] < len(cuts) and row[feature[node]] > cuts[bound[node]]
+                node = 2 * node + (2 if right else 1)
+            out += leaf[node - len(feature)]
+        return out
+
+    assert np.allclose(forest.raw(new), [walk(r) for r in new])
+    assert ((forest.raw(x) > 0) == y).mean() > 0.8
+
+
+def test_long_words_are_told_apart():
+    """Words that begin alike are different words, however long."""
+    a, b = "x" * 40 + "a", "x" * 40 + "b"
+    w = toxicity.Words([a.encode(), b.encode(), (a + " " + b).encode(), ("y" * 5000).encode()])
+    assert w.whole[0] != w.whole[1] and w.whole[0] == w.whole[2] and w.whole[1] == w.whole[3] and len(set(w.whole.tolist())) == 3
+
+
+def test_clashing_labels_count_as_toxic(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0)], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.labelled(docs, labels, 10).collect()}
+    assert {i: t for i, t in got.items()} == {i: t for i, t in {1: 1, 2: 0}.items() if zlib.crc32(str(i).encode()) % 5}
+
+
+def test_sample_bytes(spark):
+    from taskloom.llm.common import first_rows
+
+    df = spark.createDataFrame([(i, "x" * 10) for i in range(20)] + [(-1, "y" * 1000)], "o int, t string")
+    assert [r.o for r in first_rows(df, ["o"], "t", 50, 35).collect()] == [-1]
+    assert [r.o for r in first_rows(df.where("o >= 0"), ["o"], "t", 50, 35).collect()] == [0, 1, 2]
+    assert first_rows(df, ["o"], "t", 4, 10**9).count() == 4
+
+
+def test_digests_of_tree_query(spark):
+    """Digests of the query from ids of the library itself."""
+    import hashlib
+
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    library = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=load_tiktoken_bpe(RANKS), special_tokens={})
+    docs = [(i, t) for i, (_, t, _) in enumerate(EDGE)] + [(9, "don't STOP 12345 <|endoftext|> \u00a0 x\n\n  y 😀")]
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_tree.encode_decode_digests(spark.createDataFrame(docs, "doc_id long, text string"), RANKS, P.PATTERN).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for i, t in docs:
+        ids = library.encode_ordinary(t or "")
+        assert got[i] == (len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode()))
+
+
+def test_result_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "ein Text")], "doc_id long, text string").withColumns({n: F.lit("own") for n in ("token_ids", "Round_Trip", "toxicity", "score", "decoded")})
+    out = bpe_tree.with_tokens(df, RANKS, P.PATTERN)
+    assert out.columns == ["doc_id", "text", "toxicity", "score", "decoded", "token_ids", "round_trip"] and out.first().round_trip
+    scored = toxicity.score(df, toxicity.ToxicityModel(None, None, None, 0.25), out_col="Score")
+    assert scored.columns == ["doc_id", "text", "token_ids", "Round_Trip", "toxicity", "decoded", "Score"] and scored.first().Score == 0.25
 
 
 def test_toxicity_edges(spark):
