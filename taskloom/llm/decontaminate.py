@@ -24,7 +24,7 @@ from .common import ascii_lower, discard, fresh, materialize
 #: Bytes of benchmark words or windows that are broadcast at a time, at most.
 BROADCAST_BYTES = 32 << 20
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_OTHER_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -33,7 +33,9 @@ def words_of(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(_WORD_ANY_CASE)).cast("long")
+    """The number of words of a text, by the blanks between them."""
+    norm = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _OTHER_ANY_CASE, " "))
+    return F.when(norm == "", F.lit(0)).otherwise(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
 def digest(text_col: str) -> Column:
