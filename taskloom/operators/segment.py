@@ -8,18 +8,16 @@ from pyspark.sql import functions as F
 from ..functions import classify, documents, points
 from ..functions.textual import NOT_S, S, circled, lines, or_else, text, trim
 
-# Lines that begin a task.
+# How a line goes on that begins a task.
 STARTS = [
-    rf"(?i)^Aufgabe{S}*\d{{1,2}}{S}*[:.)\-–]?",
-    rf"(?i)^\d{{1,2}}{S}*[:.)\-–]?{S}*\({S}*(?:je{S}*)?{points.SUM}{S}*(?:P\.?|BE){S}*\)",
-    rf"(?i)^\d{{1,2}}{S}*[:.)]{S}+(?!(?:Klassenarbeit|Klausur|Test|Teil|Seite|Klasse|Jahrgang(?:sstufe)?)(?![A-Za-z0-9_]))(?![÷×·+=<>−-]){NOT_S}",
+    rf"Aufgabe{S}*\d{{1,2}}{S}*[:.)\-–]?",
+    rf"\d{{1,2}}{S}*[:.)\-–]?{S}*\({S}*(?:je{S}*)?{points.SUM}{S}*(?:P\.?|BE){S}*\)",
+    rf"\d{{1,2}}{S}*[:.)]{S}+(?!(?:Klassenarbeit|Klausur|Test|Teil|Seite|Klasse|Jahrgang(?:sstufe)?)(?![A-Za-z0-9_]))(?![÷×·+=<>−-]){NOT_S}",
 ]
 # Confidences of heuristic fields, and of an expectation that a document states.
 CONFIDENCES, EXPECTED = {"topic": 0.45, "competence": 0.4, "afb": 0.35, "time": 0.45, "expectation": 0.0}, 0.95
 PAGE_MARK = rf"(?i)^{S}*\[\[PAGE:(\d+)\]\]{S}*\z"
-
-
-START = rf"(?i)^{S}*(?:{'|'.join(p.removeprefix('(?i)^') for p in STARTS)})"
+START = rf"(?i)^{S}*(?:{'|'.join(STARTS)})"
 
 
 def starts_task(line: Column) -> Column:
@@ -27,24 +25,12 @@ def starts_task(line: Column) -> Column:
     return circled(text(line)).rlike(START)
 
 
-def document_lines(docs: DataFrame, doc_col: str, text_col: str) -> DataFrame:
-    """(doc, line_no, line) of each text, circled numbers as digits."""
-    return docs.select(F.col(doc_col).alias("doc"), F.posexplode(lines(circled(text(text_col)))).alias("line_no", "line"))
-
-
 def forward_fill(rows: DataFrame, doc: str, order: str, value: str) -> DataFrame:
     """``rows`` with nulls of ``value`` filled from the last row before in the document."""
     w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn(value, F.last(value, ignorenulls=True).over(w))
 
 
-def with_pages(rows: DataFrame) -> DataFrame:
-    """Lines with their page; page mark lines go."""
-    mark = F.regexp_extract("line", PAGE_MARK, 1)
-    marked = rows.withColumn("page", F.when(mark != "", mark.cast("int")))
-    return forward_fill(marked.withColumn("is_mark", mark != ""), "doc", "line_no", "page").where("not is_mark").drop("is_mark")
-
-
 def segments(rows: DataFrame, is_start: Column) -> DataFrame:
     """Lines from the first start on with their segment number."""
     w = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
