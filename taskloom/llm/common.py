@@ -39,14 +39,24 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, tag: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts the lineage.
 
-    Unlike a cache, the table outlives any executor.
+    Unlike a cache, the table outlives any executor. ``batch_rows``: rows that go to a Python worker at a time
+    while the table is written, for rows that may be large.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_ARROW_ROWS)
+    try:
+        if batch_rows:
+            spark.conf.set(_ARROW_ROWS, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out

@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -27,13 +28,18 @@ def union(n, edges):
     return [find(i) for i in range(n)]
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("task_edges", [0, 10**6])
+def test_components_of_chains_and_stars(spark, task_edges):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (100, 101), (None, 3)]
     rng = random.Random(1)
     rng.shuffle(edges)
-    got = {r.node: r.component for r in cc.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in cc.components(spark.createDataFrame(edges, "a long, b long"), task_edges=task_edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
-    assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert cc.components(spark.createDataFrame([], "a long, b long"), task_edges=task_edges).count() == 0
+    chain = list(range(500))
+    rng.shuffle(chain)
+    df = spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long")
+    assert {r.component for r in cc.components(df, task_edges=task_edges).collect()} == {0}
 
 
 def plain_fingerprint(text, k=3):
@@ -50,8 +56,8 @@ def test_fingerprint():
         assert simhash.fingerprint(t) & (1 << 64) - 1 == plain_fingerprint(t)
 
 
-@pytest.mark.parametrize("limit", [4096, 8])
-def test_links_connect_all_close_pairs(spark, limit):
+@pytest.mark.parametrize("limit, blocks", [(4096, None), (8, None), (20, 5)])
+def test_links_connect_all_close_pairs(spark, limit, blocks):
     rng = random.Random(3)
     fps = {rng.getrandbits(64) for _ in range(150)}
     for _ in range(12):
@@ -61,12 +67,47 @@ def test_links_connect_all_close_pairs(spark, limit):
             x = (x if rng.random() < 0.5 else base) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4)))
     fps = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
     want = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if bin((fps[i] ^ fps[j]) & (1 << 64) - 1).count("1") <= 3])
-    pairs = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), limit=limit).collect()
+    pairs = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), limit=limit, blocks=blocks).collect()
     at = {f: i for i, f in enumerate(fps)}
     assert all(bin((r.a ^ r.b) & (1 << 64) - 1).count("1") <= 3 for r in pairs)
     assert union(len(fps), [(at[r.a], at[r.b]) for r in pairs]) == want
 
 
+def test_division_of_even_and_dense_shards(spark):
+    """Shards far over the limit: spread fingerprints that agree on a block, and a ball that no vantage point divides."""
+    rng = random.Random(9)
+    spread = {(5 << 48) | rng.getrandbits(48) for _ in range(260)}
+    spread |= {x ^ (1 << rng.randrange(48)) for x in list(spread)[:60]}
+    centre = rng.getrandbits(48) | (9 << 48)
+    ball = {centre ^ sum(1 << b for b in rng.sample(range(20), rng.randint(2, 9))) for _ in range(200)}
+    fps = sorted(spread | ball)
+    near = lambda x, y: (x ^ y).bit_count() <= 3
+    want = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if near(fps[i], fps[j])])
+    rows = spark.createDataFrame([(f,) for f in fps], "fp long")
+    parts, _ = simhash.divided(simhash.shards(rows, 4, 3), 16, 3)
+    assert parts.groupBy("shard").count().agg(F.max("count")).first()[0] <= 40
+    at = {f: i for i, f in enumerate(fps)}
+    assert union(len(fps), [(at[r.a], at[r.b]) for r in simhash.links(rows, limit=16).collect()]) == want
+
+
+def test_block_count_grows_with_the_corpus():
+    assert [simhash.block_count(n, 3) for n in (0, 10**6, 10**8, 10**11)] == [4, 4, 5, 6]
+
+
+def test_simhash_query_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = [None, "", " \n", "Eins", "eins", "zwei Wörter"]
+    for _ in range(25):
+        t = [rng.choice(words) for _ in range(rng.randint(40, 90))]
+        texts += [" ".join(t), " ".join(t).upper().replace(" ", "\t"), " ".join(t + ["x"]), " ".join(t[:-1])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fps = [plain_fingerprint(t) for t in texts]
+    comp = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op6_simhash(df).collect()}
+    assert got == {i: (f"{f:016x}", comp[i]) for i, f in enumerate(fps)}
+
+
 def test_near_duplicates_edges(spark):
     rows = [(5, "eins zwei drei vier"), (3, "Eins  zwei drei\nvier"), (9, None), (8, ""), (None, "eins zwei drei vier"), (3, "Eins  zwei drei\nvier"), (None, "nur hier steht das"), (7, "x " * 40000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")).withColumn("component_id", F.lit(1))
@@ -189,7 +230,7 @@ def test_embeddings_against_brute_force(spark, block):
         rows.append((i, [float(x) for x in v.astype(np.float32)], int(i // 4 % 3)))
     hot = rng.normal(size=16)
     rows += [(1000 + i, [float(x) for x in (hot + rng.normal(size=16) * 0.05).astype(np.float32)], 1) for i in range(60)]
-    bad = [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0], [1.0]]
+    bad = [None, [], [0.0] * 16, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0, 2.0], [2.0, 4.0], [1.0], [3.0], [-1.0], [0.5]]
     rows += [(2000 + i, v, 1) for i, v in enumerate(bad)] + [(3000, rows[0][1], None), (3001, rows[0][1], 0), (3001, rows[0][1], 0), (None, rows[8][1], 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("entry", F.lit("clash")).withColumn("n", F.lit(0))
     got = multi_index.near_duplicates(df, block=block, cell_rows=4).collect()
@@ -202,6 +243,7 @@ def test_embeddings_against_brute_force(spark, block):
         if i is not None and i != 3001:
             assert by_id[i].n_links <= degree[k]
     assert all(by_id[2000 + i].n_links == 0 and by_id[2000 + i].component_id == 2000 + i for i in range(6)) and by_id[2006].n_links == 1
+    assert [by_id[2000 + i].n_links for i in (8, 9, 10, 11)] == [2, 2, 0, 2] and by_id[2011].component_id == 2008
     assert by_id[3000].kept and by_id[3001].component_id == 0
     comp = union(len(rows), edges)
     whole = collections.defaultdict(set)
@@ -213,11 +255,70 @@ def test_embeddings_against_brute_force(spark, block):
     assert multi_index.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_recall_on_the_table(spark):
+    """Links of every row whose id is divisible by 20 against all rows, by brute force in double precision.
+
+    The table has few neighbours, so each of these rows gets some, at cosines around the bound.
+    """
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "label", "embedding").toPandas()
+    fine = rows[rows.label.notna() & rows.embedding.map(lambda v: v is not None and len(v) > 1 and np.isfinite(np.asarray(v, float)).all() and np.any(np.asarray(v, float)))]
+    rng = np.random.default_rng(6)
+    added = []
+    for r in fine[fine.vec_id % 20 == 0].itertuples():
+        v = np.asarray(r.embedding, float)
+        for scale in (0.1, 0.16, 0.19, 0.21, 0.3):
+            side = rng.normal(size=len(v))
+            added.append((10**6 + len(added), r.label, (v + side * np.linalg.norm(v) * scale / np.linalg.norm(side)).astype(np.float32)))
+    fine = pd.concat([fine, pd.DataFrame(added, columns=["vec_id", "label", "embedding"])])
+    df = spark.createDataFrame([(int(r.vec_id), int(r.label), [float(x) for x in r.embedding]) for r in fine.itertuples()], "vec_id long, label int, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in multi_index.op9_multi_index(df).collect()}
+    assert len(got) == len(fine)
+    found = all_links = 0
+    for _, group in fine.groupby("label"):
+        x = multi_index.unit(np.stack(group.embedding.to_numpy()))
+        for i in np.nonzero(group.vec_id.to_numpy() % 20 == 0)[0]:
+            n = int((x @ x[i] >= 0.98).sum()) - 1
+            all_links += n
+            found += got[int(group.vec_id.iloc[i])]
+            assert got[int(group.vec_id.iloc[i])] <= n
+    print(f"recall {found / all_links:.4f} of {all_links}")
+    assert all_links > 100 and found >= 0.95 * all_links
+
+
+def test_lengths_that_a_sample_lacks(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], 0) for i in range(40)]
+    base = rng.normal(size=5)
+    rows += [(100 + i, [float(x) for x in base + rng.normal(size=5) * 0.01], 0) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.id: r.n_links for r in multi_index.near_duplicates(df, sample_rows=1).collect()}
+    assert [got[100 + i] for i in range(6)] == [5] * 6 and sum(got.values()) == 30
+
+
 def five_words(text):
     w = text.lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def test_prefix_pairs_lose_nothing(spark):
+    """Nodes of one bucket whose centres leave most apart: a family just under and just over the bound."""
+    from taskloom.llm import near_copies
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(60):
+        t = list(base)
+        for at in rng.sample(range(0, 120, 6), rng.randint(1, 4)):  # edits that never touch a common shingle
+            t[at] = f"e{i % 12}x{at}" if i % 3 else f"e{i}y{at}"
+        docs.append(" ".join(t))
+    sets = [near_copies.shingles(t) for t in docs]
+    df = spark.createDataFrame([(i, len(s), i, s.tobytes()) for i, s in enumerate(sets)], "node long, n long, g long, shingles binary")
+    pairs = {tuple(sorted((r.a, r.b))) for r in near_copies.prefix_pairs(df.drop("shingles"), df.select("node", "shingles")).collect()}
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert near <= pairs and 0 < len(near) < 60 * 59 // 2
+
+
 def test_pipeline_drops_near_copies_at_08(spark):
     """Groups of the near-copy stage are those of all pairs with a five-word Jaccard similarity of 0.8 or more."""
     import corpus_pipeline
@@ -233,6 +334,9 @@ def test_pipeline_drops_near_copies_at_08(spark):
             docs.append(" ".join(base))
     sets = [five_words(t or "") for t in docs]
     edges = [(i, j) for i in range(len(docs)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    docs.append(docs[9] + " zusatz")
+    sets.append(five_words(docs[-1]))
+    edges += [(len(docs) - 1, j) for j in range(len(docs) - 1) if 5 * len(sets[-1] & sets[j]) >= 4 * len(sets[-1] | sets[j])]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
     assert kept == set(union(len(docs), edges)) and len(kept) < len(docs) - 30
