@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_tree, decontaminate, langid, multi_index, perspectives, simhash, suffix_dedup, token_planes, toxicity, urlfilter
+from . import bpe_tree, decontaminate, langid, lz_fingerprint, multi_index, perspectives, prefix_trie, simhash, suffix_dedup, token_planes, toxicity, urlfilter, whitening
 from .common import table
 
 
@@ -52,6 +52,18 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_decode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.op11_lz_fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op12_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op13_whitening(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_token_planes": op2_token_planes,
@@ -63,10 +75,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_multi_index": op9_multi_index,
     "op10_bpe_tree": op10_bpe_tree,
+    "op11_lz_fingerprint": op11_lz_fingerprint,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
     "op3_url_filter": urlfilter.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op5_perspectives": perspectives.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
