@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..schema import COMPETENCES, CONFIDENCE, MODEL_JSON, TOPICS_BY_CLASS
 from .points import PART, max_points, safe_points
-from .textual import S, circled, found, jaccard, js_number, js_round, let, lines, nfkc, or_else, sub, text, trim
+from .textual import BLANKS, S, circled, found, jaccard, js_number, js_round, let, lines, nfkc, or_else, sub, text, trim
 
 # Words that do not count when prose is compared.
 STOP = (
@@ -69,7 +69,7 @@ def check_correction(original: Column, corrected: Column, normal: bool = True) -
     pct = lambda x: js_number(js_round(x * 100))
 
     def side(c: Column) -> Column:
-        heads = F.size(found(c, rf"(?im)^{S}*Aufgabe{S}+\d+"))
+        heads = F.size(found(c, rf"(?im)^[{BLANKS}]*Aufgabe{S}+\d+"))
         return F.struct(F.length(c).alias("size"), task_numbers(c).alias("tasks"), part_labels(c).alias("parts"), numbers(c, normal).alias("numbers"), prose_words(c).alias("prose"), heads.alias("heads"))
 
     def judged(pair: Column) -> Column:

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .textual import S, SPACES, first_of, found, js_number, js_round, let, number, or_else, sub, text, trim
+from .textual import BLANKS, S, first_of, found, js_number, js_round, let, number, or_else, sub, text, trim
 
 # Patterns of the mini-language.
 NUMBER = r"\d+(?:[.,]\d+)?"
 MAX = rf"(?i)\({S}*max\.?{S}*({NUMBER}){S}*\)"
 MAX_BLOCK = r"(?i)\(\s*max\.?[^)]*\)"
 LEVELS = {"AFB1": rf"AFB{S}*(?:1|I)(?!I)", "AFB2": rf"AFB{S}*(?:2|II)(?!I)", "AFB3": rf"AFB{S}*(?:3|III)"}
-LABEL = rf"(?m)^{S}*([*⋆✱]?{S}*[a-zA-Z])\){S}*"
+LABEL = rf"(?m)^[{BLANKS}]*([*⋆✱]?{S}*[a-zA-Z])\){S}*"
 EXPLICIT = rf"(?i)([a-zA-Z]){S}*[:)]?{S}*AFB{S}*([123]|I{{1,3}})"
 PART = rf"(?im)(?:^|\n){S}*\*?([a-z])\){S}*"
 SUM = rf"{NUMBER}(?:{S}*\+{S}*{NUMBER})*"
@@ -90,7 +90,7 @@ def document_points(chunk: Column) -> Column:
     """Points text found in a task: line marks ``(n P.)`` joined by +, else an inline mark, else ''."""
     flat = F.replace(text(chunk), F.lit("\r"), F.lit(""))
     each = F.coalesce(first_of(found(flat, LINE_POINTS, 1)), F.lit("")) != ""
-    labels = F.array_distinct(F.transform(found(text(chunk), rf"(?im)^[{SPACES}\u200B]*[*]?([a-z])\){S}*", 1), F.lower))
+    labels = F.array_distinct(F.transform(found(text(chunk), rf"(?im)^[{BLANKS}\u200B]*[*]?([a-z])\){S}*", 1), F.lower))
     inline = [sub(F.regexp_extract(flat, p, 1), S) for p in INLINE]
 
     def chosen(marks: Column) -> Column:
@@ -126,7 +126,7 @@ def safe_points(raw: Column, fallback: Column) -> Column:
 
 def estimated_time(points: Column, question: Column) -> Column:
     """Minutes: 1.8 a point (4 without points) and one for each further sub-task; at least 2."""
-    parts = F.size(found(text(question), rf"(?im)^{S}*[*]?[a-z]\){S}*"))
+    parts = F.size(found(text(question), rf"(?im)^[{BLANKS}]*[*]?[a-z]\){S}*"))
     minutes = F.when(points > 0, points * 1.8).otherwise(F.lit(4.0)) + F.greatest(F.lit(0), parts - 1)
     return F.greatest(F.lit(2), js_round(minutes)).cast("long")
 

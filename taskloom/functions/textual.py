@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 
 #: Inside of a character class: Unicode white space.
 SPACES = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+#: The same without line ends: with it a pattern for line beginnings tries each blank line once.
+BLANKS = r"\t\x0B\f \u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\uFEFF"
+#: White space as characters.
+WHITE = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 S = f"[{SPACES}]"
 NOT_S = f"[^{SPACES}]"
 #: ASCII word boundary.
@@ -35,7 +39,13 @@ def sub(c: Column, pattern: str, to: str = "") -> Column:
 
 
 def trim(c: Column) -> Column:
-    return sub(c, rf"^{S}+|{S}+\z")
+    """Without white space at both ends; linear in the text, as a pattern that ends in an anchor is not."""
+    return F.btrim(c, F.lit(WHITE))
+
+
+def trim_lines(c: Column) -> Column:
+    """Without blanks and tabs at line ends. A run of them is tried from its beginning alone."""
+    return sub(c, r"(?<![ \t])[ \t]++\n", "\n")
 
 
 def squeeze(c: Column) -> Column:

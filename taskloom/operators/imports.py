@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import guard
 from ..schema import TOPICS_BY_CLASS
 from ..sources import documents as files
@@ -23,14 +24,24 @@ class Imported:
     errors: DataFrame  # name, error
 
 
-def source_drafts(sources: DataFrame, default_class: str | None = None, default_topic: str | None = None) -> DataFrame:
-    """Heuristic drafts of sources, with images and the expectations of the sources' tables."""
+#: Stands between an upload's key and a file's name while files of several uploads are read together.
+_JOINT = "\u001f"
+
+
+def source_drafts(sources: DataFrame, default_class: str | None = None, default_topic: str | None = None, *by: str) -> DataFrame:
+    """Heuristic drafts of sources, with images and the expectations of the sources' tables.
+
+    by: columns of the sources that tell requests apart; drafts have them, too. Drafts are found once and written.
+    """
     lit = lambda v: F.lit(v) if v else None
     body = sources.withColumn("__body", F.coalesce(F.nullif("simplified", F.lit("")), "text")).withColumn("__pdf", F.col("mime_type") == files.MIME["pdf"])
     pictures = body.select("name", "__body", F.col("images").alias("__images"), "__pdf")
     chunks = segment.task_chunks(pictures, "name", "__body", "__images", "__pdf")
-    rows = segment.drafts(chunks, F.col("doc"), lit(default_class), lit(default_topic), F.col("__images"), F.col("__pdf"))
-    return segment.with_expectations(rows, sources)
+    title = F.substring_index("doc", _JOINT, -1)
+    rows = segment.drafts(chunks, title, lit(default_class), lit(default_topic), F.col("__images"), F.col("__pdf"))
+    if by:
+        rows = rows.join(sources.select(F.col("name").alias("doc"), *by), "doc").select(*rows.columns, *by)
+    return segment.with_expectations(scratch.written(rows, "drafts"), sources, "name", *by)
 
 
 def corrected_sources(sources: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +75,7 @@ def corrected_sources(sources: DataFrame, corrections: DataFrame) -> tuple[DataF
 def with_repair_marks(drafts: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Drafts with ``math_repair``: visual, rejected or none, by the outcomes of their pages."""
     lists = guard.page_outcomes(outcomes.where("page is not null")).select(F.col("doc").alias("__doc"), F.col("repaired_pages").alias("__r"), F.col("rejected_pages").alias("__x"))
-    rows = drafts.join(lists, F.col("source_file") == F.col("__doc"), "left")
+    rows = drafts.join(lists, F.col("doc") == F.col("__doc"), "left")
     return rows.withColumn("math_repair", guard.repair_mark(F.col("source_pages"), F.col("__r"), F.col("__x"))).select(*drafts.columns)
 
 
@@ -77,6 +88,7 @@ def import_documents(
     page_images: DataFrame | None = None,
     corrections: DataFrame | None = None,
     by_class: dict[str, list[str]] = TOPICS_BY_CLASS,
+    upload: str | None = None,
 ) -> Imported:
     """Files as drafts for review, with their candidates of duplicates in ``pool``.
 
@@ -84,20 +96,44 @@ def import_documents(
     corrections: (name, page_number, text) that an injected model proposes. pool: task_id, title, question_text,
     class_level, topic, scan_ord. Warnings by code: untrusted, repaired, rejected, skipped, sparse; a file that
     can't be read, and a file without tasks, is in ``errors``.
+
+    All files are one request, unless ``upload`` names a column (of ``uploaded`` and of the tables beside it) that tells
+    requests apart. Then each upload is an import of its own: its limits (an upload that breaks one has an error
+    without a name, and nothing else), its expectations, warnings and repair marks; all results have the column.
+    Sources and drafts are read and found once, and written to the shared folder.
     """
-    read = files.extract(uploaded, pages, page_images)
+    by = [upload] if upload else []
+    refused = None
+    if upload:
+        said = uploaded.where(F.col(upload).isNotNull())
+        limits = scratch.written(files.upload_problem(said.select(upload, F.octet_length("content").alias("bytes")), upload), "limits")
+        refused = limits.where("problem is not null").select(upload, F.lit(None).cast("string").alias("name"), F.col("problem").alias("error"))
+        uploaded = said.join(limits.where("problem is null").select(upload), upload)
+        joint = lambda df: None if df is None else df.withColumn("name", F.concat(F.col(upload).cast("string"), F.lit(_JOINT), "name")).drop(upload)
+        requests = joint(uploaded.withColumn("__u", F.col(upload))).select("name", F.col("__u").alias(upload)).distinct()
+        uploaded, pages, page_images, corrections = joint(uploaded), joint(pages), joint(page_images), joint(corrections)
+    read = scratch.written(files.extract(uploaded, pages, page_images), "sources")
     sources = read.where("error is null").drop("error")
     errors = read.where("error is not null").select("name", "error")
     warnings = files.sparse(sources).select(F.col("name").alias("source"), F.lit("sparse").alias("code"), F.lit(None).cast("int").alias("page"), F.lit("").alias("detail"))
     outcomes = None
     if corrections is not None:
         sources, outcomes = corrected_sources(sources, corrections)
+        sources, outcomes = scratch.written(sources, "corrected"), scratch.written(outcomes, "outcomes")
         warnings = warnings.unionByName(outcomes.select(F.col("doc").alias("source"), F.col("outcome").alias("code"), "page", F.col("reason").alias("detail")))
-    drafts = source_drafts(sources, class_level, topic)
+    told = sources.join(requests, "name") if upload else sources
+    drafts = source_drafts(told, class_level, topic, *by)
     if outcomes is not None:
         drafts = with_repair_marks(drafts, outcomes)
-    empty = sources.select("name").join(drafts.select(F.col("source_file").alias("name")).distinct(), "name", "left_anti").select("name", F.lit("no tasks").alias("error"))
-    return Imported(deduplicated(drafts, pool, by_class), warnings, files.summary(sources), errors.unionByName(empty))
+    empty = sources.select("name").join(drafts.select(F.col("doc").alias("name")).distinct(), "name", "left_anti").select("name", F.lit("no tasks").alias("error"))
+    errors = errors.unionByName(empty)
+    summary = files.summary(sources)
+    if upload:
+        plain = lambda df, c: df.join(requests.withColumnRenamed("name", c), c).withColumn(c, F.substring_index(c, _JOINT, -1))
+        warnings, summary = plain(warnings, "source").select(upload, *warnings.columns), plain(summary, "name").select(upload, *summary.columns)
+        errors = plain(errors, "name").select(upload, "name", "error").unionByName(refused)
+        drafts = drafts.withColumns({c: F.replace(c, F.lit(_JOINT), F.lit("/")) for c in ("id", "doc")})
+    return Imported(deduplicated(drafts, pool, by_class), warnings, summary, errors)
 
 
 def deduplicated(drafts: DataFrame, pool: DataFrame, by_class: dict[str, list[str]] = TOPICS_BY_CLASS) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import classify, documents, points
 from ..functions.textual import NOT_S, S, circled, lines, or_else, text, trim
+from .scan import scan
 
 # How a line goes on that begins a task.
 STARTS = [
@@ -26,15 +28,15 @@ def starts_task(line: Column) -> Column:
 
 
 def forward_fill(rows: DataFrame, doc: str, order: str, value: str) -> DataFrame:
-    """``rows`` with nulls of ``value`` filled from the last row before in the document."""
-    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(value, F.last(value, ignorenulls=True).over(w))
+    """``rows`` with nulls of ``value`` filled from the last row before in the document, which may span tasks."""
+    out = scan(rows, [doc], [order], fills={"__filled": value})
+    return out.withColumn(value, F.col("__filled")).drop("__filled")
 
 
 def segments(rows: DataFrame, is_start: Column) -> DataFrame:
-    """Lines from the first start on with their segment number."""
-    w = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("segment", F.sum(is_start.cast("int")).over(w).cast("int")).where("segment > 0")
+    """Lines (doc, line_no, ...) from the first start on with their segment number; a document may span tasks."""
+    out = scan(rows.withColumn("__start", is_start.cast("int")), ["doc"], ["line_no"], sums={"__segment": "__start"})
+    return out.withColumn("segment", F.col("__segment").cast("int")).where("segment > 0").drop("__start", "__segment")
 
 
 def task_chunks(docs: DataFrame, doc_col: str, text_col: str, *keep: str) -> DataFrame:
@@ -105,20 +107,23 @@ def drafts(chunks: DataFrame, name: Column, default_class: Column | None = None,
     )
 
 
-def with_expectations(rows: DataFrame, sources: DataFrame, order: str = "name") -> DataFrame:
+def with_expectations(rows: DataFrame, sources: DataFrame, order: str = "name", *by: str) -> DataFrame:
     """Drafts with the expectation of the first fitting row of the sources' tables, and its confidence.
 
-    Rows come in the order of the sources and of their tables.
+    Rows come in the order of the sources and of their tables; with ``by``, of sources whose columns of these names are equal.
     """
-    listed = sources.select(F.col(order).alias("o"), F.posexplode("expectation_rows").alias("i", "r")).select(F.struct("o", "i").alias("ord"), "r.title", "r.expectation")
-    return matched(rows, listed)
-
-
-def matched(rows: DataFrame, expected: DataFrame) -> DataFrame:
-    """Drafts (title, expectation, confidence) with what the first fitting row (ord, title, expectation) says."""
-    best = first_match(rows, expected).withColumnRenamed("ord", "__ord")
-    said = expected.select(F.col("ord").alias("__o"), F.col("expectation").alias("__said"))
-    out = best.join(said, F.col("__ord") == F.col("__o"), "left")
+    listed = sources.select(*by, F.col(order).alias("o"), F.posexplode("expectation_rows").alias("i", "r")).select(*by, F.struct("o", "i").alias("ord"), "r.title", "r.expectation")
+    return matched(rows, listed, *by)
+
+
+def matched(rows: DataFrame, expected: DataFrame, *by: str) -> DataFrame:
+    """Drafts (title, expectation, confidence, *by) with what the first fitting row (ord, title, expectation, *by) says."""
+    best = first_match(rows, expected, *by).withColumnRenamed("ord", "__ord")
+    said = expected.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("ord").alias("__o"), F.col("expectation").alias("__said"))
+    on = F.col("__ord") == F.col("__o")
+    for c in by:
+        on &= F.col(c) == F.col(f"__{c}")
+    out = best.join(said, on, "left")
     hit = F.col("__ord").isNotNull()
     confidence = F.struct(*[F.when(hit, F.when(text("__said") != "", F.lit(EXPECTED)).otherwise(F.lit(0.0))).otherwise(F.col("confidence.expectation")).alias(k) if k == "expectation" else F.col(f"confidence.{k}").alias(k) for k in CONFIDENCES])
     return out.withColumn("expectation", F.when(hit, text("__said")).otherwise(F.col("expectation"))).withColumn("confidence", confidence).select(*rows.columns)
@@ -140,35 +145,51 @@ def decorative(images: DataFrame, doc: str, payload: str) -> DataFrame:
     return both.select("a.*", "n_uses", (F.col("n_uses") > 1).alias("is_decorative"))
 
 
-HEAD = 4  # letters by which a title and one that contains it meet
+#: Sizes of the pieces by which a title and one that contains it meet: the largest that the shorter one has.
+PIECES = [8, 4, 3, 2, 1]
 
 
-def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
-    """Rows of ``short`` (s, ...) and ``long`` (l, ...) whose key s stands within l.
+def _contained(short: DataFrame, long: DataFrame, *by: str) -> DataFrame:
+    """Rows of ``short`` (s, ...) and ``long`` (l, ...) whose key s stands within l, and whose ``by`` are equal.
 
-    They meet in an equi-join of the first letters of s, up to four of them, with the pieces of l of that size,
-    so a title is compared only with those that have its beginning somewhere.
+    They meet at the rarest piece of s, by the number of keys l that have it; an s of which a piece is nowhere is
+    in no l. So a beginning that all titles share brings none of them together.
     """
-    heads = short.withColumn("head", F.substring("s", 1, HEAD))
-    size = F.length("l")
-    piece = lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring("l", i, F.lit(n)))
-    pieces = F.array_distinct(F.concat(*[F.when(size >= n, piece(n)).otherwise(F.array().cast("array<string>")) for n in range(1, HEAD + 1)]))
-    return heads.join(long.withColumn("head", F.explode(pieces)), "head").where(F.col("l").contains(F.col("s"))).drop("head")
+
+    def cut(c: Column, n: int) -> Column:
+        size = F.length(c)
+        some = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+        return F.when(size >= n, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
+
+    size = F.length("s")
+    own = F.lit(None).cast("array<string>")
+    for n in reversed(PIECES):
+        own = F.when(size >= n, cut(F.col("s"), n)).otherwise(own)
+    keys, others = short.select(*by, "s").distinct(), long.select(*by, "l").distinct()
+    pieces = keys.select(*by, "s", F.size(own).alias("__n"), F.explode(own).alias("__piece"))
+    where = others.select(*by, "l", F.explode(F.concat(*[cut(F.col("l"), n) for n in PIECES])).alias("__piece"))
+    counts = where.groupBy(*by, "__piece").agg(F.count("*").alias("__f"))
+    rarest = pieces.join(counts, [*by, "__piece"]).groupBy(*by, "s", "__n").agg(F.min(F.struct("__f", "__piece")).alias("__r"), F.count("*").alias("__have"))
+    rarest = rarest.where("__have = __n").select(*by, "s", F.col("__r.__piece").alias("__piece"))
+    pairs = rarest.join(where, [*by, "__piece"]).where(F.col("l").contains(F.col("s"))).select(*by, "s", "l")
+    return short.join(pairs, [*by, "s"]).join(long, [*by, "l"])
 
 
-def first_match(rows: DataFrame, expected: DataFrame) -> DataFrame:
-    """Drafts (draft_id, title) with the first expectation row (ord, title) whose title fits.
+def first_match(rows: DataFrame, expected: DataFrame, *by: str) -> DataFrame:
+    """Drafts (draft_id, title, *by) with the first expectation row (ord, title, *by) whose title fits.
 
     Titles fit if their keys are equal or, for keys longer than 3, one contains the other. Distinct keys are
-    compared; an empty expectation key is contained in every key longer than 3.
+    compared; an empty expectation key is contained in every key longer than 3. ``by``: columns without nulls that have
+    to be equal.
     """
     left = rows.withColumn("key", documents.title_key(F.col("title")))
-    right = expected.withColumn("other", documents.title_key(F.col("title"))).groupBy("other").agg(F.min("ord").alias("ord"))
-    keys = left.select("key").distinct()
+    right = scratch.written(expected.withColumn("other", documents.title_key(F.col("title"))).groupBy(*by, "other").agg(F.min("ord").alias("ord")), "expected")
+    keys = scratch.written(left.select(*by, "key").distinct(), "keys")
     long = keys.where(F.length("key") > 3)
-    equal = keys.join(right, keys["key"] == right["other"]).select("key", "ord")
-    within = _contained(long.select(F.col("key").alias("s")), right.select(F.col("other").alias("l"), "ord")).select(F.col("s").alias("key"), "ord")
-    around = _contained(right.where("other <> ''").select(F.col("other").alias("s"), "ord"), long.select(F.col("key").alias("l"))).select(F.col("l").alias("key"), "ord")
-    blank = long.join(F.broadcast(right.where("other = ''").select("ord")))  # one row at most
-    best = equal.unionByName(within).unionByName(around).unionByName(blank).groupBy("key").agg(F.min("ord").alias("ord"))
-    return left.join(best, "key", "left").drop("key")
+    equal = keys.join(right.withColumnRenamed("other", "key"), [*by, "key"]).select(*by, "key", "ord")
+    within = _contained(long.select(*by, F.col("key").alias("s")), right.select(*by, F.col("other").alias("l"), "ord"), *by).select(*by, F.col("s").alias("key"), "ord")
+    around = _contained(right.where("other <> ''").select(*by, F.col("other").alias("s"), "ord"), long.select(*by, F.col("key").alias("l")), *by).select(*by, F.col("l").alias("key"), "ord")
+    blank = right.where("other = ''").select(*by, "ord")  # one row at most for each of ``by``
+    blank = long.join(blank, list(by)) if by else long.join(F.broadcast(blank))
+    best = equal.unionByName(within).unionByName(around).unionByName(blank.select(*by, "key", "ord")).groupBy(*by, "key").agg(F.min("ord").alias("ord"))
+    return left.join(best, [*by, "key"], "left").drop("key")

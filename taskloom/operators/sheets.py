@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.points import points_heading
 from ..functions.textual import js_number, lines, or_else, text, trim
 from ..schema import COMPETENCES
+from .scan import scan
 
 # Texts of a sheet.
 NO_TITLE, NO_EXPECTATION, NO_NAME = "Aufgabe", "–", "Klassenarbeit"
@@ -29,9 +30,9 @@ def selection(tasks: DataFrame, chosen: DataFrame, flags: DataFrame | None = Non
 
 
 def numbered(rows: DataFrame, order: str = "ord", *by: str) -> DataFrame:
-    """Rows of a sheet with number, grid row and grid column (three to a row)."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    return rows.withColumn("number", n).withColumn("grid_row", F.floor((F.col("number") - 1) / 3).cast("int")).withColumn("grid_col", ((F.col("number") - 1) % 3).cast("int"))
+    """Rows of a sheet with number, grid row and grid column (three to a row); a sheet may span tasks."""
+    out = scan(rows, list(by), [order], count="__number")
+    return out.withColumn("number", F.col("__number").cast("int")).drop("__number").withColumn("grid_row", F.floor((F.col("number") - 1) / 3).cast("int")).withColumn("grid_col", ((F.col("number") - 1) % 3).cast("int"))
 
 
 def overview(rows: DataFrame, *by: str) -> DataFrame:

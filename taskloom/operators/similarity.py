@@ -6,14 +6,18 @@ import re
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.points import PART
+from .. import scratch
 from ..functions.textual import B, S, found, jaccard, let, nfkc, squeeze, sub, text
 from ..schema import RELATED_TOPICS, TOPICS_BY_CLASS
+from . import setjoin
+from .setjoin import dice
 
 # Words that carry no meaning of their own.
 STOPWORDS = (
@@ -100,50 +104,69 @@ def stem(word: str) -> str:
     return word
 
 
-def _kept_words(least: int):
-    """Stems of the words of a text that have ``least`` letters and a meaning, joined by blanks.
+def _known(words: list[str]) -> dict[str, str]:
+    """Stems of words. A worker remembers those that it has met, up to a number of them."""
+    if len(_stems) > 200_000:
+        _stems.clear()
+    for w in words:
+        if w not in _stems:
+            _stems[w] = stem(w)
+    return _stems
+
+
+# Letters of words; with digits and underscores where words stand for meaning.
+_COMMAND, _LETTERS, _WORDS = re.compile(r"\\[a-z]+"), re.compile("[a-zäöüß]+", re.I), re.compile("[a-zäöüß0-9_]+", re.I)
+_FRACTION, _ROOT = re.compile(FRACTION, re.A), re.compile(ROOT, re.A)
 
-    A worker remembers the stems of words that it has met, up to a number of them: regular expressions on
-    each occurrence cost more than the way through Arrow.
-    """
 
-    @F.pandas_udf(T.StringType())
-    def kept(c: pd.Series) -> pd.Series:
-        known, stop = _stems, frozenset(STOPWORDS)
+def _prose(sem: str) -> list[str]:
+    words = _LETTERS.findall(_COMMAND.sub(" ", sem) if "\\" in sem else sem)
+    stop, known = _STOP, _known(words)
+    return [w for w in map(known.__getitem__, words) if len(w) >= 3 and w not in stop]
 
-        def one(t: str | None) -> str:
-            words = (t or "").split(" ")
-            if len(known) > 200_000:
-                known.clear()
-            for w in set(words) - known.keys():
-                known[w] = stem(w)
-            return " ".join(w for w in map(known.__getitem__, words) if len(w) >= least and w not in stop)
 
-        return c.map(one)
+def _meaning(sem: str) -> list[str]:
+    if "\\" in sem:
+        sem = _ROOT.sub(r" sqrt \1 ", _FRACTION.sub(r" frac \1 \2 ", sem))
+    words = _WORDS.findall(sem)
+    stop, known = _STOP, _known(words)
+    return [w for w in map(known.__getitem__, words) if len(w) >= 2 and w not in stop]
 
-    return kept
 
+_STOP = frozenset(STOPWORDS)
 
-_prose_words, _meaning_words = _kept_words(3), _kept_words(2)
+
+@F.pandas_udf(T.StructType([T.StructField("prose", T.StringType()), T.StructField("meaning", T.StringType())]))
+def _kept_words(c: pd.Series) -> pd.DataFrame:
+    """Stems of a rewritten text's words of three letters and a meaning, and of its words of two signs, joined by blanks.
+
+    Both come from one pass: regular expressions on each occurrence of a word, and rewriting a text for each of the
+    two, cost more than the way through Arrow.
+    """
+    texts = [t or "" for t in c]
+    return pd.DataFrame({"prose": [" ".join(_prose(t)) for t in texts], "meaning": [" ".join(_meaning(t)) for t in texts]})
 
 
 def _split_words(c: Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
 
 
-def literal_tokens(canon: Column) -> Column:
-    c = sub(sub(canon, FRACTION, r" $1 / $2 "), ROOT, " sqrt $1 ")
-    return F.filter(F.split(sub(c, r"(?iu)[^a-zäöüß0-9.,=+*/:^_<>-]+", " "), f"{S}+"), lambda w: w != "")
+def word_tokens(sem: Column) -> Column:
+    """struct<prose, meaning> of a rewritten text; the parts are split by :func:`prose_tokens` and :func:`semantic_tokens`."""
+    return _kept_words(sem)
 
 
-def prose_tokens(sem: Column) -> Column:
-    c = sub(sub(sub(sem, r"\\[a-z]+", " "), r"[0-9]+(?:[.,][0-9]+)?", " "), r"[=+*/:^_<>-]", " ")
-    return let(_prose_words(sub(c, "(?iu)[^a-zäöüß_]+", " ")), _split_words)
+def prose_tokens(words: Column) -> Column:
+    return let(words["prose"], _split_words)
 
 
-def semantic_tokens(sem: Column) -> Column:
-    c = sub(sub(sem, FRACTION, " frac $1 $2 "), ROOT, " sqrt $1 ")
-    return let(_meaning_words(sub(c, "(?iu)[^a-zäöüß0-9_]+", " ")), _split_words)
+def semantic_tokens(words: Column) -> Column:
+    return let(words["meaning"], _split_words)
+
+
+def literal_tokens(canon: Column) -> Column:
+    c = sub(sub(canon, FRACTION, r" $1 / $2 "), ROOT, " sqrt $1 ")
+    return F.filter(F.split(sub(c, r"(?iu)[^a-zäöüß0-9.,=+*/:^_<>-]+", " "), f"{S}+"), lambda w: w != "")
 
 
 def _points(items: Column) -> Column:
@@ -163,39 +186,38 @@ def part_count(c: Column) -> Column:
     return F.size(F.array_distinct(F.transform(found(text(c), PART, 1), F.lower)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def trigrams(c: pd.Series) -> pd.Series:
-    """Character trigrams of a text with two blanks at both ends, each with its occurrence number.
+_MIX = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15)]
 
-    With the numbers a multiset is a set, so two are compared by hashing and not all with all.
-    """
-    from collections import defaultdict
 
-    def numbered(t: str) -> list[str]:
-        seen: dict[str, int] = defaultdict(int)
-        out, padded = [], f"  {t}  "
-        for i in range(len(padded) - 2):
-            g = padded[i : i + 3]
-            seen[g] += 1
-            out.append(f"{g}{seen[g]}")
-        return out
+def _numbered(t: str) -> np.ndarray:
+    code = np.frombuffer(f"  {t}  ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    gram = np.sort(code[:-2] << np.uint64(42) | code[1:-1] << np.uint64(21) | code[2:])
+    at = np.arange(len(gram))
+    start = np.maximum.accumulate(np.where(np.concatenate([[True], gram[1:] != gram[:-1]]), at, 0))
+    h = gram * _MIX[0] ^ (at - start).astype(np.uint64) * _MIX[2]
+    for m in _MIX[:2]:
+        h = (h ^ h >> np.uint64(33)) * m
+    return (h ^ h >> np.uint64(33)).view(np.int64)
 
-    return c.map(lambda t: numbered(t or ""))
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def trigrams(c: pd.Series) -> pd.Series:
+    """Character trigrams of a text with two blanks at both ends, each with its occurrence number, as 64-bit digests.
 
-def dice(a: Column, b: Column) -> Column:
-    """Multiset similarity of two results of :func:`trigrams`."""
-    return 2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+    With the numbers a multiset is a set, so two are compared by hashing and not all with all.
+    """
+    return c.map(lambda t: _numbered(t or ""))
 
 
 def features(rows: DataFrame, body: str, title: str | None = None, normal: bool = True) -> DataFrame:
     """``rows`` with a struct ``f`` of all that the score needs, computed once a text."""
     canon = rows.withColumn("__c", canonical(F.col(body), normal)).withColumn("__t", canonical(F.col(title), normal) if title else F.lit(""))
     sem = canon.withColumn("__s", semantic(F.col("__c"))).withColumn("__u", semantic(F.col("__t")))
+    sem = sem.withColumn("__w", word_tokens(F.col("__s"))).withColumn("__v", word_tokens(F.col("__u")))
     f = F.struct(
         F.col("__c").alias("canon"),
-        prose_tokens(F.col("__s")).alias("prose"),
-        semantic_tokens(F.col("__s")).alias("semantic"),
+        prose_tokens(F.col("__w")).alias("prose"),
+        semantic_tokens(F.col("__w")).alias("semantic"),
         literal_tokens(F.col("__c")).alias("literal"),
         trigrams(F.col("__c")).alias("chars"),
         trigrams(structural(F.col("__s"))).alias("structure"),
@@ -203,10 +225,27 @@ def features(rows: DataFrame, body: str, title: str | None = None, normal: bool
         number_tokens(F.col("__c")).alias("numbers"),
         part_count(F.col(body)).alias("parts"),
         (text(F.col(title)) if title else F.lit("")).alias("title"),
-        prose_tokens(F.col("__u")).alias("title_prose"),
+        prose_tokens(F.col("__v")).alias("title_prose"),
         trigrams(F.col("__t")).alias("title_chars"),
     )
-    return sem.withColumn("f", f).drop("__c", "__t", "__s", "__u")
+    return sem.withColumn("f", f).drop("__c", "__t", "__s", "__u", "__w", "__v")
+
+
+#: Signals that compare sets of tokens, and those that compare multisets of trigrams.
+TOKEN_SETS, TRIGRAM_SETS = ["prose", "semantic", "literal", "math", "numbers"], ["chars", "structure"]
+
+
+def _measures(f: Column) -> Column:
+    """Sizes of a text's features, by which the score is bounded."""
+    return F.struct(
+        *[F.size(F.array_distinct(f[k])).alias(k) for k in TOKEN_SETS],
+        *[F.size(f[k]).alias(k) for k in TRIGRAM_SETS],
+        F.size(f["prose"]).alias("all_prose"),
+        F.size(f["numbers"]).alias("all_numbers"),
+        F.length(f["canon"]).alias("length"),
+        f["parts"].alias("parts"),
+        (f["title"] != "").alias("titled"),
+    )
 
 
 def _signals(a: Column, b: Column) -> dict[str, Column]:
@@ -224,6 +263,20 @@ def _signals(a: Column, b: Column) -> dict[str, Column]:
     }
 
 
+def _most_signals(x: Column, y: Column) -> dict[str, Column]:
+    """What the signals of texts of these sizes are at most."""
+
+    def sets(k: str) -> Column:
+        return F.when((x[k] == 0) & (y[k] == 0), F.lit(1.0)).otherwise(F.least(x[k], y[k]) / F.greatest(x[k], y[k], F.lit(1)))
+
+    def trigram_sets(k: str) -> Column:
+        return 2 * F.least(x[k], y[k]) / (x[k] + y[k])
+
+    out = {k: sets(k) for k in ("prose", "semantic", "literal")} | {k: trigram_sets(k) for k in TRIGRAM_SETS}
+    out |= {k: F.when((x[k] > 0) & (y[k] > 0), sets(k)).otherwise(F.lit(0.45)) for k in ("math", "numbers")}
+    return out | {"title": F.when(x["titled"] | y["titled"], F.lit(1.0)).otherwise(F.lit(0.45))}
+
+
 # Conditions on signals that raise the score, as (least signals, least prose words, base, weights).
 RAISES = [
     ({"semantic": 0.58, "prose": 0.42}, 0, 0.52, {"semantic": 0.18, "prose": 0.08}),
@@ -235,26 +288,44 @@ NUMBERS_FACTOR, PARTS_FACTOR, LENGTH_FACTORS, WORDS_FACTOR = 0.84, 0.88, [(0.42,
 NUMBERS_BELOW, PARTS_APART, WORDS_BELOW = {"numbers": 0.20, "prose": 0.68, "semantic": 0.68}, 2, {"semantic": 0.65, "literal": 0.72}
 
 
-def with_score(pairs: DataFrame, a: str = "fa", b: str = "fb", out: str = "score") -> DataFrame:
-    """Pairs of feature structs with their similarity in 0 to 1; the signals are computed once."""
-    ca, cb = F.col(a), F.col(b)
-    rows = pairs.withColumn("__g", F.struct(*[c.alias(k) for k, c in _signals(ca, cb).items()]))
-    s = {k: F.col(f"__g.{k}") for k in WEIGHTS}
+def _combined(s: dict[str, Column], x: Column, y: Column) -> Column:
+    """The score of signals and sizes. It never falls when a signal rises, so signals at their most give a bound."""
     weighted = lambda ws: sum((w * s[k] for k, w in ws.items()), F.lit(0.0))
-    many = lambda k, n: (F.size(ca[k]) >= n) & (F.size(cb[k]) >= n)
+    many = lambda k, n: (x[f"all_{k}"] >= n) & (y[f"all_{k}"] >= n)
     below = lambda limits: reduce(and_, (s[k] < v for k, v in limits.items()))
     raised = [F.when(reduce(and_, (s[k] >= v for k, v in least.items()), many("prose", words)), base + weighted(ws)) for least, words, base, ws in RAISES]
     score = F.greatest(weighted(WEIGHTS), *raised)  # nulls do not count
-    size = lambda c: F.length(c["canon"])
-    ratio = F.least(size(ca), size(cb)) / F.greatest(size(ca), size(cb), F.lit(1))
-    few = (F.size(ca["prose"]) <= 1) & (F.size(cb["prose"]) <= 1)
+    ratio = F.least(x["length"], y["length"]) / F.greatest(x["length"], y["length"], F.lit(1))
+    few = (x["all_prose"] <= 1) & (y["all_prose"] <= 1)
     by_length = F.when(ratio < LENGTH_FACTORS[0][0], LENGTH_FACTORS[0][1]).when(ratio < LENGTH_FACTORS[1][0], LENGTH_FACTORS[1][1])
     damp = F.when(many("numbers", 2) & below(NUMBERS_BELOW), NUMBERS_FACTOR).otherwise(1.0) * by_length.otherwise(1.0)
-    damp = damp * F.when((ca["parts"] > 0) & (cb["parts"] > 0) & (F.abs(ca["parts"] - cb["parts"]) >= PARTS_APART), PARTS_FACTOR).otherwise(1.0)
+    damp = damp * F.when((x["parts"] > 0) & (y["parts"] > 0) & (F.abs(x["parts"] - y["parts"]) >= PARTS_APART), PARTS_FACTOR).otherwise(1.0)
     damp = damp * F.when(few & below(WORDS_BELOW), WORDS_FACTOR).otherwise(1.0)
-    final = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score * damp))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score * damp))
+
+
+def with_score(pairs: DataFrame, a: str = "fa", b: str = "fb", out: str = "score") -> DataFrame:
+    """Pairs of feature structs with their similarity in 0 to 1; the signals are computed once."""
+    ca, cb = F.col(a), F.col(b)
+    rows = pairs.withColumn("__g", F.struct(*[c.alias(k) for k, c in _signals(ca, cb).items()])).withColumn("__x", _measures(ca)).withColumn("__y", _measures(cb))
+    final = _combined({k: F.col(f"__g.{k}") for k in WEIGHTS}, F.col("__x"), F.col("__y"))
     empty = (ca["canon"] == "") | (cb["canon"] == "")
-    return rows.withColumn(out, F.when(empty, F.lit(0.0)).when(ca["canon"] == cb["canon"], F.lit(1.0)).otherwise(final)).drop("__g")
+    return rows.withColumn(out, F.when(empty, F.lit(0.0)).when(ca["canon"] == cb["canon"], F.lit(1.0)).otherwise(final)).drop("__g", "__x", "__y")
+
+
+#: Signals by one of which two texts have to be alike, and what the others give at most where nothing is known of the partner.
+KINDS = ["prose", "semantic", "literal"]
+
+
+def _least_alike(z: Column) -> Column:
+    """The similarity that one of the three kinds of tokens has to have with any text that scores ``COLLECT`` or more.
+
+    The other signals give no more than their weights; without numbers or mathematics of its own a text gets 0.45 for them.
+    The raises ask for more than this of a kind, and the factors only lower a score.
+    """
+    rest = sum(WEIGHTS[k] for k in (*TRIGRAM_SETS, "title"))
+    rest = F.lit(rest) + F.when(z["math"] > 0, WEIGHTS["math"]).otherwise(0.45 * WEIGHTS["math"]) + F.when(z["numbers"] > 0, WEIGHTS["numbers"]).otherwise(0.45 * WEIGHTS["numbers"])
+    return (COLLECT - rest) / sum(WEIGHTS[k] for k in KINDS) - setjoin.SLACK
 
 
 def topic_order(preferred: Column, topics: Column, related: Column | None = None) -> Column:
@@ -273,21 +344,65 @@ def class_topics(level: Column, by_class: dict[str, list[str]] = TOPICS_BY_CLASS
     return F.coalesce(F.try_element_at(known, level), F.array().cast("array<string>"))
 
 
-def candidates(drafts: DataFrame, pool: DataFrame, normal: bool = True) -> DataFrame:
-    """Scored pairs (draft_id, task_id, topic_rank, scan_ord, score) that a draft's visit comes to.
+def _token_sets(rows: DataFrame, key: str, *keep: str) -> DataFrame:
+    """(key, kind, tokens, least, *keep) of featured rows; a kind without tokens has an empty one, so that it meets its like."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(F.col("f")[k]).alias("tokens")) for k in KINDS])
+    own = rows.where(F.length("f.canon") > 0).select(F.col(key).alias("key"), *keep, _least_alike(F.col("z")).alias("least"), F.inline(kinds))
+    tagged = F.transform(F.when(F.size("tokens") > 0, F.col("tokens")).otherwise(F.array(F.lit(""))), lambda t: F.concat(F.col("kind"), F.lit(" "), t))
+    return own.select("key", "kind", *keep, "least", tagged.alias("tokens"))
+
+
+def candidates(drafts: DataFrame, pool: DataFrame, normal: bool = True, counts: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Scored pairs (draft_id, task_id, topic_rank, scan_ord, score) of 0.46 or more that a draft's visit comes to.
 
-    drafts: draft_id, title, question_text, class_level, topics (in visiting order). pool: task_id,
-    title, question_text, class_level, topic, scan_ord. Topics after one that brings the running best
-    to 0.84 are not visited; of a task's several topics the first counts.
+    drafts: draft_id, title, question_text, class_level, topics (in visiting order). pool: task_id, title, question_text,
+    class_level, topic, scan_ord. Topics after one that brings the running best to 0.84 are not visited; of a task's
+    several rows the first visited counts. Drafts go through their topics in rounds of one topic, two, four and so on;
+    a round forms pairs of the drafts that are still below 0.84 and the tasks of its topics. A pair is scored only if it
+    shares one of the rarest tokens of its prose, meaning or literal words and the sizes allow the score; all others are
+    below 0.46. counts: gets (first rank, scored pairs) of each round.
     """
-    left = features(drafts.where("class_level is not null and class_level <> ''"), "question_text", "title", normal)
-    left = left.select("draft_id", "class_level", F.col("f").alias("fa"), F.posexplode("topics").alias("topic_rank", "topic"))
-    right = features(pool, "question_text", "title", normal).select("task_id", "class_level", "topic", "scan_ord", F.col("f").alias("fb"))
-    pairs = with_score(left.join(right, ["class_level", "topic"])).select("draft_id", "task_id", "topic_rank", "scan_ord", "score")
-    first = Window.partitionBy("draft_id", "task_id").orderBy("topic_rank", "scan_ord")
-    pairs = pairs.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").where(F.col("score") >= COLLECT)
-    best = F.max("score").over(Window.partitionBy("draft_id").orderBy("topic_rank").rangeBetween(Window.unboundedPreceding, -1))
-    return pairs.withColumn("before", F.coalesce(best, F.lit(0.0))).where(F.col("before") < STOP_AT).drop("before")
+    spark = drafts.sparkSession
+    some = drafts.where("class_level is not null and class_level <> ''").select("draft_id", "title", "question_text", "class_level", "topics")
+    left = scratch.written(features(some, "question_text", "title", normal).select("draft_id", "class_level", "topics", "f", _measures(F.col("f")).alias("z")), "drafts")
+    tasks = pool.select("task_id", "title", "question_text", "class_level", "topic", "scan_ord").withColumn("row", F.xxhash64("task_id", "topic", "scan_ord", "class_level"))
+    right = scratch.written(features(tasks, "question_text", "title", normal).select("task_id", "row", "class_level", "topic", "scan_ord", "f", _measures(F.col("f")).alias("z")), "pool")
+    own, theirs = _token_sets(left, "draft_id"), _token_sets(right, "row", "class_level", "topic")
+    rarity = scratch.written(setjoin.counted(theirs), "rarity")
+    own = scratch.written(setjoin.index(own, rarity, "kind"), "index")
+    theirs = scratch.written(setjoin.index(theirs, rarity, "kind", "class_level", "topic"), "index")
+    # tasks with several rows: those that the draft visits before come first
+    again = right.groupBy("class_level", "task_id").agg(F.count("*").alias("n"), F.collect_list(F.struct("topic", "scan_ord", "row")).alias("rows")).where("n > 1").select("class_level", "task_id", "rows")
+    most = left.agg(F.max(F.size("topics"))).first()[0] or 0
+    rounds: list[str] = []
+    plain = left.select("draft_id", "class_level", "topics")
+    first = 0
+    while first < most:
+        until = min(most, 2 * first + 1)
+        active = plain
+        if rounds:
+            strong = spark.read.parquet(*rounds).where(F.col("score") >= STOP_AT).select("draft_id").distinct()
+            active = active.join(strong, "draft_id", "left_anti")
+        turn = active.select(F.col("draft_id").alias("key"), "class_level", F.explode(F.slice("topics", first + 1, until - first)).alias("topic"))
+        met = setjoin.meetings(own.join(turn, "key"), theirs, "kind", "class_level", "topic").select(F.col("a").alias("draft_id"), F.col("b").alias("row")).distinct()
+        a = left.select("draft_id", "topics", F.col("f").alias("fa"), F.col("z").alias("za"))
+        b = right.select("row", "task_id", "class_level", "topic", "scan_ord", F.col("f").alias("fb"), F.col("z").alias("zb"))
+        pairs = met.join(a, "draft_id").join(b, "row").where(_combined(_most_signals(F.col("za"), F.col("zb")), F.col("za"), F.col("zb")) >= COLLECT - setjoin.SLACK)
+        place = lambda topic, *rest: F.struct(F.array_position("topics", topic), *rest)
+        here = place(F.col("topic"), "scan_ord", "row")
+        earlier = F.exists("rows", lambda o: F.array_contains("topics", o["topic"]) & (place(o["topic"], o["scan_ord"].alias("scan_ord"), o["row"].alias("row")) < here))
+        pairs = pairs.join(again, ["class_level", "task_id"], "left").where(~F.coalesce(earlier, F.lit(False)))
+        scored = with_score(pairs).select("draft_id", "task_id", (F.array_position("topics", F.col("topic")) - 1).cast("int").alias("topic_rank"), "scan_ord", "score")
+        done = scratch.written(scored, "scored")
+        rounds.append(done.scratch)
+        if counts is not None:
+            counts.append((first, done.count()))
+        first = until
+    scratch.discard(rarity, own, theirs)
+    schema = f"draft_id {dict(left.dtypes)['draft_id']}, task_id {dict(right.dtypes)['task_id']}, topic_rank int, scan_ord {dict(right.dtypes)['scan_ord']}, score double"
+    out = spark.read.schema(schema).parquet(*rounds) if rounds else spark.createDataFrame([], schema)
+    best = F.max("score").over(Window.partitionBy("draft_id").orderBy("topic_rank").rangeBetween(Window.unboundedPreceding, -1))  # a draft's candidates
+    return out.where(F.col("score") >= COLLECT).withColumn("before", F.coalesce(best, F.lit(0.0))).where(F.col("before") < STOP_AT).drop("before")
 
 
 def top_duplicates(pairs: DataFrame, most: int = MOST) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, documents, guard, points, scoring, textual
-from ..operators import segment, sheets, similarity, sink
+from ..operators import segment, setjoin, sheets, similarity, sink
+from ..operators.scan import scan
 from ..schema import GRADES
 from ..sources import documents as files
 from .registry import ORACLE, QUERIES, query, scratch, table  # noqa: F401
@@ -353,7 +354,8 @@ _SEMTOK = _sql_words("[^a-zäöüßA-ZÄÖÜ0-9_]+", "s", 2)
 )
 def text_tokens(spark, sf_dir):
     rows = _canon(spark, sf_dir).select("doc_id", "c", similarity.semantic(F.col("c")).alias("s"))
-    rows = rows.select("doc_id", similarity.prose_tokens(F.col("s")).alias("p"), similarity.semantic_tokens(F.col("s")).alias("m"), similarity.literal_tokens(F.col("c")).alias("l"))
+    rows = rows.select("doc_id", similarity.literal_tokens(F.col("c")).alias("l"), similarity.word_tokens(F.col("s")).alias("w"))
+    rows = rows.select("doc_id", similarity.prose_tokens(F.col("w")).alias("p"), similarity.semantic_tokens(F.col("w")).alias("m"), "l")
     digest = lambda c: F.md5(F.array_join(c, " "))
     return rows.select("doc_id", F.size("p").cast("long").alias("n_prose"), digest("p").alias("prose"), F.size("m").cast("long").alias("n_semantic"), digest("m").alias("semantic"), digest("l").alias("literal"))
 
@@ -382,67 +384,75 @@ def number_tokens(spark, sf_dir):
 _BENCH = _CANON.replace("documents", "benchmark").replace("doc_id", "item_id")
 
 
-def _common(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
-    """(a_id, b_id, n, m, common): pairs of rows (id, tokens) that share a token; rows without tokens share the lack of any."""
+def _sets(spark, sf_dir, name: str, key: str, tokens: str) -> DataFrame:
+    """(id, tokens): the featured texts of a table."""
+    rows = similarity.features(table(spark, sf_dir, name), "text")
+    return rows.select(F.col(key).alias("id"), F.col(f"f.{tokens}").cast("array<string>").alias("tokens"))
 
-    def tokens(df: DataFrame, key: str, size: str) -> DataFrame:
-        own = df.select(F.col("id").alias(key), F.array_distinct("tokens").alias("t"))
-        some = F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit("")))
-        return own.select(key, F.size("t").alias(size), F.explode(some).alias("token"))
 
-    return tokens(a, a_id, "n").join(tokens(b, b_id, "m"), "token").groupBy(a_id, b_id, "n", "m").agg(F.count("*").alias("common"))
+def _trigram_sql(rows: str, key: str, other: str, least: float) -> str:
+    """All pairs of rows (key, c) with a multiset similarity of their trigrams of ``least`` or more."""
+    return f"""w AS (SELECT {key}, '  ' || c || '  ' AS p FROM {rows}),
+g AS MATERIALIZED (SELECT {key}, g, count(*) AS n, any_value(z) AS z FROM (SELECT {key}, length(p) - 2 AS z, unnest(list_transform(range(1, length(p) - 1), lambda i: l[i] || l[i + 1] || l[i + 2])) AS g FROM (SELECT {key}, p, string_split(p, '') AS l FROM w)) GROUP BY ALL),
+x AS (SELECT a.{key}, b.{key} AS {other}, a.z AS n, b.z AS m, sum(least(a.n, b.n)) AS common FROM g a JOIN g b ON a.g = b.g AND a.{key} < b.{key} AND 2 * least(a.z, b.z) >= {least} * (a.z + b.z) GROUP BY ALL)
+SELECT {key}, {other}, round(2 * common / (n + m), 9) AS dice FROM x WHERE 2 * common / (n + m) >= {least}"""
 
 
-@query(
-    f"""
-WITH {_BENCH}, w AS (SELECT item_id, '  ' || c || '  ' AS p FROM c),
-g AS (SELECT item_id, p[i:i + 2] AS g, count(*) AS n FROM (SELECT item_id, p, unnest(generate_series(1, length(p) - 2)) AS i FROM w) GROUP BY ALL),
-z AS (SELECT item_id, sum(n) AS n FROM g GROUP BY ALL),
-x AS (SELECT a.item_id, b.item_id AS other_id, sum(least(a.n, b.n)) AS common FROM g a JOIN g b ON a.g = b.g AND a.item_id < b.item_id GROUP BY ALL)
-SELECT x.item_id, x.other_id, round(2 * common / (a.n + b.n), 9) AS dice FROM x JOIN z a ON a.item_id = x.item_id JOIN z b ON b.item_id = x.other_id
-"""
-)
+@query(f"WITH {_BENCH}, {_trigram_sql('c', 'item_id', 'other_id', 0.4)}")
 def trigram_dice(spark, sf_dir):
-    """Every pair of benchmark items that shares a trigram."""
-    rows = similarity.features(table(spark, sf_dir, "benchmark"), "text").select(F.col("item_id").alias("id"), F.col("f.chars").cast("array<string>").alias("tokens"))
-    found = _common(rows, rows, "item_id", "other_id").where("item_id < other_id")
-    return found.select("item_id", "other_id", F.round(2 * F.col("common") / (F.col("n") + F.col("m")), 9).alias("dice"))
+    """Pairs of benchmark items of which two in five trigrams are common."""
+    found = setjoin.similar(_sets(spark, sf_dir, "benchmark", "item_id", "chars"), None, 0.4, "dice")
+    return found.select(F.col("a").alias("item_id"), F.col("b").alias("other_id"), F.round("similarity", 9).alias("dice"))
+
+
+@query(f"WITH {_CANON}, {_trigram_sql('c', 'doc_id', 'other_id', 0.8)}")
+def trigram_dice_documents(spark, sf_dir):
+    """Pairs of documents of which four in five trigrams are common."""
+    found = setjoin.similar(_sets(spark, sf_dir, "documents", "doc_id", "chars"), None, 0.8, "dice")
+    return found.select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), F.round("similarity", 9).alias("dice"))
 
 
 _LITERAL = r"list_distinct(list_filter(string_split_regex(regexp_replace(c, '[^a-zäöüß0-9.,=+*/:^_<>-]+', ' ', 'g'), '\s+'), lambda w: w <> ''))"
+_JACCARD = "CASE WHEN n + m = 0 THEN 1 ELSE common / (n + m - common) END"
 
 
 @query(
     rf"""
 WITH a AS (SELECT item_id, {_LITERAL} AS l FROM (WITH {_BENCH} SELECT * FROM c)), b AS (SELECT doc_id, {_LITERAL} AS l FROM (WITH {_CANON} SELECT * FROM c)),
 x AS (SELECT item_id, doc_id, len(a.l) AS n, len(b.l) AS m, len(list_intersect(a.l, b.l)) AS common FROM a, b)
-SELECT item_id, doc_id, round(CASE WHEN n + m = 0 THEN 1 ELSE common / (n + m - common) END, 9) AS jaccard FROM x WHERE common > 0 OR n + m = 0
+SELECT item_id, doc_id, round({_JACCARD}, 9) AS jaccard FROM x WHERE {_JACCARD} >= 0.2
 """
 )
 def jaccard_documents(spark, sf_dir):
-    """Every pair of a benchmark item and a document that shares a token."""
-
-    def rows(name: str, key: str) -> DataFrame:
-        return similarity.features(table(spark, sf_dir, name), "text").select(F.col(key).alias("id"), F.col("f.literal").alias("tokens"))
-
-    found = _common(rows("benchmark", "item_id"), rows("documents", "doc_id"), "item_id", "doc_id")
-    share = F.when(F.col("n") + F.col("m") == 0, F.lit(1.0)).otherwise(F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
-    return found.select("item_id", "doc_id", F.round(share, 9).alias("jaccard"))
+    """Pairs of a benchmark item and a document of which a fifth of all tokens is common."""
+    found = setjoin.similar(_sets(spark, sf_dir, "benchmark", "item_id", "literal"), _sets(spark, sf_dir, "documents", "doc_id", "literal"), 0.2)
+    return found.select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"), F.round("similarity", 9).alias("jaccard"))
 
 
 @query(
     rf"""
 WITH a AS (SELECT item_id, {_LITERAL} AS l FROM (WITH {_BENCH} SELECT * FROM c)),
 x AS (SELECT a.item_id, b.item_id AS other_id, len(a.l) AS n, len(b.l) AS m, len(list_intersect(a.l, b.l)) AS common FROM a, a AS b WHERE a.item_id < b.item_id)
-SELECT item_id, other_id, round(CASE WHEN n + m = 0 THEN 1 ELSE common / (n + m - common) END, 9) AS jaccard FROM x WHERE common > 0 OR n + m = 0
+SELECT item_id, other_id, round({_JACCARD}, 9) AS jaccard FROM x WHERE {_JACCARD} >= 0.1
 """
 )
 def jaccard_pairs(spark, sf_dir):
-    """Every pair of benchmark items that shares a token, by the counted tokens; pairs with both sides empty are equal."""
-    rows = similarity.features(table(spark, sf_dir, "benchmark"), "text").select(F.col("item_id").alias("id"), F.col("f.literal").alias("tokens"))
-    found = _common(rows, rows, "item_id", "other_id").where("item_id < other_id")
-    share = F.when(F.col("n") + F.col("m") == 0, F.lit(1.0)).otherwise(F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
-    return found.select("item_id", "other_id", F.round(share, 9).alias("jaccard"))
+    """Pairs of benchmark items of which a tenth of all tokens is common; pairs with both sides empty are equal."""
+    found = setjoin.similar(_sets(spark, sf_dir, "benchmark", "item_id", "literal"), None, 0.1)
+    return found.select(F.col("a").alias("item_id"), F.col("b").alias("other_id"), F.round("similarity", 9).alias("jaccard"))
+
+
+@query(
+    rf"""
+WITH a AS MATERIALIZED (SELECT doc_id, {_LITERAL} AS l, len(l) AS n FROM (WITH {_CANON} SELECT * FROM c)),
+x AS (SELECT a.doc_id, b.doc_id AS other_id, a.n, b.n AS m, len(list_intersect(a.l, b.l)) AS common FROM a JOIN a AS b ON a.doc_id < b.doc_id AND least(a.n, b.n) >= 0.5 * greatest(a.n, b.n))
+SELECT doc_id, other_id, round({_JACCARD}, 9) AS jaccard FROM x WHERE {_JACCARD} >= 0.5
+"""
+)
+def jaccard_near_documents(spark, sf_dir):
+    """Pairs of documents of which half of all tokens is common."""
+    found = setjoin.similar(_sets(spark, sf_dir, "documents", "doc_id", "literal"), None, 0.5)
+    return found.select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), F.round("similarity", 9).alias("jaccard"))
 
 
 @query(f"WITH {_CANON}, d AS (SELECT md5(c) AS digest, count(*) AS n_copies, min(doc_id) AS first_id FROM c GROUP BY 1) SELECT * FROM d WHERE n_copies > 1")
@@ -605,8 +615,8 @@ SELECT p_partkey, min(ord) AS ord FROM k LEFT JOIN e ON other = key OR (length(k
 def first_match_join(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     kinds = part.select("p_brand", "p_type").distinct()
-    order = F.row_number().over(Window.orderBy("p_brand", "p_type")) - 1  # one row a kind
-    expected = kinds.select(F.concat_ws(" ", "p_brand", "p_type").alias("title"), order.cast("long").alias("ord"))
+    kinds = scan(kinds, [], ["p_brand", "p_type"], count="n")
+    expected = kinds.select(F.concat_ws(" ", "p_brand", "p_type").alias("title"), (F.col("n") - 1).alias("ord"))
     return segment.first_match(part.select("p_partkey", F.col("p_type").alias("title")), expected).select("p_partkey", "ord")
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import scratch as paths
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -29,11 +27,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that the cluster names; on one machine, where none is named, in a temp folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{(own := tempfile.mkdtemp(prefix='taskloom-'))}"
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return f"{root.rstrip('/')}/taskloom/core-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the driver's Python ends."""
+    return paths.path(spark)

@@ -19,7 +19,7 @@ def test_text_primitives(ev):
 
 def test_similarity_pieces(ev):
     stem = sim.stem
-    assert ev(sim.prose_tokens(F.lit("die gleichungen der aufgaben"))) == ["gleich", "aufgab"] and ev(sim.prose_tokens(F.lit(""))) == []
+    assert ev(sim.prose_tokens(sim.word_tokens(F.lit("die gleichungen der aufgaben")))) == ["gleich", "aufgab"] and ev(sim.prose_tokens(sim.word_tokens(F.lit("")))) == []
     assert stem("gleichungen") == "gleich" and stem("aufgaben") == "aufgab"
     assert ev(sim.number_tokens(F.lit("x12 -3,5 +2"))) == ["2", "-3.5", "+2"]
     assert ev(sim.math_tokens(F.lit("möglich x"))) == ["m", "x"]
