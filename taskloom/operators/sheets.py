@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import scoring
+from ..functions import latex, scoring
 from ..functions.points import points_heading
 from ..functions.textual import js_number, lines, or_else, text, trim
 from ..schema import COMPETENCES
@@ -104,6 +104,16 @@ def expectation_sheet(rows: DataFrame, *by: str) -> DataFrame:
     return rows.select(*by, "number", or_else(text("title"), F.lit(NO_TITLE)).alias("title"), expected.alias("expectation"), lines(expected).alias("lines"), points.alias("points"))
 
 
+def with_formulas(rows: DataFrame, line_col: str = "text") -> DataFrame:
+    """Lines of a sheet in pieces of text and formula: ``rows`` with piece (from 0), kind, value, and the formula's nodes.
+
+    The nodes of a formula (:func:`latex.formula_nodes`) are what a document writes as fractions, roots and scripts.
+    """
+    out = rows.select(*(c for c in rows.columns if c != line_col), F.posexplode(latex.inline(F.col(line_col))).alias("piece", "__p"))
+    out = out.select(*(c for c in rows.columns if c != line_col), "piece", "__p.kind", "__p.value")
+    return out.withColumn("nodes", latex.nodes(F.when(F.col("kind") == "math", F.col("value"))))
+
+
 def file_names(title: Column) -> Column:
     """struct<test, expectation, archive>: names of a sheet's files, without signs that file systems forbid."""
     safe = F.regexp_replace(or_else(text(title), F.lit(NO_NAME)), r'[\\/:*?"<>|]+', "-")

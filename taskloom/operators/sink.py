@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.documents import data_url
 from ..functions.textual import chunks, js_number, let, number, or_else, sub, text, trim
 from ..sources.pool import ALIASES as SOURCE_ALIASES
+from . import ledger
 
 HISTORY, MOST_IMAGE, MOST_ATTACHED = 30, 20 * 1024 * 1024, 1024 * 1024
 #: Aliases of the target's columns by the draft's field.
@@ -126,6 +127,20 @@ def commit(drafts: DataFrame, known: DataFrame, path: str, work: str) -> DataFra
     return rows
 
 
+def send(drafts: DataFrame, known: DataFrame, target, ledger_path: str, transaction: str) -> DataFrame:
+    """The good drafts sent one by one to an injected ``target``; ``ok`` and ``error`` of all included ones.
+
+    ``target`` takes a draft as JSON and may raise. A draft that fails has an error of its own and hinders no other.
+    What a transaction has sent stands in the ledger, so a repeated one sends only what failed before; equal drafts of a
+    transaction are one.
+    """
+    rows = outcomes(drafts, known)
+    payload = F.when(F.col("ok"), F.to_json(F.struct(*drafts.columns)))
+    sent = ledger.called(rows.withColumn("__payload", payload), "__payload", target, ledger_path, "__sent", scope=transaction)
+    failed = F.col("__sent_error")
+    return sent.withColumn("error", F.coalesce("error", failed)).withColumn("ok", F.col("error").isNull()).drop("__payload", "__sent", "__sent_error")
+
+
 def still_open(drafts: DataFrame, failed: DataFrame) -> DataFrame:
     """Drafts that failed, by title."""
     return drafts.join(failed.select("title").distinct(), "title", "left_semi")

@@ -704,15 +704,14 @@ def pool_topics(spark, sf_dir):
     "SELECT r_name AS class_level, n_name AS topic, c_mktsegment AS competence, count(*) AS n_tasks, round(sum(c_acctbal), 2) AS points FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"
 )
 def pool_pruned_scan(spark, sf_dir):
-    """Customers of all nations as a partitioned pool, and the union of the pruned scans of every class and topic."""
+    """Customers of all nations as a partitioned pool, and the tasks of a request for each class and topic, in one scan."""
     from ..sources import pool
 
     cat = _catalogue(spark, sf_dir)
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("competence"), "c_acctbal")
     path = scratch(spark)
     pool.write_pool(c.join(cat, F.col("c_nationkey") == F.col("ord")).select("c_custkey", "c_acctbal", "class_level", "topic", "competence"), path)
-    scans = [pool.scan_pool(spark, path, r.class_level, r.topic) for r in cat.select("class_level", "topic").distinct().collect()]
-    rows = reduce(DataFrame.unionByName, scans)
+    rows = pool.scan_requests(spark, path, cat.select("class_level", "topic").distinct())
     return rows.groupBy("class_level", "topic", "competence").agg(F.count("*").alias("n_tasks"), F.round(F.sum("c_acctbal"), 2).alias("points"))
 
 

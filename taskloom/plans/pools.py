@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import documents, points
@@ -104,14 +104,24 @@ def catalogue_rows(spark, sf_dir):
     for r in _nations(spark, sf_dir).orderBy("r_regionkey", "n_nationkey").collect():
         tree.setdefault(r.r_name, {})[r.n_name] = {"Modellieren": " ", "Mathematik": f"id-{r.n_nationkey}"}
     cat = pool.catalogue(spark, json.dumps(tree))
-    found = [pool.sources_for(cat, level, topic, ["Mathematik"]) for level, topics in tree.items() for topic in topics]
-    rows = found[0]
-    for f in found[1:]:
-        rows = rows.unionByName(f)
+    asked = _nations(spark, sf_dir).select(F.col("r_name").alias("class_level"), F.col("n_name").alias("topic"))
+    rows = pool.sources_of(cat, asked, ["Mathematik"]).where("error is null")
     first = pool.first_source(cat).select(F.col("ord").alias("o"))
     return rows.join(F.broadcast(first), F.col("ord") == F.col("o"), "left").select("class_level", "topic", "competence", "source_id", "ord", F.col("o").isNotNull().alias("is_first"))
 
 
+@query(
+    """WITH c AS (SELECT DISTINCT CASE n_nationkey % 3 WHEN 0 THEN CAST(n_nationkey AS VARCHAR) WHEN 1 THEN 'Ä' || lower(n_name) ELSE n_name END AS class_level FROM nation)
+SELECT class_level, row_number() OVER (ORDER BY try_cast(class_level AS INTEGER) NULLS LAST, replace(lower(class_level), 'ä', 'a')) AS rank FROM c"""
+)
+def class_order(spark, sf_dir):
+    """Classes with numbers, letters and umlauts in the order in which they are shown."""
+    k = F.col("n_nationkey")
+    level = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.concat(F.lit("Ä"), F.lower("n_name"))).otherwise(F.col("n_name"))
+    rows = table(spark, sf_dir, "nation").select(level.alias("class_level")).distinct()
+    return rows.select("class_level", F.row_number().over(Window.orderBy(*pool.class_order(F.col("class_level")))).cast("long").alias("rank"))  # a row a class
+
+
 # ---- sheets -----------------------------------------------------------------------------------------------
 
 
