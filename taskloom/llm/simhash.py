@@ -14,7 +14,8 @@ goes to the inner shard, the rest to the outer one, and by the triangle bound on
 ``max_distance`` beyond the radius can be near one within, so these visit the inner shard too. Fingerprints
 within ``max_distance`` of the vantage point are linked to it. This goes on until shards are small, or a
 vantage point does not divide them (a dense ball); these are compared in blocks of rows that any number of
-tasks share. Leaves are scanned. No pair is lost; what is emitted are the edges of a spanning forest of each leaf.
+tasks share. Within a task, shards of over ``NODE_LEAF`` fingerprints are divided by such nodes down to leaves of
+that size, which are scanned. No pair is lost; what is emitted are the edges of a spanning forest of each leaf.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from .common import fresh, materialize, slices
 from .components import components
 
 SEED = 42
-#: Even fingerprints in a shard at most, and rows over which a shard is divided.
-LEAF, LEAF_LIMIT = 512, 4096
+#: Even fingerprints in a shard at most, rows over which a shard is divided between tasks, and rows in a leaf within one.
+LEAF, LEAF_LIMIT, NODE_LEAF = 512, 4096, 64
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -165,6 +166,48 @@ def forest(fp: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def leaves(fp: np.ndarray, radius: int, most: int) -> tuple[list[np.ndarray], list[tuple[int, int, int]]]:
+    """Rows (places in ``fp``) of the leaves of a vantage-point tree, and (rows, inner, outer) of each node.
+
+    A node's vantage point is the row of the least digest; the rows up to ``radius`` beyond the median distance from it are
+    its inner side, those beyond the median its outer side. Two rows within ``radius`` of each other are both on one
+    side, by the triangle inequality, so rows of different sides need not meet. A leaf has ``most`` rows at most,
+    unless a side would keep over nine tenths.
+    """
+    out, nodes = [], []
+    waiting = [np.arange(len(fp))]
+    lot = fp * np.uint64(0x9E3779B97F4A7C15)
+    lot ^= lot >> np.uint64(29)
+    while waiting:
+        own = waiting.pop()
+        if len(own) > most:
+            d = np.bitwise_count(fp[own] ^ fp[own[np.argmin(lot[own] * np.uint64(2 * len(nodes) + 1))]])
+            r = np.partition(d, len(d) // 2)[len(d) // 2]
+            inner, outer = own[d <= r + radius], own[d > r]
+            if max(len(inner), len(outer)) <= 0.9 * len(own):
+                nodes.append((len(own), len(inner), len(outer)))
+                waiting += [inner, outer]
+                continue
+        out.append(own)
+    return out, nodes
+
+
+def _in_leaves(shard: np.ndarray, fp: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by shard, with shards of over ``most`` rows as the leaves of their trees: (leaf, fp)."""
+    begin = np.nonzero(np.append(True, shard[1:] != shard[:-1]))[0] if len(shard) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(shard)))
+    parts, names, n = [], [], 0
+    for i in np.nonzero(size > most)[0].tolist():
+        for own in leaves(fp[begin[i] : begin[i] + size[i]], radius, most)[0]:
+            parts.append(begin[i] + own)
+            names.append(np.full(len(own), n))
+            n += 1
+    small = np.nonzero(np.repeat(size <= most, size))[0]
+    at = np.concatenate([small, *parts]) if parts else small
+    name = np.concatenate([n + np.repeat(np.arange(len(size)), size)[small], *names])
+    return name, fp[at]
+
+
 def links(nodes: DataFrame, max_distance: int = 3, blocks: int | None = None, limit: int = LEAF_LIMIT) -> DataFrame:
     """(a, b): links within ``max_distance`` bits that connect the distinct fingerprints ``nodes.fp``.
 
@@ -175,7 +218,9 @@ def links(nodes: DataFrame, max_distance: int = 3, blocks: int | None = None, li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            i, j = forest(fp.view(np.uint64), shard, max_distance)
+            shard, fp = _in_leaves(shard, fp.view(np.uint64), max_distance, NODE_LEAF)
+            i, j = forest(fp, shard, max_distance)
+            fp = fp.view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], ["a", "b"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []

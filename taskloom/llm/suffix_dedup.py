@@ -7,7 +7,7 @@ k + w - 1 = min_words // 2 + 5, so equal passages keep an equal position among t
 words, and that has ``half`` = min_words - (w - 1) words of the passage to its right at least.
 
 1. The kept suffixes are put into one global order by a digest of their next ``half`` words and by the
-   128-bit XXH3 digest of their next ``min_words`` words, and each is compared with its neighbours.
+   128-bit BLAKE2b digest of their next ``min_words`` words, and each is compared with its neighbours.
    (Digests stand in for the words in the order: what matters is that suffixes with a longer common
    beginning are neighbours.) The sort is dealt by (suffix, place), so a passage with a third of all
    places is spread over tasks; the two outer rows of each task are compared afterwards.
@@ -16,19 +16,21 @@ words, and that has ``half`` = min_words - (w - 1) words of the passage to its r
    ``half`` words with a neighbour and it could add a word: not if its words are known as later
    occurrences, or are known as first ones and no earlier place shares those ``half`` words. The
    offsets that need it are united over all places that share the ``half`` words, and the passages
-   there are sorted by the XXH3 digests of their words and compared with their neighbours in the same way.
+   there are sorted by the BLAKE2b digests of their words and compared with their neighbours in the same way.
 3. The union of all repeats in a document is given as word spans: words of later occurrences, and
    those that stand in first occurrences only. Occurrences count by document id, then text, then
    place; one that overlaps the first within the same text counts as part of it.
 
-Two passages count as equal if the 128-bit digests of their words joined by blanks are equal, which
-has no algebraic collisions; the digests by which positions are selected and offsets proposed are
-shorter, and a collision there costs a look-up and changes no result. A slice of texts is handled at
+Two passages count as equal if the 128-bit BLAKE2b digests of their words joined by blanks are equal: a
+cryptographic digest, for which nobody can make two passages that are not the same words. The digests by which
+positions are selected and offsets proposed are shorter and faster, and a collision there costs a look-up and changes
+no result. A slice of texts is handled at
 once in numpy, and nothing is quadratic in a group's size.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -116,10 +118,10 @@ class Words:
         return out
 
     def exact(self, first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """The 128-bit XXH3 digests of the runs of ``words`` words that start at the words ``first``."""
-        digest, own = xxhash.xxh3_128_digest, self._bytes
+        """The 128-bit BLAKE2b digests of the runs of ``words`` words that start at the words ``first``."""
+        hashed, own = hashlib.blake2b, self._bytes
         ends = self._end[first + words - 1].tolist() if len(first) else []
-        both = np.frombuffer(b"".join(digest(own[a:b]) for a, b in zip(self._begin[first].tolist(), ends)), np.int64)
+        both = np.frombuffer(b"".join(hashed(own[a:b], digest_size=16).digest() for a, b in zip(self._begin[first].tolist(), ends)), np.int64)
         return both[::2], both[1::2]
 
 

@@ -56,6 +56,42 @@ def test_fingerprint():
         assert simhash.fingerprint(t) & (1 << 64) - 1 == plain_fingerprint(t)
 
 
+def planted(rng, n, families):
+    """Even fingerprints, and families of some bits apart from their first one."""
+    fp = rng.integers(0, 1 << 64, n, np.uint64)
+    for _ in range(families):
+        base = rng.integers(0, 1 << 64, 1, np.uint64)
+        flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (40, 4)).astype(np.uint64), axis=1)
+        fp = np.concatenate([fp, base, base ^ flips])
+    return np.unique(fp)
+
+
+def test_vantage_point_nodes_keep_close_pairs_together():
+    fp = planted(np.random.default_rng(1), 1500, 12)
+    found, nodes = simhash.leaves(fp, 3, simhash.NODE_LEAF)
+    assert len(nodes) > 20  # the nodes do the dividing
+    near = {(i, j) for i in range(len(fp)) for j in (np.nonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= 3)[0] + i + 1).tolist()}
+    met = {(a, b) for own in map(sorted, (x.tolist() for x in found)) for k, a in enumerate(own) for b in own[k + 1 :]}
+    assert len(near) > 50 and near <= met
+    every = len(fp) * (len(fp) - 1) // 2
+    assert len(met) < 0.9 * every  # pairs on different sides are never compared
+    boundary = sum(inner + outer - n for n, inner, outer in nodes) / sum(n for n, _, _ in nodes)
+    assert 0 < boundary < 0.4  # copies of rows near a boundary, which visit both sides
+
+
+@pytest.mark.parametrize("leaf", [4, 64])
+def test_links_through_nodes_within_a_task(spark, monkeypatch, leaf):
+    monkeypatch.setattr(simhash, "NODE_LEAF", leaf)
+    fp = planted(np.random.default_rng(2), 300, 8)
+    at = np.zeros(len(fp), np.int64)
+    name, own = simhash._in_leaves(at, fp, 3, leaf)
+    i, j = simhash.forest(own, name, 3)
+    place = {int(x): k for k, x in enumerate(fp)}
+    got = union(len(fp), [(place[int(own[a])], place[int(own[b])]) for a, b in zip(i, j)])
+    want = union(len(fp), [(a, b) for a in range(len(fp)) for b in (np.nonzero(np.bitwise_count(fp[a + 1 :] ^ fp[a]) <= 3)[0] + a + 1).tolist()])
+    assert got == want
+
+
 @pytest.mark.parametrize("limit, blocks", [(4096, None), (8, None), (20, 5)])
 def test_links_connect_all_close_pairs(spark, limit, blocks):
     rng = random.Random(3)
