@@ -112,10 +112,6 @@ def slices(batches, most: int = SLICE, rows: int = 8192):
     At the end, free memory goes back to the system: workers live on from task to task, and what one
     operator has freed is no use to the JVM.
     """
-    import ctypes
-
-    import pyarrow as pa
-
     for b in batches:
         end, at = np.cumsum(_row_bytes(b)), 0
         while at < b.num_rows:
@@ -123,6 +119,15 @@ def slices(batches, most: int = SLICE, rows: int = 8192):
             stop = min(max(at + 1, int(np.searchsorted(end, room, "right"))), at + rows)
             yield b.slice(at, stop - at)
             at = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Free memory of this process goes back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

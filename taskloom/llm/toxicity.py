@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import first_rows, slices
+from .common import first_rows, give_back, slices
 
 #: Labelled rows, and bytes of their texts, that are fetched to fit the model, at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 8000, 1 << 26
@@ -332,7 +332,11 @@ def _distinct(texts: list[bytes]) -> np.ndarray:
 
 def fit(texts: list[str], toxic: list[int], **options) -> ToxicityModel:
     """Fit on labelled texts, near copies once; lexicons and calibration go by folds."""
-    raw = [t.encode("utf-8", "replace") for t in texts]
+    return fit_bytes([t.encode("utf-8", "replace") for t in texts], toxic, **options)
+
+
+def fit_bytes(raw: list[bytes], toxic: list[int], **options) -> ToxicityModel:
+    """:func:`fit` on texts in UTF-8."""
     y = np.array(toxic, bool)
     if not len(y) or y.all() or not y.any():
         return ToxicityModel(None, None, None, float(y.mean()) if len(y) else 0.0)
@@ -343,7 +347,7 @@ def fit(texts: list[str], toxic: list[int], **options) -> ToxicityModel:
     # features of a text come from lexicons learned without it
     part = np.arange(len(y)) % 5
     folds = [np.nonzero(part == k)[0] for k in range(5)]
-    total = sum(document_counts([raw[i] for i in f], y[f]) for f in folds)
+    total = document_counts(raw, y)
     n1, n0 = max(1, int(y.sum())), max(1, int((~y).sum()))
     x = None
     for f in folds:
@@ -366,7 +370,12 @@ def fit_sample(labelled: DataFrame, text_col: str, label_col: str, order: Column
     kept = labelled.where(F.col(label_col).isin(0, 1))
     sample = kept.select(F.coalesce(text_col, F.lit("")).alias("t"), F.col(label_col).cast("int").alias("y"), order.alias("o"))
     sample = first_rows(sample, ["o", "t", "y"], "t", rows, SAMPLE_BYTES).select("t", "y").toArrow()
-    return fit(sample.column("t").to_pylist(), sample.column("y").to_pylist())
+    raw, y = sample.column("t").cast("large_binary").to_pylist(), sample.column("y").to_pylist()
+    del sample  # texts are held once
+    model = fit_bytes(raw, y)
+    del raw
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
