@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..functions import classify, documents, points
 from ..functions.textual import NOT_S, S, circled, lines, or_else, text, trim
+from .layout import spread
 from .scan import scan
 
 # How a line goes on that begins a task.
@@ -42,9 +43,9 @@ def segments(rows: DataFrame, is_start: Column) -> DataFrame:
 def task_chunks(docs: DataFrame, doc_col: str, text_col: str, *keep: str) -> DataFrame:
     """(doc, segment, text, pages, ...keep) of each document's tasks, without headers and footers.
 
-    One pass over a document's lines, which need no shuffle: a running page and segment go with each line.
+    One pass over a document's lines, which stay together: a running page and segment go with each line.
     """
-    rows = docs.select(F.col(doc_col).alias("doc"), *keep, lines(circled(text(text_col))).alias("l"))
+    rows = spread(docs).select(F.col(doc_col).alias("doc"), *keep, lines(circled(text(text_col))).alias("l"))
     marked = F.transform("l", lambda x: F.struct(x.alias("line"), F.when(x.contains("[["), F.regexp_extract(x, PAGE_MARK, 1)).otherwise("").alias("mark"), x.rlike(START).alias("start")))
     rows = rows.select("doc", *keep, marked.alias("l"))
     starts = F.filter(F.transform("l", lambda x, i: F.when(x["start"] & (x["mark"] == ""), i)), lambda i: i.isNotNull())

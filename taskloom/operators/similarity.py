@@ -17,6 +17,7 @@ from .. import scratch
 from ..functions.textual import B, S, found, jaccard, let, nfkc, squeeze, sub, text
 from ..schema import RELATED_TOPICS, TOPICS_BY_CLASS
 from . import setjoin
+from .layout import spread
 from .setjoin import dice
 
 # Words that carry no meaning of their own.
@@ -363,10 +364,10 @@ def candidates(drafts: DataFrame, pool: DataFrame, normal: bool = True, counts:
     below 0.46. counts: gets (first rank, scored pairs) of each round.
     """
     spark = drafts.sparkSession
-    some = drafts.where("class_level is not null and class_level <> ''").select("draft_id", "title", "question_text", "class_level", "topics")
+    some = spread(drafts.where("class_level is not null and class_level <> ''").select("draft_id", "title", "question_text", "class_level", "topics"))
     left = scratch.written(features(some, "question_text", "title", normal).select("draft_id", "class_level", "topics", "f", _measures(F.col("f")).alias("z")), "drafts")
     tasks = pool.select("task_id", "title", "question_text", "class_level", "topic", "scan_ord").withColumn("row", F.xxhash64("task_id", "topic", "scan_ord", "class_level"))
-    right = scratch.written(features(tasks, "question_text", "title", normal).select("task_id", "row", "class_level", "topic", "scan_ord", "f", _measures(F.col("f")).alias("z")), "pool")
+    right = scratch.written(features(spread(tasks), "question_text", "title", normal).select("task_id", "row", "class_level", "topic", "scan_ord", "f", _measures(F.col("f")).alias("z")), "pool")
     own, theirs = _token_sets(left, "draft_id"), _token_sets(right, "row", "class_level", "topic")
     rarity = scratch.written(setjoin.counted(theirs), "rarity")
     own = scratch.written(setjoin.index(own, rarity, "kind"), "index")

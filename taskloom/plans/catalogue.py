@@ -16,7 +16,7 @@ from ..operators import segment, setjoin, sheets, similarity, sink
 from ..operators.scan import scan
 from ..schema import GRADES
 from ..sources import documents as files
-from .registry import ORACLE, QUERIES, query, scratch, table  # noqa: F401
+from .registry import ORACLE, QUERIES, query, scratch, table, texts  # noqa: F401
 
 
 # ---- tasks from orders ------------------------------------------------------------------------
@@ -318,7 +318,7 @@ _SEM = _CANON + f", s AS (SELECT doc_id, c, {_sql_rewrites('c')} AS s FROM c)"
 
 
 def _canon(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", similarity.canonical(F.col("text")).alias("c"))
+    return texts(spark, sf_dir, "documents").select("doc_id", similarity.canonical(F.col("text")).alias("c"))
 
 
 @query(f"WITH {_CANON} SELECT doc_id, length(c) AS n, md5(c) AS digest FROM c")
@@ -386,7 +386,7 @@ _BENCH = _CANON.replace("documents", "benchmark").replace("doc_id", "item_id")
 
 def _sets(spark, sf_dir, name: str, key: str, tokens: str) -> DataFrame:
     """(id, tokens): the featured texts of a table."""
-    rows = similarity.features(table(spark, sf_dir, name), "text")
+    rows = similarity.features(texts(spark, sf_dir, name), "text")
     return rows.select(F.col(key).alias("id"), F.col(f"f.{tokens}").cast("array<string>").alias("tokens"))
 
 
@@ -543,7 +543,7 @@ _HITS = {t: " + ".join(f"contains(lower(coalesce(text, '')), '{w}')::INT" for w
 )
 def topic_guess(spark, sf_dir):
     s = classify.topic_scores(F.col("text"), list(WORDS), WORDS)
-    rows = table(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", s.alias("s"))
     return rows.select("doc_id", F.col("s")[0]["topic"].alias("topic"), F.col("s")[0]["score"].alias("score"), F.aggregate("s", F.lit(0), lambda a, r: a + r["score"]).alias("hits"))
 
 
@@ -574,14 +574,14 @@ def _sql_trim(x: str) -> str:
 @query(f"SELECT page_id, md5({_ENT.format(_sql_trim(_SIMPLE))}) AS simplified, md5({_ENT.format(_sql_trim(_STRIP))}) AS stripped FROM pages")
 def html_text(spark, sf_dir):
     html = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(documents.simplify_html(html)).alias("simplified"), F.md5(documents.strip_html(html)).alias("stripped"))
+    return texts(spark, sf_dir, "pages").select("page_id", F.md5(documents.simplify_html(html)).alias("simplified"), F.md5(documents.strip_html(html)).alias("stripped"))
 
 
 @query(f"SELECT page_id, md5({_ENT.format('html')} || 'é€<') AS decoded FROM pages")
 def entity_decode(spark, sf_dir):
     """Whole pages, with numeric entities and a twice encoded one behind."""
     html = F.concat(textual.text("html"), F.lit("&#xE9;&#8364;&amp;lt;"))
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(documents.decode_entities(html)).alias("decoded"))
+    return texts(spark, sf_dir, "pages").select("page_id", F.md5(documents.decode_entities(html)).alias("decoded"))
 
 
 @query("SELECT p_partkey, p_name AS title, p_type AS expectation, CAST(p_size AS VARCHAR) AS points_raw FROM part UNION ALL SELECT p_partkey, '', 'äö', '' FROM part")
@@ -643,7 +643,7 @@ def correction_guard(spark, sf_dir):
     a = textual.trim(textual.text("text"))
     k = F.col("doc_id") % 4
     edit = F.when(k == 0, a).when(k == 1, F.concat(a, F.lit(" 7"))).when(k == 2, F.concat(a, F.repeat(F.lit(" x"), F.length(a)))).otherwise("")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), edit.alias("edit"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", F.col("text"), edit.alias("edit"))
     return rows.select("doc_id", guard.check_correction(F.col("text"), F.col("edit")).alias("r")).select("doc_id", "r.reason", "r.ok")
 
 
