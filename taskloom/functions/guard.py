@@ -13,10 +13,11 @@ from .points import PART, max_points, safe_points
 from .textual import BLANKS, S, circled, found, jaccard, js_number, js_round, let, lines, nfkc, or_else, sub, text, trim
 
 # Words that do not count when prose is compared.
-STOP = (
-    "aufgabe aufgaben punkt punkte berechne bestimme gib zeichne ordne löse loese folgende folgenden wenn dabei eine einer einen einem eines "
-    "und oder mit die der das den dem des von zur zum ist sind"
-).split()
+STOP = [
+    "aufgabe", "aufgaben", "punkt", "punkte", "berechne", "bestimme", "gib", "zeichne", "ordne", "löse", "loese", "folgende", "folgenden", "wenn",
+    "dabei", "eine", "einer", "einen", "einem", "eines", "und", "oder", "mit", "die", "der", "das", "den", "dem", "des", "von", "zur", "zum", "ist",
+    "sind",
+]
 COMMANDS = "frac|sqrt|cdot|times|div|leq|geq|neq|mathbb|left|right"
 TASK_LINE = rf"(?i)^{S}*(?:Aufgabe{S}*)?(\d{{1,2}}){S}*(?:[:.)]|{S}+\()"
 LEAST_PROSE, LEAST_RATIO, MOST_RATIO = 0.78, 0.62, 1.55

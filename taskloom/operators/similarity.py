@@ -21,10 +21,12 @@ from .layout import spread
 from .setjoin import dice
 
 # Words that carry no meaning of their own.
-STOPWORDS = (
-    "aufgabe aufgaben berechne bestimme ermittle gib zeichne skizziere ordne löse loese vereinfache folgende folgenden möglich moeglich wenn dabei nutze notiere begründe begrunde "
-    "eine einer einen einem eines die der das den dem des und oder mit von für fuer zur zum im in an auf aus ist sind wird werden kann soll alle jeweils"
-).split()
+STOPWORDS = [
+    "aufgabe", "aufgaben", "berechne", "bestimme", "ermittle", "gib", "zeichne", "skizziere", "ordne", "löse", "loese", "vereinfache", "folgende",
+    "folgenden", "möglich", "moeglich", "wenn", "dabei", "nutze", "notiere", "begründe", "begrunde", "eine", "einer", "einen", "einem", "eines",
+    "die", "der", "das", "den", "dem", "des", "und", "oder", "mit", "von", "für", "fuer", "zur", "zum", "im", "in", "an", "auf", "aus", "ist", "sind",
+    "wird", "werden", "kann", "soll", "alle", "jeweils",
+]
 # Rewrites of wording, applied in order.
 REWRITES = [
     (r"dr(?:ü|ue)cke[^.!?\n]{0,80}?mit (?:einem )?term aus", " term_bilden "),
@@ -386,9 +388,13 @@ def candidates(drafts: DataFrame, pool: DataFrame, normal: bool = True, counts:
             active = active.join(strong, "draft_id", "left_anti")
         turn = active.select(F.col("draft_id").alias("key"), "class_level", F.explode(F.slice("topics", first + 1, until - first)).alias("topic"))
         met = setjoin.meetings(own.join(turn, "key"), theirs, "kind", "class_level", "topic").select(F.col("a").alias("draft_id"), F.col("b").alias("row")).distinct()
-        a = left.select("draft_id", "topics", F.col("f").alias("fa"), F.col("z").alias("za"))
-        b = right.select("row", "task_id", "class_level", "topic", "scan_ord", F.col("f").alias("fb"), F.col("z").alias("zb"))
-        pairs = met.join(a, "draft_id").join(b, "row").where(_combined(_most_signals(F.col("za"), F.col("zb")), F.col("za"), F.col("zb")) >= COLLECT - setjoin.SLACK)
+        sized = met.join(left.select("draft_id", F.col("z").alias("za")), "draft_id").join(right.select("row", F.col("z").alias("zb")), "row")
+        near = sized.where(_combined(_most_signals(F.col("za"), F.col("zb")), F.col("za"), F.col("zb")) >= COLLECT - setjoin.SLACK)
+        # written, so that its size is known when it meets the features: few pairs do not shuffle those of the whole pool
+        near = scratch.written(near.select("draft_id", "row"), "pairs")
+        a = left.select("draft_id", "topics", F.col("f").alias("fa"))
+        b = right.select("row", "task_id", "class_level", "topic", "scan_ord", F.col("f").alias("fb"))
+        pairs = near.join(a, "draft_id").join(b, "row")
         place = lambda topic, *rest: F.struct(F.array_position("topics", topic), *rest)
         here = place(F.col("topic"), "scan_ord", "row")
         earlier = F.exists("rows", lambda o: F.array_contains("topics", o["topic"]) & (place(o["topic"], o["scan_ord"].alias("scan_ord"), o["row"].alias("row")) < here))
@@ -396,6 +402,7 @@ def candidates(drafts: DataFrame, pool: DataFrame, normal: bool = True, counts:
         scored = with_score(pairs).select("draft_id", "task_id", (F.array_position("topics", F.col("topic")) - 1).cast("int").alias("topic_rank"), "scan_ord", "score")
         done = scratch.written(scored, "scored")
         rounds.append(done.scratch)
+        scratch.discard(near)
         if counts is not None:
             counts.append((first, done.count()))
         first = until

@@ -224,15 +224,22 @@ def points_spec_parse(spark, sf_dir):
     return specs(spark, sf_dir).select("id", F.size(points.point_values(spec)).alias("n_values"), total.alias("sum_values"), points.max_points(spec).alias("max_points"))
 
 
-LABELS = ["AFB I", "AFB 2, afb 1", "AFB III, AFB I", "AFB 12", "ohne", "Afb II", "AFB  3 und AFB II", "a: AFB 1, b) AFB III"]
-LABELS_FOUND = ["AFB1", "AFB1,AFB2", "AFB1,AFB3", "AFB1", "", "AFB2", "AFB2,AFB3", "AFB1,AFB3"]
+#: Ways to write each level, '' for none of it, and what stands between levels.
+LEVEL_FORMS = [["", "AFB I", "afb 1", "x) AFB1"], ["", "AFB II", "Afb  2", "AFB2 (schwer)"], ["", "aFB III", "AFB 3", "AFB\t3"]]
+LEVEL_GAPS = [", ", " und ", "\n"]
 
 
 def _label_text() -> F.Column:
-    return F.get(F.array(*map(F.lit, LABELS)), (F.col("o_orderkey") % len(LABELS)).cast("int"))
+    """A text that names any of the levels in any form, in rising or falling order, with blanks at both ends, by the key."""
+    k = F.col("o_orderkey")
+    some = F.array(*[F.get(F.array(*map(F.lit, forms)), (F.floor(k / 4**i) % 4).cast("int")) for i, forms in enumerate(LEVEL_FORMS)])
+    named = F.filter(some, lambda x: x != "")
+    gap = F.get(F.array(*map(F.lit, LEVEL_GAPS)), (k % 3).cast("int"))
+    ordered = F.when(F.floor(k / 5) % 2 == 0, named).otherwise(F.reverse(named))
+    return F.concat(F.lit(" "), F.when(gap == ", ", F.array_join(ordered, ", ")).when(gap == " und ", F.array_join(ordered, " und ")).otherwise(F.array_join(ordered, "\n")), F.lit(" "))
 
 
-@query(f"SELECT o_orderkey, ({LABELS_FOUND})[o_orderkey % {len(LABELS)} + 1] AS levels FROM orders")
+@query("SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 4 > 0 THEN 'AFB1' END, CASE WHEN o_orderkey // 4 % 4 > 0 THEN 'AFB2' END, CASE WHEN o_orderkey // 16 % 4 > 0 THEN 'AFB3' END], lambda x: x IS NOT NULL), ',') AS levels FROM orders")
 def afb_label_parse(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(points.afb_labels(_label_text()), ",").alias("levels"))
 

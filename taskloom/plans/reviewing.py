@@ -319,7 +319,7 @@ def _ask(prompt: str) -> str | None:
 @query(
     """SELECT event_id, event_id % 4 = 0 AND event_id IS NOT NULL AS llm, CASE event_id % 4 WHEN 0 THEN 'Titel ' || event_id ELSE 't' END AS title, CASE event_id % 4 WHEN 0 THEN 'Gleichungen' ELSE 'Flächen' END AS topic,
   CASE event_id % 4 WHEN 0 THEN 'Modellieren' ELSE 'Mathematik' END AS competence, CASE event_id % 4 WHEN 0 THEN 'AFB 3' ELSE 'AFB 1' END AS afb_raw, CASE WHEN event_id % 4 <> 0 OR event_id % 8 = 0 THEN '4' ELSE '2+3.5' END AS points_raw,
-  CASE WHEN event_id % 4 <> 0 OR event_id % 8 = 0 THEN 4.0 ELSE 5.5 END::DOUBLE AS max_points, CASE WHEN event_id % 8 = 0 THEN 'document' WHEN event_id % 4 = 0 THEN 'llm' ELSE CASE WHEN event_id % 8 < 4 THEN 'heuristic' ELSE 'heuristic' END END AS points_source,
+  CASE WHEN event_id % 4 <> 0 OR event_id % 8 = 0 THEN 4.0 ELSE 5.5 END::DOUBLE AS max_points, CASE WHEN event_id % 8 = 0 THEN 'document' WHEN event_id % 4 = 0 THEN 'llm' ELSE 'heuristic' END AS points_source,
   CASE event_id % 4 WHEN 0 THEN 9.0 ELSE 3.0 END::DOUBLE AS estimated_time, CASE event_id % 4 WHEN 0 THEN 'gut' ELSE '' END AS expectation, CASE event_id % 4 WHEN 0 THEN 1.0 ELSE 0.45 END::DOUBLE AS c_topic, CASE event_id % 4 WHEN 0 THEN 0.0 ELSE 0.4 END::DOUBLE AS c_competence,
   CASE event_id % 4 WHEN 0 THEN 0.25 ELSE 0.35 END::DOUBLE AS c_afb, CASE event_id % 4 WHEN 3 THEN 'busy' END AS failure FROM events"""
 )
