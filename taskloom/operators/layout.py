@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over all cores where fewer files than cores hold them; rows of more files, or of none, as they are.
+    """``rows`` over all cores where fewer files than cores hold them; rows of more files, of none, or of a stream, as they are.
 
     One task reads a row group of Parquet, so a table of a few files leaves most cores idle, whatever its texts cost.
     Only such tables are shuffled, and a shuffle by rows: one large key does not stay together.
     """
     spark = rows.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if not 0 < len(rows.inputFiles()) < cores:
+    if rows.isStreaming or not 0 < len(rows.inputFiles()) < cores:
         return rows
     return rows.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
