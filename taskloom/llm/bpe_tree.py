@@ -101,7 +101,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
     """(id, ids array<int>, decoded binary) for every row: the text's ids and their bytes.
 
     Whole texts are encoded, however long; null and empty texts have no ids and empty bytes.
-    Repeated rows stay; other columns are not read. Rows pass in slices of bounded bytes.
+    Repeated rows stay; an empty table has no rows; other columns are not read. Rows pass in slices of bounded bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +143,7 @@ def with_tokens(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "
 
 
 def encode_decode_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """Counts and SHA-256 digests of what :func:`round_trip` gives, a row a document."""
     out = round_trip(docs, rank_path, pattern)
     return out.select(
         F.col("id").alias("doc_id"),

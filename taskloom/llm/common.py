@@ -185,6 +185,24 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Keys that so large a part of all rows have are hot; there are as many at most.
+HOT_PART = 256
+
+
+def look_up(rows: DataFrame, named: DataFrame, keys: list[str], count_col: str) -> DataFrame:
+    """``rows`` with the columns of ``named``, which holds each of their keys once, and in ``count_col`` how many rows have it.
+
+    Hot keys, 256 at most by their share of the rows, are broadcast, so their rows stay where they are; the others are
+    shuffled. Both tables are read twice and should be written ones. Keys are not null; rows whose key is not named go;
+    repeated rows stay; empty tables give none.
+    """
+    total = named.agg(F.sum(count_col)).first()[0] or 0
+    large = F.col(count_col) * HOT_PART >= total
+    hot, rest = named.where(large).drop(count_col), named.where(~large).drop(count_col)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(others.join(rest, keys))
+
+
 def first_rows(rows: DataFrame, order: list[str], text_col: str, most_rows: int, most_bytes: int) -> DataFrame:
     """The first rows by ``order``: at most so many, and bytes of text; the very first in any case."""
     so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # over most_rows rows

@@ -162,6 +162,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     ``und`` with score 0 and rejected for texts that are null or have no letter, and for all texts
     if no language was learned. rejected: the score is below the calibrated threshold. Texts may be of any
     length (a slice of texts takes some sixty times its bytes); repeated rows stay; other columns are not read.
+    Of languages with equal scores the first by name is chosen; an empty table has no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

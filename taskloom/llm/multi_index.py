@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, look_up, materialize
 from .components import components
 
 #: Rows that are fetched to fit codebooks and slack, at most.
@@ -280,12 +280,13 @@ def near_duplicates(
     named = entries.select("entry", "k0", "k1", "n", "least").join(groups, "entry", "left").withColumn("component", F.coalesce("component", "entry"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").join(counts, "entry", "left")
-    named = materialize(named.select("k0", "k1", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id"), "named")
-    both = base.select("id", "k0", "k1").join(named, ["k0", "k1"], "left")
-    component = F.when(F.col("k0").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    named = materialize(named.select("k0", "k1", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id"), "named")
     discard(entries, dealt, large, out)
-    return both.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    alone = base.where("k0 is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    both = look_up(base.where("k0 is not null").select("id", "k0", "k1"), named, ["k0", "k1"], "n").select("id", "n_links", "component_id")
+    return both.unionByName(alone).withColumn("kept", F.col("component_id").eqNullSafe(F.col("id")))
 
 
 def op9_multi_index(rows: DataFrame) -> DataFrame:
+    """The contract's rows of :func:`near_duplicates` at its defaults, a row a vector."""
     return near_duplicates(rows).withColumnRenamed("id", "vec_id")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, slices
+from .common import fresh, look_up, materialize, slices
 from .components import components
 
 SEED = 42
@@ -250,16 +250,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component names the group by a fingerprint; component_id is the smallest id reachable over fingerprints at most ``max_distance`` bits apart,
     the row's own included. Texts that are null, empty or without words have fingerprint 0 and link
     like others. A null id keeps its row and never names a group unless the group has only null ids.
-    Repeated rows and ids stay as they are; other columns of ``docs`` are not read.
+    Repeated rows and ids stay as they are; texts may be of any length; an empty table has no groups; other columns of
+    ``docs`` are not read. A fingerprint that very many rows have, as that of empty texts, is not shuffled in the end.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")), "nodes")
     groups = components(links(nodes.select("fp"), max_distance, **tree)).withColumnRenamed("node", "fp")
     linked = nodes.join(groups, "fp")
     first = linked.groupBy("component").agg(F.min("first").alias("component_id"))
     named = materialize(groups.join(first, "component").select("fp", "component_id", "component"), "named")
-    ids = materialize(nodes.join(named, "fp", "left").select("fp", F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", "fp").alias("component")), "ids")
-    return fps.join(ids, "fp").select("id", "digest", "fp", "component_id", "component")
+    ids = materialize(nodes.join(named, "fp", "left").select("fp", "n", F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("component", "fp").alias("component")), "ids")
+    return look_up(fps, ids, ["fp"], "n").select("id", "digest", "fp", "component_id", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None, **options) -> DataFrame:
@@ -291,5 +292,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_simhash(docs: DataFrame) -> DataFrame:
+    """The contract's rows of :func:`near_duplicates` over three-word shingles and three bits, a row a document."""
     found = near_duplicates(docs)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -337,7 +337,9 @@ def read_planes(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
 def token_planes(docs: DataFrame, tokenizer_path: str, end_id: int = 2, **options) -> DataFrame:
     """Write ``docs`` to files of planes in the shared folder and read every document back.
 
-    The files are deleted when all documents are read; use :func:`write_planes` to keep them.
+    The files are deleted when all documents are read; use :func:`write_planes` to keep them. Null and empty texts have
+    the end id alone; texts may be of any length; repeated rows and ids stay, in the order of :func:`write_planes`; an
+    empty table has no files and no rows; other columns are not read.
     """
     spark = docs.sparkSession
     folder = scratch_path(spark, "planes")

@@ -413,6 +413,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
 
 
 def op7_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Scores of all documents from labels of those that are not held out; a null id counts as held out."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     out = score(docs.select("doc_id", "text"), fit_documents(docs, labels))
     return out.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

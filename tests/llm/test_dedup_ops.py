@@ -376,3 +376,28 @@ def test_pipeline_drops_near_copies_at_08(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
     assert kept == set(union(len(docs), edges)) and len(kept) < len(docs) - 30
+
+
+@pytest.mark.parametrize("keys", [["k"], ["k", "m"]])
+def test_hot_keys_are_looked_up_without_a_shuffle(spark, keys, monkeypatch):
+    """One key has a third of all rows; with two hot keys allowed it and no rare one is broadcast."""
+    from taskloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_PART", 4)
+    rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 100).alias("k"), F.lit(5).alias("m"), "id").withColumn("name", F.col("id"))
+    named = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("k != 7").withColumn("found", F.col("k") * 2)
+    got = common.look_up(rows.drop("name"), named, keys, "n")
+    assert sorted((r.id, r.k, r.found) for r in got.collect()) == sorted((r.id, r.k, r.k * 2) for r in rows.collect() if r.k != 7)
+    assert got.columns == [*keys, *[c for c in ("k", "m", "id") if c not in keys], "found"]
+    assert common.look_up(rows.limit(0), named.limit(0), keys, "n").count() == 0
+    assert common.look_up(rows, named.limit(0), keys, "n").count() == 0
+
+
+def test_a_third_of_all_texts_is_empty(spark):
+    """Empty texts share one fingerprint, and unusable vectors have no key: both keep a row each."""
+    docs = [(i, "" if i % 3 == 0 else f"wort{i} b{i * 7} c{i * 11} d{i}", "x") for i in range(90)]
+    got = {r.id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string, fp string")).collect()}
+    assert len(got) == 90 and all(got[i] == 0 for i in range(0, 90, 3))
+    rows = [(i, [0.0, 0.0] if i % 3 == 0 else [float(i), 1.0], 1) for i in range(30)]
+    got = multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert len(got) == 30 and all(r.kept and r.n_links == 0 and r.component_id == r.id for r in got if r.id % 3 == 0)
