@@ -11,7 +11,7 @@ from ..functions import documents, points
 from ..functions.textual import js_number
 from ..operators import imports, sheets, sink
 from ..schema import TOPICS_BY_CLASS
-from ..sources import pool
+from ..sources import paged, pool
 from .catalogue import exam_rows
 from .registry import query, scratch, table
 
@@ -76,6 +76,42 @@ def pool_union(spark, sf_dir):
     return rows.select("id", "title", "competence", "topic", "class_level", "max_points", "estimated_time", "image_url", "expectation", F.size("sub_tasks").alias("n_parts"), F.try_element_at("points_by_afb", F.lit("AFB2")).alias("afb2"), shown.alias("shown"))
 
 
+@query(
+    """WITH k AS (SELECT DISTINCT c_mktsegment AS s FROM customer)
+SELECT CAST(c_custkey AS VARCHAR) AS id, r_name AS class_level, n_name AS topic, c_mktsegment AS competence, NULL AS error FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'
+UNION ALL SELECT NULL, r_name, n_name, s, CASE WHEN n_name <> 'ohne' THEN 'no source for MACHINERY' ELSE 'no sources for class ' || r_name || ', topic ' || n_name END
+  FROM (SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' UNION ALL SELECT r_name, 'ohne' FROM region), k WHERE n_name = 'ohne' OR s = 'MACHINERY'"""
+)
+def load_requested(spark, sf_dir):
+    """Tasks of a request a nation and of one without sources a region; in one region a segment lacks, so its requests fail."""
+    cat, kids, known = _sources(spark, sf_dir)
+    named = _nations(spark, sf_dir).select(F.col("r_name").alias("class_level"), F.col("n_name").alias("topic"))
+    asked = named.unionByName(named.select("class_level", F.lit("ohne").alias("topic")))
+    kinds = sorted(r.c_mktsegment for r in table(spark, sf_dir, "customer").select("c_mktsegment").distinct().collect())  # a fixed dimension
+    whole = cat.where(~((F.col("class_level") == "ASIA") & (F.col("competence") == "MACHINERY")))
+    tasks, errors = pool.load_requested(_records(spark, sf_dir), whole, kids, known, asked, kinds)
+    none = F.lit(None).cast("string")
+    return tasks.select("id", "class_level", "topic", "competence", none.alias("error")).unionByName(errors.select(none.alias("id"), "class_level", "topic", "competence", "error"))
+
+
+@query("SELECT 's' || c_nationkey AS data_source_id, CAST(c_custkey AS VARCHAR) AS id, c_name AS title, 'Zeile ' || chr(10) || c_mktsegment AS question_text, CAST(c_nationkey AS DOUBLE) AS max_points FROM customer")
+def paged_records(spark, sf_dir):
+    """A source a nation, of pages that name their successors, with a list on each page that is no record."""
+    c = table(spark, sf_dir, "customer")
+    run = lambda x: F.array(F.struct(x.alias("plain_text")))
+    props = F.struct(F.struct(run(F.col("c_name")).alias("title")).alias("Titel"), F.struct(run(F.concat(F.lit("Zeile \n"), F.col("c_mktsegment"))).alias("rich_text")).alias("Aufgabe"), F.struct(F.col("c_nationkey").cast("double").alias("number")).alias("Punkte"))
+    record = F.to_json(F.struct(F.lit("page").alias("object"), F.col("c_custkey").cast("string").alias("id"), props.alias("properties")))
+    source, page = F.concat(F.lit("s"), F.col("c_nationkey").cast("string")), F.floor(F.col("c_custkey") / 2000)
+    pages = c.groupBy(source.alias("source"), page.alias("n")).agg(F.array_join(F.collect_list(record), ", ").alias("own"))  # up to 2000 records
+    order = Window.partitionBy("source").orderBy("n")  # a source's pages
+    cursor = F.when(F.row_number().over(order) == 1, paged.START).otherwise(F.concat(F.lit("c"), F.col("n").cast("string")))
+    after = F.concat(F.lit("c"), F.lead("n").over(order).cast("string"))
+    path = scratch(spark)
+    paged.write_pages(pages.select("source", cursor.alias("page"), after.alias("next"), F.concat(F.lit('[{"object": "list"}, '), "own", F.lit("]")).alias("results")), path)
+    tasks = pool.read_tasks(paged.read_paged(spark, path), keep=["data_source_id"])
+    return tasks.select("data_source_id", "id", "title", "question_text", "max_points")
+
+
 @query(
     """WITH k AS (SELECT DISTINCT c_mktsegment AS s FROM customer)
 SELECT r_name AS class_level, n_name AS topic, s AS competence, CASE WHEN n_nationkey % 5 = 0 THEN 'db' || n_nationkey || s ELSE 'src' || n_nationkey || s || '0' END AS data_source_id

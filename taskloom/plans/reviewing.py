@@ -373,6 +373,14 @@ def _retried(ask, prompt: str) -> str:
         return ask(f"{prompt}:{prompt[-1]}", False)
 
 
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) < 400")
+def sparse_documents(spark, sf_dir):
+    """Documents as sources of three kinds; of those that are PDF the ones with hardly any text."""
+    kinds = F.array(*[F.lit(files.MIME[k]) for k in ("pdf", "docx", "txt")])
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.element_at(kinds, (F.col("doc_id") % 3 + 1).cast("int")).alias("mime_type"), F.coalesce("text", F.lit("")).alias("text"))
+    return files.sparse(rows).select("doc_id")
+
+
 # ---- formulas ---------------------------------------------------------------------------------------------
 
 

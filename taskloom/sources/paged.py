@@ -69,6 +69,30 @@ class PagedSource(DataSource):
         return PagedReader(dict(self.options))
 
 
+def write_pages(pages, path: str) -> None:
+    """Pages (source, page, next, results: JSON of a list) as files that :func:`read_paged` reads.
+
+    ``page`` and ``next`` are cursors, ``next`` null on the last page. Files are written by the tasks that hold the pages; a
+    task that is repeated writes the same files anew.
+    """
+    from pyspark.sql import functions as F
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        for b in batches:
+            for r in b.to_pylist():
+                files.create_dir(f"{base}/{r['source']}", recursive=True)
+                with files.open_output_stream(f"{base}/{r['source']}/{r['page']}.json") as f:
+                    body = {"has_more": r["next"] is not None, "next_cursor": r["next"]}
+                    f.write(f'{json.dumps(body)[:-1]}, "results": {r["results"]}}}'.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    pages.select("source", "page", "next", "results").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def read_paged(spark, path: str, sources: list[str] | None = None):
     """Records of paged sources with typed properties; all folders of ``path`` unless ``sources`` names some."""
     from pyspark.sql import functions as F

@@ -124,6 +124,25 @@ def test_paged_source(spark, tmp_path):
         paged.read_paged(spark, str(tmp_path), ["s2"]).collect()
 
 
+def test_pages_written_and_read(spark, tmp_path):
+    from taskloom.sources import paged
+
+    rows = [("s", "start", "ä1", json.dumps(RECORDS[:1])), ("s", "ä1", None, json.dumps([*RECORDS[1:], {"object": "list"}])), ("none", "start", None, "[]")]
+    pages = spark.createDataFrame(rows, "source string, page string, next string, results string")
+    for _ in range(2):  # a second writing gives the same files
+        paged.write_pages(pages, str(tmp_path / "p"))
+    assert sorted((r.data_source_id, r.id) for r in paged.read_paged(spark, str(tmp_path / "p")).collect()) == [("s", "p1"), ("s", "p2")]
+
+
+def test_repeated_requests_are_one(spark):
+    cat = spark.createDataFrame([("7", "T", "M", "a"), ("7", "U", "M", "b"), ("7", "U", "N", "b")], "class_level string, topic string, competence string, source_id string")
+    kids = spark.createDataFrame([], "database_id string, source_ord int, child_id string")
+    asked = spark.createDataFrame([("7", "U"), ("7", "U"), ("7", "T"), (None, "T")], "class_level string, topic string")
+    tasks, errors = pool.load_requested(spark.createDataFrame([], f"data_source_id string, {pool.RECORD}"), cat, kids, cat.select("source_id"), asked, ["M", "N"])
+    assert tasks.count() == 0
+    assert sorted((r.class_level or "", r.competence, r.error) for r in errors.collect()) == [("", "M", "class and topic are required"), ("", "N", "class and topic are required"), ("7", "N", "no source for N")]
+
+
 def test_commit_that_cannot_be_written(spark, tmp_path):
     d = spark.createDataFrame([("a", "q", "7", "T", "M", True)], "title string, question_text string, class_level string, topic string, competence string, include boolean")
     known = spark.createDataFrame([("7", "T", "M")], "class_level string, topic string, competence string")
