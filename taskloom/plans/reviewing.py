@@ -14,7 +14,7 @@ from ..functions.textual import lines
 from ..operators import imports, ledger, segment, sheets
 from ..schema import TOPICS_BY_CLASS
 from ..sources import documents as files
-from .registry import query, scratch, table
+from .registry import query, scratch, table, texts
 
 # ---- pages and broken fractions ---------------------------------------------------------------------------
 
@@ -140,7 +140,7 @@ def _uploads(spark, sf_dir) -> DataFrame:
     row = lambda *x: F.concat(F.lit("<w:tr>"), *map(cell, x), F.lit("</w:tr>"))
     expected = F.concat(F.lit("<w:tbl>"), row(F.lit("Titel"), F.lit("Erwartung"), F.lit("Punkte")), row(F.lit("Terme ordnen"), F.concat(F.lit("Lösung "), n), F.lit("3")), F.lit("</w:tbl>"))
     body = F.concat(p(F.lit("Klasse 7")), p(F.lit("Aufgabe 1: Terme ordnen")), p(F.lit("Ordne den Term &amp; die Klammer.")), formula, picture, p(F.lit("2. Zeichne "), F.col("p_name"), F.lit(".")), expected)
-    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("blatt-"), F.col("p_partkey").cast("string"), F.lit(".docx")).alias("name"), _docx_file(body).alias("content"))
+    rows = texts(spark, sf_dir, "part").select(F.concat(F.lit("blatt-"), F.col("p_partkey").cast("string"), F.lit(".docx")).alias("name"), _docx_file(body).alias("content"))
     return rows.select("name", F.lit("docx").alias("extension"), F.lit("").alias("mime_type"), "content")
 
 

@@ -26,6 +26,14 @@ METHOD_PDF, METHOD_DOCX, METHOD_REPAIRED = "pdf-text", "docx", "visual"
 MOST_PAGE_IMAGE = 350_000
 
 
+# Nodes of text, of blanks, and of formulas with their LaTeX form and its parts.
+_TEXTS, _BLANKS = {_W + "t", _M + "t"}, {_W + "tab": "\t", _W + "br": "\n"}
+_FORMULAS = {_M + "f": ("\\frac{%s}{%s}", ("num", "den")), _M + "sSup": ("%s^{%s}", ("e", "sup")), _M + "sSub": ("%s_{%s}", ("e", "sub")), _M + "rad": ("\\sqrt{%s}", ("e",))}
+# Nodes that HTML has a form for.
+_HTML = {_W + "tbl": "table", _W + "tr": "tr", _W + "tc": "td"}
+_P, _BLIP, _STYLE, _ITEM, _VALUE, _EMBED = _W + "p", _A + "blip", f"{_W}pPr/{_W}pStyle", f"{_W}pPr/{_W}numPr", _W + "val", _R + "embed"
+
+
 def _document(data: bytes):
     """The tree of a DOCX file's text and its archive; None if it can't be read."""
     import io
@@ -46,26 +54,25 @@ def _math(node) -> str:
         found = node.find(_M + tag)
         return "" if found is None else "".join(map(_math, found))
 
-    inner = lambda: "".join(map(_math, node))
-    forms = {
-        _W + "t": lambda: node.text or "",
-        _M + "t": lambda: node.text or "",
-        _W + "tab": lambda: "\t",
-        _W + "br": lambda: "\n",
-        _M + "f": lambda: f"\\frac{{{part('num')}}}{{{part('den')}}}",
-        _M + "sSup": lambda: f"{part('e')}^{{{part('sup')}}}",
-        _M + "sSub": lambda: f"{part('e')}_{{{part('sub')}}}",
-        _M + "rad": lambda: f"\\sqrt{{{part('e')}}}",
-    }
-    return forms.get(node.tag, inner)()
+    tag = node.tag
+    if tag in _TEXTS:
+        return node.text or ""
+    if tag in _BLANKS:
+        return _BLANKS[tag]
+    if tag in _FORMULAS:
+        form, parts = _FORMULAS[tag]
+        return form % tuple(map(part, parts))
+    return "".join(map(_math, node))
 
 
 def docx_text(data: bytes) -> str:
     """Paragraphs of a DOCX file with its formulas in LaTeX form; '' if it can't be read."""
     found = _document(data)
-    if found is None:
-        return ""
-    paragraphs = (re.sub("[ \t]+", " ", "".join(map(_math, p))).strip() for p in found[0].iter(_W + "p"))
+    return "" if found is None else _formula_text(found[0])
+
+
+def _formula_text(root) -> str:
+    paragraphs = (re.sub("[ \t]+", " ", "".join(map(_math, p))).strip() for p in root.iter(_P))
     return "\n".join(p for p in paragraphs if p)
 
 
@@ -84,15 +91,16 @@ def docx_parts(data: bytes, name: str) -> dict:
         return {"html": None, "raw": None, "math": "", "images": []}
     root, archive = found
     stem = re.sub(r"(?i)\.docx$", "", name)
+    there = set(archive.namelist())
     targets = {}
-    if "word/_rels/document.xml.rels" in archive.namelist():
+    if "word/_rels/document.xml.rels" in there:
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(archive.read("word/_rels/document.xml.rels"))}
     images: list[dict] = []
 
     def image(node) -> str:
-        target = targets.get(node.get(_R + "embed"))
+        target = targets.get(node.get(_EMBED))
         path = f"word/{target}" if target and not target.startswith("/") else (target or "").lstrip("/")
-        if path not in archive.namelist():
+        if path not in there:
             return ""
         mime = mimetypes.guess_type(path)[0] or "image/png"
         ending = "jpg" if "jpeg" in mime else mime.split("/")[1] or "png"
@@ -100,31 +108,31 @@ def docx_parts(data: bytes, name: str) -> dict:
         return f'<img data-import-image="{len(images) - 1}">'
 
     def paragraph(p) -> str:
-        style = p.find(f"{_W}pPr/{_W}pStyle")
-        heading = re.fullmatch(r"(?i)heading([1-6])|berschrift([1-6])", (style.get(_W + "val") if style is not None else "").lstrip("Üü"))
-        tag = f"h{heading[1] or heading[2]}" if heading else "li" if p.find(f"{_W}pPr/{_W}numPr") is not None else "p"
-        return f"<{tag}>{''.join(html(x) for x in p)}</{tag}>"
+        style = p.find(_STYLE)
+        heading = style is not None and re.fullmatch(r"(?i)heading([1-6])|berschrift([1-6])", (style.get(_VALUE) or "").lstrip("Üü"))
+        tag = f"h{heading[1] or heading[2]}" if heading else "li" if p.find(_ITEM) is not None else "p"
+        return f"<{tag}>{''.join(map(html, p))}</{tag}>"
 
     def html(node) -> str:
-        inner = lambda: "".join(map(html, node))
-        forms = {
-            _W + "t": lambda: escape(node.text or "", quote=False),
-            _W + "tab": lambda: "\t",
-            _W + "br": lambda: "<br />",
-            _W + "p": lambda: paragraph(node),
-            _W + "tbl": lambda: f"<table>{inner()}</table>",
-            _W + "tr": lambda: f"<tr>{inner()}</tr>",
-            _W + "tc": lambda: f"<td>{inner()}</td>",
-            _A + "blip": lambda: image(node),
-            _M + "t": lambda: "",
-        }
-        return forms.get(node.tag, inner)()
+        tag = node.tag
+        if tag == _W + "t":
+            return escape(node.text or "", quote=False)
+        if tag == _P:
+            return paragraph(node)
+        if tag in _BLANKS:
+            return "<br />" if tag == _W + "br" else _BLANKS[tag]
+        if tag == _BLIP:
+            return image(node)
+        if tag == _M + "t":
+            return ""
+        inner = "".join(map(html, node))
+        return f"<{_HTML[tag]}>{inner}</{_HTML[tag]}>" if tag in _HTML else inner
 
     def raw(p) -> str:
-        return "".join({_W + "t": x.text or "", _W + "tab": "\t", _W + "br": "\n"}.get(x.tag, "") for x in p.iter())
+        return "".join((x.text or "") if x.tag == _W + "t" else _BLANKS.get(x.tag, "") for x in p.iter())
 
     body = html(root)
-    return {"html": body, "raw": "".join(f"{raw(p)}\n\n" for p in root.iter(_W + "p")), "math": docx_text(data), "images": images}
+    return {"html": body, "raw": "".join(f"{raw(p)}\n\n" for p in root.iter(_P)), "math": _formula_text(root), "images": images}
 
 
 _PARTS = T.StructType(
