@@ -12,6 +12,7 @@ from ..functions import guard
 from ..schema import TOPICS_BY_CLASS
 from ..sources import documents as files
 from . import segment, similarity
+from .layout import dealt
 
 
 @dataclass
@@ -53,7 +54,8 @@ def corrected_sources(sources: DataFrame, corrections: DataFrame) -> tuple[DataF
     pdf = F.col("mime_type") == files.MIME["pdf"]
     known = sources.join(drafts, "name", "left").withColumn("__ok", pdf & guard.trusted_document(F.col("text"), F.coalesce("__n", F.lit(0)), F.coalesce(F.size("pages"), F.lit(0)))).drop("__n")
     pages = known.where("__ok").select(F.col("name").alias("doc"), F.explode("pages").alias("p")).select("doc", F.col("p.page_number").alias("page"), "p.text")
-    judged = guard.apply_corrections(pages, corrections.select(F.col("name").alias("doc"), F.col("page_number").cast("int").alias("page"), "text"), trusted=True)
+    proposed = corrections.select(F.col("name").alias("doc"), F.col("page_number").cast("int").alias("page"), "text")
+    judged = guard.apply_corrections(dealt(pages, "doc", "page"), dealt(proposed, "doc", "page"), trusted=True)
     listed = judged.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(F.col("page").alias("page_number"), "text"))).alias("__pages"))  # of one document
     both = known.join(listed, F.col("name") == F.col("doc"), "left")
     redone = F.col("__pages").isNotNull()

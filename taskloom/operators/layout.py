@@ -16,3 +16,13 @@ def spread(rows: DataFrame) -> DataFrame:
     if rows.isStreaming or not 0 < len(rows.inputFiles()) < cores:
         return rows
     return rows.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by keys over as many tasks as a shuffle has, for a join or an aggregate by them that costs more than its rows weigh.
+
+    Adaptive execution puts the partitions of a shuffle together by bytes, so small rows with costly work would end in a
+    few tasks; a stated number stays.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)

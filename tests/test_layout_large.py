@@ -1,5 +1,6 @@
 """Costly work on small rows: it is dealt over all tasks, and done only where it is asked for."""
 
+from taskloom.operators import imports
 from taskloom.plans import reviewing
 
 DIR = "/root/testdata/sf0.001"
@@ -7,3 +8,8 @@ DIR = "/root/testdata/sf0.001"
 
 def test_files_of_one_table_are_read_by_all_tasks(spark):
     assert reviewing._uploads(spark, DIR).rdd.getNumPartitions() >= 4  # one before: a task read all files of a row group
+
+
+def test_corrections_are_judged_by_all_tasks(spark):
+    outcomes = imports.corrected_sources(*reviewing._corrections(spark, DIR))[1]
+    assert outcomes.where("page = 1").rdd.getNumPartitions() >= 4  # adaptive execution left one before
