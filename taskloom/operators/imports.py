@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +16,22 @@ from . import segment, similarity
 from .layout import dealt
 
 
-@dataclass
 class Imported:
-    """What an import returns, as lazy tables."""
+    """What an import returns: drafts, warnings (source, code, page, detail), summary (name, characters, images, method)
+    and errors (name, error). Each table is worked out when it is first asked for; drafts are found for ``drafts`` and ``errors``,
+    and their duplicates are looked up for ``drafts`` alone.
+    """
+
+    def __init__(self, drafts: Callable[[], DataFrame], warnings: DataFrame, summary: DataFrame, errors: Callable[[], DataFrame]) -> None:
+        self._drafts, self.warnings, self.summary, self._errors = drafts, warnings, summary, errors
 
-    drafts: DataFrame
-    warnings: DataFrame  # source, code, page, detail
-    summary: DataFrame  # name, characters, images, method
-    errors: DataFrame  # name, error
+    @cached_property
+    def drafts(self) -> DataFrame:
+        return self._drafts()
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        return self._errors()
 
 
 #: Stands between an upload's key and a file's name while files of several uploads are read together.
@@ -123,19 +132,29 @@ def import_documents(
         sources, outcomes = corrected_sources(sources, corrections)
         sources, outcomes = scratch.written(sources, "corrected"), scratch.written(outcomes, "outcomes")
         warnings = warnings.unionByName(outcomes.select(F.col("doc").alias("source"), F.col("outcome").alias("code"), "page", F.col("reason").alias("detail")))
-    told = sources.join(requests, "name") if upload else sources
-    drafts = source_drafts(told, class_level, topic, *by)
-    if outcomes is not None:
-        drafts = with_repair_marks(drafts, outcomes)
-    empty = sources.select("name").join(drafts.select(F.col("doc").alias("name")).distinct(), "name", "left_anti").select("name", F.lit("no tasks").alias("error"))
-    errors = errors.unionByName(empty)
+    plain = lambda df, c: df.join(requests.withColumnRenamed("name", c), c).withColumn(c, F.substring_index(c, _JOINT, -1))
+
+    @cache
+    def found() -> DataFrame:
+        told = sources.join(requests, "name") if upload else sources
+        rows = source_drafts(told, class_level, topic, *by)
+        return rows if outcomes is None else with_repair_marks(rows, outcomes)
+
+    def failed() -> DataFrame:
+        empty = sources.select("name").join(found().select(F.col("doc").alias("name")).distinct(), "name", "left_anti").select("name", F.lit("no tasks").alias("error"))
+        rows = errors.unionByName(empty)
+        return plain(rows, "name").select(upload, "name", "error").unionByName(refused) if upload else rows
+
+    def reviewed() -> DataFrame:
+        rows = found()
+        if upload:
+            rows = rows.withColumns({c: F.replace(c, F.lit(_JOINT), F.lit("/")) for c in ("id", "doc")})
+        return deduplicated(rows, pool, by_class)
+
     summary = files.summary(sources)
     if upload:
-        plain = lambda df, c: df.join(requests.withColumnRenamed("name", c), c).withColumn(c, F.substring_index(c, _JOINT, -1))
         warnings, summary = plain(warnings, "source").select(upload, *warnings.columns), plain(summary, "name").select(upload, *summary.columns)
-        errors = plain(errors, "name").select(upload, "name", "error").unionByName(refused)
-        drafts = drafts.withColumns({c: F.replace(c, F.lit(_JOINT), F.lit("/")) for c in ("id", "doc")})
-    return Imported(deduplicated(drafts, pool, by_class), warnings, summary, errors)
+    return Imported(reviewed, warnings, summary, failed)
 
 
 def deduplicated(drafts: DataFrame, pool: DataFrame, by_class: dict[str, list[str]] = TOPICS_BY_CLASS) -> DataFrame:

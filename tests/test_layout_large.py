@@ -1,6 +1,8 @@
 """Costly work on small rows: it is dealt over all tasks, and done only where it is asked for."""
 
-from taskloom.operators import imports
+import pytest
+
+from taskloom.operators import imports, similarity
 from taskloom.plans import reviewing
 
 DIR = "/root/testdata/sf0.001"
@@ -13,3 +15,14 @@ def test_files_of_one_table_are_read_by_all_tasks(spark):
 def test_corrections_are_judged_by_all_tasks(spark):
     outcomes = imports.corrected_sources(*reviewing._corrections(spark, DIR))[1]
     assert outcomes.where("page = 1").rdd.getNumPartitions() >= 4  # adaptive execution left one before
+
+
+def test_a_summary_looks_no_duplicates_up(spark, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("looked up")
+
+    monkeypatch.setattr(similarity, "candidates", refuse)
+    done = imports.import_documents(reviewing._uploads(spark, DIR), reviewing._pool(spark, DIR))
+    assert done.summary.count() == spark.read.parquet(f"{DIR}/part.parquet").count()
+    with pytest.raises(AssertionError):
+        done.drafts  # noqa: B018
