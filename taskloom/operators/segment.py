@@ -119,13 +119,9 @@ def with_expectations(rows: DataFrame, sources: DataFrame, order: str = "name",
 
 def matched(rows: DataFrame, expected: DataFrame, *by: str) -> DataFrame:
     """Drafts (title, expectation, confidence, *by) with what the first fitting row (ord, title, expectation, *by) says."""
-    best = first_match(rows, expected, *by).withColumnRenamed("ord", "__ord")
-    said = expected.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("ord").alias("__o"), F.col("expectation").alias("__said"))
-    on = F.col("__ord") == F.col("__o")
-    for c in by:
-        on &= F.col(c) == F.col(f"__{c}")
-    out = best.join(said, on, "left")
-    hit = F.col("__ord").isNotNull()
+    said = expected.withColumn("ord", F.struct("ord", "expectation"))  # what a row says goes with its place, so drafts of one row meet it by their titles
+    out = first_match(rows, said, *by).withColumn("__said", F.col("ord.expectation"))
+    hit = F.col("ord").isNotNull()
     confidence = F.struct(*[F.when(hit, F.when(text("__said") != "", F.lit(EXPECTED)).otherwise(F.lit(0.0))).otherwise(F.col("confidence.expectation")).alias(k) if k == "expectation" else F.col(f"confidence.{k}").alias(k) for k in CONFIDENCES])
     return out.withColumn("expectation", F.when(hit, text("__said")).otherwise(F.col("expectation"))).withColumn("confidence", confidence).select(*rows.columns)
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from taskloom.operators import imports, similarity
+from taskloom.operators import imports, segment, similarity
 from taskloom.plans import reviewing
 
 DIR = "/root/testdata/sf0.001"
@@ -26,3 +26,10 @@ def test_a_summary_looks_no_duplicates_up(spark, monkeypatch):
     assert done.summary.count() == spark.read.parquet(f"{DIR}/part.parquet").count()
     with pytest.raises(AssertionError):
         done.drafts  # noqa: B018
+
+
+def test_drafts_of_one_expectation_meet_it_by_their_titles(spark):
+    rows = spark.createDataFrame([(1, "Terme"), (2, "Terme"), (3, "x")], "id int, title string").selectExpr("*", "'' AS expectation", "named_struct('topic', 0.45D, 'competence', 0.4D, 'afb', 0.35D, 'time', 0.45D, 'expectation', 0D) AS confidence")
+    expected = spark.createDataFrame([(0, "Terme", "a"), (0, "Terme", "b"), (1, "Terme", "c")], "ord int, title string, expectation string")
+    got = segment.matched(rows, expected)  # two rows of one place: a join by places gave a draft twice
+    assert {(r.id, r.expectation) for r in got.collect()} == {(1, "a"), (2, "a"), (3, "")} and got.count() == 3
