@@ -46,6 +46,16 @@ def test_similar_equals_all_pairs(spark, measure, of, least):
     assert got == pytest.approx({(i, j): of(x, y) for i, x in rows for j, y in others if of(x, y) >= least})
 
 
+@pytest.mark.parametrize("measure, of", [("jaccard", jaccard), ("dice", dice)])
+def test_sharing_gives_every_pair_with_a_common_token(spark, measure, of):
+    rows, others = random_sets(1, 60), random_sets(2, 40)
+    a, b = (spark.createDataFrame(x, "id long, tokens array<string>") for x in (rows, others))
+    got = {(r.a, r.b): r.similarity for r in setjoin.sharing(a, None, measure).collect()}
+    assert got == pytest.approx({(i, j): of(x, y) for i, x in rows for j, y in rows if i < j and of(x, y) > 0})
+    got = {(r.a, r.b): r.similarity for r in setjoin.sharing(a, b, measure).collect()}
+    assert got == pytest.approx({(i, j): of(x, y) for i, x in rows for j, y in others if of(x, y) > 0})
+
+
 def test_a_word_of_all_sets_makes_no_pairs(spark):
     rows = [(i, ["und", "der", *(f"w{i}-{k}" for k in range(8))]) for i in range(300)]
     sets = spark.createDataFrame(rows, "key long, tokens array<string>").withColumn("least", F.lit(0.5))
