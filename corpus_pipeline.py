@@ -29,7 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of links at a five-word Jaccard similarity of 0.8 or more stays, the one of the least id.
 
-    Null ids come last. Texts that are null, empty or without words are one group.
+    Operator 6's vantage-point forest over SimHash fingerprints links first; every link is confirmed by the whole sets, and pairs that
+    are alike enough but lie farther apart in bits are found by min-hash bands. Null ids come last. Texts that are null, empty or without words are one group.
     """
     return near_copies.one_of_each(docs)
 

@@ -1,6 +1,8 @@
 """Near copies by the exact Jaccard similarity of five-word shingle sets, for the corpus pipeline.
 
-Candidates come from min-hash bands: ``BANDS`` bands of ``ROWS`` minima, so a pair of similarity s shares
+Groups begin with the links of operator 6: SimHash fingerprints over five-word shingles, joined by the vantage-point
+forest at ``RADIUS`` bits and confirmed by the whole sets. Pairs at 0.8 can lie farther apart than any radius that
+a forest can prune at, so the other links' candidates come from min-hash bands: ``BANDS`` bands of ``ROWS`` minima, so a pair of similarity s shares
 no band with probability (1 - s^5)^32, which is 3e-6 at 0.8. Every link is confirmed by the sets themselves.
 Texts of equal sets are one node. In a few turns, each bucket that holds several groups compares one centre
 with its members, which gives as many pairs as members and joins large groups of copies quickly. The nodes of
@@ -20,10 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import discard, materialize, slices
+from .common import discard, look_up, materialize, slices
 from .components import components
 
 SHINGLE = 5
+#: Differing bits up to which fingerprints give candidates.
+RADIUS = 3
 #: Turns in which a bucket's centre meets its members, before what stays apart is compared by rare shingles.
 TURNS = 4
 #: Rows of sets and of pairs of sets that a worker takes at a time: sets are eight bytes for each word of a text.
@@ -66,7 +70,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(t) for t in b.column(2).to_pylist()]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
         n = pa.array([len(s) for s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), n, pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))], ["id", "digest", "node", "n", "buckets"])
+        fp = pa.array([simhash.fingerprint(t, SHINGLE) for t in b.column(2).to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), n, fp, pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))], ["id", "digest", "node", "n", "fp", "buckets"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,13 +156,26 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), *(b.column(i).take(of) for i in range(3))], ["token", "node", "n", "g"])
 
 
-def links(rows: DataFrame, sets: DataFrame, turns: int = TURNS) -> DataFrame:
-    """(node, component) of the confirmed links that connect the nodes of ``rows`` (bucket, node, n).
+def forest_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes (node, fp) that the vantage-point forest links, as many as there are nodes at most a tree.
+
+    Each fingerprint has one node that speaks for it; the others of the same fingerprint are paired with it.
+    """
+    speaks = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("c")), "fingerprints")
+    same = look_up(nodes, speaks, ["fp"], "c").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    x, y = speaks.select(F.col("fp").alias("a"), F.col("first").alias("x")), speaks.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    near = simhash.links(speaks.select("fp"), RADIUS).join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return materialize(same.unionByName(near).distinct(), "forest")
+
+
+def links(rows: DataFrame, sets: DataFrame, turns: int = TURNS, first: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the confirmed links that connect the nodes of ``rows`` (bucket, node, n) and of ``first``, pairs (a, b).
 
     In each turn the buckets that still hold several groups have another centre. What stays apart then is
     compared through shared rare shingles.
     """
-    found = groups = None
+    found = None if first is None else materialize(confirmed(first, sets), "links", PAIR_ROWS)
+    groups = None if found is None else materialize(components(found), "components")
     for turn in range(turns):
         pairs, members = star_pairs(_grouped(rows, groups), turn)
         new = materialize(confirmed(pairs, sets), "links", PAIR_ROWS)
@@ -178,15 +196,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     an id like others; repeated rows stay; other columns are not read; an empty table has no groups.
     """
     kept = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
-    rows = materialize(kept.mapInArrow(_nodes, "id long, digest long, node long, n long, buckets array<long>"), "nodes", 4 * SET_ROWS)
+    rows = materialize(kept.mapInArrow(_nodes, "id long, digest long, node long, n long, fp long, buckets array<long>"), "nodes", 4 * SET_ROWS)
     nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    first = forest_pairs(materialize(rows.select("node", "fp").distinct(), "prints"))
     dealt = nodes.select(F.explode("buckets").alias("bucket"), "node", "n")
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     dealt = materialize(dealt.join(shared, "bucket"), "buckets")
-    chosen = rows.join(dealt.select("node").distinct(), "node").groupBy("node").agg(F.min("digest").alias("digest"))
+    some = dealt.select("node").unionByName(first.select(F.col("a").alias("node"))).unionByName(first.select(F.col("b").alias("node")))
+    chosen = rows.join(some.distinct(), "node").groupBy("node").agg(F.min("digest").alias("digest"))
     texts = kept.select("digest", "text").join(chosen.hint("shuffle_hash"), "digest").select("node", "text")
     sets = materialize(texts.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets", SET_ROWS)
-    linked = links(dealt, sets)
+    linked = links(dealt, sets, first=first)
     return rows.join(linked, "node", "left").select("id", "digest", F.coalesce("component", "node").alias("component"))
 
 

@@ -401,3 +401,22 @@ def test_a_third_of_all_texts_is_empty(spark):
     rows = [(i, [0.0, 0.0] if i % 3 == 0 else [float(i), 1.0], 1) for i in range(30)]
     got = multi_index.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     assert len(got) == 30 and all(r.kept and r.n_links == 0 and r.component_id == r.id for r in got if r.id % 3 == 0)
+
+
+def test_pipeline_links_near_copies_by_the_forest_first(spark, monkeypatch):
+    import random
+
+    from taskloom.llm import near_copies, simhash
+
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(500)}"
+    base = [" ".join(word() for _ in range(400)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate([*base, *(f"{t} ende" for t in base), "", None])), "doc_id long, text string")
+    asked, plain = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: asked.append(1) or plain(*a, **k))
+    kept = {r.doc_id for r in near_copies.one_of_each(docs).collect()}
+    assert asked and kept == {*range(30), 60}
+    nodes = docs.select(F.xxhash64("text").alias("node"), "text").where("doc_id < 60").rdd.map(lambda r: (r.node, simhash.fingerprint(r.text, 5))).toDF("node long, fp long")
+    found = {frozenset((r.a, r.b)) for r in near_copies.forest_pairs(nodes).collect()}
+    ids = {r.n: r.doc_id % 30 for r in docs.where("doc_id < 60").select("doc_id", F.xxhash64("text").alias("n")).collect()}
+    assert len(found) >= 20 and all(len({ids[n] for n in p}) == 1 for p in found)
