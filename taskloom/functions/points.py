@@ -46,8 +46,12 @@ def explicit_levels(raw: Column) -> Column:
     labels = F.transform(found(text(raw), EXPLICIT, 1), F.lower)
     marks = F.transform(found(text(raw), EXPLICIT, 2), F.upper)
     pairs = F.arrays_zip(labels.alias("label"), F.transform(marks, lambda m: F.concat(F.lit("AFB"), F.when(m.startswith("I"), F.length(m).cast("string")).otherwise(m))).alias("afb"))
-    keys = F.array_distinct(labels)
-    return F.transform(keys, lambda k: F.struct(k.alias("label"), F.element_at(F.filter(pairs, lambda p: p["label"] == k), -1)["afb"].alias("afb")))
+
+    def last(own: Column) -> Column:
+        keys = F.array_distinct(F.transform(own, lambda p: p["label"]))
+        return F.transform(keys, lambda k: F.struct(k.alias("label"), F.element_at(F.filter(own, lambda p: p["label"] == k), -1)["afb"].alias("afb")))
+
+    return let(pairs, last)
 
 
 def sub_tasks(question: Column, afb_raw: Column, points_raw: Column) -> Column:
@@ -56,26 +60,27 @@ def sub_tasks(question: Column, afb_raw: Column, points_raw: Column) -> Column:
     Labels come from ``a)`` line beginnings, else from explicit levels, else one letter a value if
     there are several values. Of a repeated label the last star mark counts for all its rows.
     """
+    # each text is read once: what a row needs is bound before the rows are formed
     marks = F.transform(found(text(question), LABEL, 1), lambda m: sub(m, S))
-    plain = F.transform(marks, lambda m: F.lower(sub(m, "^[*⋆✱]")))
-    starred = F.arrays_zip(plain.alias("label"), F.transform(marks, lambda m: m.rlike("^[*⋆✱]")).alias("star"))
-    explicit, values = explicit_levels(afb_raw), point_values(points_raw)
-    letters = F.transform(values, lambda v, i: F.char(i + 97))
-    none = F.array().cast("array<string>")
-    labels = F.when(F.size(plain) > 0, plain).when(F.size(explicit) > 0, F.transform(explicit, lambda e: e["label"])).when(F.size(values) > 1, letters).otherwise(none)
+    starred = F.transform(marks, lambda m: F.struct(F.lower(sub(m, "^[*⋆✱]")).alias("label"), m.rlike("^[*⋆✱]").alias("star")))
     general = F.coalesce(first_of(afb_labels(afb_raw)), F.lit("AFB1"))
+    read = F.struct(starred.alias("starred"), explicit_levels(afb_raw).alias("explicit"), point_values(points_raw).alias("values"), general.alias("general"))
+
+    def rows(v: Column) -> Column:
+        letters = F.transform(v["values"], lambda _, i: F.char(i + 97))
+        named = lambda items: F.transform(items, lambda x: x["label"])
+        none = F.array().cast("array<string>")
+        labels = F.when(F.size(v["starred"]) > 0, named(v["starred"])).when(F.size(v["explicit"]) > 0, named(v["explicit"])).when(F.size(v["values"]) > 1, letters).otherwise(none)
+
+        def row(label: Column, i: Column) -> Column:
+            star = F.coalesce(F.try_element_at(F.filter(v["starred"], lambda s: s["label"] == label), F.lit(-1))["star"], F.lit(False))
+            own = first_of(F.filter(v["explicit"], lambda e: e["label"] == label))["afb"]
+            marked = lambda s: F.struct(F.concat(F.when(s, F.lit("*")).otherwise(F.lit("")), label, F.lit(")")).alias("label"), s.alias("is_star"), F.coalesce(own, v["general"]).alias("afb"), F.coalesce(F.get(v["values"], i), F.lit(0.0)).alias("points"))
+            return let(star, marked)
+
+        return F.transform(labels, row)
 
-    def row(label: Column, i: Column) -> Column:
-        star = F.coalesce(F.try_element_at(F.filter(starred, lambda s: s["label"] == label), F.lit(-1))["star"], F.lit(False))
-        own = first_of(F.filter(explicit, lambda e: e["label"] == label))["afb"]
-        return F.struct(
-            F.concat(F.when(star, F.lit("*")).otherwise(F.lit("")), label, F.lit(")")).alias("label"),
-            star.alias("is_star"),
-            F.coalesce(own, general).alias("afb"),
-            F.coalesce(F.get(values, i), F.lit(0.0)).alias("points"),
-        )
-
-    return F.transform(labels, row)
+    return let(read, rows)
 
 
 def points_by_afb(parts: Column, afb_raw: Column, most: Column) -> Column:

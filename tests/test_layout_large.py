@@ -33,3 +33,12 @@ def test_drafts_of_one_expectation_meet_it_by_their_titles(spark):
     expected = spark.createDataFrame([(0, "Terme", "a"), (0, "Terme", "b"), (1, "Terme", "c")], "ord int, title string, expectation string")
     got = segment.matched(rows, expected)  # two rows of one place: a join by places gave a draft twice
     assert {(r.id, r.expectation) for r in got.collect()} == {(1, "a"), (2, "a"), (3, "")} and got.count() == 3
+
+
+def test_texts_of_sub_tasks_are_read_once(spark):
+    from pyspark.sql import functions as F
+
+    from taskloom.functions import points
+
+    rows = spark.range(1).select(points.sub_tasks(F.lit("a) x"), F.col("id").cast("string"), F.col("id").cast("string")))
+    assert rows._jdf.queryExecution().analyzed().toString().count("max") <= 2  # six before: the text of points was read anew for each sub-task
