@@ -50,7 +50,7 @@ def source_drafts(sources: DataFrame, default_class: str | None = None, default_
     title = F.substring_index("doc", _JOINT, -1)
     rows = segment.drafts(chunks, title, lit(default_class), lit(default_topic), F.col("__images"), F.col("__pdf"))
     if by:
-        rows = rows.join(sources.select(F.col("name").alias("doc"), *by), "doc").select(*rows.columns, *by)
+        rows = rows.join(sources.select(F.col("name").alias("doc"), *by).hint("merge"), "doc").select(*rows.columns, *by)
     return segment.with_expectations(scratch.written(rows, "drafts"), sources, "name", *by)
 
 
@@ -119,7 +119,8 @@ def import_documents(
         said = uploaded.where(F.col(upload).isNotNull())
         limits = scratch.written(files.upload_problem(said.select(upload, F.octet_length("content").alias("bytes")), upload), "limits")
         refused = limits.where("problem is not null").select(upload, F.lit(None).cast("string").alias("name"), F.col("problem").alias("error"))
-        uploaded = said.join(limits.where("problem is null").select(upload), upload)
+        # files, uploads and drafts are as many as the import has: joins of them are never sent through the driver
+        uploaded = said.join(limits.where("problem is null").select(upload).hint("merge"), upload)
         joint = lambda df: None if df is None else df.withColumn("name", F.concat(F.col(upload).cast("string"), F.lit(_JOINT), "name")).drop(upload)
         requests = joint(uploaded.withColumn("__u", F.col(upload))).select("name", F.col("__u").alias(upload)).distinct()
         uploaded, pages, page_images, corrections = joint(uploaded), joint(pages), joint(page_images), joint(corrections)
@@ -132,7 +133,7 @@ def import_documents(
         sources, outcomes = corrected_sources(sources, corrections)
         sources, outcomes = scratch.written(sources, "corrected"), scratch.written(outcomes, "outcomes")
         warnings = warnings.unionByName(outcomes.select(F.col("doc").alias("source"), F.col("outcome").alias("code"), "page", F.col("reason").alias("detail")))
-    plain = lambda df, c: df.join(requests.withColumnRenamed("name", c), c).withColumn(c, F.substring_index(c, _JOINT, -1))
+    plain = lambda df, c: df.join(requests.withColumnRenamed("name", c).hint("merge"), c).withColumn(c, F.substring_index(c, _JOINT, -1))
 
     @cache
     def found() -> DataFrame:

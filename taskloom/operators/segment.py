@@ -189,4 +189,5 @@ def first_match(rows: DataFrame, expected: DataFrame, *by: str) -> DataFrame:
     blank = right.where("other = ''").select(*by, "ord")  # one row at most for each of ``by``
     blank = long.join(blank, list(by)) if by else long.join(F.broadcast(blank))
     best = equal.unionByName(within).unionByName(around).unionByName(blank.select(*by, "key", "ord")).groupBy(*by, "key").agg(F.min("ord").alias("ord"))
-    return left.join(best, [*by, "key"], "left").drop("key")
+    # with ``by`` there may be as many keys as rows; without, titles of one key are many and go to their match
+    return left.join(best.hint("merge") if by else best, [*by, "key"], "left").drop("key")

@@ -379,6 +379,8 @@ def candidates(drafts: DataFrame, pool: DataFrame, normal: bool = True, counts:
     most = left.agg(F.max(F.size("topics"))).first()[0] or 0
     rounds: list[str] = []
     plain = left.select("draft_id", "class_level", "topics")
+    # a table's bytes on disk say little of its rows, so drafts are never sent through the driver on their account
+    sizes = left.select("draft_id", F.col("z").alias("za")).hint("merge")
     first = 0
     while first < most:
         until = min(most, 2 * first + 1)
@@ -387,8 +389,8 @@ def candidates(drafts: DataFrame, pool: DataFrame, normal: bool = True, counts:
             strong = spark.read.parquet(*rounds).where(F.col("score") >= STOP_AT).select("draft_id").distinct()
             active = active.join(strong, "draft_id", "left_anti")
         turn = active.select(F.col("draft_id").alias("key"), "class_level", F.explode(F.slice("topics", first + 1, until - first)).alias("topic"))
-        met = setjoin.meetings(own.join(turn, "key"), theirs, "kind", "class_level", "topic").select(F.col("a").alias("draft_id"), F.col("b").alias("row")).distinct()
-        sized = met.join(left.select("draft_id", F.col("z").alias("za")), "draft_id").join(right.select("row", F.col("z").alias("zb")), "row")
+        met = setjoin.meetings(own.join(turn.hint("merge"), "key"), theirs, "kind", "class_level", "topic").select(F.col("a").alias("draft_id"), F.col("b").alias("row")).distinct()
+        sized = met.join(sizes, "draft_id").join(right.select("row", F.col("z").alias("zb")), "row")
         near = sized.where(_combined(_most_signals(F.col("za"), F.col("zb")), F.col("za"), F.col("zb")) >= COLLECT - setjoin.SLACK)
         # written, so that its size is known when it meets the features: few pairs do not shuffle those of the whole pool
         near = scratch.written(near.select("draft_id", "row"), "pairs")
@@ -423,5 +425,5 @@ def add_duplicates(drafts: DataFrame, pool: DataFrame, normal: bool = True) -> D
     """Drafts with ``duplicates`` (best first), ``duplicate``, and ``include`` off for virtual copies."""
     top = top_duplicates(candidates(drafts, pool, normal)).join(pool.select("task_id", F.col("title").alias("task_title"), "topic"), "task_id")
     listed = top.groupBy("draft_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("task_id").alias("id"), F.col("task_title").alias("title"), "topic", "score"))).alias("duplicates"))
-    out = drafts.join(listed, "draft_id", "left").withColumn("duplicate", F.get("duplicates", F.lit(0)))
+    out = drafts.join(listed.hint("merge"), "draft_id", "left").withColumn("duplicate", F.get("duplicates", F.lit(0)))
     return out.withColumn("include", F.col("include") & (F.coalesce("duplicate.score", F.lit(0.0)) < DESELECT))

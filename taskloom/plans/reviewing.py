@@ -208,7 +208,7 @@ def import_uploads(spark, sf_dir):
     k = F.col("p_partkey")
     upload = F.when(k % 97 == 0, 97).otherwise(F.floor(k / 7) + 1000).cast("long")
     keys = table(spark, sf_dir, "part").select(F.concat(F.lit("blatt-"), k.cast("string"), F.lit(".docx")).alias("name"), upload.alias("upload"))
-    done = imports.import_documents(_uploads(spark, sf_dir).join(keys, "name"), _pool(spark, sf_dir), upload="upload")
+    done = imports.import_documents(_uploads(spark, sf_dir).join(keys.hint("merge"), "name"), _pool(spark, sf_dir), upload="upload")
     drafts = done.drafts.select("upload", "source_file", "segment", "title", "expectation", F.col("confidence.expectation").alias("confidence"), F.lit(None).cast("string").alias("error"))
     none = {"source_file": "string", "segment": "int", "title": "string", "expectation": "string", "confidence": "double"}
     return drafts.unionByName(done.errors.select("upload", *(F.lit(None).cast(t).alias(c) for c, t in none.items()), "error"))
