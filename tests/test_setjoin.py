@@ -114,3 +114,29 @@ def test_searches_of_nothing(spark):
     d = spark.createDataFrame([], "draft_id long, title string, question_text string, class_level string, topics array<string>")
     p = spark.createDataFrame([], "task_id long, title string, question_text string, class_level string, topic string, scan_ord long")
     assert similarity.candidates(d, p).count() == 0
+
+
+def test_alike_sets_take_no_shuffle_of_pairs(spark):
+    rows = spark.createDataFrame([(i, [f"w{i}-{k}" for k in range(30)] + [f"v{k}" for k in range(20)]) for i in range(200)], "id long, tokens array<string>")
+    found = setjoin.similar(rows, None, 0.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 0 and "CartesianProduct" in plan and "token#" not in plan
+
+
+def test_texts_are_compared_by_their_trigrams(spark):
+    texts = {1: "aaaa bbbb cccc", 2: "aaaa bbbb cccd", 3: "zzz", 4: "aaaa bbbb cccc", 5: None, 6: ""}
+    rows = spark.createDataFrame(list(texts.items()), "id long, tokens string")
+    got = {(r.a, r.b): r.similarity for r in setjoin.similar(rows, None, 0.6, "dice", similarity.numbered).collect()}
+    grams = {k: similarity.numbered(t or "").tolist() for k, t in texts.items()}
+    assert got == pytest.approx({(i, j): dice(x, y) for i, x in grams.items() for j, y in grams.items() if i < j and dice(x, y) >= 0.6})
+
+
+def test_buckets_that_tokens_share_are_told_apart():
+    from taskloom.operators import blocks
+
+    rng = random.Random(3)
+    sets = [sorted(rng.sample([b << 44 | t for b in range(4) for t in range(12)], rng.randint(0, 30))) for _ in range(60)]
+    sets.sort(key=len)
+    one = blocks.Block([bytes([i]) for i in range(60)], [len(s) for s in sets], [b"".join(t.to_bytes(8, "little") for t in s) for s in sets], None)
+    got = {(i, int(j)): int(c) for i, js, common in blocks.alike(one, one, True, 0.3) for j, c in zip(js, common)}
+    assert got == {(i, j): len(set(x) & set(y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and x and jaccard(x, y) >= 0.3}
