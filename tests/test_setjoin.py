@@ -140,3 +140,13 @@ def test_buckets_that_tokens_share_are_told_apart():
     one = blocks.Block([bytes([i]) for i in range(60)], [len(s) for s in sets], [b"".join(t.to_bytes(8, "little") for t in s) for s in sets], None)
     got = {(i, int(j)): int(c) for i, js, common in blocks.alike(one, one, True, 0.3) for j, c in zip(js, common)}
     assert got == {(i, j): len(set(x) & set(y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and x and jaccard(x, y) >= 0.3}
+
+
+def test_features_of_the_pool_are_not_written(spark, monkeypatch):
+    kept, write = [], similarity.scratch.written
+    monkeypatch.setattr(similarity.scratch, "written", lambda df, tag="core": (kept.append((tag, df.schema.simpleString())), write(df, tag))[1])
+    text = "Bestimme den Umfang des Rechtecks mit den Seiten 3 cm und 4 cm."
+    d = spark.createDataFrame([(1, "", text, "7", ["A"])], "draft_id long, title string, question_text string, class_level string, topics array<string>")
+    p = spark.createDataFrame([(1, "", text, "7", "A", 1), (2, "", "etwas ganz anderes", "7", "A", 2)], "task_id long, title string, question_text string, class_level string, topic string, scan_ord long")
+    assert [(r.task_id, r.score) for r in similarity.candidates(d, p).collect()] == [(1, 1.0)]
+    assert [tag for tag, schema in kept if "chars:array" in schema] == ["drafts"]
