@@ -18,7 +18,6 @@ STOP = [
     "dabei", "eine", "einer", "einen", "einem", "eines", "und", "oder", "mit", "die", "der", "das", "den", "dem", "des", "von", "zur", "zum", "ist",
     "sind",
 ]
-COMMANDS = "frac|sqrt|cdot|times|div|leq|geq|neq|mathbb|left|right"
 TASK_LINE = rf"(?i)^{S}*(?:Aufgabe{S}*)?(\d{{1,2}}){S}*(?:[:.)]|{S}+\()"
 LEAST_PROSE, LEAST_RATIO, MOST_RATIO = 0.78, 0.62, 1.55
 # Characters of a text that can be trusted, and of texts that are sent to a model.
@@ -50,9 +49,9 @@ def task_numbers(c: Column) -> Column:
 
 
 def prose_words(c: Column) -> Column:
-    c = sub(F.lower(text(c)), rf"\\(?:{COMMANDS})(?![A-Za-z0-9_])", " ")
-    c = sub(sub(sub(c, r"\\[a-z]+", " "), r"[0-9]+(?:[.,][0-9]+)?", " "), r"[=+*/:^_<>−–—-]", " ")
-    return F.filter(F.split(sub(c, "(?iu)[^a-zäöüß]+", " "), " "), lambda w: (F.length(w) >= 3) & ~w.isin(STOP))
+    """Words of three letters and more that are no commands. Whatever is no letter parts words, digits and operators too."""
+    plain = lambda x: F.when(x.contains("\\"), sub(x, r"\\[a-z]+", " ")).otherwise(x)
+    return F.filter(F.split(sub(let(F.lower(text(c)), plain), "(?iu)[^a-zäöüß]+", " "), " "), lambda w: (F.length(w) >= 3) & ~w.isin(STOP))
 
 
 def part_labels(c: Column) -> Column:
@@ -65,28 +64,32 @@ def numbers(c: Column, normal: bool = True) -> Column:
 
 
 def check_correction(original: Column, corrected: Column, normal: bool = True) -> Column:
-    """struct<ok, reason>: the first rule that a correction breaks, in order."""
+    """struct<ok, reason>: the first rule that a correction breaks, in order. What a rule compares is worked out only if none before it is broken."""
     joined = lambda x, sep: F.array_join(x.cast("array<string>"), sep)
     pct = lambda x: js_number(js_round(x * 100))
 
     def side(c: Column) -> Column:
-        heads = F.size(found(c, rf"(?im)^[{BLANKS}]*Aufgabe{S}+\d+"))
-        return F.struct(F.length(c).alias("size"), task_numbers(c).alias("tasks"), part_labels(c).alias("parts"), numbers(c, normal).alias("numbers"), prose_words(c).alias("prose"), heads.alias("heads"))
+        return F.struct(c.alias("text"), (nfkc(c) if normal else c).alias("normal"))
 
     def judged(pair: Column) -> Column:
-        a, b = pair["a"], pair["b"]
-        prose = jaccard(a["prose"], b["prose"])
-        ratio = b["size"] / F.greatest(F.lit(1), a["size"])
-        return (
-            F.when((a["size"] == 0) | (b["size"] == 0), _reason("empty"))
-            .when(joined(a["tasks"], ",") != joined(b["tasks"], ","), _reason("tasks", a=joined(a["tasks"], ","), b=joined(b["tasks"], ",")))
-            .when(joined(a["parts"], "|") != joined(b["parts"], "|"), _reason("parts", a=joined(a["parts"], ","), b=joined(b["parts"], ",")))
-            .when(joined(a["numbers"], "|") != joined(b["numbers"], "|"), _reason("numbers"))
-            .when(prose < LEAST_PROSE, _reason("prose", a=pct(prose)))
-            .when((ratio < LEAST_RATIO) | (ratio > MOST_RATIO), _reason("size", a=pct(ratio)))
-            .when(b["heads"] > a["heads"] + 1, _reason("headings"))
-            .otherwise(F.lit(""))
-        )
+        x, y = pair["a"]["text"], pair["b"]["text"]
+
+        def rule(of, broken, then) -> Column:
+            """What ``of`` gives for both sides, once; the reason if ``broken`` holds of it, else what ``then`` says."""
+            return let(F.struct(of(pair["a"]).alias("a"), of(pair["b"]).alias("b")), lambda v: F.when(broken(v["a"], v["b"])[0], broken(v["a"], v["b"])[1]).otherwise(then))
+
+        def lists(name: str, sep: str):
+            return lambda a, b: (joined(a, sep) != joined(b, sep), _reason(name, a=joined(a, ","), b=joined(b, ",")) if name != "numbers" else _reason(name))
+
+        heads = rule(lambda c: F.size(found(c["text"], rf"(?im)^[{BLANKS}]*Aufgabe{S}+\d+")), lambda a, b: (b > a + 1, _reason("headings")), F.lit(""))
+        ratio = F.length(y) / F.greatest(F.lit(1), F.length(x))
+        size = F.when((ratio < LEAST_RATIO) | (ratio > MOST_RATIO), _reason("size", a=pct(ratio))).otherwise(heads)
+        alike = lambda words: F.when(words < LEAST_PROSE, _reason("prose", a=pct(words))).otherwise(size)
+        prose = let(let(F.struct(prose_words(x).alias("a"), prose_words(y).alias("b")), lambda w: jaccard(w["a"], w["b"])), alike)
+        counted = rule(lambda c: numbers(c["normal"], False), lists("numbers", "|"), prose)
+        parts = rule(lambda c: part_labels(c["text"]), lists("parts", "|"), counted)
+        tasks = rule(lambda c: task_numbers(c["text"]), lists("tasks", ","), parts)
+        return F.when((x == "") | (y == ""), _reason("empty")).when(x == y, F.lit("")).otherwise(tasks)
 
     pair = F.struct(side(trim(text(original))).alias("a"), side(trim(text(corrected))).alias("b"))
     return let(let(pair, judged), lambda reason: F.struct((reason == "").alias("ok"), reason.alias("reason")))

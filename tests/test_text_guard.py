@@ -172,3 +172,11 @@ def test_entity_decode_reads_pages(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     found = {r.page_id: r.decoded for r in catalogue.QUERIES["entity_decode"](spark, str(tmp_path)).collect()}
     assert found == {i: hashlib.md5(t.encode()).hexdigest() for i, t in [(1, "<b>< x 'y'</b>é€<"), (2, '"z"é€<')]}
+
+
+def test_rules_after_a_broken_one_are_not_worked_out(ev, monkeypatch):
+    monkeypatch.setattr(guard, "prose_words", lambda c: F.raise_error(F.lit("worked out")).cast("array<string>"))
+    check = lambda a, b: ev(guard.check_correction(F.lit(a), F.lit(b))).reason
+    assert check("Nenne 3 Zahlen", "Nenne 4 Zahlen").startswith("Zahleninhalt")
+    assert check("1. Nenne Zahlen", "2. Nenne Zahlen").startswith("Aufgabennummern")
+    assert check(" Nenne 3 Zahlen", "Nenne 3 Zahlen ") == ""
