@@ -13,6 +13,8 @@ from ..sources.pool import ALIASES as SOURCE_ALIASES
 from . import ledger
 
 HISTORY, MOST_IMAGE, MOST_ATTACHED = 30, 20 * 1024 * 1024, 1024 * 1024
+#: Rows of a commit that a task writes, about.
+MOST_ROWS = 1 << 16
 #: Aliases of the target's columns by the draft's field.
 ALIASES = {{"image_url": "image_data_url"}.get(k, k): v for k, v in SOURCE_ALIASES.items()}
 
@@ -97,7 +99,9 @@ def attach_image(name: Column, mime: Column, content: Column) -> Column:
 
 def outcomes(drafts: DataFrame, known: DataFrame) -> DataFrame:
     """Included drafts with ``ok`` and ``error``: title and question present, partition known, image sound."""
-    rows = drafts.where("include").join(known.select("class_level", "topic", "competence").distinct().withColumn("__known", F.lit(True)), ["class_level", "topic", "competence"], "left")
+    # the partitions of a pool are few, and the drafts of one are many: a shuffle by partition would bring them into one task
+    partitions = F.broadcast(known.select("class_level", "topic", "competence").distinct().withColumn("__known", F.lit(True)))
+    rows = drafts.where("include").join(partitions, ["class_level", "topic", "competence"], "left")
     error = F.when(trim(text("title")) == "", "title is empty").when(trim(text("question_text")) == "", "text is empty").when(F.col("__known").isNull(), "partition is unknown")
     if "image_data_url" in drafts.columns:
         error = F.coalesce(error, F.when(text("image_data_url") != "", image_problem(data_url(F.col("image_data_url")))))
@@ -119,7 +123,11 @@ def commit(drafts: DataFrame, known: DataFrame, path: str, work: str) -> DataFra
     rows.write.mode("overwrite").parquet(work)
     rows = spark.read.schema(rows.schema).parquet(work)
     try:
-        rows.where("ok").drop("ok", "error").write.mode("append").partitionBy("class_level", "topic", "competence").parquet(path)
+        good = rows.where("ok").drop("ok", "error")
+        # a task sorts its rows by partition before it writes them, so rows that a task has are bounded
+        if (many := -(-good.count() // MOST_ROWS)) > 1:
+            good = good.withColumn("__n", F.monotonically_increasing_id()).repartition(many, "__n").drop("__n")
+        good.write.mode("append").partitionBy("class_level", "topic", "competence").parquet(path)
     except (PySparkException, Py4JError) as failure:
         cause = getattr(failure, "java_exception", None)
         reason = str(cause or failure).split("\n", 1)[0]

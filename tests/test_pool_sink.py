@@ -192,3 +192,14 @@ def test_pool_pruned_scan_covers_all_nations(spark):
     assert rows.agg(F.sum("n_tasks")).first()[0] == own.count()
     assert rows.select("topic").distinct().count() == own.select("c_nationkey").distinct().count()
     assert "PartitionFilters: [" in rows._jdf.queryExecution().toString()
+
+
+def test_a_commit_deals_drafts_of_one_partition_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sink, "MOST_ROWS", 100)
+    rows = spark.range(0, 1000, 1, 1).select("id", F.lit("t").alias("title"), F.lit("q").alias("question_text"), F.lit("7").alias("class_level"), F.lit("A").alias("topic"), F.lit("M").alias("competence"), F.lit(True).alias("include"))
+    known = spark.createDataFrame([("7", "A", "M")], "class_level string, topic string, competence string")
+    assert "SortMergeJoin" not in sink.outcomes(rows, known)._jdf.queryExecution().executedPlan().toString()
+    assert sink.commit(rows, known, f"{tmp_path}/pool", f"{tmp_path}/work").where("ok").count() == 1000
+    back = spark.read.parquet(f"{tmp_path}/pool")
+    assert back.count() == 1000 and back.select("id").distinct().count() == 1000
+    assert len(back.inputFiles()) > 5
