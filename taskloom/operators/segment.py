@@ -40,12 +40,13 @@ def segments(rows: DataFrame, is_start: Column) -> DataFrame:
     return out.withColumn("segment", F.col("__segment").cast("int")).where("segment > 0").drop("__start", "__segment")
 
 
-def task_chunks(docs: DataFrame, doc_col: str, text_col: str, *keep: str) -> DataFrame:
+def task_chunks(docs: DataFrame, doc_col: str, text_col: str, *keep: str, lie: bool = False) -> DataFrame:
     """(doc, segment, text, pages, ...keep) of each document's tasks, without headers and footers.
 
     One pass over a document's lines, which stay together: a running page and segment go with each line.
+    lie: the documents are dealt over all tasks already, and their texts are not shuffled.
     """
-    rows = spread(docs).select(F.col(doc_col).alias("doc"), *keep, lines(circled(text(text_col))).alias("l"))
+    rows = (docs if lie else spread(docs)).select(F.col(doc_col).alias("doc"), *keep, lines(circled(text(text_col))).alias("l"))
     marked = F.transform("l", lambda x: F.struct(x.alias("line"), F.when(x.contains("[["), F.regexp_extract(x, PAGE_MARK, 1)).otherwise("").alias("mark"), x.rlike(START).alias("start")))
     rows = rows.select("doc", *keep, marked.alias("l"))
     starts = F.filter(F.transform("l", lambda x, i: F.when(x["start"] & (x["mark"] == ""), i)), lambda i: i.isNotNull())
@@ -60,10 +61,10 @@ def task_chunks(docs: DataFrame, doc_col: str, text_col: str, *keep: str) -> Dat
         after = F.transform("marks", lambda m, k: F.struct(m["at"].alias("at"), m["page"].alias("page"), F.least(F.coalesce(F.get("marks", k + 1)["at"], end), end).alias("until")))
         within = F.transform(F.filter(after, lambda m: (m["at"] > start) & (m["until"] > m["at"] + 1)), lambda m: m["page"])
         pages = F.array_distinct(F.filter(F.concat(F.array(before), within), lambda p: p.isNotNull()))
-        return F.struct((n + 1).alias("segment"), F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("chunk"), pages.alias("pages"))
+        return F.struct((n + 1).alias("segment"), documents.clean_chunk(F.array_join(F.transform(own, lambda x: x["line"]), "\n")).alias("text"), pages.alias("pages"))
 
-    own = rows.select("doc", *keep, F.inline(F.transform("starts", chunk)))
-    return own.select("doc", *keep, "segment", documents.clean_chunk(F.col("chunk")).alias("text"), "pages").where(F.length("text") > 0)
+    own = rows.select("doc", *keep, F.inline(F.transform("starts", chunk)))  # a text is cleaned before: the filter would clean it again
+    return own.where(F.length("text") > 0)
 
 
 def drafts(chunks: DataFrame, name: Column, default_class: Column | None = None, default_topic: Column | None = None, images: Column | None = None, is_pdf: Column | None = None) -> DataFrame:

@@ -42,3 +42,11 @@ def test_texts_of_sub_tasks_are_read_once(spark):
 
     rows = spark.range(1).select(points.sub_tasks(F.lit("a) x"), F.col("id").cast("string"), F.col("id").cast("string")))
     assert rows._jdf.queryExecution().analyzed().toString().count("max") <= 2  # six before: the text of points was read anew for each sub-task
+
+
+def test_texts_of_worksheets_are_not_shuffled(spark):
+    from taskloom.plans import catalogue
+
+    plan = catalogue.QUERIES["worksheet_drafts"](spark, DIR)._jdf.queryExecution()
+    assert plan.executedPlan().toString().count("Exchange") == 1  # three before: lines, and the finished texts once more by rows
+    assert plan.optimizedPlan().toString().count("Urhebern.*$") == 1  # two before: the filter cleaned a text again

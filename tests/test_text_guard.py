@@ -180,3 +180,26 @@ def test_rules_after_a_broken_one_are_not_worked_out(ev, monkeypatch):
     assert check("Nenne 3 Zahlen", "Nenne 4 Zahlen").startswith("Zahleninhalt")
     assert check("1. Nenne Zahlen", "2. Nenne Zahlen").startswith("Aufgabennummern")
     assert check(" Nenne 3 Zahlen", "Nenne 3 Zahlen ") == ""
+
+
+def test_alternatives_are_found_as_their_pattern_finds_them(spark):
+    from taskloom.functions import classify, documents, points, textual
+
+    own = [r"ab?c|d", r"x{2}y|a.c", r"a\|b", r"[|a]b|cd+", "(a|b)c|é", r"(a)\1", "(?i)AB|C", "", "a|", r"\d+a|b*c"]
+    patterns = own + [points.HARD, points.HARD_WHOLE, points.DRAW] + [p for _, p in classify.COMPETENCE_RULES + classify.AFB_RULES] + [p for some, _ in documents.SPECIAL_TITLES for p in some]
+    words = ["ab", "ac", "c", "d", "xxy", "xy", "a|b", "|b", "cdd", "bc", "é", "aa", "AB", "1a", "", "begrund", "begründe", "erklart", "real situation", "reale situation", "reales situation", "finde alle", "finde", "analysiere\nx aussage", "analysiere x aussage", "magischen  quadrat", "magisch", "boxplot"]
+    rows = spark.createDataFrame([(f"{x}{y}",) for x in words for y in words], "t string")
+    both = rows.select(*[F.struct(textual.mentions(F.col("t"), p).alias("a"), F.col("t").rlike(p).alias("b")).alias(f"p{i}") for i, p in enumerate(patterns)])
+    assert all(c.a == c.b for r in both.collect() for c in r)
+
+
+def test_squeeze_leaves_single_blanks(spark):
+    import random
+    import re
+
+    from taskloom.functions import textual
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab  \t\n  　﻿") for _ in range(rng.randrange(12))) for _ in range(2000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", textual.squeeze(F.col("t")).alias("s")).collect()
+    assert all(r.s == re.sub(f"[{textual.WHITE}]+", " ", texts[r.i]).strip(" ") for r in got)
