@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.points import PART
 from .. import scratch
-from ..functions.textual import B, S, found, jaccard, let, nfkc, squeeze, sub, text
+from ..functions.textual import B, found, jaccard, let, nfkc, squeeze, sub, sub_where, text
 from ..schema import RELATED_TOPICS, TOPICS_BY_CLASS
 from . import setjoin
 from .layout import spread
@@ -96,7 +96,6 @@ def structural(sem: Column) -> Column:
 
 
 _SUFFIX = [(size, re.compile(f"(?:{'|'.join(suffixes)})$")) for size, suffixes in SUFFIXES]
-_stems: dict[str, str] = {}
 
 
 def stem(word: str) -> str:
@@ -107,36 +106,43 @@ def stem(word: str) -> str:
     return word
 
 
-def _known(words: list[str]) -> dict[str, str]:
-    """Stems of words. A worker remembers those that it has met, up to a number of them."""
-    if len(_stems) > 200_000:
-        _stems.clear()
-    for w in words:
-        if w not in _stems:
-            _stems[w] = stem(w)
-    return _stems
+class _Kept(dict):
+    """Stems of words, '' for those too short or without a meaning. A worker remembers what it has met, up to a number of words.
+
+    A word met before is looked up without a step of Python's own.
+    """
+
+    def __init__(self, least: int) -> None:
+        self.least = least
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= 200_000:
+            self.clear()
+        w = stem(word)
+        self[word] = w = w if len(w) >= self.least and w not in _STOP else ""
+        return w
 
 
 # Letters of words; with digits and underscores where words stand for meaning.
-_COMMAND, _LETTERS, _WORDS = re.compile(r"\\[a-z]+"), re.compile("[a-zäöüß]+", re.I), re.compile("[a-zäöüß0-9_]+", re.I)
+# All cases are listed, also those that are equal only without regard to case: a flag would fold each letter of a text.
+CASES = "a-zA-ZÄÖÜäöüß\u0130\u0131\u017F\u1E9E\u212A"
+_COMMAND, _LETTERS, _WORDS = re.compile(r"\\[a-z]+"), re.compile(f"[{CASES}]+"), re.compile(f"[{CASES}0-9_]+")
 _FRACTION, _ROOT = re.compile(FRACTION, re.A), re.compile(ROOT, re.A)
 
 
-def _prose(sem: str) -> list[str]:
+def _prose(sem: str) -> filter:
     words = _LETTERS.findall(_COMMAND.sub(" ", sem) if "\\" in sem else sem)
-    stop, known = _STOP, _known(words)
-    return [w for w in map(known.__getitem__, words) if len(w) >= 3 and w not in stop]
+    return filter(None, map(_PROSE.__getitem__, words))
 
 
-def _meaning(sem: str) -> list[str]:
+def _meaning(sem: str) -> filter:
     if "\\" in sem:
         sem = _ROOT.sub(r" sqrt \1 ", _FRACTION.sub(r" frac \1 \2 ", sem))
-    words = _WORDS.findall(sem)
-    stop, known = _STOP, _known(words)
-    return [w for w in map(known.__getitem__, words) if len(w) >= 2 and w not in stop]
+    return filter(None, map(_MEANING.__getitem__, _WORDS.findall(sem)))
 
 
 _STOP = frozenset(STOPWORDS)
+_PROSE, _MEANING = _Kept(3), _Kept(2)
 
 
 @F.pandas_udf(T.StructType([T.StructField("prose", T.StringType()), T.StructField("meaning", T.StringType())]))
@@ -168,8 +174,8 @@ def semantic_tokens(words: Column) -> Column:
 
 
 def literal_tokens(canon: Column) -> Column:
-    c = sub(sub(canon, FRACTION, r" $1 / $2 "), ROOT, " sqrt $1 ")
-    return F.filter(F.split(sub(c, r"(?iu)[^a-zäöüß0-9.,=+*/:^_<>-]+", " "), f"{S}+"), lambda w: w != "")
+    c = sub_where(sub_where(canon, "\\frac", FRACTION, r" $1 / $2 "), "\\sqrt", ROOT, " sqrt $1 ")
+    return F.filter(F.split(sub(c, r"(?iu)[^a-zäöüß0-9.,=+*/:^_<>-]+", " "), " "), lambda w: w != "")  # white space is one blank by now
 
 
 def _points(items: Column) -> Column:

@@ -203,3 +203,19 @@ def test_squeeze_leaves_single_blanks(spark):
     texts = ["".join(rng.choice("ab  \t\n  　﻿") for _ in range(rng.randrange(12))) for _ in range(2000)]
     got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", textual.squeeze(F.col("t")).alias("s")).collect()
     assert all(r.s == re.sub(f"[{textual.WHITE}]+", " ", texts[r.i]).strip(" ") for r in got)
+
+
+def test_words_of_texts_are_those_of_any_case():
+    import re
+
+    signs = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    assert sim._LETTERS.findall(signs) == re.findall("[a-zäöüß]+", signs, re.I) and sim._WORDS.findall(signs) == re.findall("[a-zäöüß0-9_]+", signs, re.I)
+    assert not (sim._LETTERS.flags | sim._WORDS.flags) & re.I  # a flag folded each letter of a text before
+    assert list(sim._meaning("Berechnungen und x1 die 7 terme " * 2)) == ["Berech", "x1", "terme"] * 2
+
+
+def test_words_met_are_bounded():
+    kept = sim._Kept(3)
+    for i in range(200_010):
+        assert kept[f"w{i}x"] == f"w{i}x"
+    assert len(kept) <= 200_000 and kept["und"] == "" and kept["ab"] == ""
