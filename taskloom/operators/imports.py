@@ -137,12 +137,12 @@ def import_documents(
 
     @cache
     def found() -> DataFrame:
-        told = sources.join(requests, "name") if upload else sources
+        told = sources.join(requests.hint("merge"), "name") if upload else sources
         rows = source_drafts(told, class_level, topic, *by)
         return rows if outcomes is None else with_repair_marks(rows, outcomes)
 
     def failed() -> DataFrame:
-        empty = sources.select("name").join(found().select(F.col("doc").alias("name")).distinct(), "name", "left_anti").select("name", F.lit("no tasks").alias("error"))
+        empty = sources.select("name").join(found().select(F.col("doc").alias("name")).distinct().hint("merge"), "name", "left_anti").select("name", F.lit("no tasks").alias("error"))
         rows = errors.unionByName(empty)
         return plain(rows, "name").select(upload, "name", "error").unionByName(refused) if upload else rows
 

@@ -18,6 +18,18 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+#: Rows of a written table that a join may send through the driver.
+FEW = 1 << 18
+
+
+def by_rows(rows: DataFrame) -> DataFrame:
+    """A written table for a join: by its bytes if its rows are few, never through the driver if they are many.
+
+    Columns that compress well make a table of millions of rows smaller on disk than what Spark broadcasts.
+    """
+    return rows if rows.count() <= FEW else rows.hint("merge")
+
+
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` by keys over as many tasks as a shuffle has, for a join or an aggregate by them that costs more than its rows weigh.
 

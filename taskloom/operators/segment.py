@@ -151,7 +151,8 @@ def _contained(short: DataFrame, long: DataFrame, *by: str) -> DataFrame:
     """Rows of ``short`` (s, ...) and ``long`` (l, ...) whose key s stands within l, and whose ``by`` are equal.
 
     They meet at the rarest piece of s, by the number of keys l that have it; an s of which a piece is nowhere is
-    in no l. So a beginning that all titles share brings none of them together.
+    in no l. So a beginning that all titles share brings none of them together. Pieces are many times the keys, whose
+    bytes on disk say nothing of them, so no side goes through the driver.
     """
 
     def cut(c: Column, n: int) -> Column:
@@ -167,10 +168,10 @@ def _contained(short: DataFrame, long: DataFrame, *by: str) -> DataFrame:
     pieces = keys.select(*by, "s", F.size(own).alias("__n"), F.explode(own).alias("__piece"))
     where = others.select(*by, "l", F.explode(F.concat(*[cut(F.col("l"), n) for n in PIECES])).alias("__piece"))
     counts = where.groupBy(*by, "__piece").agg(F.count("*").alias("__f"))
-    rarest = pieces.join(counts, [*by, "__piece"]).groupBy(*by, "s", "__n").agg(F.min(F.struct("__f", "__piece")).alias("__r"), F.count("*").alias("__have"))
+    rarest = pieces.join(counts.hint("merge"), [*by, "__piece"]).groupBy(*by, "s", "__n").agg(F.min(F.struct("__f", "__piece")).alias("__r"), F.count("*").alias("__have"))
     rarest = rarest.where("__have = __n").select(*by, "s", F.col("__r.__piece").alias("__piece"))
-    pairs = rarest.join(where, [*by, "__piece"]).where(F.col("l").contains(F.col("s"))).select(*by, "s", "l")
-    return short.join(pairs, [*by, "s"]).join(long, [*by, "l"])
+    pairs = rarest.join(where.hint("merge"), [*by, "__piece"]).where(F.col("l").contains(F.col("s"))).select(*by, "s", "l")
+    return short.join(pairs.hint("merge"), [*by, "s"]).join(long.hint("merge"), [*by, "l"])
 
 
 def first_match(rows: DataFrame, expected: DataFrame, *by: str) -> DataFrame:
@@ -184,11 +185,11 @@ def first_match(rows: DataFrame, expected: DataFrame, *by: str) -> DataFrame:
     right = scratch.written(expected.withColumn("other", documents.title_key(F.col("title"))).groupBy(*by, "other").agg(F.min("ord").alias("ord")), "expected")
     keys = scratch.written(left.select(*by, "key").distinct(), "keys")
     long = keys.where(F.length("key") > 3)
-    equal = keys.join(right.withColumnRenamed("other", "key"), [*by, "key"]).select(*by, "key", "ord")
+    equal = keys.join(right.withColumnRenamed("other", "key").hint("merge"), [*by, "key"]).select(*by, "key", "ord")
     within = _contained(long.select(*by, F.col("key").alias("s")), right.select(*by, F.col("other").alias("l"), "ord"), *by).select(*by, F.col("s").alias("key"), "ord")
     around = _contained(right.where("other <> ''").select(*by, F.col("other").alias("s"), "ord"), long.select(*by, F.col("key").alias("l")), *by).select(*by, F.col("l").alias("key"), "ord")
     blank = right.where("other = ''").select(*by, "ord")  # one row at most for each of ``by``
-    blank = long.join(blank, list(by)) if by else long.join(F.broadcast(blank))
+    blank = long.join(blank.hint("merge"), list(by)) if by else long.join(F.broadcast(blank))
     best = equal.unionByName(within).unionByName(around).unionByName(blank.select(*by, "key", "ord")).groupBy(*by, "key").agg(F.min("ord").alias("ord"))
     # with ``by`` there may be as many keys as rows; without, titles of one key are many and go to their match
     return left.join(best.hint("merge") if by else best, [*by, "key"], "left").drop("key")

@@ -17,7 +17,7 @@ from .. import scratch
 from ..functions.textual import B, found, jaccard, let, nfkc, squeeze, sub, sub_where, text
 from ..schema import RELATED_TOPICS, TOPICS_BY_CLASS
 from . import setjoin
-from .layout import spread
+from .layout import FEW, by_rows, spread
 from .setjoin import dice
 
 # Words that carry no meaning of their own.
@@ -400,6 +400,9 @@ def candidates(drafts: DataFrame, pool: DataFrame, normal: bool = True, counts:
     theirs = features(spread(tasks), "question_text", "title", normal).withColumn("z", _measures(F.col("f")))
     theirs = scratch.written(_pool_index(_token_sets(theirs, "row", "class_level", "topic", "z"), rarity), "index")
     met_by = theirs.select("key", "kind", "class_level", "topic", "n", "least", "before", F.posexplode("tokens").alias("i", "token")).withColumn("i", F.col("i") + F.col("before"))
+    # rows of drafts that say the same are one key: a small index of the pool goes to them
+    if (theirs.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= FEW:
+        met_by = F.broadcast(met_by)
     right = theirs.select(F.col("key").alias("row"), F.col("z").alias("zb")).distinct()
     # tasks with several rows: those that the draft visits before come first
     again = tasks.groupBy("class_level", "task_id").agg(F.count("*").alias("n"), F.collect_list(F.struct("topic", "scan_ord", "row")).alias("rows")).where("n > 1").select("class_level", "task_id", "rows")
@@ -414,7 +417,7 @@ def candidates(drafts: DataFrame, pool: DataFrame, normal: bool = True, counts:
         active = plain
         if rounds:
             strong = spark.read.parquet(*rounds).where(F.col("score") >= STOP_AT).select("draft_id").distinct()
-            active = active.join(strong, "draft_id", "left_anti")
+            active = active.join(strong.hint("merge"), "draft_id", "left_anti")
         turn = active.select(F.col("draft_id").alias("key"), "class_level", F.explode(F.slice("topics", first + 1, until - first)).alias("topic"))
         # written, so that its size is known: a few drafts do not shuffle the index of the pool
         turn = scratch.written(own.join(turn.hint("merge"), "key"), "turn")
@@ -426,7 +429,7 @@ def candidates(drafts: DataFrame, pool: DataFrame, normal: bool = True, counts:
         a = left.select("draft_id", "topics", F.col("f").alias("fa"))
         some = scratch.written(tasks.join(near.select("row").distinct(), "row", "left_semi"), "tasks")
         b = features(spread(some), "question_text", "title", normal).select("row", "task_id", "class_level", "topic", "scan_ord", F.col("f").alias("fb"))
-        pairs = near.join(a, "draft_id").join(b, "row")
+        pairs = by_rows(near).join(a, "draft_id").join(b, "row")
         place = lambda topic, *rest: F.struct(F.array_position("topics", topic), *rest)
         here = place(F.col("topic"), "scan_ord", "row")
         earlier = F.exists("rows", lambda o: F.array_contains("topics", o["topic"]) & (place(o["topic"], o["scan_ord"].alias("scan_ord"), o["row"].alias("row")) < here))

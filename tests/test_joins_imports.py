@@ -81,3 +81,24 @@ def test_classes_in_german_order(spark):
     names = ["10", "Übung", "9", "Zebra", "Ufer", "11", "Oberstufe", "Öffnung", "7"]
     rows = spark.createDataFrame([(n,) for n in names], "level string").orderBy(*pool.class_order(F.col("level"))).collect()
     assert [r.level for r in rows] == ["7", "9", "10", "11", "Oberstufe", "Öffnung", "Übung", "Ufer", "Zebra"]
+
+
+@pytest.mark.parametrize("by", [[], ["upload"]])
+def test_pieces_of_titles_are_not_sent_through_the_driver(spark, by):
+    short = spark.createDataFrame([(1, f"nummer {i}") for i in range(20)], "upload long, s string")
+    long = spark.createDataFrame([(1, f"aufgabe nummer {i} der reihe", i) for i in range(20)], "upload long, l string, ord long")
+    found = segment._contained(short.select(*by, "s"), long.select(*by, "l", "ord"), *by)
+    assert {(r.s, r.l) for r in found.collect()} == {(f"nummer {i}", f"aufgabe nummer {j} der reihe") for i in range(20) for j in range(20) if f"nummer {i}" in f"aufgabe nummer {j} der reihe"}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    from taskloom import scratch
+    from taskloom.operators import layout
+
+    rows = scratch.written(spark.range(50).select(F.lit("x").alias("k"), "id"))
+    other = scratch.written(spark.range(900).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t")))
+    plan = lambda: layout.by_rows(rows).join(other, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(layout, "FEW", 49)
+    assert "Broadcast" not in plan() and "SortMergeJoin" in plan()
