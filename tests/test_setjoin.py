@@ -150,3 +150,26 @@ def test_features_of_the_pool_are_not_written(spark, monkeypatch):
     p = spark.createDataFrame([(1, "", text, "7", "A", 1), (2, "", "etwas ganz anderes", "7", "A", 2)], "task_id long, title string, question_text string, class_level string, topic string, scan_ord long")
     assert [(r.task_id, r.score) for r in similarity.candidates(d, p).collect()] == [(1, 1.0)]
     assert [tag for tag, schema in kept if "chars:array" in schema] == ["drafts"]
+
+
+@pytest.mark.parametrize("wide", [64, 1 << 16])
+def test_many_candidates_are_counted_by_bits(monkeypatch, wide):
+    import numpy as np
+
+    from taskloom.operators import blocks
+
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    sets = [np.sort(rng.choice(words, rng.integers(300, 700), replace=False)) for _ in range(60)]
+    block = lambda own, at: blocks.Block([str(at + i).encode() for i in range(len(own))], [len(s) for s in own], [s.tobytes() for s in own], None)
+    x, y = block(sets[:30], 0), block(sets[30:], 30)
+    used = []
+    monkeypatch.setattr(blocks, "WIDE", wide)
+    monkeypatch.setattr(blocks, "_common_bits", lambda *a, f=blocks._common_bits: (used.append(1), f(*a))[1])
+    monkeypatch.setattr(blocks, "_common", None)
+    for p, q, first, second in ((x, y, sets[:30], sets[30:]), (x, x, sets[:30], sets[:30])):
+        common = [[len(np.intersect1d(a, b)) for b in second] for a in first]
+        want = {(i, j): n for i, row in enumerate(common) for j, n in enumerate(row) if (p is q) <= (i < j) and n / (len(first[i]) + len(second[j]) - n) >= 0.35}
+        got = {(i, int(j)): int(n) for i, js, ns in blocks.alike(p, q, p is q, 0.35) for j, n in zip(js, ns)}
+        assert got == want and want
+    assert used == [1, 1]
