@@ -173,3 +173,16 @@ def test_many_candidates_are_counted_by_bits(monkeypatch, wide):
         got = {(i, int(j)): int(n) for i, js, ns in blocks.alike(p, q, p is q, 0.35) for j, n in zip(js, ns)}
         assert got == want and want
     assert used == [1, 1]
+
+
+def test_trigrams_of_a_batch_come_in_pieces(spark, monkeypatch):
+    import pandas as pd
+
+    texts = ["ab" * 40, "", None, "c" * 300, "d", "efg" * 20]
+    monkeypatch.setattr(similarity, "TRIGRAMS_OF", 100)
+    out = list(similarity.trigrams.func(iter([pd.Series(texts), pd.Series([], dtype=object)])))
+    assert [len(x) for x in out] == [3, 1, 2, 0]
+    assert [list(t) for x in out for t in x] == [list(similarity.numbered(t or "")) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    got = {r.id: r.g for r in rows.select("id", similarity.trigrams("t").alias("g")).collect()}
+    assert got == {i: list(similarity.numbered(t or "")) for i, t in enumerate(texts)}
